@@ -7,10 +7,13 @@
 3. Improved consistent weighted sampling draws 64 samples a text; 16 bands of 4 give bucket keys. A pair with
    weighted Jaccard similarity 0.8 shares a bucket with probability 0.9998.
 4. Buckets are worked off without all pairs: in each round every bucket names a hub, and the members that
-   aren't yet connected to it are verified against it (exact weighted Jaccard similarity of the texts); links become connected
-   components; members of buckets with more than one component stay. When the pairs of different components that are
-   left are no more than the bucket entries, all of them are verified. Pairs within one component need no
-   check: they wouldn't change a class. No candidate pair across classes is left out.
+   aren't yet connected to it are compared with it; links become connected components; members of buckets with
+   more than one component stay. When few pairs of different components are left (four a text), or a round no
+   longer removes a third of them, all that are left are compared, bucket by bucket in blocks of BLOCK
+   members, as arrays: by samples first if they are few, else by exact similarity in the blocks themselves, which
+   hold their members' shingles. Pairs within one component need no check: they wouldn't change a class. To compare two texts, their
+   weights (the ratio bounds the similarity) and samples are tried first: a pair of similarity 0.8 has fewer than
+   LEAST_EQUAL of 64 samples equal with probability 3e-6. The exact weighted Jaccard similarity of the texts decides.
 
 Defined results: class_id is the class's least doc_id. A null text, or one without a word that no other text
 equals, is a class of its own; equal texts without words are one class. A null doc_id has a null class. Repeated rows fall into
@@ -28,10 +31,11 @@ from pyspark.sql import functions as F
 
 from hazmill.llm.common import Words, blocks_of, checkpoint, gathered, mix, shingles, slices, stored, sum_blocks, texts_of
 
-SIZE, THRESHOLD, SAMPLES, BANDS, DAMP = 5, 0.8, 64, 16, 0.1
+SIZE, THRESHOLD, SAMPLES, BANDS, DAMP, LEAST_EQUAL, BLOCK = 5, 0.8, 64, 16, 0.1, 36, 512
 WIDTH, BLOCKS = 1 << 20, 256
 _DRAWS = 1 << 16
 _SLICE = 1 << 20
+_SLACK = 1 - 1e-6
 _tables: list[np.ndarray] = []
 
 
@@ -110,7 +114,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketches(df: DataFrame, idf, size: int) -> DataFrame:
-    """doc_id, k1, k2, weight (of all shingles) and bands of each row with an id."""
+    """doc_id, k1, k2, weight (of all shingles), bands and samples (32 bits each) of each row with an id."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE // 2):
@@ -121,9 +125,11 @@ def _sketches(df: DataFrame, idf, size: int) -> DataFrame:
             ends[which + 1] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.reshape(-1)))
             weight = np.bincount(owner, weights=w, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(weight), lists], ["doc_id", "k1", "k2", "weight", "bands"])
+            short = pa.array((sig & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).reshape(-1))
+            sigs = pa.ListArray.from_arrays(pa.array((np.cumsum(ends) // BANDS * SAMPLES).astype(np.int32)), short)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(weight), lists, sigs], ["doc_id", "k1", "k2", "weight", "bands", "sig"])
 
-    return df.mapInArrow(sketched, "doc_id long, k1 long, k2 long, weight double, bands array<long>")
+    return df.mapInArrow(sketched, "doc_id long, k1 long, k2 long, weight double, bands array<long>, sig array<int>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -135,7 +141,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float, size: int) -> DataFrame:
-    """The pairs (node, hub) whose texts are similar enough. texts: doc_id, text."""
+    """The pairs (node, hub) whose texts are similar enough. texts: doc_id, text; of them only the pairs' own are moved twice."""
+    own = pairs.select(F.col("node").alias("doc_id")).union(pairs.select(F.col("hub").alias("doc_id"))).distinct()
+    texts = stored(texts.join(own, "doc_id", "left_semi"), "texts", "snappy")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, theirs = None, None
@@ -157,6 +165,116 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float, size: int)
     return both.mapInArrow(checked, "node long, hub long")
 
 
+def _dealt(rows: DataFrame, blocks, columns: list[str]) -> DataFrame:
+    """Members of each bucket dealt to so many blocks by hash; every two blocks meet in one group (key, i, j)."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "weight", *columns)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Apply work to the table of each group of rows sorted by (key, i, j)."""
+    held, now = [], None
+    for batch in batches:
+        names = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        starts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1))) if len(names) else []
+        for a, b in zip(starts, [*starts[1:], len(names)]):
+            name = tuple(names[a])
+            if name != now and held:
+                yield work(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            now = name
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield work(pa.Table.from_batches(held).combine_chunks())
+
+
+def _pairs(out: list) -> pa.RecordBatch:
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 0]), pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 1])], ["node", "hub"])
+
+
+def block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (node, hub) of one bucket but different components that may be similar enough. rows: key, n, node, weight, sig, comp."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        node, comp, weight, own = (t.column(c).to_numpy() for c in ("node", "comp", "weight", "own"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for at in range(0, len(left), 64):
+            a = left[at : at + 64]
+            near = (comp[a][:, None] != comp[right]) & (np.minimum(weight[a][:, None], weight[right]) >= threshold * _SLACK * np.maximum(weight[a][:, None], weight[right]))
+            if i == j:
+                near &= a[:, None] < right
+            x, y = np.nonzero(near)
+            for k in range(0, len(x), 1 << 16):
+                xs, ys = a[x[k : k + (1 << 16)]], right[y[k : k + (1 << 16)]]
+                good = (sig[xs] == sig[ys]).sum(axis=1) >= LEAST_EQUAL
+                out += zip(node[xs[good]].tolist(), node[ys[good]].tolist())
+        return _pairs(out)
+
+    dealt = _dealt(rows, F.ceil(F.col("n") / BLOCK).cast("int"), ["sig"])
+    return dealt.mapInArrow(lambda batches: _grouped(batches, work), "node long, hub long").distinct()
+
+
+def block_links(rows: DataFrame, texts: DataFrame, idf, threshold: float, size: int) -> DataFrame:
+    """Links (node, hub) that join different components, of all similar pairs of each bucket. rows: key, n, total (weight), node, weight, comp.
+
+    A block has few members and little weight, so that a group's shingles fit in memory; of a group's links a spanning forest is enough.
+    """
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", _SLICE):
+            owner, h, w = weighted_shingles(texts_of(batch.column("text")), idf.value, size)
+            ends = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(w.astype(np.float32)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["node", "h", "w"])
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        node, comp, weight, own = (t.column(c).to_numpy() for c in ("node", "comp", "weight", "own"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        lists = t.column("h").combine_chunks()
+        first = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+        _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        w = t.column("w").combine_chunks().flatten().to_numpy()
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        dense = np.zeros(int(code.max()) + 1 if len(code) else 0, dtype=np.float32)
+        right, out = np.flatnonzero(own == j), []
+        spans = [(first[r], first[r + 1]) for r in right]
+        flat = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, np.int64)
+        code_r, w_r, at = code[flat], w[flat], np.append(0, np.cumsum([b - a for a, b in spans]))
+        for x in np.flatnonzero(own == i):
+            some = np.minimum(weight[x], weight[right]) >= threshold * _SLACK * np.maximum(weight[x], weight[right])
+            some &= (comp[right] != comp[x]) & ((right > x) if i == j else True)
+            if not some.any():
+                continue
+            mine = slice(first[x], first[x + 1])
+            dense[code[mine]] = w[mine]
+            common = np.add.reduceat(np.minimum(dense[code_r], w_r), at[:-1])
+            dense[code[mine]] = 0
+            for y in np.flatnonzero(some & (common >= threshold * _SLACK * (weight[x] + weight[right] - common))):
+                a, b = find(int(comp[x])), find(int(comp[right[y]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(node[x]), int(node[right[y]])))
+        return _pairs(out)
+
+    own = rows.select(F.col("node").alias("doc_id")).distinct()
+    arrays = texts.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(vectors, "node long, h array<long>, w array<float>")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / (1 << 20))).cast("int")
+    dealt = _dealt(rows.join(arrays, "node"), blocks, ["h", "w"])
+    return dealt.mapInArrow(lambda batches: _grouped(batches, work), "node long, hub long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp for every node of the links (node, hub): comp is the least node that it is connected to.
 
@@ -188,37 +306,41 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     named = docs.filter("doc_id is not null and text is not null")
     keyed = named.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     sketches = stored(_sketches(keyed, idf, size), "sketches")
-    nodes = checkpoint(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min(F.struct("weight", "bands")).alias("s")).select("k1", "k2", "node", "s.weight", "s.bands"))
-    rows = nodes.select(F.explode("bands").alias("key"), "node", "weight")
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = checkpoint(rows.join(crowded, "key").withColumn("comp", F.col("node")))
-    involved = rows.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(named.join(involved, "doc_id", "left_semi"), "texts", "snappy")
-    links, turn = None, 0
+    nodes = checkpoint(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first(F.struct("weight", "bands", "sig")).alias("s")).select("k1", "k2", "node", "s.*"))
+    keys = nodes.select(F.explode("bands").alias("key"), "node")
+    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = keys.join(crowded, "key").join(nodes.select("node", "weight", "sig"), "node")
+    rows = checkpoint(rows.select("key", "node", "weight", "sig", F.col("node").alias("comp")))
+    room = 4 * nodes.count()
+    links, turn, before = None, 0, None
     while True:
-        of = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("rank"), "node", "comp")).alias("h"))
-        of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("h").alias("h")).filter("same < n * n")
-        buckets = checkpoint(of.select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), "n", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp")))
-        left = buckets.agg(F.sum("pairs"), F.sum("n")).first()
-        if not left[0]:
+        rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+        of = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.min(F.struct(rank.alias("rank"), "node", "comp", "weight", "sig")).alias("h"))
+        of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("h").alias("h")).filter("same < n * n")
+        buckets = checkpoint(of.select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), "n", "total", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.weight").alias("hub_weight"), F.col("h.sig").alias("hub_sig")))
+        left = buckets.agg(F.sum("pairs")).first()[0]
+        if not left:
             break
-        last = left[0] <= left[1]
-        live = rows.join(buckets, "key")
+        last = left <= room or before is not None and left > before * 2 / 3
+        before = left
         if last:
-            a = live.select("key", "node", "weight", "comp")
-            b = a.select("key", F.col("node").alias("hub"), F.col("weight").alias("hub_weight"), F.col("comp").alias("hub_comp"))
-            pairs = a.join(b, "key").filter("comp < hub_comp")
+            live = rows.join(buckets.select("key", "n", "total"), "key")
+            likely = block_pairs(live, threshold)
+        else:
+            live = rows.join(buckets, "key")
+            alike = F.least("weight", "hub_weight") >= F.lit(threshold * _SLACK) * F.greatest("weight", "hub_weight")
+            equal = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda a, b: a == b), lambda x: x))
+            likely = live.filter("comp <> hub_comp").filter(alike).filter(equal >= LEAST_EQUAL).select("node", "hub").distinct()
+        if last and left > room:
+            found = block_links(live, named, idf, threshold, size)
         else:
-            heavy = nodes.select(F.col("node").alias("hub"), F.col("weight").alias("hub_weight"))
-            pairs = live.filter("comp <> hub_comp").select("node", "weight", "hub").distinct().join(heavy, "hub")
-        alike = F.least("weight", "hub_weight") >= F.lit(threshold * (1 - 1e-6)) * F.greatest("weight", "hub_weight")
-        found = verify(pairs.filter(alike).select("node", "hub").distinct(), texts, idf, threshold, size)
+            found = verify(checkpoint(likely), named, idf, threshold, size)
         links = checkpoint(found if links is None else links.union(found))
         comp = checkpoint(components(links))
         if last:
             break
-        rows = live.filter("node <> hub").select("key", "node", "weight").join(comp, "node", "left")
-        rows = checkpoint(rows.select("key", "node", "weight", F.coalesce("comp", "node").alias("comp")))
+        rows = live.filter("node <> hub").select("key", "node", "weight", "sig").join(comp, "node", "left")
+        rows = checkpoint(rows.select("key", "node", "weight", "sig", F.coalesce("comp", "node").alias("comp")))
         turn += 1
     classes = nodes.select("k1", "k2", "node")
     if links is not None:
