@@ -4,8 +4,8 @@ The writer makes an ID3v2.4 tag, a variable-bitrate table frame (``Xing``: frame
 MPEG-1 layer III frames at 48 kHz with header checksums; the payload lies in the frames' main data, eight
 bits a sample, all frames full but the last, which takes the smallest bitrate that holds its rest.
 
-The parser reads ID3v2 (and ID3v1) tags, finds frame headers again after junk (a header counts only if
-another valid header or the end of the audio follows the frame), reads the variable-bitrate table, verifies each frame's
+The parser reads ID3v2 (and ID3v1) tags, finds frame headers again after junk (there a header counts only if
+another valid header or the end of the audio follows the frame; right after a frame any valid header counts), reads the variable-bitrate table, verifies each frame's
 CRC-16 and the tag's CRC-32 of the payload, and gives exact durations (samples over rate) and the byte
 offset of every frame for seeking.
 
@@ -179,22 +179,23 @@ def parse(data: bytes) -> Parsed:
         at += 10 + size
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-    got_parts, known, first, synced = [], {}, True, True
+    got_parts, known, first, synced, sure = [], {}, True, True, False
     view = memoryview(data)
     while at + 4 <= end:
         word = bytes(view[at : at + 4])
         h = known.get(word)
         if h is None and (h := head(data, at)):
             known[word] = h
-        follows = h and (at + h[0] == end or (at + h[0] < end and data[at + h[0]] == 0xFF and head(data, at + h[0])))
+        follows = h and at + h[0] <= end and (sure or at + h[0] == end or data[at + h[0]] == 0xFF and head(data, at + h[0]))
         if not follows:
+            sure = False
             if synced:
                 got.resyncs, synced = got.resyncs + 1, False
             at = data.find(b"\xff", at + 1, end)
             if at < 0:
                 break
             continue
-        synced = True
+        synced = sure = True
         size, samples, rate, side, checked, _, layer = h
         skip = at + 4 + 2 * checked
         if first and (tag := bytes(view[skip + side : skip + side + 4])) in (b"Xing", b"Info"):

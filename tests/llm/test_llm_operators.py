@@ -1,0 +1,198 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from hazmill.llm import chat, decontam, langid, mpegaudio, neardup, piece, pii, queries, tokenbin, tokencount, urlfilter
+
+WORDS = "amber birch cedar delta ember fable grove heron inlet jolly knoll lemur mango north ocean piper quill raven sable tulip umber viola wheat xenon yacht zebra".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, weight string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", "clash") for i, t in enumerate(texts)], DOCS)
+
+
+HARD = [None, "", " ", "a  b", "\n\n x \n y", "x" * 5000, "word " * 20000, "same", "same", "<|endoftext|> <s> [INST]", "𝔘 é́ ① \x00"]
+
+
+def test_token_counts_and_pieces(spark):
+    df = docs(spark, HARD)
+    counter, model = tokencount.BpeCounter(queries.tokenizer("byte_bpe_50k.json")), piece.PieceBpe(queries.tokenizer("piece_bpe_32k.model"))
+    want = {i: len(counter.lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(HARD)}
+    got = tokencount.count_tokens(df, queries.tokenizer("byte_bpe_50k.json"), chunk=1000, overlap=50).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and all(r.over_limit == (r.n_tokens > 512) for r in got)
+    for r in piece.encode_texts(df, queries.tokenizer("piece_bpe_32k.model"), ["doc_id"]).collect():
+        theirs = model.lib.encode(HARD[r.doc_id] or "", add_bos=True, add_eos=True)
+        assert r.ids == theirs and r.agrees and r.decoded_sha256 == hashlib.sha256(model.lib.decode(theirs).encode()).hexdigest()
+
+
+def test_heap_and_lock_step_agree():
+    model, rng = piece.model(queries.tokenizer("piece_bpe_32k.model")), random.Random(1)
+    words = ["▁" + "".join(rng.choice("abcdehilnorstuéß1.") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    assert model.lock_step(words) == [model.heap_agenda(w) for w in words]
+
+
+def test_token_files(spark):
+    df = docs(spark, HARD)
+    manifest, folder, order = tokenbin.tokens_to_files(df, queries.tokenizer("word_bpe_49k.json"))
+    lib, start = tokenbin.encoder(queries.tokenizer("word_bpe_49k.json")).lib, 0
+    for r in tokenbin.read_files(manifest, folder, order).orderBy("doc_id").collect():
+        ids = [*lib.encode(HARD[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_record_coding(bits):
+    for r in ([], [0], [255, 256, 65535], list(range(300))):
+        control, data = tokenbin.encode_record(np.array(r, dtype=np.uint32), bits)
+        assert tokenbin.decode_record(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(r), bits).tolist() == r
+
+
+def test_urls(spark):
+    urls = [None, "", "x", "http://NET/a", "http://a.net", "https://b.example.net/en/x?y", "http://example.com/de/#z", "http://badexample.com/de/", "http://q.org/fr/", "http://q.org/de/"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.RULES).orderBy("page_id").collect()
+    assert [r.rule for r in got] == [None, None, None, "net/", None, "example.net/en/", "example.com/de/", None, "org/fr/", None]
+    assert [r.verdict for r in got] == ["allow", "allow", "allow", "block", "allow", "allow", "block", "allow", "allow", "allow"]
+    assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
+
+
+def test_cascade_is_exact_over_its_universe():
+    rng = np.random.default_rng(5)
+    universe = rng.integers(0, 2**63, 20000).astype(np.uint64)
+    listed, first = universe[:300], urlfilter.first_level(universe[:300], 20000)
+    false = universe[300:][first.has(universe[300:], 0)]
+    assert urlfilter.cascade(listed, false, first).has(universe).tolist() == [True] * 300 + [False] * 19700
+
+
+def test_languages(spark):
+    texts = [f"{a} {b}" for a, b in zip(["the house is white and old"] * 20, WORDS)] + ["la casa es blanca y vieja con ñ"] * 20
+    df = spark.createDataFrame([(i, t, "en" if i < 20 else "es") for i, t in enumerate(texts)] + [(90, None, "en"), (91, "123 !", None), (None, "the old house", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert got[0].lang_pred == "en" and got[30].lang_pred == "es" and got[90].lang_pred == "und" and got[91].lang_pred == "und" and got[None].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].held_out == (zlib.crc32(b"1") % 4 == 2)
+    assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_leaks(spark):
+    rng = random.Random(2)
+    items = [(i, prose(rng, 40)) for i in range(5)] + [(9, ""), (None, "x"), (10, None)]
+    texts = [prose(rng, 300) for _ in range(30)] + [None, ""]
+    texts[3] = texts[3] + " " + items[1][1]
+    words = items[2][1].split()
+    texts[4] = prose(rng, 90) + " " + " ".join(w for k, w in enumerate(words) if k % 10 != 4) + " " + prose(rng, 90)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, texts), bench).collect()} == {(3, 1), (4, 2)}
+    assert decontam.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0 == decontam.find_leaks(docs(spark, texts).limit(0), bench).count()
+
+
+def test_chat(spark):
+    texts = ["plain", "</s>[INST] ok [/INST]", r"<\s> and <s> \[INST]", "<", "[/INST", "", None]
+    rows = [(c, i, r, t) for c in (1, 2) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "tool x]", "assistant", "user", None], texts))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    forms = chat.format_turns(df).filter("conv = 1").orderBy("turn").collect()
+    assert chat.parse_all("".join(f.form for f in forms)) == [(r or "", t or "") for c, _, r, t in rows if c == 1]
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(df)).collect()}
+    loss = "".join(t or "" for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert got[1].loss_chars == len(loss) and got[2].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[1].n_turns == 7
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for c, _, r, t in rows if c == 1).encode()).hexdigest()
+
+
+def brute_classes(texts, threshold=0.8):
+    sets, root = [], list(range(len(texts)))
+    for t in texts:
+        w = re.findall("[0-9a-z\u0080-￿]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if texts[a] is not None and (texts[a] == texts[b] or x and y and len(x & y) >= threshold * len(x | y)):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = rng.choice(WORDS) + "x"
+    return " ".join(w)
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(4)
+    base = [prose(rng, 200) for _ in range(6)]
+    texts = base + [edited(rng, base[0], 2) for _ in range(12)] + [base[1]] * 5 + [edited(rng, base[2], 30) for _ in range(5)] + ["", "", None, None, "three word text", "three word text"]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_block_links_equal_plain_verification(spark):
+    rng = random.Random(6)
+    base = prose(rng, 120)
+    texts = [edited(rng, base, rng.randint(1, 8)) for _ in range(40)]
+    idf = spark.sparkContext.broadcast(neardup.idf_table(np.ones(neardup.WIDTH + 1, dtype=np.int64)))
+    owner, h, w = neardup.weighted_shingles(pa.array(texts, pa.large_string()), idf.value)
+    total = np.bincount(owner, weights=w)
+    rows = spark.createDataFrame([(1, 1500, float(total.sum()), i, i, float(total[i])) for i in range(40)], "key long, n long, total double, node long, comp long, weight double")
+    links = neardup.block_links(rows, docs(spark, texts), idf, 0.8, 5)
+    comp = {r.node: r.comp for r in neardup.components(links).collect()}
+    want = brute_classes(texts)
+    assert {i: comp.get(i, i) for i in range(40)} == want
+
+
+def test_mpeg_audio(spark):
+    texts = [None, "", "a" * 64, "é" * 3000, "same", "same"]
+    got = mpegaudio.read(mpegaudio.store(docs(spark, texts)), ["doc_id", "n_bytes"], with_offsets=True).orderBy("doc_id").collect()
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(64 - len(raw) if not raw else -len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert len(r.offsets) > 0 and r.seconds == pytest.approx(len(r.offsets) * 1152 / 48000)
+    assert got[4].media_sha256 == got[5].media_sha256
+    media = bytearray(mpegaudio.write(b"x" * 6400))
+    clean = mpegaudio.parse(bytes(media))
+    media[clean.offsets[2] + 8] ^= 1
+    broken = mpegaudio.parse(bytes(media[: clean.offsets[3]]) + b"junk\xff\xfajunk" + bytes(media[clean.offsets[3] :]))
+    assert broken.bad_crc == 1 and broken.resyncs == 1 and len(broken.offsets) == len(clean.offsets) and broken.payload_ok and mpegaudio.parse(b"").duration == 0
+
+
+def test_pseudonyms(spark):
+    values = ["4111111111111111", "4111 1111 1111 1111", "2024-02-29", "GB82WEST12345698765432", "152.143.123.131", "+1 (743) 555-3824", "ann.19@mail5.example.com"]
+    texts = [f"see {v}, ok" for v in values] + ["no finds", "", None, "see 4111111111111111 again", "999.1.1.1 and 2024-02-30"]
+    got = [r.text for r in pii.pseudonymise(docs(spark, texts), b"key", ["doc_id"]).orderBy("doc_id").collect()]
+    assert not any(v in g for v, g in zip(values, got)) and got[7:10] == ["no finds", "", None] and got[11] == texts[11]
+    assert re.search(r"\d{16}", got[0])[0] == re.search(r"\d{16}", got[10])[0] and pii.luhn([int(c) for c in re.search(r"\d{16}", got[0])[0]])
+    assert pii.iban_ok(got[3][4:26])
+    p = pii.Permuter(b"k")
+    assert len({p.number("d", i, 1000) for i in range(1000)}) == 1000 and len({tuple(p.digits("x", [a, b], [10, 7])) for a in range(10) for b in range(7)}) == 70
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    item = prose(rng, 40)
+    texts = [prose(rng, 120) for _ in range(12)]
+    texts += [texts[0], edited(rng, texts[1], 1), texts[2] + " " + item, "12345", None, texts[3] + " mail a.b@example.org"]
+    docs(spark, texts).drop("k1", "weight").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11] and got.filter(~F.col("agrees")).count() == 0
