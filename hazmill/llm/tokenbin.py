@@ -18,7 +18,6 @@ an id follow each other, ordered by their ids' bytes; no rows give no files.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import uuid
 import zlib
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +34,7 @@ from hazmill.llm.common import new_path, slices, stored, texts_of
 
 MAGIC = b"HMTB"
 BLOCK_IDS = 1 << 20
-MEMO = 500_000
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[ \t\n\r\f\v]+")
+MEMO = 1_000_000
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -59,9 +57,9 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-        self.count = self.total = 0
+        self.memo: dict[str, int] = {"": 0}  # what precedes leading white space
+        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(2, np.int64)]
+        self.count, self.total = 1, 0
 
     def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         self.memo.update(zip(words, range(self.count, self.count + len(words))))
@@ -116,19 +114,25 @@ class WordEncoder:
             sizes = ends[pairs + 1] - ends[pairs]
             self._keep([w for w, _, _ in tailed], _gather(flat, ends[pairs], sizes), sizes.reshape(-1, 2).sum(axis=1))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and each text's number of them."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and each text's number of them.
+
+        Arrow cuts at ASCII white space and numbers the distinct words; only these become Python strings. A word that
+        holds other white space isn't of letters alone and goes to the library by itself.
+        """
         if self.count > MEMO:
             self.clear()
-        cut = [[w for w in _SPACES.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
-        words = [w for c in cut for w in c]
-        if missing := set(words) - self.memo.keys():
-            self.learn(list(missing))
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if missing := [w for w in distinct if w not in self.memo]:
+            self.learn(missing)
         flat, ends = self._arrays()
-        at = np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = at[np.asarray(words.indices)]
         sizes = ends[at + 1] - ends[at]
         total = np.append(0, np.cumsum(sizes))
-        bounds = total[np.append(0, np.cumsum([len(c) for c in cut], dtype=np.int64))]
+        bounds = total[np.append(0, np.cumsum(np.asarray(pc.list_value_length(cut)), dtype=np.int64))]
         return _gather(flat, ends[at], sizes), np.diff(bounds)
 
 
@@ -181,8 +185,8 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
         kind = "<u2" if bpe.size <= 1 << 16 else "<u4"
-        for batch in slices(batches, "text", 2 << 20):
-            ids, sizes = bpe.encode(texts_of(batch.column("text")).to_pylist())
+        for batch in slices(batches, "text", 4 << 20):
+            ids, sizes = bpe.encode(texts_of(batch.column("text")))
             ends = np.cumsum(sizes)
             whole = np.insert(ids, ends, end_id).astype(kind)
             ends = ends + np.arange(1, len(ends) + 1)
@@ -228,6 +232,10 @@ def write_files(encoded: DataFrame, order: np.ndarray, kind: str, folder: str, f
     rank = np.empty(len(order), dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     shared = encoded.sparkSession.sparkContext.broadcast(rank)
+    # Bounds from the ids alone: a range partitioner would draw its sample by ranking all documents once more.
+    shares = [k / files for k in range(1, files)]
+    bounds = encoded.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))).first()[0] if shares else None
+    cuts = np.array(bounds or [], dtype=np.int64)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +246,9 @@ def write_files(encoded: DataFrame, order: np.ndarray, kind: str, folder: str, f
                 n.append(len(ids))
                 control.append(c)
                 data.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "control", "data"])
+            ids = batch.column("doc_id")
+            part = np.where(np.asarray(ids.is_null()), 0, np.searchsorted(cuts, np.asarray(ids.fill_null(0)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["part", "doc_id", "n", "control", "data"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -267,8 +277,8 @@ def write_files(encoded: DataFrame, order: np.ndarray, kind: str, folder: str, f
             name = path.rsplit("/", 1)[1]
             yield pa.RecordBatch.from_pylist([{"name": name, "part": part, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    rows = encoded.mapInArrow(ranked, "doc_id long, n long, control binary, data binary")
-    ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
+    rows = encoded.mapInArrow(ranked, "part int, doc_id long, n long, control binary, data binary")
+    ordered = rows.repartitionById(files, F.col("part")).drop("part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
     return stored(ordered.mapInArrow(written, "name string, part int, n_docs long, n_ids long, n_bytes long"), "tokens-manifest")
 
 
