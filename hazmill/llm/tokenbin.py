@@ -22,6 +22,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ class WordEncoder:
     """The tokenizers library behind a memo of words.
 
     This tokenizer drops white space and never joins across it, so words are encoded once each; a word of letters is
-    one pre-token and ends with its only end-of-word token, so that many such words share one call.
+    one pre-token and ends with its only end-of-word token, so that many such words share one call; one of ASCII letters
+    goes to the library's model at once.
     """
 
     def __init__(self, path: str):
@@ -95,6 +97,11 @@ class WordEncoder:
             else:
                 rest.append(w)
         new = [w for w in letters if w not in self.memo]
+        ascii_words = [w for w in new if w.isascii()]
+        tokenize = self.lib.model.tokenize  # what normaliser and splitters would leave as it is goes to the model
+        found = [[t.id for t in tokenize(w)] for w in ascii_words]
+        self._keep(ascii_words, np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        new = [w for w in new if not w.isascii()]
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
             ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
@@ -185,7 +192,7 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
         kind = "<u2" if bpe.size <= 1 << 16 else "<u4"
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids, sizes = bpe.encode(texts_of(batch.column("text")))
             ends = np.cumsum(sizes)
             whole = np.insert(ids, ends, end_id).astype(kind)
