@@ -306,11 +306,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     named = docs.filter("doc_id is not null and text is not null")
     keyed = named.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     sketches = stored(_sketches(keyed, idf, size), "sketches")
-    nodes = checkpoint(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first(F.struct("weight", "bands", "sig")).alias("s")).select("k1", "k2", "node", "s.*"))
+    nodes = stored(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first(F.struct("weight", "bands", "sig")).alias("s")).select("k1", "k2", "node", "s.*"), "nodes")
     keys = nodes.select(F.explode("bands").alias("key"), "node")
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     rows = keys.join(crowded, "key").join(nodes.select("node", "weight", "sig"), "node")
-    rows = checkpoint(rows.select("key", "node", "weight", "sig", F.col("node").alias("comp")))
+    rows = stored(rows.select("key", "node", "weight", "sig", F.col("node").alias("comp")), "rows")  # a table packs the samples, which repeat in each band; a checkpoint does not
     room = 4 * nodes.count()
     links, turn, before = None, 0, None
     while True:
@@ -340,7 +340,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         if last:
             break
         rows = live.filter("node <> hub").select("key", "node", "weight", "sig").join(comp, "node", "left")
-        rows = checkpoint(rows.select("key", "node", "weight", "sig", F.coalesce("comp", "node").alias("comp")))
+        rows = stored(rows.select("key", "node", "weight", "sig", F.coalesce("comp", "node").alias("comp")), "rows")
         turn += 1
     classes = nodes.select("k1", "k2", "node")
     if links is not None:
