@@ -108,13 +108,12 @@ def q_baseline_compare(spark, d):
 
 @query(WITH + "s as (select min(event_date) as a, max(event_date) as b from ev where event_id % 1000 = 0), p as (select cast(unnest(generate_series(a, b, interval 1 day)) as date) as date from s) select date from p where not exists (select 1 from ev where event_id % 1000 = 0 and abs(date_diff('day', event_date, p.date)) <= 10)")
 def q_date_pool(spark, d):
-    return S.free_dates(V.view(spark, d, V.EV).filter("event_id % 1000 = 0"))
+    return S.free_dates(V.view(spark, d, V.EV))
 
 
 @query()
 def q_random_baseline(spark, d):
-    ev = V.view(spark, d, V.EV).filter("event_id % 1000 = 0")
-    return S.abnormal_returns(S.random_events(ev, 200), *_px(spark, d)).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
+    return S.abnormal_returns(S.random_events(_cars(spark, d)), *_px(spark, d)).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
 
 
 def _asked(spark, d):
