@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hazmill.functions.exprs import t_pvalue
 
 ESTIMATION, EVENT, LEAST_ESTIMATION, HORIZONS = (-45, -6), (0, 5), 10, (1, 3, 5)
-DRAWS = 1 << 16
+DRAWS, SPAN = 1 << 16, 64
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
@@ -123,21 +123,25 @@ def free_dates(events: DataFrame, days: int = 10) -> DataFrame:
     return pool.join(taken, "date", "left_anti")
 
 
-def random_events(cars: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
-    """n events (as many as there are rows without error) at free dates, with tickers drawn with replacement: reproducible hash draws.
+def random_events(events: DataFrame, cars: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """n events (as many as there are rows without error) at free dates, with tickers drawn with replacement from the rows without error: reproducible hash draws.
 
-    cars: event_date, ticker and error of every event; the dates of rows with an error aren't free either. Draws are numbered
-    in blocks, so that no task makes all of them.
+    cars: ticker and error of every event; the dates of events with an error aren't free either. A ticker owns as many
+    successive numbers as it has rows; a drawn number finds its owner among the few of its span. Draws are numbered in blocks, so
+    that no task makes all of them.
     """
     w = W.orderBy("date")
-    pool = free_dates(cars).select("date", (F.row_number().over(w) - 1).alias("k"))
+    pool = free_dates(events).select("date", (F.row_number().over(w) - 1).alias("k"))
     counts = cars.filter("error is null and ticker is not null").groupBy("ticker").agg(F.count("*").alias("c"))
-    tickers = counts.select("ticker", (F.row_number().over(W.orderBy("ticker")) - 1).alias("j"))
-    wanted = F.sum("c") if n is None else F.lit(n).cast("long")
-    sizes = pool.agg(F.count("*").alias("np")).crossJoin(counts.agg(F.count("*").alias("nt"), wanted.alias("n"))).filter("np > 0 and nt > 0 and n > 0")  # one row each
+    upto = F.sum("c").over(W.orderBy("ticker").rowsBetween(W.unboundedPreceding, 0))
+    tickers = counts.select("ticker", (upto - F.col("c")).alias("a"), (upto - 1).alias("b"))
+    owners = tickers.select("*", F.explode(F.expr(f"sequence(a div {SPAN}, b div {SPAN})")).alias("span"))
+    total = counts.agg(F.sum("c").alias("nv"))
+    wanted = F.col("nv") if n is None else F.lit(n).cast("long")
+    sizes = pool.agg(F.count("*").alias("np")).crossJoin(total.select("nv", wanted.alias("n"))).filter("np > 0 and nv > 0 and n > 0")  # one row each
     blocks = sizes.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {DRAWS})")).alias("block"))
     blocks = blocks.repartition(cars.sparkSession.sparkContext.defaultParallelism, "block")
-    draws = blocks.select("np", "nt", F.explode(F.expr(f"sequence(block * {DRAWS}, least(n, (block + 1) * {DRAWS}) - 1)")).alias("id"))
-    draws = draws.select(F.pmod(F.xxhash64("id", F.lit(seed)), "np").cast("int").alias("k"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), "nt").cast("int").alias("j"))
-    out = draws.join(pool, "k").join(tickers, "j")
+    draws = blocks.select("np", "nv", F.explode(F.expr(f"sequence(block * {DRAWS}, least(n, (block + 1) * {DRAWS}) - 1)")).alias("id"))
+    draws = draws.select(F.pmod(F.xxhash64("id", F.lit(seed)), "np").cast("int").alias("k"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), "nv").alias("j"))
+    out = draws.join(pool, "k").withColumn("span", F.expr(f"j div {SPAN}")).join(owners, "span").filter("j between a and b")
     return out.select(F.concat(F.lit("RAND_"), F.col("date").cast("string"), F.lit("_"), "ticker").alias("event_id"), F.col("date").alias("event_date"), "ticker")

@@ -113,7 +113,7 @@ def q_date_pool(spark, d):
 
 @query()
 def q_random_baseline(spark, d):
-    return S.abnormal_returns(S.random_events(_cars(spark, d)), *_px(spark, d)).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
+    return S.abnormal_returns(S.random_events(V.view(spark, d, V.EV), _cars(spark, d)), *_px(spark, d)).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
 
 
 def _asked(spark, d):

@@ -19,8 +19,9 @@ def duck(sql):
     return sorted(con.execute(sql).fetchall())
 
 
-def cars(spark, rows):
-    return spark.createDataFrame(rows, "event_date date, ticker string, error string")
+def drawn(spark, rows, *args, **named):
+    cars = spark.createDataFrame(rows, "event_date date, ticker string, error string")
+    return S.random_events(cars.drop("error"), cars, *args, **named)
 
 
 def test_date_pool_excludes_days_near_every_event(spark):
@@ -33,14 +34,23 @@ def test_date_pool_excludes_days_near_every_event(spark):
 def test_random_baseline_draws_as_many_as_valid_rows(spark):
     start = date(2020, 1, 1)
     rows = [(start, "A", None)] * 150 + [(start + timedelta(100), "B", None)] * 150 + [(start + timedelta(50), "C", "no_price_data")]
-    got = S.random_events(cars(spark, rows), seed=1).collect()
+    got = drawn(spark, rows, seed=1).collect()
     assert len(got) == 300
     assert all(min(abs((r.event_date - start).days - k) for k in (0, 50, 100)) > 10 for r in got)
-    assert S.random_events(cars(spark, rows), 7).count() == 7
-    assert S.random_events(cars(spark, rows[:150]), seed=1).count() == 0  # no free date
-    assert S.random_events(cars(spark, rows[-1:]), seed=1).count() == 0
+    assert drawn(spark, rows, 7).count() == 7
+    assert drawn(spark, rows[:150], seed=1).count() == 0  # no free date
+    assert drawn(spark, rows[-1:], seed=1).count() == 0
 
 
 def test_random_baseline_query(spark):
     valid = Q._cars(spark, SMALL).filter("error is null").count()
     assert Q.q_random_baseline(spark, SMALL).count() == (valid if Q.q_date_pool(spark, SMALL).count() else 0)
+
+
+def test_tickers_are_drawn_by_their_valid_rows(spark):
+    start = date(2020, 1, 1)
+    rows = [(start, "A", None)] * 900 + [(start + timedelta(100), t, None) for t in "BCDEFGHIJ" for _ in range(10)] + [(start, "Z", "no_price_data")] * 50
+    got = [r.ticker for r in drawn(spark, rows).collect()]
+    assert len(got) == 990 and "Z" not in got
+    assert got.count("A") / len(got) == pytest.approx(900 / 990, abs=0.05)
+    assert set(got) == set("ABCDEFGHIJ")
