@@ -367,7 +367,7 @@ def q_pending(spark, d):
 @query("select event_type, count(*) as n from events where event_id % 3 in (0, 1) group by 1")
 def q_union_splits(spark, d):
     e = V.view(spark, d, "select * from events")
-    return e.filter("event_id % 3 = 0").unionByName(e.filter("event_id % 3 = 1").drop("props"), allowMissingColumns=True).groupBy("event_type").agg(F.count("*").alias("n"))
+    return e.filter("event_id % 3 <=> 0").unionByName(e.filter("not event_id % 3 <=> 0").drop("props"), allowMissingColumns=True).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 PRED = "with p as (select l_returnflag as label, case when l_quantity > 30 then 'A' when l_quantity > 15 then 'N' else 'R' end as pred from lineitem) "

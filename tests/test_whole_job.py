@@ -54,3 +54,9 @@ def test_tickers_are_drawn_by_their_valid_rows(spark):
     assert len(got) == 990 and "Z" not in got
     assert got.count("A") / len(got) == pytest.approx(900 / 990, abs=0.05)
     assert set(got) == set("ABCDEFGHIJ")
+
+
+def test_union_of_splits_covers_the_table(spark):
+    whole = Q.SQL["q_union_splits"].replace(" where event_id % 3 in (0, 1)", "")
+    assert "% 3" not in whole
+    assert sorted(tuple(r) for r in Q.q_union_splits(spark, SMALL).collect()) == duck(whole)
