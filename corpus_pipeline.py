@@ -25,9 +25,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each class."""
-    kept = neardup.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.filter("doc_id is null"))
+    """Keep the document with the least id of each class. Rows are named by id and text, since an id may be given to several texts."""
+    named = docs.filter("doc_id is not null").withColumn("row_id", F.xxhash64("doc_id", "text"))
+    classes = neardup.near_duplicates(named, "row_id").select(F.col("doc_id").alias("row_id"), "class_id").distinct()
+    ids = named.select("row_id", "doc_id").distinct()
+    kept = classes.join(ids, "row_id").groupBy("class_id").agg(F.min(F.struct("doc_id", "row_id")).alias("k")).select("k.row_id")
+    return named.join(kept, "row_id", "left_semi").dropDuplicates(["row_id"]).select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

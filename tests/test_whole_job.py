@@ -60,3 +60,13 @@ def test_union_of_splits_covers_the_table(spark):
     whole = Q.SQL["q_union_splits"].replace(" where event_id % 3 in (0, 1)", "")
     assert "% 3" not in whole
     assert sorted(tuple(r) for r in Q.q_union_splits(spark, SMALL).collect()) == duck(whole)
+
+
+def test_repeated_ids_lose_no_text(spark):
+    import corpus_pipeline
+
+    words = [" ".join(f"{w}{k}" for k in range(60)) for w in ("fire", "flood", "quake")]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[1] + " more"), (3, words[2]), (4, words[2]), (1, None), (None, words[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 5 and set(got) == {(1, words[0]), (1, words[1]), (3, words[2]), (1, None), (None, words[0])}
