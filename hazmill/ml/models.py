@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazmill.functions.exprs import flood_severity
 from hazmill.operators.tables import class_weights
 
 # Each type's features and tree depth.
@@ -38,6 +39,30 @@ def predict_severity(df: DataFrame, model: PipelineModel, medians: dict[str, flo
     return model.transform(filled).withColumn("prob", prob).withColumn("predicted_alert", F.when(prob >= 0.5, "orange_or_red").otherwise("green")).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def severity_by_type(df: DataFrame, kind: str = "eventtype", label: str = "positive", trees: int = 300, seed: int = 42) -> DataFrame:
+    """With prob and predicted_alert: a forest for each type over its own rows and FEATURES; floods by rule, without a prob.
+
+    df: a double column for each feature, dead and displaced; those that it lacks are null. A type without rows of both classes has
+    no forest: its rows have neither prob nor alert, as have rows of unknown type.
+    """
+    wanted = [*dict.fromkeys(c for columns in FEATURES.values() for c in columns), "dead", "displaced"]
+    full = df.select("*", *[F.lit(None).cast("double").alias(c) for c in wanted if c not in df.columns])
+    none, alert = F.lit(None).cast("double"), flood_severity(F.col("dead"), F.col("displaced"))
+    rest = full.filter(F.col(kind).isNull() | ~F.col(kind).isin(*FEATURES))
+    out = rest.select(*df.columns, none.alias("prob"), F.when(F.col(kind) == "FL", alert).alias("predicted_alert"))
+    for name, features in FEATURES.items():
+        rows = full.filter(F.col(kind) == name)
+        if rows.filter(F.col(label).isNotNull()).select(label).distinct().count() < 2:
+            got = rows.select("*", none.alias("prob"), F.lit(None).cast("string").alias("predicted_alert"))
+        else:
+            model, medians = train_severity(rows.filter(F.col(label).isNotNull()), features, label, DEPTH[name], trees, seed)
+            # the rows' own columns stay as they were: only the copies under the feature names are filled
+            kept = rows.select(F.struct(*df.columns).alias("row"), *features)
+            got = predict_severity(kept, model, {c: medians[c] for c in features}).select("row.*", "prob", "predicted_alert")
+        out = out.unionByName(got.select(*df.columns, "prob", "predicted_alert"))
+    return out
+
+
 def train_text(df: DataFrame, text: str = "text", label: str = "label", c: float = 5.0, vocabulary: int = 100_000, least: float = 2.0) -> PipelineModel:
     """TF-IDF of one- and two-word terms (log frequency, unit length) and a balanced multinomial logistic regression."""
     n = df.count()
@@ -55,4 +80,4 @@ def train_text(df: DataFrame, text: str = "text", label: str = "label", c: float
     return Pipeline(stages=stages).fit(weighted)
 
 
-__all__ = ["DEPTH", "FEATURES", "array_to_vector", "predict_severity", "train_severity", "train_text"]
+__all__ = ["DEPTH", "FEATURES", "array_to_vector", "predict_severity", "severity_by_type", "train_severity", "train_text"]

@@ -437,8 +437,7 @@ def q_events(spark, d):
 @query()
 def q_severity_forest(spark, d):
     p = V.view(spark, d, V.CAT_SPARK).select("eventid", "eventtype", "magnitude", F.when(F.col("alertlevel") == "green", 0).otherwise(1).alias("positive"))
-    model, medians = models.train_severity(p, ["magnitude"], trees=20, depth=5)
-    return models.predict_severity(p, model, medians).select("eventid", F.round("prob", 4).alias("prob"), "predicted_alert")
+    return models.severity_by_type(p).select("eventid", F.round("prob", 4).alias("prob"), "predicted_alert")
 
 
 @query()

@@ -70,3 +70,15 @@ def test_repeated_ids_lose_no_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert len(got) == 5 and set(got) == {(1, words[0]), (1, words[1]), (3, words[2]), (1, None), (None, words[0])}
+
+
+def test_each_type_has_its_own_forest(spark):
+    from hazmill.ml import models
+
+    rows = [(i, t, float(i % 10), float(i % 10 > 4) if t == "EQ" else float(i % 10 <= 4)) for t in ("EQ", "TC") for i in range(40)]
+    p = spark.createDataFrame([(i, t, m, m, int(y)) for i, t, m, y in rows] + [(99, "FL", 5.0, 5.0, 1), (98, "DR", 5.0, 5.0, 1)], "eventid long, eventtype string, magnitude double, maximum_wind_speed_kmh double, positive int")
+    got = {(r.eventtype, r.eventid): r for r in models.severity_by_type(p, trees=10).collect()}
+    assert len(got) == 82 and got["FL", 99].prob is None and got["FL", 99].predicted_alert == "green"
+    assert got["DR", 98].prob is None and got["DR", 98].predicted_alert is None
+    for i, t, _, y in rows:
+        assert got[t, i].predicted_alert == ("orange_or_red" if y else "green")
