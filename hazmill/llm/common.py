@@ -8,9 +8,13 @@ computed for whole Arrow buffers at once.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +74,56 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Folders:
+    """Tables in the shared folder, by name: a new table of a name replaces the old one, whose folder is deleted.
+
+    After each write the driver collects its garbage, so that Spark deletes the shuffle files that no plan needs any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: dict[str, str] = {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path, schema = new_path(self.spark, name), df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        self.delete(name)
+        self.held[name] = path
+        return self.spark.read.schema(schema).parquet(path)
+
+    def delete(self, name: str) -> None:
+        if old := self.held.pop(name, None):
+            remove_path(self.spark, old)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self, *keep: str) -> None:
+        for name in [n for n in self.held if n not in keep]:
+            self.delete(name)
+
+
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *memos: Callable[[], None]):
+    """The function of a mapInArrow, at the end of whose tasks memos are emptied and memory is returned: Spark goes on using the worker."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            for empty in memos:
+                empty()
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,23 +1,29 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF word shingles, banded, verified.
 
-1. Equal texts become one node (two 64-bit hashes; its id is their least doc_id).
-2. Each distinct five-word shingle of a text weighs its frequency times 1 + DAMP * ln(N/df)/ln(N): a damped inverse document
-   frequency, so that copies that make up much of the corpus stay alike. df comes from a count
-   sketch of fixed width over all documents.
+1. Equal texts become one node (named by two 64-bit hashes of the text, never by the id).
+2. Each distinct five-word shingle of a text weighs its frequency times 1 + DAMP * idf, where idf falls from 1 for shingles in
+   at most RARE of the texts to 0 for one in all of them: damped, so that copies that make up much of the corpus
+   stay alike. The share of texts that hold a shingle comes from a count sketch of fixed width over all documents, from which
+   the mean load of a slot is taken off. That load is a fixed share of the texts whatever the corpus (shingles a text / WIDTH), and
+   what is left of its noise falls with the root of their number, so the weights don't fade as the corpus grows. A rare shingle that
+   shares its slot with a common one (a chance of common shingles / WIDTH) is weighed like that one, in all texts alike.
 3. Improved consistent weighted sampling draws 64 samples a text; 16 bands of 4 give bucket keys. A pair with
    weighted Jaccard similarity 0.8 shares a bucket with probability 0.9998.
-4. Buckets are worked off without all pairs: in each round every bucket names a hub, and the members that
-   aren't yet connected to it are compared with it; links become connected components; members of buckets with
+4. Buckets are worked off without all pairs: in each round every bucket names a hub (of its smallest component), and the members
+   that aren't yet connected to it are compared with it; links become connected components; members of buckets with
    more than one component stay. When few pairs of different components are left (four a text), or a round no
-   longer removes a third of them, all that are left are compared, bucket by bucket in blocks of BLOCK
-   members, as arrays: by samples first if they are few, else by exact similarity in the blocks themselves, which
+   longer removes a third of them, all that are left are compared, bucket by bucket, those outside a bucket's largest component with
+   all members, in blocks, as arrays: by samples first if they are few, else by exact similarity in the blocks themselves, which
    hold their members' shingles. Pairs within one component need no check: they wouldn't change a class. To compare two texts, their
    weights (the ratio bounds the similarity) and samples are tried first: a pair of similarity 0.8 has fewer than
    LEAST_EQUAL of 64 samples equal with probability 3e-6. The exact weighted Jaccard similarity of the texts decides.
 
+Only node numbers and keys go through the shuffles of the rounds; samples are fetched once for each candidate pair, a hub's text
+once for each PART members. The folders of a round are deleted when the next one's are written.
+
 Defined results: class_id is the class's least doc_id. A null text, or one without a word that no other text
 equals, is a class of its own; equal texts without words are one class. A null doc_id has a null class. Repeated rows fall into
-their id's class. Columns other than id and text play no part.
+their text's class, and different texts of one id into the classes of their own texts. Columns other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -26,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import Words, blocks_of, checkpoint, gathered, mix, shingles, slices, stored, sum_blocks, texts_of
+from hazmill.llm.common import Folders, Words, blocks_of, gathered, mix, released, shingles, slices, sum_blocks, texts_of
 
-SIZE, THRESHOLD, SAMPLES, BANDS, DAMP, LEAST_EQUAL, BLOCK = 5, 0.8, 64, 16, 0.1, 36, 512
-WIDTH, BLOCKS = 1 << 20, 256
+SIZE, THRESHOLD, SAMPLES, BANDS, DAMP, LEAST_EQUAL, BLOCK, PART = 5, 0.8, 64, 16, 0.1, 36, 512, 256
+WIDTH, BLOCKS, RARE = 1 << 20, 256, 1 / 1024
 _DRAWS = 1 << 16
 _SLICE = 1 << 20
 _SLACK = 1 - 1e-6
@@ -51,6 +57,7 @@ def _draws() -> list[np.ndarray]:
 def document_frequencies(df: DataFrame, text: str = "text", size: int = SIZE) -> np.ndarray:
     """A count sketch of WIDTH shingle document frequencies, then the number of texts."""
 
+    @released
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(WIDTH, dtype=np.int64), 0
         for batch in slices(batches, text, _SLICE):
@@ -68,8 +75,11 @@ def document_frequencies(df: DataFrame, text: str = "text", size: int = SIZE) ->
 
 
 def idf_table(frequencies: np.ndarray, damp: float = DAMP) -> np.ndarray:
-    n = max(2, int(frequencies[WIDTH]))
-    return (1 + damp * np.log(n / np.clip(frequencies[:WIDTH], 1, n)) / np.log(n)).astype(np.float32)
+    """The weight of each slot's shingles."""
+    n, counts = max(1, int(frequencies[WIDTH])), frequencies[:WIDTH].astype(np.float64)
+    alone = (counts - counts.sum() / WIDTH) * (WIDTH / (WIDTH - 1))
+    share = np.clip(alone / n, RARE, 1)
+    return (1 + damp * np.log(share) / np.log(RARE)).astype(np.float32)
 
 
 def weighted_shingles(texts: pa.Array, idf: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,34 +112,27 @@ def samples(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, count: int = S
     return owner[first], out
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = signatures.shape[1] // bands
-    out = np.empty((len(signatures), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(signatures), np.uint64(b + 1))
-        for k in range(rows):
-            key = mix(key * np.uint64(0x100000001B3) ^ signatures[:, b * rows + k])
-        out[:, b] = key
-    return out.astype(np.int64)
-
-
 def _sketches(df: DataFrame, idf, size: int) -> DataFrame:
-    """doc_id, k1, k2, weight (of all shingles), bands and samples (32 bits each) of each row with an id."""
+    """doc_id, k1, k2, weight (of all shingles) and samples (32 bits each; null without a word) of each row."""
 
+    @released
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE // 2):
             owner, h, w = weighted_shingles(texts_of(batch.column("text")), idf.value, size)
             which, sig = samples(owner, h, w)
-            keys = band_keys(sig)
-            ends = np.zeros(batch.num_rows + 1, dtype=np.int32)
-            ends[which + 1] = BANDS
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.reshape(-1)))
-            weight = np.bincount(owner, weights=w, minlength=batch.num_rows)
-            short = pa.array((sig & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).reshape(-1))
-            sigs = pa.ListArray.from_arrays(pa.array((np.cumsum(ends) // BANDS * SAMPLES).astype(np.int32)), short)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(weight), lists, sigs], ["doc_id", "k1", "k2", "weight", "bands", "sig"])
+            weight = np.bincount(owner, weights=w, minlength=batch.num_rows).astype(np.float64)  # without words it would count
+            held: list[bytes | None] = [None] * batch.num_rows
+            for i, row in zip(which.tolist(), sig.astype("<u4")):
+                held[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(weight), pa.array(held, pa.binary())], ["doc_id", "k1", "k2", "weight", "sig"])
+
+    return df.mapInArrow(sketched, "doc_id long, k1 long, k2 long, weight double, sig binary")
+
 
-    return df.mapInArrow(sketched, "doc_id long, k1 long, k2 long, weight double, bands array<long>, sig array<int>")
+def bands(sig: Column) -> Column:
+    """The keys of all bands of binary samples."""
+    wide = SAMPLES // BANDS * 4
+    return F.array(*(F.xxhash64(F.lit(b), F.substring(sig, b * wide + 1, wide)) for b in range(BANDS)))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -140,36 +143,59 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (total - common)) if total > common else 1.0
 
 
+def likely_pairs(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (node, hub, n) those whose weights and samples allow the similarity. profiles: node, weight, sig."""
+
+    @released
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, SAMPLES) for c in ("sig", "hub_sig"))
+            w, v = batch.column("weight").to_numpy(), batch.column("hub_weight").to_numpy()
+            good = ((a == b).sum(axis=1) >= LEAST_EQUAL) & (np.minimum(w, v) >= threshold * _SLACK * np.maximum(w, v))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "hub", "n")], ["node", "hub", "n"]).filter(pa.array(good))
+
+    hubs = profiles.select(F.col("node").alias("hub"), F.col("weight").alias("hub_weight"), F.col("sig").alias("hub_sig"))
+    return pairs.join(profiles, "node").join(hubs, "hub").select("node", "hub", "n", "weight", "hub_weight", "sig", "hub_sig").mapInArrow(tried, "node long, hub long, n long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float, size: int) -> DataFrame:
-    """The pairs (node, hub) whose texts are similar enough. texts: doc_id, text; of them only the pairs' own are moved twice."""
-    own = pairs.select(F.col("node").alias("doc_id")).union(pairs.select(F.col("hub").alias("doc_id"))).distinct()
-    texts = stored(texts.join(own, "doc_id", "left_semi"), "texts", "snappy")
+    """The pairs (node, hub) whose texts are similar enough. pairs: node, hub, n (members of the hub's bucket); texts: node, text.
 
+    A hub's members are dealt to parts of about PART, and each part gets the hub's text once, ahead of them.
+    """
+    parted = pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)).cast("int"))
+    members = parted.join(texts, "node").select("hub", "part", "node", "text")
+    hubs = parted.select("hub", "part").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("node"), "text")
+
+    @released
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, theirs = None, None
-        for batch in slices(batches, "text_a", _SLICE):
-            owner, h, w = weighted_shingles(texts_of(batch.column("text_a")), idf.value, size)
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            keep, hubs = [], batch.column("hub").to_pylist()
-            for i, b in enumerate(hubs):
-                if b != hub:
-                    _, bh, bw = weighted_shingles(texts_of(batch.column("text_b").slice(i, 1)), idf.value, size)
-                    hub, theirs = b, (bh, bw)
-                mine = slice(bounds[i], bounds[i + 1])
-                keep.append(similarity((h[mine], w[mine]), theirs) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub")], ["node", "hub"]).filter(pa.array(keep, pa.bool_()))
-
-    a = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "node").join(b, "hub").select("node", "hub", "text_a", "text_b")
-    return both.mapInArrow(checked, "node long, hub long")
-
-
-def _dealt(rows: DataFrame, blocks, columns: list[str]) -> DataFrame:
-    """Members of each bucket dealt to so many blocks by hash; every two blocks meet in one group (key, i, j)."""
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "weight", *columns)
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        theirs = None
+        for batch in slices(batches, "text", _SLICE):
+            owner, h, w = weighted_shingles(texts_of(batch.column("text")), idf.value, size)
+            bounds, good = np.searchsorted(owner, np.arange(batch.num_rows + 1)), []
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                mine = h[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]
+                if node is None:
+                    theirs = mine[0].copy(), mine[1].copy()
+                good.append(node is not None and similarity(mine, theirs) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub")], ["node", "hub"]).filter(pa.array(good, pa.bool_()))
+
+    return members.union(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node").asc_nulls_first()).mapInArrow(checked, "node long, hub long")
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows for groups (key, i, j) in which block i of a bucket's members meets block j of its visitors, those outside its largest component.
+
+    rows: key, own (blocks of members), other (blocks of visitors), visits (boolean), node, comp and the columns. As a rule there is one
+    block of visitors, so that members aren't copied.
+    """
+    i, j = F.pmod(F.xxhash64("node"), "own").cast("int"), F.pmod(F.xxhash64("node"), "other").cast("int")
+    same = ["node", "comp", *columns]
+    members = rows.select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("j"), F.lit(False).alias("visitor"), *same)
+    visitors = rows.filter("visits").select("key", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("visitor"), *same)
+    return members.union(visitors).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -194,47 +220,53 @@ def _pairs(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 0]), pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 1])], ["node", "hub"])
 
 
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(c).to_numpy() for c in names]
+
+
 def block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (node, hub) of one bucket but different components that may be similar enough. rows: key, n, node, weight, sig, comp."""
+    """The pairs (node, hub, n) of one bucket but different components that may be similar enough. rows: as for _dealt, with n, weight and sig."""
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        node, comp, weight, own = (t.column(c).to_numpy() for c in ("node", "comp", "weight", "own"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
+        node, comp, weight = _columns(t, "node", "comp", "weight")
+        visitor = t.column("visitor").to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype="<u4").reshape(-1, SAMPLES)
+        left, right, out = np.flatnonzero(visitor), np.flatnonzero(~visitor), []
         for at in range(0, len(left), 64):
             a = left[at : at + 64]
-            near = (comp[a][:, None] != comp[right]) & (np.minimum(weight[a][:, None], weight[right]) >= threshold * _SLACK * np.maximum(weight[a][:, None], weight[right]))
-            if i == j:
-                near &= a[:, None] < right
-            x, y = np.nonzero(near)
+            x, y = np.nonzero((comp[a][:, None] != comp[right]) & (np.minimum(weight[a][:, None], weight[right]) >= threshold * _SLACK * np.maximum(weight[a][:, None], weight[right])))
             for k in range(0, len(x), 1 << 16):
                 xs, ys = a[x[k : k + (1 << 16)]], right[y[k : k + (1 << 16)]]
                 good = (sig[xs] == sig[ys]).sum(axis=1) >= LEAST_EQUAL
                 out += zip(node[xs[good]].tolist(), node[ys[good]].tolist())
-        return _pairs(out)
+        got = _pairs(out)
+        return got.append_column("n", pa.array([t.column("n")[0].as_py()] * got.num_rows, pa.int64()))
+
+    @released
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _grouped(batches, work)
 
-    dealt = _dealt(rows, F.ceil(F.col("n") / BLOCK).cast("int"), ["sig"])
-    return dealt.mapInArrow(lambda batches: _grouped(batches, work), "node long, hub long").distinct()
+    pairs = _dealt(rows, ["n", "weight", "sig"]).mapInArrow(paired, "node long, hub long, n long")
+    return pairs.groupBy("node", "hub").agg(F.max("n").alias("n"))
 
 
 def block_links(rows: DataFrame, texts: DataFrame, idf, threshold: float, size: int) -> DataFrame:
-    """Links (node, hub) that join different components, of all similar pairs of each bucket. rows: key, n, total (weight), node, weight, comp.
+    """Links (node, hub) that join different components, of all similar pairs of each bucket. rows: as for _dealt, with weight; texts: node, text.
 
     A block has few members and little weight, so that a group's shingles fit in memory; of a group's links a spanning forest is enough.
     """
 
+    @released
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
             owner, h, w = weighted_shingles(texts_of(batch.column("text")), idf.value, size)
             ends = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(w.astype(np.float32)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["node", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], ["node", "h", "w"])
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        node, comp, weight, own = (t.column(c).to_numpy() for c in ("node", "comp", "weight", "own"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        node, comp, weight = _columns(t, "node", "comp", "weight")
+        visitor = t.column("visitor").to_numpy(zero_copy_only=False)
         lists = t.column("h").combine_chunks()
         first = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
         _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
@@ -248,13 +280,12 @@ def block_links(rows: DataFrame, texts: DataFrame, idf, threshold: float, size:
             return c
 
         dense = np.zeros(int(code.max()) + 1 if len(code) else 0, dtype=np.float32)
-        right, out = np.flatnonzero(own == j), []
+        right, out = np.flatnonzero(~visitor), []
         spans = [(first[r], first[r + 1]) for r in right]
         flat = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, np.int64)
         code_r, w_r, at = code[flat], w[flat], np.append(0, np.cumsum([b - a for a, b in spans]))
-        for x in np.flatnonzero(own == i):
-            some = np.minimum(weight[x], weight[right]) >= threshold * _SLACK * np.maximum(weight[x], weight[right])
-            some &= (comp[right] != comp[x]) & ((right > x) if i == j else True)
+        for x in np.flatnonzero(visitor):
+            some = (comp[right] != comp[x]) & (np.minimum(weight[x], weight[right]) >= threshold * _SLACK * np.maximum(weight[x], weight[right]))
             if not some.any():
                 continue
             mine = slice(first[x], first[x + 1])
@@ -268,83 +299,113 @@ def block_links(rows: DataFrame, texts: DataFrame, idf, threshold: float, size:
                     out.append((int(node[x]), int(node[right[y]])))
         return _pairs(out)
 
-    own = rows.select(F.col("node").alias("doc_id")).distinct()
-    arrays = texts.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(vectors, "node long, h array<long>, w array<float>")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / (1 << 20))).cast("int")
-    dealt = _dealt(rows.join(arrays, "node"), blocks, ["h", "w"])
-    return dealt.mapInArrow(lambda batches: _grouped(batches, work), "node long, hub long")
+    @released
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _grouped(batches, work)
 
+    own = rows.select("node").distinct()
+    arrays = texts.join(own, "node", "left_semi").mapInArrow(vectors, "node long, h array<long>, w array<float>")
+    return _dealt(rows.join(arrays, "node"), ["weight", "h", "w"]).mapInArrow(linked, "node long, hub long")
 
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, folders: Folders) -> DataFrame:
     """node, comp for every node of the links (node, hub): comp is the least node that it is connected to.
 
-    Large-star and small-star rounds (joins with a minimum per node); checkpoints cut the lineage.
+    Alternately each node's greater neighbours are linked to its least one, and its lesser neighbours to the least of them, until all
+    links are stars. A round has as many links as the one before, or fewer.
     """
-    edges = checkpoint(links.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).filter("u <> v").distinct())
-    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
-    before = edges.agg(mark).first()[0]
-    while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-        after = edges.agg(mark).first()[0]
-        if after == before:
+    edges = links.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).filter("u <> v").distinct().withColumn("moved", F.lit(True))
+    while True:
+        edges = folders.stored(edges, "edges")
+        if not edges.filter("moved").head(1):
             break
-        before = after
+        up = edges.groupBy("u").agg(F.min("v").alias("up")).withColumnRenamed("u", "v")
+        large = edges.join(up, "v", "left").select("u", F.coalesce("up", "v").alias("v"), F.col("up").isNotNull().alias("moved"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        edges = small.select(F.when(F.expr("v <> m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), F.expr("moved or v <> m").alias("moved")).groupBy("u", "v").agg(F.max("moved").alias("moved"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """doc_id, class_id: one row for each row of the table."""
-    sc = df.sparkSession.sparkContext
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    idf = sc.broadcast(idf_table(document_frequencies(docs, "text", size)))
-    named = docs.filter("doc_id is not null and text is not null")
-    keyed = named.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
-    sketches = stored(_sketches(keyed, idf, size), "sketches")
-    nodes = stored(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first(F.struct("weight", "bands", "sig")).alias("s")).select("k1", "k2", "node", "s.*"), "nodes")
-    keys = nodes.select(F.explode("bands").alias("key"), "node")
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = keys.join(crowded, "key").join(nodes.select("node", "weight", "sig"), "node")
-    rows = stored(rows.select("key", "node", "weight", "sig", F.col("node").alias("comp")), "rows")  # a table packs the samples, which repeat in each band; a checkpoint does not
-    room = 4 * nodes.count()
-    links, turn, before = None, 0, None
+    return folders.stored(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots), "comp")
+
+
+def _named(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, text, k1, k2 of the rows that have an id and a text."""
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    return docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SIZE, damp: float = DAMP) -> DataFrame:
+    """k1, k2, least (doc_id), class_id and head of each different text; head: whether it stands for its class."""
+    spark, named = df.sparkSession, _named(df, key, text)
+    folders = Folders(spark)
+    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(named, "text", size), damp))
+    nodes = _sketches(named, idf, size).groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first(F.struct("weight", "sig")).alias("s"))
+    nodes = folders.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "k1", "k2", "s.weight", "s.sig"), "nodes")
+    keys = nodes.filter("sig is not null").select("node", F.explode(bands(F.col("sig"))).alias("key"))
+    crowds = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    rows = folders.stored(keys.join(crowds, "key").select("key", "node", "n", "hub"), "rows")
+    alone = nodes.select("k1", "k2", "least", F.col("least").alias("class_id"), F.lit(True).alias("head"))
+    if not rows.head(1):
+        return alone
+    profiles = folders.stored(nodes.join(rows.select("node").distinct(), "node", "left_semi"), "profiles")
+    whole = named.dropDuplicates(["doc_id", "k1", "k2"]).join(profiles.select("node", F.col("least").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"])
+    texts = folders.stored(whole.select("node", "text"), "texts")
+    profiles = profiles.select("node", "weight", "sig")
+    room, before, links, turn = 4 * nodes.count(), None, None, 0
+    pairs = rows.filter("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("n"))
     while True:
-        rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        of = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.min(F.struct(rank.alias("rank"), "node", "comp", "weight", "sig")).alias("h"))
-        of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("h").alias("h")).filter("same < n * n")
-        buckets = checkpoint(of.select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), "n", "total", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.weight").alias("hub_weight"), F.col("h.sig").alias("hub_sig")))
+        likely = folders.stored(likely_pairs(pairs, profiles, threshold), "likely")
+        found = verify(likely, texts, idf, threshold, size)
+        links = folders.stored(found if links is None else links.union(found), "links")
+        comp = components(links, folders)
+        turn += 1
+        rest = rows.filter("node <> hub").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        of = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node")).alias("first"))
+        of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min(F.struct("n", "first", "comp")).alias("s"), F.max(F.struct("n", "comp")).alias("g")).filter("same < n * n")
+        of = of.select("key", "n", F.expr("(n * n - same) / 2").alias("pairs"), F.col("s.first.node").alias("hub"), F.col("s.comp").alias("hub_comp"), F.col("g.comp").alias("main"), F.expr("n - g.n").alias("visitors"))
+        buckets = folders.stored(of, "buckets")
         left = buckets.agg(F.sum("pairs")).first()[0]
         if not left:
             break
-        last = left <= room or before is not None and left > before * 2 / 3
-        before = left
-        if last:
-            live = rows.join(buckets.select("key", "n", "total"), "key")
-            likely = block_pairs(live, threshold)
-        else:
-            live = rows.join(buckets, "key")
-            alike = F.least("weight", "hub_weight") >= F.lit(threshold * _SLACK) * F.greatest("weight", "hub_weight")
-            equal = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda a, b: a == b), lambda x: x))
-            likely = live.filter("comp <> hub_comp").filter(alike).filter(equal >= LEAST_EQUAL).select("node", "hub").distinct()
-        if last and left > room:
-            found = block_links(live, named, idf, threshold, size)
-        else:
-            found = verify(checkpoint(likely), named, idf, threshold, size)
-        links = checkpoint(found if links is None else links.union(found))
-        comp = checkpoint(components(links))
-        if last:
+        rows = folders.stored(rest.join(buckets, "key"), "rows")
+        if left <= room or before is not None and left > before * 2 / 3:
+            dealt = rows.select("key", "node", "comp", "n", F.ceil(F.col("n") / BLOCK).alias("own"), F.ceil(F.col("visitors") / BLOCK).alias("other"), F.expr("comp <> main").alias("visits"))
+            if left <= room:
+                likely = folders.stored(block_pairs(dealt.join(profiles, "node"), threshold), "likely")
+                found = verify(likely, texts, idf, threshold, size)
+            else:
+                weights = profiles.select("node", "weight")
+                total = rows.join(weights, "node").groupBy("key").agg(F.ceil(F.sum("weight") / (1 << 20)).alias("most"))
+                dealt = dealt.join(total, "key").withColumns({"own": F.greatest("own", "most"), "other": F.greatest("other", "most")}).drop("most")
+                found = block_links(dealt.join(weights, "node"), texts, idf, threshold, size)
+            links = folders.stored(links.union(found), "links")
+            comp = components(links, folders)
             break
-        rows = live.filter("node <> hub").select("key", "node", "weight", "sig").join(comp, "node", "left")
-        rows = stored(rows.select("key", "node", "weight", "sig", F.coalesce("comp", "node").alias("comp")), "rows")
-        turn += 1
-    classes = nodes.select("k1", "k2", "node")
-    if links is not None:
-        classes = classes.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("node"))
-    members = sketches.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", F.col("node").alias("class_id"))
-    rest = docs.filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return members.union(rest)
+        before = left
+        pairs = rows.filter("comp <> hub_comp").groupBy("node", "hub").agg(F.max("n").alias("n"))
+    heads = comp.join(nodes.select("node", "least"), "node").groupBy("comp").agg(F.min(F.struct("least", "node")).alias("h"))
+    heads = comp.join(heads, "comp").select("node", F.col("h.least").alias("class_id"), F.expr("node = h.node").alias("head"))
+    out = nodes.join(heads, "node", "left").select("k1", "k2", "least", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("head", F.lit(True)).alias("head"))
+    out = folders.stored(out, "classes")
+    folders.clear("classes")
+    return out
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, class_id: one row for each row of the table."""
+    of = classes(df, key, text, **options).select("k1", "k2", "class_id")
+    members = _named(df, key, text).select("doc_id", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "class_id")
+    rest = df.filter(F.col(key).isNull() | F.col(text).isNull()).select(F.col(key).cast("long").alias("doc_id"))
+    return members.union(rest.select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The table's rows with one row for each class, that of the class's least id; of rows equal in id and text one stays.
+
+    Rows without an id or a text belong to no class and stay as they are.
+    """
+    a, b, c = ("__near_" + x for x in ("id", "k1", "k2"))
+    heads = classes(df, key, text, **options).filter("head").select(F.col("least").alias(a), F.col("k1").alias(b), F.col("k2").alias(c))
+    named = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    named = named.withColumns({a: F.col(key).cast("long"), b: F.xxhash64(F.col(text).cast("string")), c: F.xxhash64(F.lit("second"), F.col(text).cast("string"))})
+    kept = named.join(heads, [a, b, c], "left_semi").dropDuplicates([a, b, c]).select(*df.columns)
+    return kept.union(df.filter(F.col(key).isNull() | F.col(text).isNull()))

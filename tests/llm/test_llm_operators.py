@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazmill.llm import chat, decontam, langid, mpegaudio, neardup, piece, pii, queries, tokenbin, tokencount, urlfilter
+from hazmill.llm.common import Folders
 
 WORDS = "amber birch cedar delta ember fable grove heron inlet jolly knoll lemur mango north ocean piper quill raven sable tulip umber viola wheat xenon yacht zebra".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, weight string"
@@ -151,13 +152,41 @@ def test_block_links_equal_plain_verification(spark):
     idf = spark.sparkContext.broadcast(neardup.idf_table(np.ones(neardup.WIDTH + 1, dtype=np.int64)))
     owner, h, w = neardup.weighted_shingles(pa.array(texts, pa.large_string()), idf.value)
     total = np.bincount(owner, weights=w)
-    rows = spark.createDataFrame([(1, 1500, float(total.sum()), i, i, float(total[i])) for i in range(40)], "key long, n long, total double, node long, comp long, weight double")
-    links = neardup.block_links(rows, docs(spark, texts), idf, 0.8, 5)
-    comp = {r.node: r.comp for r in neardup.components(links).collect()}
+    rows = spark.createDataFrame([(1, i, i, 3, 2, i > 0, float(total[i])) for i in range(40)], "key long, node long, comp long, own long, other long, visits boolean, weight double")
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    links = neardup.block_links(rows, held, idf, 0.8, 5)
+    comp = {r.node: r.comp for r in neardup.components(links, Folders(spark)).collect()}
     want = brute_classes(texts)
     assert {i: comp.get(i, i) for i in range(40)} == want
 
 
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(k, k - 1) for k in range(1, 40)] + [(k, k - 2) for k in range(2, 40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(35)] + [(200, 200)]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    got = {r.node: r.comp for r in neardup.components(spark.createDataFrame(links, "node long, hub long"), Folders(spark)).collect()}
+    assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in links)}
+
+
+def test_one_of_each_names_rows_by_id_and_text(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, edited(rng, b, 1)), (None, a), (None, a), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "x", 1, "c") for i, t in rows], "doc_id long, text string, k1 string, node int, class_id string")
+    got = sorted(neardup.one_of_each(df).select("doc_id", "text").collect(), key=str)
+    assert got == sorted([(1, a), (1, b), (None, a), (None, a), (4, None), (5, "")], key=str)
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.near_duplicates(df).collect()) == [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+
+
 def test_mpeg_audio(spark):
     texts = [None, "", "a" * 64, "é" * 3000, "same", "same"]
     got = mpegaudio.read(mpegaudio.store(docs(spark, texts)), ["doc_id", "n_bytes"], with_offsets=True).orderBy("doc_id").collect()
