@@ -9,7 +9,8 @@
    shares its slot with a common one (a chance of common shingles / WIDTH) is weighed like that one, in all texts alike.
 3. Improved consistent weighted sampling draws 64 samples a text; 16 bands of 4 give bucket keys. A pair with
    weighted Jaccard similarity 0.8 shares a bucket with probability 0.9998.
-4. Buckets are worked off without all pairs: in each round every bucket names a hub (of its smallest component), and the members
+4. Buckets are worked off without all pairs: first each text is compared with the least of the first members of its buckets, which
+   connects most groups; then in each round every bucket names a hub (of its smallest component), and the members
    that aren't yet connected to it are compared with it; links become connected components; members of buckets with
    more than one component stay. When few pairs of different components are left (four a text), or a round no
    longer removes a third of them, all that are left are compared, bucket by bucket, those outside a bucket's largest component with
@@ -351,14 +352,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     texts = folders.stored(whole.select("node", "text"), "texts")
     profiles = profiles.select("node", "weight", "sig")
     room, before, links, turn = 4 * nodes.count(), None, None, 0
-    pairs = rows.filter("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("n"))
+    pairs = rows.filter("node <> hub").groupBy("node").agg(F.min(F.struct("hub", "n")).alias("h")).select("node", "h.hub", "h.n")
     while True:
         likely = folders.stored(likely_pairs(pairs, profiles, threshold), "likely")
         found = verify(likely, texts, idf, threshold, size)
         links = folders.stored(found if links is None else links.union(found), "links")
         comp = components(links, folders)
+        done = rows.filter("node <> hub") if turn else rows  # after the first round, in which a node meets one hub, hubs aren't done with
         turn += 1
-        rest = rows.filter("node <> hub").select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        rest = done.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         of = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node")).alias("first"))
         of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min(F.struct("n", "first", "comp")).alias("s"), F.max(F.struct("n", "comp")).alias("g")).filter("same < n * n")
         of = of.select("key", "n", F.expr("(n * n - same) / 2").alias("pairs"), F.col("s.first.node").alias("hub"), F.col("s.comp").alias("hub_comp"), F.col("g.comp").alias("main"), F.expr("n - g.n").alias("visitors"))
