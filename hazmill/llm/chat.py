@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazmill.llm.common import released
+
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE=", "]", "[/ROLE]")
 _TAILS = "<SYS>>|</SYS>>|s>|/s>|INST\\]|/INST\\]|ROLE=|/ROLE\\]"
@@ -94,7 +96,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
             yield pa.RecordBatch.from_arrays(rows, ["conv", "turn", "form", "role", "text", "loss_begin", "loss_end"])
 
     rows = df.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(formatted, "conv long, turn long, form string, role string, text string, loss_begin long, loss_end long")
+    return rows.mapInArrow(released(formatted), "conv long, turn long, form string, role string, text string, loss_begin long, loss_end long")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -130,4 +132,4 @@ def digests(turns: DataFrame) -> DataFrame:
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     ordered = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "form", "loss_begin", "loss_end")
-    return ordered.mapInArrow(streamed, schema)
+    return ordered.mapInArrow(released(streamed), schema)

@@ -109,21 +109,44 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *memos: Callable[[], None]):
-    """The function of a mapInArrow, at the end of whose tasks memos are emptied and memory is returned: Spark goes on using the worker."""
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def holds(operator: str, forget: Callable[[], None]) -> None:
+    """Say that this process keeps an operator's models and memos between tasks, and how to forget them."""
+    _kept[operator] = forget
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = ""):
+    """The function of a mapInArrow for workers that Spark uses again: a task first forgets what other operators keep, and in the end
+    gives unused memory back to the system."""
 
     @functools.wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [name for name in _kept if name != operator]:
+            _kept.pop(other)()
         try:
             yield from work(batches)
         finally:
-            for empty in memos:
-                empty()
             give_back()
 
     return run
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of an array that begin at starts, one after the other."""
+    total = np.append(0, np.cumsum(sizes))
+    return flat[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import Words, blocks_of, gathered, slices, sum_blocks, texts_of
+from hazmill.llm.common import Words, blocks_of, gathered, released, slices, sum_blocks, texts_of
 
 HALF, RANK, COSINE, FULL, PART, ANSWER, ITEMS = 32, 64, 0.35, 0.75, 0.5, 8, 2000
 COMMON, RAREST = 0.002, 6
@@ -115,7 +115,7 @@ def block_frequencies(docs: DataFrame, terms) -> np.ndarray:
             total[d] += len(text_of)
         yield blocks_of(total, _PARTS)
 
-    return gathered(sum_blocks(docs.mapInArrow(counted, "block int, data binary"), "<i8"), "<i8", _PARTS, width)[: d + 1]
+    return gathered(sum_blocks(docs.mapInArrow(released(counted), "block int, data binary"), "<i8"), "<i8", _PARTS, width)[: d + 1]
 
 
 def _sums(f: np.ndarray, block: np.ndarray, weight: np.ndarray, table: np.ndarray, count: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def covariance_sketch(docs: DataFrame, space, seed: int, rank: int) -> np.ndarra
                 total[f] += more
         yield blocks_of(total.astype("<f4").reshape(-1), _PARTS)
 
-    parts = docs.mapInArrow(sketched, "block int, data binary")
+    parts = docs.mapInArrow(released(sketched), "block int, data binary")
     return gathered(sum_blocks(parts, "<f4"), "<f4", _PARTS, width * rank).reshape(-1, rank)[:d].astype(np.float64)
 
 
@@ -241,7 +241,7 @@ def _search(docs: DataFrame, space) -> DataFrame:
             out = [(ids[t], s.item_ids[k], min(1.0, v)) for (t, k), v in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["doc_id", "item_id", "score"])
 
-    return docs.mapInArrow(found, "doc_id long, item_id long, score double")
+    return docs.mapInArrow(released(found), "doc_id long, item_id long, score double")
 
 
 def fit_space(space: Space, texts: pa.Array, sketch, seed: int, rank: int, corpus: int) -> None:

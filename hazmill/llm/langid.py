@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import checkpoint, mix, slices, texts_of
+from hazmill.llm.common import checkpoint, free, mix, released, slices, texts_of
 
 UNKNOWN = "und"
 _FLUSH = 1 << 20
@@ -134,7 +134,7 @@ def count_trigrams(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
             yield out(name)
 
     rows = df.select(F.col(text).cast("string").alias(text), F.col(lang).cast("string").alias(lang)).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    return rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", min_share: float = 2e-5, hashes: int = 4, bits_per_gram: int = 16) -> LanguageFilters:
@@ -160,18 +160,19 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", min_share: float
     return model
 
 
-def predict(df: DataFrame, model: LanguageFilters, keep: list[str], text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: LanguageFilters, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns to keep, with lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    inner = free("__text", keep)
+    rows = df.select(*keep, F.col(text).cast("string").alias(inner))
+    schema = df.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            names, scores = shared.value.judge(texts_of(batch.column("__text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+        for batch in slices(batches, inner):
+            languages, scores = shared.value.judge(texts_of(batch.column(inner)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(languages, pa.string()), pa.array(scores)], [*keep, *names])
 
-    return rows.mapInArrow(judged, schema)
+    return rows.mapInArrow(released(judged), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

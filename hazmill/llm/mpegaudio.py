@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazmill.llm.common import slices, texts_of
+from hazmill.llm.common import released, slices, texts_of
 
 # Fixed values of the format: bitrates (kbit/s) and sampling rates (Hz) by version and layer, samples a frame.
 BITRATES = {
@@ -263,7 +263,7 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(r) for r in raw], pa.int64()), pa.array([write(payload_of(r)) for r in raw], pa.binary())], ["key", "n_bytes", "media"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(written, rows.select("key").schema.add("n_bytes", "long").add("media", "binary")).withColumnRenamed("key", key)
+    return rows.mapInArrow(released(written), rows.select("key").schema.add("n_bytes", "long").add("media", "binary")).withColumnRenamed("key", key)
 
 
 def read(df: DataFrame, keep: list[str], media: str = "media", with_offsets: bool = False) -> DataFrame:
@@ -287,4 +287,4 @@ def read(df: DataFrame, keep: list[str], media: str = "media", with_offsets: boo
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[k] for x in out], kinds[k]) for k in range(7 + with_offsets))], schema.fieldNames())
 
-    return rows.mapInArrow(measured, schema)
+    return rows.mapInArrow(released(measured), schema)

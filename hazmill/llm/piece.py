@@ -5,10 +5,12 @@ adjacent pairs whose join is a piece, the agenda takes the one with the highest
 leftmost among equals), joins it and enters the pairs that it makes, until none is left; characters
 outside the vocabulary become byte pieces. As no piece holds U+2581 after another character (checked when
 the model is loaded), words are independent: the agenda runs for each distinct word of a batch once, in
-lock-step over all short words as arrays, and with a heap for those of over ``LONG`` symbols.
-Every batch is encoded by the sentencepiece library too; ``agrees`` says whether the ids are the same.
+lock-step over all short words as arrays, and with a heap for those of over ``LONG`` symbols. Arrow cuts and numbers the words.
+A memo of words serves the batches of a query; it is emptied when it holds MEMO_BYTES, and when the worker turns to another operator.
+Every batch is encoded by the sentencepiece library too, and a document whose ids differ ends the job with its text's digest
+(``strict=False`` returns it, with ``agrees`` false).
 
-Defined results: a null text is empty (begin and end ids only). Null ids and repeated rows pass through.
+Defined results: a null text is empty (begin and end ids only). Null ids and repeated rows pass through; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazmill.llm.common import slices, texts_of
+from hazmill.llm.common import gather, holds, released, slices, texts_of
 
-SPACE, LONG, MEMO = "▁", 48, 400_000
+SPACE, LONG, MEMO_BYTES = "▁", 48, 64 << 20
+_NONE = 1 << 40
 _RUNS = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 _loaded: dict[str, PieceBpe] = {}
 
@@ -46,10 +50,8 @@ class PieceBpe:
             for c in p:
                 symbols.setdefault(c, n + len(symbols))
         self.symbol_of = symbols
-        rank = {p: r for r, p in enumerate(sorted(self.pieces, key=lambda p: (-lib.get_score(self.pieces[p]), self.pieces[p])))}
         score = {p: lib.get_score(i) for p, i in self.pieces.items()}
         order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-        del rank
         self.width = np.int64(max(symbols.values()) + 2)
         self.joins = {}
         for p, i in self.pieces.items():
@@ -67,9 +69,13 @@ class PieceBpe:
             while self.table[at, 0] >= 0:
                 at = (at + 1) % size
             self.table[at] = (key, r, i)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words. A word of the memo is named without its leading U+2581, if it holds no other."""
         self.memo: dict[str, int] = {}
-        self.flat = [np.zeros(0, np.int32)]
-        self.ends = [0]
+        self.ids, self.ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        self.count, self.total, self.held = 0, 0, 0
 
     @staticmethod
     def _place(key, size):
@@ -128,97 +134,123 @@ class PieceBpe:
             enter(i)
         return self.finish([(sym[i], text[i]) for i in range(n) if alive[i]])
 
-    def lock_step(self, words: list[str]) -> list[list[int]]:
-        """Many words at once: in each round every word's agenda gives its best pair."""
-        sizes = np.array([len(w) for w in words])
-        get = self.symbol_of.get
+    def lock_step_arrays(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words at once: in each round every word's agenda gives its best pair. All ids, and each word's number of them."""
         flat = "".join(words)
+        get = self.symbol_of.get
         sym = np.array([get(c, -1) for c in flat], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         char = np.arange(len(flat))
-        done_sym, done_owner, done_char = [], [], []
-        while len(sym):
-            same = np.append(owner[1:] == owner[:-1], False)
-            rank, made = np.full(len(sym), 1 << 40, dtype=np.int64), np.full(len(sym), -1, dtype=np.int64)
-            at = np.flatnonzero(same)
+        rank, made = np.full(len(sym), _NONE, dtype=np.int64), np.full(len(sym), -1, dtype=np.int64)
+
+        def refresh(at: np.ndarray) -> None:
+            rank[at], made[at] = _NONE, -1
+            at = at[at + 1 < len(sym)]
+            at = at[owner[at] == owner[at + 1]]
             rank[at], made[at] = self.look_up(sym[at], sym[at + 1])
+
+        refresh(char)
+        done: list[tuple[np.ndarray, ...]] = []
+        while len(sym):
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat(rank, first)
             counts = np.diff(np.append(first, len(sym)))
-            live = best < 1 << 40
-            stay = np.repeat(live, counts)
+            best = np.minimum.reduceat(rank, first)
+            stay = np.repeat(best < _NONE, counts)
             if not stay.all():
-                done_sym.append(sym[~stay])
-                done_owner.append(owner[~stay])
-                done_char.append(char[~stay])
-            is_best = (rank == np.repeat(best, counts)) & stay
-            where = np.flatnonzero(is_best)
+                done.append((sym[~stay], owner[~stay], char[~stay]))
+            where = np.flatnonzero(stay & (rank == np.repeat(best, counts)))
             where = where[np.append(True, owner[where][1:] != owner[where][:-1])] if len(where) else where
             sym[where] = made[where]
             stay[where + 1] = False
-            sym, owner, char = sym[stay], owner[stay], char[stay]
-        sym, owner, char = (np.concatenate(x) for x in (done_sym, done_owner, done_char))
+            moved = (np.cumsum(stay) - 1)[where]
+            sym, owner, char, rank, made = sym[stay], owner[stay], char[stay], rank[stay], made[stay]
+            before = moved[moved > 0] - 1
+            refresh(np.concatenate([moved, before[owner[before] == owner[before + 1]]]))
+        sym, owner, char = (np.concatenate(x) for x in zip(*done)) if done else (sym, owner, char)
         order = np.argsort(owner, kind="stable")
-        sym, owner, char = sym[order].tolist(), owner[order], char[order].tolist()
-        first = np.append(np.searchsorted(owner, np.arange(len(words))), len(sym)).tolist()
-        known = self.piece_ids
-        out = []
-        for k in range(len(words)):
-            got = sym[first[k] : first[k + 1]]
-            if all(s >= 0 and known[s] for s in got):
-                out.append(got)
-            else:
-                out.append(self.finish([(s, flat[c]) for s, c in zip(got, char[first[k] : first[k + 1]])]))
-        return out
+        sym, owner, char = sym[order], owner[order], char[order]
+        odd = np.unique(owner[(sym < 0) | ~self.piece_ids[np.maximum(sym, 0)]])
+        if len(odd):  # words with characters outside the vocabulary
+            lo, hi = np.searchsorted(owner, odd), np.searchsorted(owner, odd + 1)
+            news = [self.finish([(int(sym[k]), flat[char[k]]) for k in range(a, b)]) for a, b in zip(lo, hi)]
+            keep = ~np.isin(owner, odd)
+            sym = np.concatenate([sym[keep], *(np.array(x, dtype=np.int64) for x in news)])
+            owner = np.concatenate([owner[keep], np.repeat(odd, [len(x) for x in news])])
+            order = np.argsort(owner, kind="stable")
+            sym, owner = sym[order], owner[order]
+        return sym.astype(np.int32), np.bincount(owner, minlength=len(words))
+
+    def lock_step(self, words: list[str]) -> list[list[int]]:
+        ids, sizes = self.lock_step_arrays(words)
+        ends = np.cumsum(sizes)
+        return [ids[e - n : e].tolist() for e, n in zip(ends, sizes)]
+
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> range:
+        at = range(self.count, self.count + len(names))
+        self.ids.append(ids)
+        self.ends.append(self.total + np.cumsum(sizes))
+        self.count, self.total, self.held = self.count + len(names), self.total + len(ids), self.held + 4 * len(ids) + 8 * len(names)
+        return at
 
-    def learn(self, missing: list[str]) -> None:
-        short = [w for w in missing if len(w) <= LONG]
+    def find(self, names: list[str]) -> np.ndarray:
+        """The place of each named word's ids; words that are new are encoded. Long ones aren't remembered."""
+        long: dict[str, int] = {}
+        missing = [n for n in names if n not in self.memo]
+        spelt = [n if SPACE in n else SPACE + n for n in missing]
+        short = [k for k, w in enumerate(spelt) if len(w) <= LONG]
         for i in range(0, len(short), 50_000):
             some = short[i : i + 50_000]
-            self._keep(some, self.lock_step(some))
-        for w in missing:
+            own = [missing[k] for k in some]
+            self.memo.update(zip(own, self._keep(own, *self.lock_step_arrays([spelt[k] for k in some]))))
+            self.held += sum(map(len, own)) + 110 * len(own)
+        for n, w in zip(missing, spelt):
             if len(w) > LONG:
-                self._keep([w], [self.heap_agenda(w)])
-
-    def _keep(self, words: list[str], ids: list[list[int]]) -> None:
-        for w, x in zip(words, ids):
-            self.memo[w] = len(self.ends) - 1
-            self.ends.append(self.ends[-1] + len(x))
-        self.flat.append(np.array([i for x in ids for i in x], dtype=np.int32))
+                ids = np.array(self.heap_agenda(w), dtype=np.int32)
+                long[n] = self._keep([n], ids, np.array([len(ids)]))[0]
+        if long:
+            return np.array([self.memo[n] if n in self.memo else long[n] for n in names], dtype=np.int64)
+        return np.fromiter(map(self.memo.__getitem__, names), dtype=np.int64, count=len(names))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without begin and end."""
-        if len(self.memo) > MEMO:
-            self.memo, self.flat, self.ends = {}, [np.zeros(0, np.int32)], [0]
-        cut = []
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif "  " in t or SPACE in t or t[0] == " " or t[-1] == " ":
-                cut.append(_RUNS.split(SPACE + t.replace(" ", SPACE)))
-            else:
-                cut.append([SPACE + w for w in t.split(" ")])
-        words = [w for c in cut for w in c]
-        if missing := set(words) - self.memo.keys():
-            self.learn(list(missing))
-        if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
-        flat, ends = self.flat[0], np.array(self.ends, dtype=np.int64)
-        at = np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
+    def _joined(self, at: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts, from the places of their words' ids and each text's number of words."""
+        if len(self.ids) > 1:
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        ends = self.ends[0]
         sizes = ends[at + 1] - ends[at]
-        total = np.append(0, np.cumsum(sizes))
-        ids = flat[np.repeat(ends[at] - total[:-1], sizes) + np.arange(total[-1])]
-        bounds = total[np.append(0, np.cumsum([len(c) for c in cut], dtype=np.int64))]
+        ids = gather(self.ids[0], ends[at], sizes)
+        bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(words))]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without begin and end."""
+        if self.held > MEMO_BYTES:
+            self.clear()
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = np.asarray(pc.or_(odd, pc.equal(pc.binary_length(texts), 0)))
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            words = cut.flatten().dictionary_encode()
+            got = self._joined(self.find(words.dictionary.to_pylist())[np.asarray(words.indices)], np.asarray(pc.list_value_length(cut)))
+            for i, ids in zip(plain, got):
+                out[i] = ids
+        for i in np.flatnonzero(odd):
+            if text := texts[i].as_py():
+                parts = _RUNS.split(SPACE + text.replace(" ", SPACE))
+                names = [p[1:] if SPACE not in p[1:] and p[0] == SPACE else p for p in parts]
+                out[i] = self._joined(self.find(list(dict.fromkeys(names)))[list(map({n: k for k, n in enumerate(dict.fromkeys(names))}.__getitem__, names))], np.array([len(names)]))[0]
+        return out
+
 
 def model(path: str) -> PieceBpe:
     if path not in _loaded:
         _loaded[path] = PieceBpe(path)
+    holds("piece", _loaded.clear)
     return _loaded[path]
 
 
-def encode_texts(df: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, keep: list[str], text: str = "text", with_ids: bool = True, strict: bool = True) -> DataFrame:
     """The columns to keep, with ids (array, if asked for), n_tokens, ids_sha256, decoded, decoded_sha256 and agrees."""
     rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = df.select(*keep).schema
@@ -230,15 +262,18 @@ def encode_texts(df: DataFrame, path: str, keep: list[str], text: str = "text",
         bpe = model(path)
         ends = [bpe.lib.bos_id()], [bpe.lib.eos_id()]
         for batch in slices(batches, "__text", 1 << 20):
-            texts = texts_of(batch.column("__text")).to_pylist()
-            ids = [np.concatenate([ends[0], x, ends[1]]).astype(np.uint32) for x in bpe.encode(texts)]
+            column = texts_of(batch.column("__text"))
+            texts = column.to_pylist()
+            ids = [np.concatenate([ends[0], x, ends[1]]).astype("<u4") for x in bpe.encode(column)]
             lists = [x.tolist() for x in ids]
-            theirs = bpe.lib.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+            agrees = [a == b for a, b in zip(lists, bpe.lib.encode(texts, add_bos=True, add_eos=True, num_threads=1))]
+            if strict and not all(agrees):
+                wrong = hashlib.sha256(texts[agrees.index(False)].encode("utf-8", "surrogatepass")).hexdigest()
+                raise ValueError(f"the agenda and the library differ on the text with SHA-256 {wrong}")
             decoded = bpe.lib.decode(lists, num_threads=1)
-            n = pa.array([len(x) for x in lists], pa.int64())
-            digest = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            digest = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
             more = [pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
-            more += [n, pa.array(digest), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]), pa.array([a == b for a, b in zip(lists, theirs)])]
+            more += [pa.array([len(x) for x in lists], pa.int64()), pa.array(digest), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]), pa.array(agrees)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], schema.fieldNames())
 
-    return rows.mapInArrow(coded, schema)
+    return rows.mapInArrow(released(coded, "piece"), schema)

@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import new_path, slices, stored, texts_of
+from hazmill.llm.common import gather, holds, new_path, released, slices, stored, texts_of
 
 MAGIC = b"HMTB"
 BLOCK_IDS = 1 << 20
-MEMO = 1_000_000
+MEMO_BYTES, LONG = 96 << 20, 64
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -61,13 +61,14 @@ class WordEncoder:
     def clear(self) -> None:
         self.memo: dict[str, int] = {"": 0}  # what precedes leading white space
         self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(2, np.int64)]
-        self.count, self.total = 1, 0
+        self.count, self.total, self.held = 1, 0, 0
 
     def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         self.memo.update(zip(words, range(self.count, self.count + len(words))))
         self.ids.append(flat.astype(np.uint32))
         self.ends.append(self.total + np.cumsum(sizes))
         self.count, self.total = self.count + len(words), self.total + len(flat)
+        self.held += sum(map(len, words)) + 120 * len(words) + 4 * len(flat)
 
     def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.ids) > 1:
@@ -113,13 +114,14 @@ class WordEncoder:
         marks = [m for m in ".,;:!?" if m not in self.memo]
         self._one_by_one([*rest, *(m for m in marks if m not in rest)]) if rest or marks else None
         self.memo.update((w, self.memo[low]) for w, low in like)
+        self.held += sum(len(w) + 110 for w, _ in like)
         if tailed:
             flat, ends = self._arrays()
             a = np.array([self.memo[low] for _, low, _ in tailed])
             b = np.array([self.memo[m] for _, _, m in tailed])
             pairs = np.stack([a, b], axis=1).ravel()
             sizes = ends[pairs + 1] - ends[pairs]
-            self._keep([w for w, _, _ in tailed], _gather(flat, ends[pairs], sizes), sizes.reshape(-1, 2).sum(axis=1))
+            self._keep([w for w, _, _ in tailed], gather(flat, ends[pairs], sizes), sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of them.
@@ -127,7 +129,7 @@ class WordEncoder:
         Arrow cuts at ASCII white space and numbers the distinct words; only these become Python strings. A word that
         holds other white space isn't of letters alone and goes to the library by itself.
         """
-        if self.count > MEMO:
+        if self.held > MEMO_BYTES:
             self.clear()
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
@@ -136,21 +138,20 @@ class WordEncoder:
             self.learn(missing)
         flat, ends = self._arrays()
         at = np.fromiter(map(self.memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        for w in missing:  # over-long words aren't remembered
+            if len(w) > LONG:
+                self.memo.pop(w, None)
         at = at[np.asarray(words.indices)]
         sizes = ends[at + 1] - ends[at]
         total = np.append(0, np.cumsum(sizes))
         bounds = total[np.append(0, np.cumsum(np.asarray(pc.list_value_length(cut)), dtype=np.int64))]
-        return _gather(flat, ends[at], sizes), np.diff(bounds)
-
-
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.append(0, np.cumsum(sizes))
-    return flat[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        return gather(flat, ends[at], sizes), np.diff(bounds)
 
 
 def encoder(path: str) -> WordEncoder:
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
+    holds("tokenbin", _loaded.clear)
     return _loaded[path]
 
 
@@ -202,7 +203,7 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(parts, pa.binary())], ["doc_id", "ids"])
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(coded, "doc_id long, ids binary")
+    return rows.mapInArrow(released(coded, "tokenbin"), "doc_id long, ids binary")
 
 
 def ranking(encoded: DataFrame, size: int, kind: str) -> np.ndarray:
@@ -219,7 +220,7 @@ def ranking(encoded: DataFrame, size: int, kind: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["id", "n"])
 
     total = np.zeros(size, dtype=np.int64)
-    for i, n in encoded.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in encoded.select("ids").mapInArrow(released(counted), "id int, n long").groupBy("id").agg(F.sum("n")).collect():
         total[i] = n
     return np.lexsort((np.arange(size), -total)).astype(np.uint32)
 
@@ -284,9 +285,9 @@ def write_files(encoded: DataFrame, order: np.ndarray, kind: str, folder: str, f
             name = path.rsplit("/", 1)[1]
             yield pa.RecordBatch.from_pylist([{"name": name, "part": part, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    rows = encoded.mapInArrow(ranked, "part int, doc_id long, n long, control binary, data binary")
+    rows = encoded.mapInArrow(released(ranked), "part int, doc_id long, n long, control binary, data binary")
     ordered = rows.repartitionById(files, F.col("part")).drop("part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
-    return stored(ordered.mapInArrow(written, "name string, part int, n_docs long, n_ids long, n_bytes long"), "tokens-manifest")
+    return stored(ordered.mapInArrow(released(written), "name string, part int, n_docs long, n_ids long, n_bytes long"), "tokens-manifest")
 
 
 def read_files(manifest: DataFrame, folder: str, order: np.ndarray) -> DataFrame:
@@ -321,7 +322,7 @@ def read_files(manifest: DataFrame, folder: str, order: np.ndarray) -> DataFrame
                         yield pa.RecordBatch.from_arrays([pa.array(ids, mask=given == 0), pa.array(before), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     names = spark.createDataFrame(rows, "name string, begin long")
-    return names.repartition(max(1, len(rows))).mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return names.repartition(max(1, len(rows))).mapInArrow(released(decoded), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_to_files(df: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, np.ndarray]:

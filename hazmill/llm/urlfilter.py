@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import mix
+from hazmill.llm.common import mix, released
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -122,7 +122,7 @@ def build(keys: DataFrame, listed: np.ndarray) -> Cascade:
             h = np.unique(h[level.has(h, 0) & ~np.isin(h, own)])
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["key_hash"])
 
-    false = keys.select("key_hash").mapInArrow(wrong, "key_hash long").distinct()
+    false = keys.select("key_hash").mapInArrow(released(wrong), "key_hash long").distinct()
     return cascade(listed, np.array([r[0] for r in false.collect()], dtype=np.int64).astype(np.uint64), first)
 
 
@@ -161,4 +161,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
                         rule[o], said[o] = keys[i], verdict
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rule, pa.string()), pa.array(said, pa.string())], [*names, "rule", "verdict"])
 
-    return keyed.mapInArrow(decided, schema)
+    return keyed.mapInArrow(released(decided), schema)
