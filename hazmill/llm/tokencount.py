@@ -1,22 +1,25 @@
 """Token counts under a byte-level BPE of the tokenizers library, with overlap resynchronisation for huge documents.
 
-A document longer than ``chunk`` characters is encoded as overlapping chunks with offsets. Two
-neighbours are spliced at a position of their overlap where (1) a white-space character follows
-one that isn't: no pre-token of this tokenizer holds white space after another character, so a
-boundary there is certain whatever surrounds it; (2) both encodings have a token boundary there;
-and (3) both give the same tokens from there to the next such position. If no position qualifies,
-the overlap is doubled until one does or the two chunks have become one.
-
-Shorter documents are encoded through a memo: a text is cut before spaces that follow another
-character (the same proof), and the library encodes each distinct piece once. The memo is emptied
-when it holds ``MEMO`` pieces.
+A document of more than ``chunk`` characters is encoded as overlapping chunks with offsets. Two neighbours are spliced at a
+stable position of their overlap: one where (1) a pre-token ends whatever surrounds it: white space after another character, or
+after a letter or digit a character that is plainly neither its like nor white space (the splitting pattern takes letters with letters and
+digits with digits only); (2) both encodings have a token boundary there; and (3) both give the same tokens from
+there to the next such position. If no position qualifies, the overlap is widened (doubled) until one does; if it has come to
+cover all of the left chunk that isn't counted yet, the chunk is doubled instead. Widenings look for stable positions before anything is encoded, so that a
+text without any costs a few times its length, not its square.
+
+A document of up to ``chunk`` characters is one chunk. Its pieces between white space (the same proof) are counted by the
+library once each and remembered; the memo is emptied when it holds MEMO_BYTES, and when the worker turns to another operator. Texts
+whose white space the proof doesn't cover go to the library whole. The proof is checked when the tokenizer is loaded: byte-level
+splitting by its default pattern, no normaliser, no prefix space, added tokens without white space.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings inside texts are
-handled as the library does by default. Null ids and repeated rows pass through.
+handled as the library does by default. Null ids and repeated rows pass through; other columns play no part.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,11 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import slices, texts_of
+from hazmill.llm.common import holds, released, slices, texts_of
 
-CHUNK, OVERLAP, MEMO = 32_768, 512, 600_000
+CHUNK, OVERLAP, MEMO_BYTES, LONG = 8_192, 512, 64 << 20, 64
 _UNPROVEN = re.compile(r"\s (?:\s|\Z)")
-_STABLE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: Letters that every version of Unicode in use knows as such, and what is neither letter nor digit nor white space to all of them.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u05d0-\u05ea\u0620-\u063a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARK = "!-/:-@\\[-`{-~\u3001\u3002\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_STABLE = re.compile(rf"(?<=\S)(?=[ \t\n\r])|(?<=[{_LETTER}])(?=[0-9{_MARK}])|(?<=[0-9])(?=[{_LETTER}{_MARK}])")
 _loaded: dict[str, BpeCounter] = {}
 
 
@@ -41,19 +47,25 @@ class BpeCounter:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        made = json.loads(self.lib.to_str())
+        split = made["pre_tokenizer"] or {}
+        if made["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]):
+            raise ValueError("boundaries aren't proven for this tokenizer")
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.clear()
+
+    def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]):
         return self.lib.encode_batch_fast(texts, add_special_tokens=False)
 
-    def learn(self, missing: list[str]) -> None:
-        """Count the tokens of a space followed by each piece."""
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
+    def learn(self, missing: list[str]) -> dict[str, int]:
+        """The tokens of a space followed by each piece. Of those that don't begin or end with white space many share a call."""
+        out: dict[str, int] = {}
         plain = [p for p in missing if p and not p[0].isspace() and not p[-1].isspace()]
         single = [p for p in missing if not p or p[0].isspace() or p[-1].isspace()]
         for i in range(0, len(plain), 1000):
@@ -61,39 +73,39 @@ class BpeCounter:
             ids = np.array(self.encode([" " + " ".join(some)])[0].ids)
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(some) and at[0] == 0:
-                self.memo.update(zip(some, np.diff(np.append(at, len(ids))).tolist()))
+                out.update(zip(some, np.diff(np.append(at, len(ids))).tolist()))
             else:
                 single += some
         if single:
-            self.memo.update((p, len(e.ids)) for p, e in zip(single, self.encode([" " + p for p in single])))
+            out.update((p, len(e.ids)) for p, e in zip(single, self.encode([" " + p for p in single])))
+        return out
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, through the memo where cuts are proven."""
+        if self.held > MEMO_BYTES:
+            self.clear()
         out = np.zeros(len(texts), dtype=np.int64)
         plain = [i for i, t in enumerate(texts) if t and not _UNPROVEN.search(t)]
         rest = sorted({*range(len(texts))} - {*plain})
         if rest:
             out[rest] = [len(e.ids) for e in self.encode([texts[i] for i in rest])]
         cut = [texts[i].split(" ") for i in plain]
-        heads = [c[0] for c in cut]
-        new = list(dict.fromkeys(h for h in heads if h not in self.heads))
-        if len(self.heads) + len(new) > MEMO // 4:
-            self.heads.clear()
-            new = list(dict.fromkeys(heads))
-        self.heads.update((h, len(e.ids)) for h, e in zip(new, self.encode(new)))
+        heads = list(dict.fromkeys(c[0] for c in cut))  # these have no space before them
+        head = {h: len(e.ids) for h, e in zip(heads, self.encode(heads))}
         tails = [p for c in cut for p in c[1:]]
-        missing = set(tails) - self.memo.keys()
-        if missing:
-            self.learn(list(missing))
-            if len(self.memo) < len(missing) or any(p not in self.memo for p in tails[:1]):
-                self.learn(list(set(tails) - self.memo.keys()))
-            if (left := set(tails) - self.memo.keys()):
-                self.learn(list(left))
-        counts = np.fromiter(map(self.memo.__getitem__, tails), dtype=np.int64, count=len(tails))
+        found = self.memo
+        if missing := set(tails) - self.memo.keys():
+            new = self.learn(list(missing))
+            short = {p: n for p, n in new.items() if len(p) <= LONG}
+            self.memo.update(short)
+            self.held += sum(map(len, short)) + 110 * len(short)
+            if len(short) < len(new):
+                found = {p: self.memo[p] if p in self.memo else new[p] for p in set(tails)}
+        counts = np.fromiter(map(found.__getitem__, tails), dtype=np.int64, count=len(tails))
         sums = np.append(0, np.cumsum(counts))
         ends = np.append(0, np.cumsum([len(c) - 1 for c in cut], dtype=np.int64))
         if plain:
-            out[plain] = sums[ends[1:]] - sums[ends[:-1]] + np.array([self.heads[h] for h in heads])
+            out[plain] = sums[ends[1:]] - sums[ends[:-1]] + np.array([head[c[0]] for c in cut])
         return out
 
     def count_huge(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -103,6 +115,7 @@ class BpeCounter:
 def counter(path: str) -> BpeCounter:
     if path not in _loaded:
         _loaded[path] = BpeCounter(path)
+    holds("tokencount", _loaded.clear)
     return _loaded[path]
 
 
@@ -111,15 +124,18 @@ def _part(text: str, encode, a: int, b: int):
     return a, b, np.array(e.ids, dtype=np.int64), np.array([o[0] for o in e.offsets], dtype=np.int64) + a
 
 
+def _stable(text: str, lo: int, hi: int) -> list[int]:
+    """The stable positions between two places."""
+    base = max(0, lo - 1)
+    return [base + m.start() for m in _STABLE.finditer(text[base : hi + 1]) if lo < base + m.start() < hi]
+
+
 def _seam(text: str, left, right) -> int | None:
     """A stable common boundary in the overlap, nearest to its middle."""
     lo, hi = right[0], left[1]
-    found = [lo + m.start() for m in _STABLE.finditer(text[lo:hi]) if m.start()]
-    both = [p for p in found if all(len(s) > (k := np.searchsorted(s, p)) and s[k] == p for s in (left[3], right[3]))]
-    for p in sorted(both, key=lambda p: abs(p - (lo + hi) / 2)):
-        q = next((x for x in both if x > p), None)
-        if q is None:
-            continue
+    both = [p for p in _stable(text, lo, hi) if all(len(s) > (k := np.searchsorted(s, p)) and s[k] == p for s in (left[3], right[3]))]
+    for k in sorted(range(len(both) - 1), key=lambda k: abs(both[k] - (lo + hi) / 2)):
+        p, q = both[k], both[k + 1]
         (li, lj), (ri, rj) = np.searchsorted(left[3], (p, q)), np.searchsorted(right[3], (p, q))
         if np.array_equal(left[2][li:lj], right[2][ri:rj]):
             return p
@@ -127,23 +143,22 @@ def _seam(text: str, left, right) -> int | None:
 
 
 def splice(text: str, encode, chunk: int, overlap: int) -> tuple[int, int]:
-    """Token count of a text encoded as overlapping chunks, and how often an overlap was widened. encode: texts to encodings with offsets."""
+    """Token count of a text encoded as overlapping chunks, and how often an overlap or chunk was widened. encode: texts to encodings with offsets."""
     total, widened, n = 0, 0, len(text)
     left, begin = _part(text, encode, 0, min(chunk, n)), 0
     while left[1] < n:
-        room = overlap
-        while True:
-            a = left[1] - room
-            if a <= left[0] or a <= begin:
-                left, seam = _part(text, encode, left[0], min(n, left[1] + chunk)), None
-                break
-            right = _part(text, encode, a, min(n, left[1] + chunk - overlap))
-            if (seam := _seam(text, left, right)) is not None and seam >= begin:
-                break
+        room, seam = overlap, None
+        while room < left[1] - begin:
+            if len(_stable(text, left[1] - room, left[1])) > 1:
+                right = _part(text, encode, left[1] - room, min(n, left[1] - room + max(chunk, 2 * room)))
+                if (seam := _seam(text, left, right)) is not None:
+                    break
             room, widened = room * 2, widened + 1
-        if seam is not None:
-            total += int(np.searchsorted(left[3], seam) - np.searchsorted(left[3], begin))
-            left, begin = right, seam
+        if seam is None:
+            left, widened = _part(text, encode, left[0], min(n, 2 * left[1] - left[0])), widened + 1
+            continue
+        total += int(np.searchsorted(left[3], seam) - np.searchsorted(left[3], begin))
+        left, begin = right, seam
     return total + int(len(left[3]) - np.searchsorted(left[3], begin)), widened
 
 
@@ -163,4 +178,4 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, key: str = "do
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = rows.select("key").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return rows.mapInArrow(counted, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(released(counted, "tokencount"), schema).withColumnRenamed("key", key)
