@@ -2,18 +2,20 @@
 
 Numbers and dates are validated (Luhn, mod 97, octets, calendar, numbering plan) and permuted within the
 set of valid values of their format: separators, lengths, letter case and check digits stay valid. One key
-gives one permutation for each format, so that equal values get equal pseudonyms in all documents and
-different ones stay different. What looks like a long account number but fails its check is permuted among
+gives one permutation for each kind of value, so that equal values get equal pseudonyms in all documents and
+different ones stay different: a date has one pseudonym however it is written, an IBAN with or without spaces, an address of version 6
+in any of its forms. What looks like a long account number but fails its check is permuted among
 those that fail it. E-mail local parts and secrets are permuted character class by character class.
 
 Defined results: a null text stays null with no finds; empty texts, null ids and repeated rows pass through;
-texts without finds come back unchanged.
+texts without finds come back unchanged. Kept columns may have any names but those of the results, which can be given.
 """
 
 from __future__ import annotations
 
 import calendar
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from datetime import date
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazmill.llm.common import slices
+from hazmill.llm.common import free, released, slices
 
 ROUNDS = 8
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -32,17 +34,19 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)++[A-Za-z]{2,}+",
     "secret": r"(?i:pass(?:word|wd)|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-+/]{6,}+)",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+)(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39}(?![\w:.])",
     "date": r"(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w(])(?:\+?\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w\-.])(?:\+\d{1,3}[ .\-])?\d{3}(?P<sep>[ .\-])\d{3}(?P=sep)\d{4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
+    "phone": r"(?<![\w(])(?:\+?\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w\-.])(?:\+\d{1,3}[ .\-])?\d{3}(?P<sep>[ .\-])\d{3}(?P=sep)\d{4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)|(?<![\w\-.+/])[2-9]\d{2}[2-9]\d{6}(?![\w\-])",
     "card": r"(?<![\w\-])(?:\d{13,19}|\d{4}(?P<gap>[ \-])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<dot>[ \-])\d{6}(?P=dot)\d{5})(?![\w\-])",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
-_MAYBE = re.compile(r"[0-9@=:]")
+#: Every pattern needs one of these: texts without any need no further look.
+_MAYBE = re.compile(r"[0-9@=:]|AKIA|gh[pousr]_")
 
 
 class Permuter:
@@ -162,20 +166,30 @@ def pseudonym(kind: str, text: str, p: Permuter) -> str | None:
     if kind == "hex":
         return p.classes("hex", text, True)
     if kind == "iban":
-        if not iban_ok(text):
+        plain = text.replace(" ", "")
+        if not iban_ok(plain):
             return None
-        body = p.classes("iban", text[4:])
-        check = 98 - int("".join(str(int(c, 36)) for c in body + text[:2] + "00")) % 97
-        return f"{text[:2]}{check:02d}{body}"
+        body = p.classes("iban", plain[4:])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        new = iter(f"{plain[:2]}{check:02d}{body}")
+        return "".join(c if c == " " else next(new) for c in text)
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         if max(octets) > 255:
             return None
         return ".".join(map(str, p.digits("ip", octets, [256] * 4)))
+    if kind == "ip6":
+        try:
+            was = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if was.is_loopback or was.is_unspecified:
+            return None
+        return ":".join(f"{x:x}" for x in p.digits("ip6", [int.from_bytes(was.packed[i : i + 2], "big") for i in range(0, 16, 2)], [1 << 16] * 8))
     if kind == "date":
         if not (found := _date(text)):
             return None
-        new = p.number("date" + found[1][1:], found[0] - _FIRST, _LAST - _FIRST + 1)
+        new = p.number("date", found[0] - _FIRST, _LAST - _FIRST + 1)
         return _written(new + _FIRST, found[1], text)
     digits = [int(c) for c in text if c in DIGITS]
     if kind == "ssn":
@@ -194,38 +208,49 @@ def pseudonym(kind: str, text: str, p: Permuter) -> str | None:
     return _refill(text, p.walk("account", digits, [10] * len(digits), lambda d: not luhn(d)))
 
 
+def _prefixes(kind: str, text: str) -> list[str]:
+    """The value itself; of an IBAN in groups, which capitals may follow, also what it begins with."""
+    if kind != "iban" or " " not in text:
+        return [text]
+    groups = text.split(" ")
+    return [" ".join(groups[:k]) for k in range(len(groups), 3, -1)]
+
+
 def rewrite(text: str, p: Permuter) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms and, for each, its kind and its place in the original."""
     if not _MAYBE.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for m in PATTERN.finditer(text):
+    out, spans, at, look = [], [], 0, 0
+    while m := PATTERN.search(text, look):
         kind = next(k for k in _PATTERNS if m[k] is not None)
         begin, end = m.span("value") if kind == "secret" else m.span()
-        value = text[begin:end]
-        if (kind, value) not in p.memo:
-            if len(p.memo) > 100_000:
-                p.memo.clear()
-            p.memo[kind, value] = pseudonym(kind, value, p)
-        if (new := p.memo[kind, value]) is not None:
-            out += [text[at:begin], new]
-            spans.append((kind, begin, end))
-            at = end
+        look = m.start() + 1  # what fails its check may hold something else
+        for value in _prefixes(kind, text[begin:end]):
+            if (kind, value) not in p.memo:
+                if len(p.memo) > 100_000:
+                    p.memo.clear()
+                p.memo[kind, value] = pseudonym(kind, value, p)
+            if (new := p.memo[kind, value]) is not None:
+                out += [text[at:begin], new]
+                look = at = begin + len(value)
+                spans.append((kind, begin, at))
+                break
     return "".join([*out, text[at:]]) if spans else text, spans
 
 
-def pseudonymise(df: DataFrame, key: bytes, keep: list[str], text: str = "text") -> DataFrame:
+def pseudonymise(df: DataFrame, key: bytes, keep: list[str], text: str = "text", names: tuple[str, str, str] = ("text", "n_pii", "finds")) -> DataFrame:
     """The columns to keep, the rewritten text, n_pii and the finds as (kind, begin, end) of the original."""
-    rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    inner = free("__text", keep)
+    rows = df.select(*keep, F.col(text).cast("string").alias(inner))
     span = T.StructType().add("kind", T.StringType()).add("begin", T.IntegerType()).add("end", T.IntegerType())
-    schema = df.select(*keep).schema.add("text", T.StringType()).add("n_pii", T.IntegerType()).add("finds", T.ArrayType(span))
+    schema = df.select(*keep).schema.add(names[0], T.StringType()).add(names[1], T.IntegerType()).add(names[2], T.ArrayType(span))
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Permuter(key)
-        for batch in slices(batches, "__text"):
-            got = [(None, []) if t is None else rewrite(t, p) for t in batch.column("__text").to_pylist()]
+        for batch in slices(batches, inner):
+            got = [(None, []) if t is None else rewrite(t, p) for t in batch.column(inner).to_pylist()]
             finds = [[{"kind": k, "begin": b, "end": e} for k, b, e in s] for _, s in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([t for t, _ in got], pa.string()), pa.array([len(s) for _, s in got], pa.int32()), pa.array(finds, kinds)], schema.fieldNames())
 
-    return rows.mapInArrow(rewritten, schema)
+    return rows.mapInArrow(released(rewritten), schema)

@@ -11,7 +11,12 @@ from hazmill.llm import chat, decontam, langid, mpegaudio, neardup, piece, pii,
 from hazmill.llm.common import table
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-PSEUDONYM_KEY = b"hazmill example key; use your own"
+#: The key of the pseudonyms, unless the session's setting KEY_SETTING gives one. Whoever knows the key can undo them: set your own.
+EXAMPLE_KEY, KEY_SETTING = "hazmill example key; use your own", "spark.hazmill.pseudonymKey"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode()
 
 
 def tokenizer(name: str) -> str:
@@ -56,7 +61,7 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, ["doc_id"])
+    got = pii.pseudonymise(table(spark, sf_dir, "documents"), pseudonym_key(spark), ["doc_id"])
     return got.select("doc_id", "text", "n_pii", F.array_join(F.array_sort(F.array_distinct("finds.kind")), ",").alias("kinds"))
 
 
