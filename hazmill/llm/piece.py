@@ -50,6 +50,10 @@ class PieceBpe:
             for c in p:
                 symbols.setdefault(c, n + len(symbols))
         self.symbol_of = symbols
+        self.symbol_at = np.full(0x110000, -1, dtype=np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.symbol_at[ord(c)] = i
         score = {p: lib.get_score(i) for p, i in self.pieces.items()}
         order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         self.width = np.int64(max(symbols.values()) + 2)
@@ -60,6 +64,7 @@ class PieceBpe:
                     self.joins[symbols[p[:k]] * int(self.width) + symbols[p[k:]]] = (order[score[p]], i)
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = lib.unk_id()
+        self.falls_back = min(self.bytes) >= 0 and self.bytes[0] != self.unknown
         self.piece_ids = np.zeros(int(self.width), dtype=bool)
         self.piece_ids[[*self.pieces.values()]] = True
         size = 1 << (4 * len(self.joins)).bit_length()
@@ -102,7 +107,7 @@ class PieceBpe:
         for s, c in symbols:
             if s >= 0 and self.piece_ids[s]:
                 out.append(s)
-            elif min(self.bytes) >= 0 and self.bytes[0] != self.unknown:
+            elif self.falls_back:
                 out += [self.bytes[b] for b in c.encode("utf-8", "replace")]
             else:
                 out.append(self.unknown)
@@ -137,8 +142,7 @@ class PieceBpe:
     def lock_step_arrays(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many words at once: in each round every word's agenda gives its best pair. All ids, and each word's number of them."""
         flat = "".join(words)
-        get = self.symbol_of.get
-        sym = np.array([get(c, -1) for c in flat], dtype=np.int64)
+        sym = self.symbol_at[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         char = np.arange(len(flat))
         rank, made = np.full(len(sym), _NONE, dtype=np.int64), np.full(len(sym), -1, dtype=np.int64)
@@ -261,7 +265,7 @@ def encode_texts(df: DataFrame, path: str, keep: list[str], text: str = "text",
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         ends = [bpe.lib.bos_id()], [bpe.lib.eos_id()]
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "__text", 2 << 20):
             column = texts_of(batch.column("__text"))
             texts = column.to_pylist()
             ids = [np.concatenate([ends[0], x, ends[1]]).astype("<u4") for x in bpe.encode(column)]
