@@ -1,16 +1,18 @@
-"""MPEG audio (layer III) columns: a writer that carries any bytes in frames, and a parser for any such stream.
+"""MPEG audio columns: a writer that carries any bytes in layer III frames, and a parser for any stream of any layer.
 
-The writer makes an ID3v2.4 tag, a variable-bitrate table frame (``Xing``: frames, bytes, seek table) and
-MPEG-1 layer III frames at 48 kHz with header checksums; the payload lies in the frames' main data, eight
-bits a sample, all frames full but the last, which takes the smallest bitrate that holds its rest.
+The writer makes an ID3v2.4 tag, a variable-bitrate table frame (``Xing``: frames, bytes, seek table) and MPEG-1 layer III
+frames at 48 kHz with header checksums. Their side information is all zero: no bits of main data, so that a decoder plays silence. The payload lies behind it,
+in the frames' ancillary data, byte by byte, all frames full but the last, which takes the smallest bitrate that holds its rest; the tag
+holds its length and CRC-32.
 
-The parser reads ID3v2 (and ID3v1) tags, finds frame headers again after junk (there a header counts only if
-another valid header or the end of the audio follows the frame; right after a frame any valid header counts), reads the variable-bitrate table, verifies each frame's
-CRC-16 and the tag's CRC-32 of the payload, and gives exact durations (samples over rate) and the byte
-offset of every frame for seeking.
+The parser reads ID3v2.2, 2.3 and 2.4 tags (extended headers, unsynchronisation, compressed frames, all text encodings) and ID3v1, finds frame
+headers again after junk (there a header counts only if another valid header or the end of the audio follows the frame; right after a frame
+any valid header counts), reads ``Xing``, ``Info`` and ``VBRI`` tables, verifies the CRC-16 of protected frames (layer I: allocation; layer II: allocation
+and scale factor selection; layer III: side information) and the tag's CRC-32 of the payload, and gives exact durations (samples over
+rate) and the byte offset of every frame for seeking. It takes any bytes: what is cut off or contradicts itself is left out.
 
 Defined results: null payloads are stored as empty ones by `payload_of` (padded like any other);
-a stream without frames has 0 frames, duration 0 and no payload. Null ids and repeated rows pass through.
+a stream without frames has 0 frames, duration 0 and no payload. Null ids and repeated rows pass through; other columns play no part.
 """
 
 from __future__ import annotations
@@ -41,6 +43,11 @@ BITRATES = {
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 
+# Fixed values of layer II: bits of allocation for each subband, by table; the fields of an ID3v1 tag; text encodings of ID3v2.
+ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
+V1_FIELDS = (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))
+ENCODINGS = {0: ("latin-1", b"\0"), 1: ("utf-16", b"\0\0"), 2: ("utf-16-be", b"\0\0"), 3: ("utf-8", b"\0")}
+
 RATE, SIDE, HEAD = 48000, 32, 4 + 2
 UNIT = 64
 
@@ -63,6 +70,15 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The same checksum over so many bits."""
+    crc = int(crc16(np.frombuffer(data[: bits // 8], dtype=np.uint8)[None])[0])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k >> 3] >> (7 - (k & 7)) & 1
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc
+
+
 def header(bitrate_index: int) -> bytes:
     """MPEG-1, layer III, with checksum, 48 kHz, no padding, stereo."""
     return bytes([0xFF, 0xFA, bitrate_index << 4 | 1 << 2, 0])
@@ -86,8 +102,6 @@ def frames_for(payload: bytes) -> tuple[bytes, list[int]]:
         n = len(data)
         frame = np.zeros((n, frame_bytes(BITRATES[1, 3][index])), dtype=np.uint8)
         frame[:, :4] = np.frombuffer(header(index), dtype=np.uint8)
-        frame[:, HEAD] = used >> 8 & 0xFF
-        frame[:, HEAD + 1] = used & 0xFF
         frame[:, HEAD + SIDE : HEAD + SIDE + used] = data
         crc = crc16(np.concatenate([frame[:, 2:4], frame[:, HEAD : HEAD + SIDE]], axis=1))
         frame[:, 4], frame[:, 5] = crc >> 8, crc & 0xFF
@@ -111,7 +125,7 @@ def _synchsafe(n: int) -> bytes:
 
 
 def _text_frame(name: str, value: str) -> bytes:
-    body = b"\x03TXXX".replace(b"TXXX", b"") + name.encode() + b"\0" + value.encode()
+    body = b"\x03" + name.encode() + b"\0" + value.encode()
     return b"TXXX" + _synchsafe(len(body)) + b"\0\0" + body
 
 
@@ -149,8 +163,24 @@ class Parsed:
     payload_ok: bool | None = None
 
 
-def head(data: bytes, at: int):
-    """(frame size, samples, rate, side bytes, has checksum, version, layer) if a valid header is there."""
+@dataclass(frozen=True)
+class Head:
+    """What a frame's header says."""
+
+    size: int
+    samples: int
+    rate: int
+    side: int
+    checked: bool
+    version: int
+    layer: int
+    channels: int
+    bound: int
+    kbps: int
+
+
+def head(data: bytes, at: int) -> Head | None:
+    """The frame header at a place, if it is valid."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
     version, layer, bits = data[at + 1] >> 3 & 3, 4 - (data[at + 1] >> 1 & 3), data[at + 2]
@@ -160,33 +190,162 @@ def head(data: bytes, at: int):
     rate, kbps = RATES[version][bits >> 2 & 3], BITRATES[family, layer][bits >> 4]
     samples, padding = SAMPLES[family, layer], bits >> 1 & 1
     size = (12 * kbps * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + padding
-    mono = data[at + 3] >> 6 == 3
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    mono = mode == 3
     side = ((17 if mono else 32) if family == 1 else (9 if mono else 17)) if layer == 3 else 0
-    return size, samples, rate, side, not data[at + 1] & 1, version, layer
+    return Head(size, samples, rate, side, not data[at + 1] & 1, version, layer, 1 if mono else 2, (extension + 1) * 4 if mode == 1 else 32, kbps)
+
+
+def protected_bits(data: bytes, at: int, h: Head) -> int | None:
+    """How many bits behind the checksum it covers; null if the frame ends before them."""
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (min(h.bound, 32) * h.channels + 32 - min(h.bound, 32)) if h.channels == 2 else 4 * 32
+    else:
+        each = h.kbps // h.channels
+        kind = "lsf" if h.version != 3 else ("d" if h.rate == 32000 else "c") if each <= 48 else "a" if h.rate == 48000 or each <= 80 else "b"
+        body = data[at + 6 : at + h.size]
+        whole, length, bits, shares = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+        for band, wide in enumerate(ALLOCATION[kind]):
+            own = h.channels if band < h.bound else 1
+            for _ in range(own):
+                if bits + wide > length:
+                    return None
+                used = whole >> (length - bits - wide) & ((1 << wide) - 1)
+                shares += (h.channels // own) * (used > 0)
+                bits += wide
+        bits += 2 * shares
+    return bits if 48 + bits <= 8 * h.size and at + 6 + (bits + 7) // 8 <= len(data) else None
+
+
+def synchsafe(raw: bytes) -> int | None:
+    return None if len(raw) < 4 or max(raw[:4]) > 0x7F else raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
+
+
+def _texts(body: bytes) -> list[str]:
+    """The strings of a text frame."""
+    if not body:
+        return []
+    name, stop = ENCODINGS.get(body[0], ENCODINGS[0])
+    rest, parts = body[1:], []
+    wide = len(stop)
+    begin = at = 0
+    while at + wide <= len(rest):
+        if rest[at : at + wide] == stop:
+            parts.append(rest[begin:at])
+            begin = at + wide
+        at += wide
+    parts.append(rest[begin:])
+    return [p.decode(name, "replace").lstrip("\ufeff") for p in parts]
+
+
+def _frame_body(body: bytes, major: int, flags: int) -> bytes | None:
+    """A frame's contents as they were before they were grouped, unsynchronised and compressed; null if they are encrypted or broken."""
+    if major == 3:
+        packed, secret, grouped, length, escaped = flags & 0x80, flags & 0x40, flags & 0x20, flags & 0x80, 0
+    else:
+        packed, secret, grouped, length, escaped = flags & 0x08, flags & 0x04, flags & 0x40, flags & 0x01, flags & 0x02
+    if secret:
+        return None
+    body = body[1:] if grouped and major == 4 else body
+    body = body[4:] if length else body
+    body = body[1:] if grouped and major == 3 else body
+    body = body.replace(b"\xff\0", b"\xff") if escaped else body
+    if packed:
+        try:
+            body = zlib.decompressobj().decompress(body, 1 << 20)
+        except zlib.error:
+            return None
+    return body
+
+
+def read_id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
+    """Reads the tag at a place into tags; where it ends (the place itself if there is none)."""
+    size = synchsafe(data[at + 6 : at + 10])
+    if data[at : at + 3] != b"ID3" or size is None or data[at + 3] not in (2, 3, 4):
+        return at
+    major, flags = data[at + 3], data[at + 5]
+    body, end = data[at + 10 : at + 10 + size], at + 10 + size + (10 if major == 4 and flags & 0x10 else 0)
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    spot = 0
+    if flags & 0x40 and major > 2:
+        more = synchsafe(body[:4]) if major == 4 else int.from_bytes(body[:4], "big") + 4
+        spot = len(body) if more is None else more
+    wide = 3 if major == 2 else 4
+    while spot + 2 * wide <= len(body) and body[spot : spot + wide].isalnum():
+        name = body[spot : spot + wide].decode("ascii", "replace")
+        raw = body[spot + wide : spot + 2 * wide]
+        n = synchsafe(raw) if major == 4 else int.from_bytes(raw, "big")
+        start = spot + 2 * wide + (2 if major > 2 else 0)
+        if n is None or start + n > len(body):
+            break
+        held = body[start : start + n] if major == 2 else _frame_body(body[start : start + n], major, body[start - 1])
+        if held is not None and name[0] == "T":
+            parts = _texts(held)
+            if name in ("TXXX", "TXX"):
+                if len(parts) > 1:
+                    tags[parts[0]] = parts[1]
+            elif parts:
+                tags[name] = "; ".join(p for p in parts if p)
+        spot = start + n
+    return min(end, len(data))
+
+
+def read_id3v1(raw: bytes, tags: dict[str, str]) -> None:
+    numbered = raw[125] == 0 and raw[126] != 0
+    for name, a, b in V1_FIELDS:
+        value = raw[a : 125 if name == "comment" and numbered else b].split(b"\0")[0].decode("latin-1").strip()
+        if value:
+            tags[f"v1.{name}"] = value
+    if numbered:
+        tags["v1.track"] = str(raw[126])
+    if raw[127] != 0xFF:
+        tags["v1.genre"] = str(raw[127])
+
+
+def read_table(frame: bytes, skip: int, side: int) -> dict | None:
+    """The variable-bitrate table in a first frame: kind, and frames, bytes and toc as far as they are there."""
+
+    def number(at: int, wide: int) -> int | None:
+        return int.from_bytes(frame[at : at + wide], "big") if at + wide <= len(frame) else None
+
+    at = skip + side
+    if frame[at : at + 4] in (b"Xing", b"Info"):
+        out: dict = {"kind": frame[at : at + 4].decode()}
+        flags, spot = number(at + 4, 4) or 0, at + 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name] = number(spot, 4)
+                spot += 4
+        if flags & 4 and spot + 100 <= len(frame):
+            out["toc"] = frame[spot : spot + 100]
+        return out
+    if frame[36:40] == b"VBRI":
+        count, scale, wide, step = (number(54 + 2 * k, 2) or 0 for k in range(4))
+        toc = [v * scale for k in range(count) if wide and (v := number(62 + k * wide, wide)) is not None]
+        return {"kind": "VBRI", "bytes": number(46, 4), "frames": number(50, 4), "toc": toc, "step": step}
+    return None
 
 
 def parse(data: bytes) -> Parsed:
     got, at, end = Parsed(), 0, len(data)
-    while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = sum((data[at + 6 + k] & 0x7F) << s for k, s in enumerate((21, 14, 7, 0)))
-        spot, stop = at + 10, min(end, at + 10 + size)
-        while spot + 10 <= stop and data[spot : spot + 1].isalnum():
-            n = sum((data[spot + 4 + k] & 0x7F) << s for k, s in enumerate((21, 14, 7, 0)))
-            if data[spot : spot + 4] == b"TXXX":
-                name, _, value = data[spot + 11 : spot + 10 + n].partition(b"\0")
-                got.tags[name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-            spot += 10 + n
-        at += 10 + size
+    while (after := read_id3v2(data, at, got.tags)) > at:
+        at = after
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        read_id3v1(data[end - 128 :], got.tags)
         end -= 128
-    got_parts, known, first, synced, sure = [], {}, True, True, False
-    view = memoryview(data)
+    heads: list[Head] = []
+    known: dict[bytes, Head] = {}
+    samples: dict[int, int] = {}
+    first, synced, sure = True, True, False
     while at + 4 <= end:
-        word = bytes(view[at : at + 4])
+        word = data[at : at + 4]
         h = known.get(word)
         if h is None and (h := head(data, at)):
             known[word] = h
-        follows = h and at + h[0] <= end and (sure or at + h[0] == end or data[at + h[0]] == 0xFF and head(data, at + h[0]))
+        follows = h and h.size >= 4 and at + h.size <= end and (sure or at + h.size == end or head(data, at + h.size))
         if not follows:
             sure = False
             if synced:
@@ -196,51 +355,50 @@ def parse(data: bytes) -> Parsed:
                 break
             continue
         synced = sure = True
-        size, samples, rate, side, checked, _, layer = h
-        skip = at + 4 + 2 * checked
-        if first and (tag := bytes(view[skip + side : skip + side + 4])) in (b"Xing", b"Info"):
-            flags, body = struct.unpack(">I", view[skip + side + 4 : skip + side + 8])[0], skip + side + 8
-            got.table = {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    got.table[name] = struct.unpack(">I", view[body : body + 4])[0]
-                    body += 4
-            if flags & 4:
-                got.table["toc"] = bytes(view[body : body + 100])
+        table = read_table(data[at : at + h.size], 4 + 2 * h.checked, h.side) if first and h.layer == 3 else None
+        if table:
+            got.table = table
         else:
             got.offsets.append(at)
-            got.sizes.append(size)
-            got.samples += samples
-            got.duration += samples / rate
-            got_parts.append((skip, side, checked))
+            got.sizes.append(h.size)
+            heads.append(h)
+            samples[h.rate] = samples.get(h.rate, 0) + h.samples
         first = False
-        at += size
-    _read_frames(data, got, got_parts)
-    if got.offsets:
-        rates = {known[bytes(view[o : o + 4])][2] for o in got.offsets[:1]}
-        got.duration = got.samples / rates.pop() if len({*map(lambda o: data[o + 2] & 12, got.offsets)}) == 1 else got.duration
-    if "payload_bytes" in got.tags:
-        got.payload_ok = len(got.payload) == int(got.tags["payload_bytes"]) and f"{zlib.crc32(got.payload):08x}" == got.tags.get("payload_crc32")
+        at += h.size
+    got.samples, got.duration = sum(samples.values()), sum(n / rate for rate, n in sorted(samples.items()))
+    _check_frames(data, got, heads)
+    _read_payload(data, got, heads)
     return got
 
 
-def _read_frames(data: bytes, got: Parsed, parts: list[tuple[int, int, bool]]) -> None:
-    """Verify the checksums of all layer III frames and join what their main data hold."""
-    if not parts:
-        return
+def _check_frames(data: bytes, got: Parsed, heads: list[Head]) -> None:
+    """Verify the checksums of all protected frames that hold what they protect."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    for side in {s for _, s, c in parts if c and s}:
-        at = np.array([o for o, (_, s, c) in zip(got.offsets, parts) if c and s == side])
+    for side in {h.side for h in heads if h.checked and h.layer == 3}:
+        at = np.array([o for o, h in zip(got.offsets, heads) if h.checked and h.layer == 3 and h.side == side and h.size >= 6 + side])
+        if not len(at):
+            continue
         rows = raw[at[:, None] + np.array([2, 3, *range(6, 6 + side)])]
         wrong = crc16(rows) != (raw[at + 4].astype(np.uint32) << 8 | raw[at + 5])
         got.checked += len(at)
         got.bad_crc += int(wrong.sum())
-    if "payload_bytes" in got.tags:
-        view, out = memoryview(data), []
-        for (skip, side, _), o, size in zip(parts, got.offsets, got.sizes):
-            used = data[skip] << 8 | data[skip + 1]
-            out.append(view[skip + side : min(skip + side + used, o + size)])
-        got.payload = b"".join(out)
+    for at, h in zip(got.offsets, heads):
+        if h.checked and h.layer < 3 and (bits := protected_bits(data, at, h)) is not None:
+            own = crc16_bits(data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8], 16 + bits)
+            got.checked += 1
+            got.bad_crc += own != int.from_bytes(data[at + 4 : at + 6], "big")
+
+
+def _read_payload(data: bytes, got: Parsed, heads: list[Head]) -> None:
+    """What the frames' ancillary data hold, if the tag says how much."""
+    told = got.tags.get("payload_bytes")
+    if told is None:
+        return
+    view = memoryview(data)
+    joined = b"".join(view[o + 4 + 2 * h.checked + h.side : o + h.size] for o, h in zip(got.offsets, heads) if h.layer == 3)
+    n = int(told) if told.isascii() and told.isdigit() and len(told) < 19 else -1
+    got.payload = joined[: max(0, n)]
+    got.payload_ok = len(got.payload) == n and f"{zlib.crc32(got.payload):08x}" == got.tags.get("payload_crc32")
 
 
 def payload_of(text: bytes) -> bytes:
