@@ -7,9 +7,10 @@ closer; then it removes one backslash after the first character of every control
 
 Each turn is rendered as it is, reparsed and compared with its source. A text that doesn't come
 back identical is escaped (every control string, whether it has backslashes or not, gets one more)
-and tried again, so that texts without conflicts keep their form. Rendering and the round
-trip are done turn by turn, in any task; only the digest over a conversation needs its turns in order, and
-streams over them in bounded memory.
+and tried again, so that texts without conflicts keep their form. That is done turn by turn, in any task. A conversation is its turns' forms joined
+in order; `digests` joins them and parses the joined text, without knowing where turns begin, in pieces of about PIECE bytes of whole
+forms (the parser goes from turn to turn, so that pieces don't change what it finds), compares the turns with those that
+went in and ends the job if they differ. The loss mask is given by places in the forms, and shifted with them.
 
 Defined results: a null text or role is empty; turns are ordered by turn (nulls first), then role and text;
 repeated rows are turns of their own; null conversation ids form one conversation.
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.llm.common import released
+from hazmill.llm.common import released, slices
 
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE=", "]", "[/ROLE]")
+PIECE = 4 << 20
 _TAILS = "<SYS>>|</SYS>>|s>|/s>|INST\\]|/INST\\]|ROLE=|/ROLE\\]"
 _CONTROL = re.compile(rf"([<\[])(\\*)({_TAILS})")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)({_TAILS})")
@@ -89,7 +91,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """conv, turn, form, role, text (both read back from the form), loss_begin, loss_end: where the loss mask lies in the form (equal: nowhere)."""
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", PIECE):
             got = [format_turn(r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             loss = [(b, e) if r == "assistant" else (0, 0) for _, r, _, b, e in got]
             rows = [batch.column("conv"), batch.column("turn"), *(pa.array([g[k] for g in got], pa.string()) for k in range(3)), *(pa.array([x[k] for x in loss], pa.int64()) for k in range(2))]
@@ -100,7 +102,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """One row a conversation from format_turns' rows: each form is parsed again and the digests are streamed."""
+    """One row a conversation from format_turns' rows: the joined forms are parsed, compared with the turns, and the digests are streamed."""
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
@@ -111,25 +113,38 @@ def digests(turns: DataFrame) -> DataFrame:
         def row():
             return {"conv_id": now[0], "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
 
-        for batch in batches:
-            out = []
-            for conv, form, begin, end in zip(*(batch.column(c).to_pylist() for c in ("conv", "form", "loss_begin", "loss_end"))):
-                if now != (conv,):
-                    if now:
-                        out.append(row())
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, *_ = parse(form)
-                loss = unescape(form[begin:end])
-                state[0] += 1
+        def take(forms: list[str], sources: list[tuple[str, str]], masks: list[tuple[int, int]]) -> None:
+            whole = "".join(forms)
+            found = parse_all(whole)
+            if found != sources:
+                raise ValueError(f"conversation {now[0]} doesn't survive its round trip")
+            state[0] += len(found)
+            for role, text in found:
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            at = 0
+            for form, (begin, end) in zip(forms, masks):
+                loss = unescape(whole[at + begin : at + end])
                 state[2] += len(loss)
                 state[3].update(loss.encode("utf-8", "surrogatepass"))
-                state[4] += len(form)
+                at += len(form)
+            state[4] += len(whole)
+
+        for batch in slices(batches, "form", PIECE):
+            out = []
+            convs = batch.column("conv").to_pylist()
+            forms, roles, texts, begins, ends = (batch.column(c).to_pylist() for c in ("form", "role", "text", "loss_begin", "loss_end"))
+            cuts = [0, *(k for k in range(1, len(convs)) if convs[k] != convs[k - 1]), len(convs)]
+            for a, b in zip(cuts, cuts[1:]):
+                if now != (convs[a],):
+                    if now:
+                        out.append(row())
+                    now, state = (convs[a],), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                take(forms[a:b], list(zip(roles[a:b], texts[a:b])), list(zip(begins[a:b], ends[a:b])))
             if out:
                 yield done(out)
         if now:
             yield done([row()])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    ordered = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "form", "loss_begin", "loss_end")
+    ordered = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "form", "role", "text", "loss_begin", "loss_end")
     return ordered.mapInArrow(released(streamed), schema)
