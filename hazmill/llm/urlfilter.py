@@ -7,7 +7,10 @@ level 0 wrongly admits, level 2 the listed keys that level 1 wrongly admits, and
 is left; a key's membership is read from the first level that rejects it, with no join.
 
 Level 0 has log2(universe / listed) bits a key (rounded up, two at least), so that about as many
-false positives as listed keys are left to the driver and to the later levels, at any size of the corpus.
+false positives as listed keys are left to the driver and to the later levels, at any size of the corpus. Whether a key that level 0
+admits is listed is told by the key itself, not by its hash: should a key of the corpus share its 64-bit hash with one of
+another kind, no cascade can tell them apart, and the build ends with an error. The corpus is read three times for any number of verdicts: to estimate
+the universe, to find the false positives, to judge.
 
 Defined results: a null URL, or one without ``://``, has empty host and path. Without a rule the
 verdict is the method's: allow, as the key is in no list. Null page ids, repeated rows and empty
@@ -61,14 +64,14 @@ class Level:
             h = h + step
 
     def add(self, keys: np.ndarray, seed: int) -> None:
-        self.words = np.zeros(self.bits, dtype=bool) if self.words is None else self.words
+        self.words = np.zeros((self.bits + 7) // 8, dtype=np.uint8) if self.words is None else self.words
         for at in self.positions(keys, seed):
-            self.words[at] = True
+            np.bitwise_or.at(self.words, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def has(self, keys: np.ndarray, seed: int) -> np.ndarray:
         out = np.ones(len(keys), dtype=bool)
         for at in self.positions(keys, seed):
-            out &= self.words[at]
+            out &= (self.words[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
 
@@ -109,21 +112,28 @@ def cascade(listed: np.ndarray, false: np.ndarray, first: Level) -> Cascade:
     return Cascade(levels)
 
 
-def build(keys: DataFrame, listed: np.ndarray) -> Cascade:
-    """A cascade for the listed hashes over the universe in column key_hash. Only level 0's false positives, about as many as are listed, reach the driver."""
+def build(keys: DataFrame, listed: dict[str, dict[str, int]]) -> dict[str, Cascade]:
+    """A cascade for each list of keys (with their hashes) over the universe in the columns key and key_hash. Only the false positives of the levels 0,
+    about as many as are listed, reach the driver."""
     universe = keys.agg(F.approx_count_distinct("key_hash")).first()[0]
-    first = first_level(listed, universe)
-    shared = keys.sparkSession.sparkContext.broadcast((first, np.sort(listed)))
+    hashes = {name: np.array(list(of.values()), dtype=np.int64).astype(np.uint64) for name, of in listed.items()}
+    firsts = {name: first_level(h, universe) for name, h in hashes.items()}
+    shared = keys.sparkSession.sparkContext.broadcast((firsts, {name: frozenset(of) for name, of in listed.items()}))
 
     def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, own = shared.value
+        levels, own = shared.value
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            h = np.unique(h[level.has(h, 0) & ~np.isin(h, own)])
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["key_hash"])
+            h = batch.column("key_hash").to_numpy(zero_copy_only=False).astype(np.uint64)
+            for name, level in levels.items():
+                passed = np.flatnonzero(level.has(h, 0))
+                names = batch.column("key").take(pa.array(passed)).to_pylist()
+                found = np.unique(h[[p for p, k in zip(passed, names) if k not in own[name]]])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64))], ["list", "key_hash"])
 
-    false = keys.select("key_hash").mapInArrow(released(wrong), "key_hash long").distinct()
-    return cascade(listed, np.array([r[0] for r in false.collect()], dtype=np.int64).astype(np.uint64), first)
+    false: dict[str, list[int]] = {name: [] for name in listed}
+    for name, h in keys.select("key", "key_hash").mapInArrow(released(wrong), "list string, key_hash long").distinct().collect():
+        false[name].append(h)
+    return {name: cascade(hashes[name], np.array(false[name], dtype=np.int64).astype(np.uint64), firsts[name]) for name in listed}
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
@@ -134,11 +144,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
     keyed = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     cand = candidate_keys(F.col("host"), F.col("path"), lengths)
     keyed = keyed.withColumn("cand", cand).withColumn("cand_hash", F.transform("cand", lambda k: F.xxhash64(k)))
-    universe = keyed.select(F.explode("cand_hash").alias("key_hash"))
-    filters = {}
-    for verdict in sorted({v for _, v in rules}):
-        listed = np.array([r.h for r in hashed if r.verdict == verdict], dtype=np.int64).astype(np.uint64)
-        filters[verdict] = build(universe, listed)
+    universe = keyed.select(F.explode(F.arrays_zip("cand", "cand_hash")).alias("k")).select(F.col("k.cand").alias("key"), F.col("k.cand_hash").alias("key_hash"))
+    filters = build(universe, {verdict: {r.key: r.h for r in hashed if r.verdict == verdict} for verdict in sorted({v for _, v in rules})})
     shared = spark.sparkContext.broadcast(filters)
     names = [*keep, "host", "path"]
     schema = keyed.select(*names).schema.add("rule", "string").add("verdict", "string")
