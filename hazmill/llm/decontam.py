@@ -1,23 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval, confirmed by weighted longest common subsequences.
 
 1. The terms are the benchmark's words; every document is cut into blocks of 32 words. Pass one counts the blocks
-   that hold each term, over all documents. Features are the terms in at most COMMON of the blocks and each item's
-   RAREST rarest ones.
-2. Pass two sketches the covariance of the TF-IDF blocks, C = A'A, as Y = C W with a random W, block by block on
+   that hold each term, over all documents. Items are dealt to groups of at most GROUP blocks (a longer item is a group of its own), and each group
+   has a latent space of its own, so that its rank is bounded by RANK + GROUP whatever the benchmark's size, and memory
+   grows in proportion to the items. A group's features are its terms in at most COMMON of the blocks and each of its items' RAREST rarest ones.
+2. Pass two sketches the covariance of the TF-IDF blocks of all documents for every group, C = A'A, as Y = C W with a random W, block by block on
    the executors (A is never held; Y has features x rank numbers, whatever the corpus). The items' passages
    join A with the weight of the whole corpus, so that the leading space holds them. The randomised
    decomposition C ~ Y (W'Y)^-1 Y' gives the leading right singular vectors.
-3. Pass three projects all passages (two neighbouring blocks) with two features or more (one, if some item has but one) and the items' passages into that space and takes
+3. Pass three projects all passages (two neighbouring blocks) with two of a group's features or more (one, if some item has but one) and the items' passages into its space and takes
    pairs of cosine COSINE or more, a passage's length being that of all its features, so that what the space
    doesn't hold lowers it. Each is confirmed in the words around the passage: the longest common subsequence with
    the item, weighted by inverse document frequency, must cover FULL of the item's weight, or PART of it while
    the item's answer (its last ANSWER words) is covered to FULL as well. The bag overlap, an upper bound, is tried first.
 
-Benchmarks of more than ITEMS items are searched in blocks of items, each with its own passes.
+Benchmarks of more than ITEMS items are searched in turns, each with its own passes.
 
 Defined results: one row for each pair of a document and an item found in it (documents without any have
 none); score is the best coverage. Null texts, ids and items, items without words and empty tables give no rows;
-repeated rows give one.
+repeated rows give one. Columns other than ids and texts play no part.
 """
 
 from __future__ import annotations
@@ -27,31 +28,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazmill.llm.common import Words, blocks_of, gathered, released, slices, sum_blocks, texts_of
 
-HALF, RANK, COSINE, FULL, PART, ANSWER, ITEMS = 32, 64, 0.35, 0.75, 0.5, 8, 2000
+HALF, RANK, GROUP, COSINE, FULL, PART, ANSWER, ITEMS = 32, 64, 128, 0.35, 0.75, 0.5, 8, 2000
 COMMON, RAREST = 0.002, 6
 _SLICE = 1 << 20
-_PARTS = 256
+_PARTS = 64
 
 
 @dataclass
-class Space:
-    """Terms (ascending word hashes), their weights, which of them are features (-1: none), the singular vectors, and the items' passages in the latent space."""
+class Group:
+    """Some items: their ids and words, each term's feature (-1: none), the singular vectors, and the items' passages in the latent space."""
 
-    terms: np.ndarray
-    idf: np.ndarray
-    feature: np.ndarray | None = None
+    ids: list[int]
+    items: list[np.ndarray]
+    feature: np.ndarray
     vectors: np.ndarray | None = None
     passages: np.ndarray | None = None
     passage_item: np.ndarray | None = None
-    items: list[np.ndarray] | None = None
-    item_ids: list[int] | None = None
     least: int = 1
 
+    @property
+    def size(self) -> int:
+        return int(self.feature.max()) + 1
+
+
+@dataclass
+class Space:
+    """Terms (ascending word hashes), their weights and the groups."""
+
+    terms: np.ndarray
+    idf: np.ndarray
+    groups: list[Group]
+
 
 def term_of(h: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Each word's term, -1 for none."""
@@ -60,10 +73,11 @@ def term_of(h: np.ndarray, terms: np.ndarray) -> np.ndarray:
 
 
 def choose_features(terms: np.ndarray, share: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
-    """Each term's feature, -1 for none."""
-    kept = share <= COMMON
+    """Each term's feature among those of the items, -1 for none."""
+    kept = np.zeros(len(terms), dtype=bool)
     for item in items:
         own = np.unique(term_of(item, terms))
+        kept[own[share[own] <= COMMON]] = True
         kept[own[np.argsort(share[own], kind="stable")[:RAREST]]] = True
     return np.where(kept, np.cumsum(kept) - 1, -1)
 
@@ -77,27 +91,32 @@ def blocks(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(base, counts) + place // HALF, np.repeat(np.arange(len(counts)), per)
 
 
+class Slice:
+    """A slice's words, the block of each, the text of each block, and the words that are terms."""
+
+    def __init__(self, texts: pa.Array, space: Space):
+        self.words = Words(texts)
+        self.block, self.text_of = blocks(self.words)
+        term = term_of(self.words.hash, space.terms)
+        hit = np.flatnonzero(term >= 0)
+        self.term, self.term_block, self.term_weight = term[hit], self.block[hit], space.idf[term[hit]].astype(np.float32)
+
+    def rows(self, group: Group) -> Rows:
+        f = group.feature[self.term]
+        own = np.flatnonzero(f >= 0)
+        return Rows(self.text_of, f[own], self.term_block[own], self.term_weight[own])
+
+
 @dataclass
 class Rows:
-    """A slice's words, the block of each and the text of each block; for the words that are features: feature, block and weight."""
+    """For the words that are features of a group: feature, block and weight; and the text of each block."""
 
-    words: Words
-    block: np.ndarray
     text_of: np.ndarray
     f: np.ndarray
     b: np.ndarray
     w: np.ndarray
 
 
-def _rows(texts: pa.Array, space: Space) -> Rows:
-    words = Words(texts)
-    block, text_of = blocks(words)
-    term = term_of(words.hash, space.terms)
-    hit = np.flatnonzero(term >= 0)
-    hit = hit[space.feature[term[hit]] >= 0]
-    return Rows(words, block, text_of, space.feature[term[hit]], block[hit], space.idf[term[hit]].astype(np.float32))
-
-
 def block_frequencies(docs: DataFrame, terms) -> np.ndarray:
     """How many blocks hold each term, then how many blocks there are."""
     d = len(terms.value)
@@ -143,22 +162,35 @@ def random_test(seed: int, d: int, rank: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((d, rank)).astype(np.float32)
 
 
-def covariance_sketch(docs: DataFrame, space, seed: int, rank: int) -> np.ndarray:
-    """C W for the TF-IDF blocks of all documents."""
-    d = int(space.value.feature.max()) + 1
-    width = -(-d // _PARTS)
+def group_rank(group: Group, blocks_: int, rank: int) -> int:
+    """Room for all of a group's blocks beside the corpus's leading directions."""
+    return min(group.size, rank + blocks_)
+
+
+def covariance_sketch(docs: DataFrame, space, seeds: list[int], ranks: list[int]) -> list[np.ndarray]:
+    """C W of each group, for the TF-IDF blocks of all documents."""
+    sizes = [g.size for g in space.value.groups]
+    widths = [-(-d // _PARTS) for d in sizes]
 
+    @released
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, test = np.zeros((width * _PARTS, rank)), random_test(seed, d, rank)
+        tests = [random_test(s, d, r) for s, d, r in zip(seeds, sizes, ranks)]
+        totals = [np.zeros((w * _PARTS, r)) for w, r in zip(widths, ranks)]
         for batch in slices(batches, "text", _SLICE):
-            rows = _rows(texts_of(batch.column("text")), space.value)
-            if len(rows.f):
-                f, more = _apply(rows, test)
-                total[f] += more
-        yield blocks_of(total.astype("<f4").reshape(-1), _PARTS)
-
-    parts = docs.mapInArrow(released(sketched), "block int, data binary")
-    return gathered(sum_blocks(parts, "<f4"), "<f4", _PARTS, width * rank).reshape(-1, rank)[:d].astype(np.float64)
+            cut = Slice(texts_of(batch.column("text")), space.value)
+            for group, test, total in zip(space.value.groups, tests, totals):
+                rows = cut.rows(group)
+                if len(rows.f):
+                    f, more = _apply(rows, test)
+                    total[f] += more
+        for k, total in enumerate(totals):
+            part = blocks_of(total.astype("<f4").reshape(-1), _PARTS)
+            yield pa.RecordBatch.from_arrays([pc.add(part.column(0), pa.scalar(k * _PARTS, pa.int32())), part.column(1)], ["block", "data"])
+
+    out = [np.zeros((_PARTS, w * r), dtype=np.float64) for w, r in zip(widths, ranks)]
+    for block, data in sum_blocks(docs.mapInArrow(sketched, "block int, data binary"), "<f4").collect():
+        out[block // _PARTS][block % _PARTS] = np.frombuffer(bytes(data), dtype="<f4")
+    return [y.reshape(-1, r)[:d] for y, r, d in zip(out, ranks, sizes)]
 
 
 def leading_vectors(w: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -208,60 +240,78 @@ def confirm(item: np.ndarray, weight: np.ndarray, region: np.ndarray) -> float:
     return 0.0
 
 
+def _found_in(cut: Slice, group: Group, idf: np.ndarray, weights: list[np.ndarray], best: dict) -> None:
+    """Puts the confirmed pairs (text, item id) of a slice and a group into best, with their coverage."""
+    rows, words, text_of = cut.rows(group), cut.words, cut.text_of
+    held = passages_of(np.bincount(rows.b, minlength=len(text_of))[:, None], text_of)[:, 0]
+    near = np.flatnonzero(held >= group.least)
+    if not len(near):
+        return
+    use = np.zeros(len(text_of) + 1, dtype=bool)
+    use[near], use[near + 1] = True, True
+    use = use[rows.b]
+    sums = passages_of(_sums(rows.f[use], rows.b[use], rows.w[use], group.vectors, len(text_of)), text_of)
+    length = np.sqrt(passages_of(np.bincount(rows.b, weights=rows.w * rows.w, minlength=len(text_of))[:, None], text_of))
+    opened = np.searchsorted(cut.block, np.arange(len(text_of)))
+    for at in range(0, len(near), 1 << 14):
+        some = near[at : at + (1 << 14)]
+        cosine = sums[some] @ group.passages.T / np.maximum(length[some], 1e-9)
+        p, q = np.nonzero(cosine >= COSINE)
+        for i, k in {(int(i), int(k)) for i, k in zip(some[p], group.passage_item[q])}:
+            t, item, name = text_of[i], group.items[k], group.ids[k]
+            if best.get((t, name), 0) >= 0.999:
+                continue
+            lo = max(words.first[t], opened[i] - len(item))
+            hi = min(words.first[t + 1], opened[i] + 2 * HALF + len(item))
+            if (score := confirm(item, weights[k], words.hash[lo:hi])) > best.get((t, name), 0):
+                best[t, name] = score
+
+
 def _search(docs: DataFrame, space) -> DataFrame:
+    @released
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space.value
-        weights = [s.idf[term_of(x, s.terms)] for x in s.items]
+        weights = [[s.idf[term_of(x, s.terms)] for x in g.items] for g in s.groups]
         for batch in slices(batches, "text", _SLICE):
-            rows = _rows(texts_of(batch.column("text")), s)
-            words, text_of = rows.words, rows.text_of
-            held = passages_of(np.bincount(rows.b, minlength=len(text_of))[:, None], text_of)[:, 0]
-            near = np.flatnonzero(held >= s.least)
-            if not len(near):
-                continue
-            use = np.zeros(len(text_of) + 1, dtype=bool)
-            use[near], use[near + 1] = True, True
-            use = use[rows.b]
-            sums = passages_of(_sums(rows.f[use], rows.b[use], rows.w[use], s.vectors, len(text_of)), text_of)
-            length = np.sqrt(passages_of(np.bincount(rows.b, weights=rows.w * rows.w, minlength=len(text_of))[:, None], text_of))
-            opened = np.searchsorted(rows.block, np.arange(len(text_of)))
-            ids, best = batch.column("doc_id").to_pylist(), {}
-            for at in range(0, len(near), 1 << 14):
-                some = near[at : at + (1 << 14)]
-                cosine = sums[some] @ s.passages.T / np.maximum(length[some], 1e-9)
-                p, q = np.nonzero(cosine >= COSINE)
-                for i, k in {(int(i), int(k)) for i, k in zip(some[p], s.passage_item[q])}:
-                    t, item = text_of[i], s.items[k]
-                    if best.get((t, k), 0) >= 0.999:
-                        continue
-                    lo = max(words.first[t], opened[i] - len(item))
-                    hi = min(words.first[t + 1], opened[i] + 2 * HALF + len(item))
-                    if (score := confirm(item, weights[k], words.hash[lo:hi])) > best.get((t, k), 0):
-                        best[t, k] = score
-            out = [(ids[t], s.item_ids[k], min(1.0, v)) for (t, k), v in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["doc_id", "item_id", "score"])
-
-    return docs.mapInArrow(released(found), "doc_id long, item_id long, score double")
-
-
-def fit_space(space: Space, texts: pa.Array, sketch, seed: int, rank: int, corpus: int) -> None:
-    """Complete a space: vectors from the sketch with the items joined to it, then the items' passages. sketch: rank to C W."""
-    items = _rows(texts, space)
-    d = int(space.feature.max()) + 1
-    rank = min(d, rank + len(items.text_of))  # room for all items beside the corpus's leading directions
-    test, y = random_test(seed, d, rank), sketch(rank)
-    if len(items.f):
-        f, more = _apply(items, test)
-        y[f] += more * max(1.0, corpus / len(items.text_of))
-    space.vectors = leading_vectors(test.astype(np.float64), y)
-    sums = passages_of(_sums(items.f, items.b, items.w, space.vectors, len(items.text_of)), items.text_of)
+            cut, best = Slice(texts_of(batch.column("text")), s), {}
+            for group, own in zip(s.groups, weights):
+                _found_in(cut, group, s.idf, own, best)
+            if best:
+                ids = batch.column("doc_id").to_pylist()
+                out = [(ids[t], name, min(1.0, v)) for (t, name), v in best.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "score"])
+
+    return docs.mapInArrow(found, "doc_id long, item_id long, score double")
+
+
+def fit_group(group: Group, cut: Slice, y: np.ndarray, test: np.ndarray, corpus: int) -> None:
+    """Complete a group: vectors from the sketch with its items joined to it, then the items' passages. cut: the items' texts."""
+    rows = cut.rows(group)
+    if len(rows.f):
+        f, more = _apply(rows, test)
+        y[f] += more * max(1.0, corpus / len(rows.text_of))
+    group.vectors = leading_vectors(test.astype(np.float64), y)
+    sums = passages_of(_sums(rows.f, rows.b, rows.w, group.vectors, len(rows.text_of)), rows.text_of)
     place: dict[int, int] = {}
-    owner = np.array([place.setdefault(int(t), len(place)) for t in items.text_of])
-    whole = np.append(items.text_of[1:] == items.text_of[:-1], False)  # a last block counts alone only if it is the only one
-    whole |= np.append(True, items.text_of[1:] != items.text_of[:-1])
-    space.passages, space.passage_item = _unit(sums)[whole], owner[whole]
-    held = passages_of(np.bincount(items.b, minlength=len(items.text_of))[:, None], items.text_of)[whole, 0]
-    space.least = max(1, min(2, int(held.min())))
+    owner = np.array([place.setdefault(int(t), len(place)) for t in rows.text_of])
+    whole = np.append(rows.text_of[1:] == rows.text_of[:-1], False)  # a last block counts alone only if it is the only one
+    whole |= np.append(True, rows.text_of[1:] != rows.text_of[:-1])
+    group.passages, group.passage_item = _unit(sums)[whole], owner[whole]
+    held = passages_of(np.bincount(rows.b, minlength=len(rows.text_of))[:, None], rows.text_of)[whole, 0]
+    group.least = max(1, min(2, int(held.min())))
+
+
+def dealt(sizes: list[int], most: int = GROUP) -> list[list[int]]:
+    """Items, by their numbers of blocks, in groups of at most so many blocks."""
+    out: list[list[int]] = []
+    room = 0
+    for k, n in enumerate(sizes):
+        if not out or n > room:
+            out.append([])
+            room = most
+        out[-1].append(k)
+        room -= n
+    return out
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rank: int = RANK, seed: int = 7) -> DataFrame:
@@ -274,17 +324,22 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     out = spark.createDataFrame([], "doc_id long, item_id long, score double")
     for turn in range(turns):
         some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).orderBy("item_id", "text").collect()
-        texts = texts_of(pa.array([r.text for r in some], pa.large_string()))
-        words = Words(texts)
-        held = [(r.item_id, words.hash[a:b]) for r, a, b in zip(some, words.first[:-1], words.first[1:]) if b > a]
+        words = Words(texts_of(pa.array([r.text for r in some], pa.large_string())))
+        held = [(r.item_id, r.text, words.hash[a:b]) for r, a, b in zip(some, words.first[:-1], words.first[1:]) if b > a]
         if not held:
             continue
-        space = Space(np.unique(words.hash), None, item_ids=[i for i, _ in held], items=[h for _, h in held])
-        n = block_frequencies(docs, share(space.terms))
+        terms = np.unique(words.hash)
+        n = block_frequencies(docs, share(terms))
         if not n[-1]:
             continue
-        space.idf = np.log((2 + n[-1]) / (1 + n[:-1]))
-        space.feature = choose_features(space.terms, n[:-1] / n[-1], space.items)
-        fit_space(space, texts, lambda r, s=share(space): covariance_sketch(docs, s, seed, r), seed, rank, int(n[-1]))
+        seen = n[:-1] / n[-1]
+        parts = [[held[k] for k in part] for part in dealt([-(-len(h) // HALF) for _, _, h in held])]
+        groups = [Group([i for i, _, _ in part], own, choose_features(terms, seen, own)) for part in parts for own in [[h for _, _, h in part]]]
+        space = Space(terms, np.log((2 + n[-1]) / (1 + n[:-1])), groups)
+        cuts = [Slice(texts_of(pa.array([t for _, t, _ in part], pa.large_string())), space) for part in parts]
+        ranks, seeds = [group_rank(g, len(c.text_of), rank) for g, c in zip(groups, cuts)], [seed + k for k in range(len(groups))]
+        sketches = covariance_sketch(docs, share(space), seeds, ranks)
+        for group, cut, y, s, r in zip(groups, cuts, sketches, seeds, ranks):
+            fit_group(group, cut, y, random_test(s, group.size, r), int(n[-1]))
         out = out.union(_search(docs, share(space)))
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
