@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 TYPE_CODES = {"earthquake": "EQ", "eq": "EQ", "cyclone": "TC", "tc": "TC", "typhoon": "TC", "hurricane": "TC", "wildfire": "WF", "wf": "WF", "bushfire": "WF", "drought": "DR", "dr": "DR", "flood": "FL", "fl": "FL", "flooding": "FL"}
 
 # Words that don't tell places apart.
-PLACE_STOP_WORDS = ["the", "and", "near", "off", "coast", "region", "area", "province", "state", "district", "city", "county", "island", "islands", "north", "south", "east", "west", "northern", "southern", "eastern", "western", "central", "republic", "sea"]
+PLACE_STOP_WORDS = ["the", "and", "for", "area", "region", "province", "district", "county", "city", "state", "states", "united", "kingdom", "republic", "democratic", "north", "south", "east", "west", "central", "upper", "lower", "new", "greater", "metropolitan"]
+
+# Words for levels of severity, in the order in which they are looked for.
+SEVERITY_LEVELS = {"minor": 1, "medium": 2, "severe": 3, "extreme": 4}
+
+# The fields of which one at least must be known for confidence: in a report's text, and for a model.
+TEXT_KEYS = {"EQ": ["magnitude", "depth"], "TC": ["maximum_wind_speed_kmh"], "WF": ["burned_area_ha", "people_affected"], "DR": ["duration_days"], "FL": ["dead", "displaced"]}
+MODEL_KEYS = {"EQ": ["magnitude", "depth", "rapidpopdescription"], "TC": ["maximum_wind_speed_kmh", "maximum_storm_surge_m", "exposed_population"], "WF": ["duration_days", "burned_area_ha", "people_affected"], "DR": ["duration_days", "affected_area_km2", "affected_country_count"], "FL": ["dead", "displaced"]}
 
 # Factors of units, by the field they measure.
 UNIT_FACTORS = {
     "depth": {"mi": 1.60934, "mile": 1.60934},
     "maximum_wind_speed_kmh": {"mph": 1.60934, "kt": 1.852, "knot": 1.852, "m/s": 3.6},
     "rainfall_mm": {"cm": 10.0, "in": 25.4, "inch": 25.4, "inche": 25.4},
-    "burned_area_ha": {"acre": 0.404686, "km2": 100.0, "km²": 100.0, "square kilometer": 100.0, "sq km": 100.0, "sq. km": 100.0},
+    "burned_area_ha": {"acre": 0.404686, "km2": 100.0, "km²": 100.0, "square kilometer": 100.0, "sq km": 100.0, "sq. km": 100.0, "sq.km": 100.0},
     "affected_area_km2": {"sq mi": 2.58999, "sq. mi": 2.58999, "square mile": 2.58999},
     "maximum_storm_surge_m": {"ft": 0.3048, "feet": 0.3048},
     "duration_days": {"week": 7.0, "month": 30.0},
@@ -81,7 +88,7 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 
 def convert_unit(field: str, value: Column, unit: Column) -> Column:
-    out, name = value, F.regexp_replace(F.lower(F.trim(unit)), "(?<!/)s$", "")
+    out, name = value, F.regexp_replace(F.regexp_replace(F.lower(F.trim(unit)), r"\s+", " "), "(?<!/)s$", "")
     for word, factor in UNIT_FACTORS.get(field, {}).items():
         out = F.when(name == word, value * F.lit(factor)).otherwise(out)
     return out
@@ -159,18 +166,17 @@ def flood_severity(dead: Column, displaced: Column) -> Column:
 
 
 def severity_level(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.contains("green"), 1).when(low.contains("orange"), 2).when(low.contains("red"), 3)
+    """1 to 4 by the first word of SEVERITY_LEVELS that the text holds; null without any."""
+    low = F.lower(F.trim(text))
+    return F.coalesce(*[F.when(low.contains(word), level) for word, level in SEVERITY_LEVELS.items()])
 
 
-def low_confidence(code: Column, get) -> Column:
-    """Whether all key fields of the type are missing. get: field name to column."""
-    keys = {"EQ": ("magnitude", "depth"), "TC": ("maximum_wind_speed_kmh",), "WF": ("burned_area_ha", "people_affected"), "DR": ("duration_days",), "FL": ("dead", "displaced")}
-    out = None
+def low_confidence(code: Column, get, keys: dict[str, list[str]] = TEXT_KEYS) -> Column:
+    """Whether all key fields of the type are missing; false for a type without any. get: field name to column; textual nulls are missing."""
+    out = F.lit(False)
     for k, names in keys.items():
-        missing = F.coalesce(*[get(n) for n in names]).isNull()
-        out = F.when(code == k, missing) if out is None else out.when(code == k, missing)
-    return out.otherwise(F.lit(True))
+        out = F.when(code == k, F.coalesce(*[nullify(get(n).cast("string")) for n in names]).isNull()).otherwise(out)
+    return out
 
 
 def t_pvalue(t: Column, df: Column) -> Column:

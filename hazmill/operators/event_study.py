@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,11 +26,12 @@ def aligned_returns(prices: DataFrame, market: DataFrame) -> DataFrame:
 
 
 def event_days(events: DataFrame, returns: DataFrame) -> DataFrame:
-    """The events with t0, t0_pos: the first trading day on or after the event date. A merge by one window over both sides, no range join."""
+    """The events with t0, t0_pos: the first trading day on or after the event date. One window over both sides, latest first, so that
+    a running last value is enough: no range join, and a ticker's days are gone through once."""
     days = returns.select("ticker", F.col("date").alias("d"), F.col("pos").alias("p"), F.lit(1).alias("kind"))
     asked = events.select("ticker", F.col("event_date").alias("d"), F.lit(None).cast("int").alias("p"), F.lit(0).alias("kind")).distinct()
-    w = W.partitionBy("ticker").orderBy("d", "kind").rowsBetween(0, W.unboundedFollowing)
-    found = days.unionByName(asked).select("ticker", "d", "kind", F.first(F.when(F.col("kind") == 1, F.struct("d", "p")), ignorenulls=True).over(w).alias("t"))
+    w = W.partitionBy("ticker").orderBy(F.desc("d"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    found = days.unionByName(asked).select("ticker", "d", "kind", F.last(F.when(F.col("kind") == 1, F.struct("d", "p")), ignorenulls=True).over(w).alias("t"))
     found = found.filter("kind = 0").select("ticker", F.col("d").alias("event_date"), F.col("t.d").alias("t0"), F.col("t.p").alias("t0_pos"))
     return events.join(found, ["ticker", "event_date"], "left")
 
@@ -102,15 +103,16 @@ def compare_baseline(events: DataFrame, random: DataFrame) -> DataFrame:
     aggs = []
     for kind in ("event", "random"):
         c = F.when(F.col("kind") == kind, F.col("car"))
-        aggs += [F.avg(c).alias(f"{kind}_mean"), F.stddev_pop(c).alias(f"{kind}_std"), F.count(c).alias(f"{kind}_n"), F.stddev_samp(c).alias(f"{kind}_s")]
+        aggs += [F.avg(c).alias(f"{kind}_m"), F.stddev_pop(c).alias(f"{kind}_p"), F.count(c).alias(f"{kind}_n"), F.stddev_samp(c).alias(f"{kind}_s")]
+    # no result has the name of an input: inside lambdas Spark would take the result of that name
     g = both.groupBy("window").agg(*aggs).filter("event_n >= 3 and random_n >= 3")
     n, m = F.col("event_n"), F.col("random_n")
     pooled = ((n - 1) * F.col("event_s") ** 2 + (m - 1) * F.col("random_s") ** 2) / (n + m - 2)
-    t = (F.col("event_mean") - F.col("random_mean")) / F.sqrt(pooled * (1 / n + 1 / m))
+    t = (F.col("event_m") - F.col("random_m")) / F.sqrt(pooled * (1 / n + 1 / m))
     return g.select(
-        "window", *[F.round(f"{k}_{v}", 6).alias(f"{k}_{v}") for k in ("event", "random") for v in ("mean", "std")], "event_n", "random_n",
-        F.round(_ttest(F.col("event_mean"), F.col("event_s"), n), 4).alias("p_event_vs_zero"),
-        F.round(_ttest(F.col("random_mean"), F.col("random_s"), m), 4).alias("p_random_vs_zero"),
+        "window", *[F.round(f"{k}_{v}", 6).alias(f"{k}_{name}") for k in ("event", "random") for v, name in (("m", "mean"), ("p", "std"))], "event_n", "random_n",
+        F.round(_ttest(F.col("event_m"), F.col("event_s"), n), 4).alias("p_event_vs_zero"),
+        F.round(_ttest(F.col("random_m"), F.col("random_s"), m), 4).alias("p_random_vs_zero"),
         F.round(F.when(pooled > 0, t_pvalue(t, (n + m - 2).cast("int"))), 4).alias("p_event_vs_random"),
     )
 
@@ -123,6 +125,11 @@ def free_dates(events: DataFrame, days: int = 10) -> DataFrame:
     return pool.join(taken, "date", "left_anti")
 
 
+def drawn_number(key: Column, seed: int) -> Column:
+    """A reproducible number of 60 bits, from MD5, so that any engine can draw it."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def random_events(events: DataFrame, cars: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
     """n events (as many as there are rows without error) at free dates, with tickers drawn with replacement from the rows without error: reproducible hash draws.
 
@@ -142,6 +149,6 @@ def random_events(events: DataFrame, cars: DataFrame, n: int | None = None, seed
     blocks = sizes.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {DRAWS})")).alias("block"))
     blocks = blocks.repartition(cars.sparkSession.sparkContext.defaultParallelism, "block")
     draws = blocks.select("np", "nv", F.explode(F.expr(f"sequence(block * {DRAWS}, least(n, (block + 1) * {DRAWS}) - 1)")).alias("id"))
-    draws = draws.select(F.pmod(F.xxhash64("id", F.lit(seed)), "np").cast("int").alias("k"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), "nv").alias("j"))
+    draws = draws.select((drawn_number(F.col("id"), seed) % F.col("np")).cast("int").alias("k"), (drawn_number(F.col("id"), seed + 1) % F.col("nv")).alias("j"))
     out = draws.join(pool, "k").withColumn("span", F.expr(f"j div {SPAN}")).join(owners, "span").filter("j between a and b")
     return out.select(F.concat(F.lit("RAND_"), F.col("date").cast("string"), F.lit("_"), "ticker").alias("event_id"), F.col("date").alias("event_date"), "ticker")

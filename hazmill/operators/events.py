@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,26 +15,60 @@ from hazmill.functions.exprs import industries, location_tokens, nullify, type_c
 TOLERANCE = 7
 UNKNOWN = "UNKNOWN_COUNTRY"
 
-# Numeric fields of a report.
-NUMERICS = ["magnitude", "depth", "maximum_wind_speed_kmh", "maximum_storm_surge_m", "exposed_population", "rainfall_mm", "burned_area_ha", "affected_area_km2", "duration_days", "economic_loss_usd", "affected_country_count", "dead", "injured", "missing", "displaced", "people_affected"]
+# The numeric fields of an article that a cluster takes the largest of.
+NUMERICS = ["magnitude", "depth", "maximum_wind_speed_kmh", "maximum_storm_surge_m", "exposed_population", "burned_area_ha", "people_affected", "duration_days", "affected_area_km2", "affected_country_count", "dead", "displaced", "rapid_missing", "rapid_few_people", "rapid_unparsed"]
+
+# The fields that the texts of an unmatched event are asked for.
+TEXT_NUMERICS = ["magnitude", "depth", "maximum_wind_speed_kmh", "maximum_storm_surge_m", "exposed_population", "burned_area_ha", "people_affected", "duration_days", "affected_area_km2", "affected_country_count", "dead", "displaced"]
 
-# Sectors that each hazard touches, sector funds, and each country's industries.
+# Sectors that each hazard touches, and sector funds.
 PRIOR = {"EQ": ["insurance", "construction"], "TC": ["insurance", "agriculture"], "WF": ["insurance", "utilities", "timber"], "DR": ["agriculture", "insurance"], "FL": ["insurance", "agriculture", "construction"]}
 SECTOR_ETF = {"insurance": "IAK", "agriculture": "MOO", "energy": "XLE", "utilities": "XLU", "construction": "XHB", "tourism": "JETS", "timber": "WOOD", "mining": "XME", "manufacturing": "XLI", "shipping": "BOAT", "financial": "XLF"}
-COUNTRY_INDUSTRIES = {
-    "US": "insurance construction utilities agriculture energy", "JP": "insurance construction automotive electronics utilities", "CN": "agriculture construction coal insurance tourism",
-    "IN": "agriculture insurance infrastructure power tourism", "AU": "agriculture mining insurance tourism utilities", "ID": "palm_oil mining tourism agriculture insurance",
-    "PH": "agriculture tourism insurance utilities construction", "BD": "garment agriculture insurance shipping", "PK": "agriculture textiles insurance construction",
-    "NP": "tourism hydropower agriculture insurance", "TR": "construction insurance tourism agriculture textiles", "MX": "agriculture tourism oil insurance construction",
-    "BR": "agriculture mining insurance utilities construction", "CL": "copper_mining agriculture insurance utilities", "CO": "oil coffee insurance agriculture utilities",
-    "PE": "copper_mining agriculture insurance fishing", "TH": "tourism agriculture electronics insurance automotive", "VN": "agriculture textiles insurance construction tourism",
-    "MY": "palm_oil rubber electronics insurance tourism", "MM": "agriculture gas mining textiles", "KH": "agriculture garment tourism construction", "ET": "agriculture coffee construction",
-    "MZ": "agriculture gas mining", "ZW": "agriculture mining tourism", "KE": "agriculture tourism telecom insurance", "NG": "oil agriculture insurance telecom", "PG": "mining agriculture oil",
-    "FJ": "tourism sugar agriculture", "VU": "tourism agriculture", "SB": "logging agriculture fishing", "MG": "agriculture mining tourism", "HT": "agriculture textiles remittances",
-    "IR": "oil agriculture insurance construction", "IQ": "oil agriculture construction", "AF": "agriculture mining", "NZ": "agriculture tourism insurance construction",
-    "GR": "tourism agriculture shipping insurance", "IT": "tourism agriculture insurance construction automotive", "DE": "insurance automotive chemicals agriculture utilities",
-    "FR": "insurance agriculture tourism utilities aerospace", "GB": "insurance utilities construction agriculture financial", "CA": "oil agriculture mining insurance forestry",
-}
+# Each country's index ticker and industries.
+COUNTRIES = {
+    "US": ("SPY", ["insurance", "construction", "utilities", "agriculture", "energy"]),
+    "JP": ("EWJ", ["insurance", "construction", "automotive", "electronics", "utilities"]),
+    "CN": ("FXI", ["agriculture", "construction", "coal", "insurance", "tourism"]),
+    "IN": ("INDA", ["agriculture", "insurance", "infrastructure", "power", "tourism"]),
+    "AU": ("EWA", ["agriculture", "mining", "insurance", "tourism", "utilities"]),
+    "ID": ("IDX", ["palm_oil", "mining", "tourism", "agriculture", "insurance"]),
+    "PH": ("EPHE", ["agriculture", "tourism", "insurance", "utilities", "construction"]),
+    "BD": ("^DSEX", ["garment", "agriculture", "insurance", "shipping"]),
+    "PK": ("^KSE", ["agriculture", "textiles", "insurance", "construction"]),
+    "NP": ("^NEPSE", ["tourism", "hydropower", "agriculture", "insurance"]),
+    "TR": ("TUR", ["construction", "insurance", "tourism", "agriculture", "textiles"]),
+    "MX": ("EWW", ["agriculture", "tourism", "oil", "insurance", "construction"]),
+    "BR": ("EWZ", ["agriculture", "mining", "insurance", "utilities", "construction"]),
+    "CL": ("ECH", ["copper_mining", "agriculture", "insurance", "utilities"]),
+    "CO": ("GXG", ["oil", "coffee", "insurance", "agriculture", "utilities"]),
+    "PE": ("EPU", ["copper_mining", "agriculture", "insurance", "fishing"]),
+    "TH": ("THD", ["tourism", "agriculture", "electronics", "insurance", "automotive"]),
+    "VN": ("VNM", ["agriculture", "textiles", "insurance", "construction", "tourism"]),
+    "MY": ("EWM", ["palm_oil", "rubber", "electronics", "insurance", "tourism"]),
+    "MM": ("^MICK", ["agriculture", "gas", "mining", "textiles"]),
+    "KH": ("^CSX", ["agriculture", "garment", "tourism", "construction"]),
+    "ET": ("^ESX", ["agriculture", "coffee", "construction"]),
+    "MZ": ("^BMVM", ["agriculture", "gas", "mining"]),
+    "ZW": ("^ZSE", ["agriculture", "mining", "tourism"]),
+    "KE": ("^NSE", ["agriculture", "tourism", "telecom", "insurance"]),
+    "NG": ("^NGX", ["oil", "agriculture", "insurance", "telecom"]),
+    "PG": ("^PNGX", ["mining", "agriculture", "oil"]),
+    "FJ": ("^SPX", ["tourism", "sugar", "agriculture"]),
+    "VU": ("^VX", ["tourism", "agriculture"]),
+    "SB": ("^SPXW", ["logging", "agriculture", "fishing"]),
+    "MG": ("^BMVM", ["agriculture", "mining", "tourism"]),
+    "HT": ("^SPXW", ["agriculture", "textiles", "remittances"]),
+    "IR": ("^TEPIX", ["oil", "agriculture", "insurance", "construction"]),
+    "IQ": ("^ISX60", ["oil", "agriculture", "construction"]),
+    "AF": ("^SPXW", ["agriculture", "mining"]),
+    "NZ": ("ENZL", ["agriculture", "tourism", "insurance", "construction"]),
+    "GR": ("GREK", ["tourism", "agriculture", "shipping", "insurance"]),
+    "IT": ("EWI", ["tourism", "agriculture", "insurance", "construction", "automotive"]),
+    "DE": ("EWG", ["insurance", "automotive", "chemicals", "agriculture", "utilities"]),
+    "FR": ("EWQ", ["insurance", "agriculture", "tourism", "utilities", "aerospace"]),
+    "GB": ("EWU", ["insurance", "utilities", "construction", "agriculture", "financial"]),
+    "CA": ("EWC", ["oil", "agriculture", "mining", "insurance", "forestry"]),
+}
 
 
 def partition_keys(articles: DataFrame) -> DataFrame:
@@ -40,46 +76,103 @@ def partition_keys(articles: DataFrame) -> DataFrame:
     return articles.withColumn("type", type_code(F.col("label"))).withColumn("country", F.coalesce(F.upper(nullify(F.col("country_iso2"))), F.lit(UNKNOWN)))
 
 
-def first_fit(days: list, tokens: list[set]) -> list[int]:
-    """Cluster numbers of articles in order (dated first): the first cluster whose dates are all within the tolerance and whose
-    places all overlap, else a new one. As articles come by date, a cluster's first date decides for all; a cluster that
+class FirstFit:
+    """A group's clusters, to which articles are added in order (dated first): the first cluster whose dates are all within the tolerance
+    and whose places all overlap, else a new one. As articles come by date, a cluster's first date decides for all; a cluster that
     is too old stays so for all later dated articles, and only undated ones look at it again.
     """
-    first, members, out, live = [], [], [], 0
-    for day, own in zip(days, tokens):
+
+    def __init__(self):
+        self.first: list[int | None] = []
+        self.sets: list[list[frozenset]] = []
+        self.live = 0
+
+    def add(self, day: int | None, own: frozenset) -> int:
+        first, sets = self.first, self.sets
         if day is not None:
-            while live < len(first) and first[live] is not None and day - first[live] > TOLERANCE:
-                live += 1
-        found = -1
-        for k in range(live if day is not None else 0, len(first)):
-            if day is not None and first[k] is not None and day - first[k] > TOLERANCE:
-                continue
-            if not own or all(not m or own & m for m in members[k]):
-                found = k
+            while self.live < len(first) and first[self.live] is not None and day - first[self.live] > TOLERANCE:
+                self.live += 1
+        for k in range(self.live if day is not None else 0, len(first)):
+            if (day is None or first[k] is None or day - first[k] <= TOLERANCE) and (not own or all(not m or own & m for m in sets[k])):
                 break
-        if found < 0:
-            found = len(first)
-            first.append(day)
-            members.append([])
-        elif first[found] is None:
-            first[found] = day
-        if own not in members[found]:
-            members[found].append(own)
-        out.append(found)
-    return out
+        else:
+            k = len(first)
+            first.append(None)
+            sets.append([])
+        if first[k] is None:
+            first[k] = day
+        self.hold(k, own)
+        return k
+
+    def hold(self, cluster: int, own: frozenset) -> None:
+        """Note a member's places, making clusters up to its own."""
+        while len(self.sets) <= cluster:
+            self.first.append(None)
+            self.sets.append([])
+        if own not in self.sets[cluster]:
+            self.sets[cluster].append(own)
+
+
+def first_fit(days: list[int | None], tokens: list[frozenset]) -> list[int]:
+    """Cluster numbers of one group's articles, in order."""
+    fit = FirstFit()
+    return [fit.add(day, own) for day, own in zip(days, tokens)]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.RecordBatch]:
+    """Streams over rows sorted by group and order: articles (pos, day, tokens) get cluster and seq; rows without pos (cluster, seq, tokens) tell what is known."""
+    now, fit, seq = None, FirstFit(), 0
+    for batch in batches:
+        rows = batch.to_pydict()
+        out: list[tuple] = []
+        for i, name in enumerate(zip(*(rows[g] for g in group))):
+            if name != now:
+                now, fit, seq = name, FirstFit(), 0
+            own = frozenset(rows["tokens"][i])
+            if rows["pos"][i] is None:
+                fit.hold(rows["cluster"][i], own)
+                seq = max(seq, rows["seq"][i] + 1)
+                continue
+            day = rows["day"][i]
+            out.append((i, fit.add(day.toordinal() if day is not None else None, own), seq))
+            seq += 1
+        took = pa.array([o[0] for o in out], pa.int32())
+        kept = [batch.column(c).take(took) for c in ("pos", *group, "tokens")]
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array([o[k] for o in out], pa.int32()) for k in (1, 2))], ["pos", *group, "tokens", "cluster", "seq"])
 
 
-def greedy_clusters(articles: DataFrame) -> DataFrame:
-    """pos, type, country, cluster (a number within type and country, in order of creation), seq (the order of placing)."""
-    keyed = partition_keys(articles).select("pos", "type", "country", F.col("event_date").cast("date").alias("day"), location_tokens(F.col("location_text")).alias("tokens"))
+def _segments(keyed: DataFrame) -> DataFrame:
+    """type, country, day, segment: a group's dates, cut where two neighbours lie more than the tolerance apart. Only distinct dates are sorted."""
+    w = W.partitionBy("type", "country").orderBy("day")
+    days = keyed.filter("day is not null").select("type", "country", "day").distinct()
+    gap = F.coalesce((F.datediff("day", F.lag("day").over(w)) > TOLERANCE).cast("int"), F.lit(0))
+    return days.withColumn("gap", gap).withColumn("segment", F.sum("gap").over(w).cast("int")).drop("gap")
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        days = pdf["day"].map(lambda d: None if pd.isna(d) else d.toordinal())
-        pdf = pdf.assign(n=days.fillna(10**9)).sort_values(["n", "pos"], kind="stable")
-        got = first_fit([None if n == 10**9 else int(n) for n in pdf["n"]], [frozenset(t) for t in pdf["tokens"]])
-        return pd.DataFrame({"pos": pdf["pos"], "type": pdf["type"], "country": pdf["country"], "cluster": got, "seq": range(len(got))})
 
-    return keyed.groupBy("type", "country").applyInPandas(place, "pos long, type string, country string, cluster int, seq int")
+def greedy_clusters(articles: DataFrame) -> DataFrame:
+    """pos, type, country, cluster (a number within type and country, in order of creation), seq (the order of placing).
+
+    Dated articles whose neighbouring dates lie more than the tolerance apart can't share a cluster, so a group is worked
+    off in segments, each in a task of its own; a segment numbers on from the ones before it. Articles without a date come last in the rule's order and look at all of
+    their group's clusters: they are placed in a second pass, which gets the clusters' distinct sets of tokens, not their
+    articles. A segment itself can't be cut, as the rule depends on the order.
+    """
+    keyed = partition_keys(articles).select("pos", "type", "country", F.col("event_date").cast("date").alias("day"), location_tokens(F.col("location_text")).alias("tokens"))
+    dated = keyed.filter("day is not null").join(_segments(keyed), ["type", "country", "day"])
+    unknown = {"cluster": F.lit(None).cast("int"), "seq": F.lit(None).cast("int")}
+    group = ["type", "country", "segment"]
+    rows = dated.withColumns(unknown).repartition(*group).sortWithinPartitions(*group, "day", "pos")
+    local = rows.mapInArrow(lambda batches: _placed(batches, group), "pos long, type string, country string, segment int, tokens array<string>, cluster int, seq int")
+    before = W.partitionBy("type", "country").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    sizes = local.groupBy(*group).agg(F.max("cluster").alias("c"), F.max("seq").alias("s"))
+    shift = sizes.select(*group, *[F.coalesce(F.sum(F.col(x) + 1).over(before), F.lit(0)).cast("int").alias(f"{x}0") for x in ("c", "s")])
+    placed = local.join(shift, group).withColumns({"cluster": F.expr("cluster + c0"), "seq": F.expr("seq + s0")}).drop("segment", "c0", "s0")
+    late = keyed.filter("day is null").withColumns(unknown)
+    known = placed.groupBy("type", "country", "cluster", F.array_sort("tokens").alias("tokens")).agg(F.max("seq").alias("seq"))
+    known = known.join(late.select("type", "country").distinct(), ["type", "country"], "left_semi").withColumns({"pos": F.lit(None).cast("long"), "day": F.lit(None).cast("date")})
+    both = late.unionByName(known).repartition("type", "country").sortWithinPartitions("type", "country", F.col("pos").asc_nulls_first(), "cluster")
+    more = both.mapInArrow(lambda batches: _placed(batches, ["type", "country"]), "pos long, type string, country string, tokens array<string>, cluster int, seq int")
+    return placed.unionByName(more).drop("tokens")
 
 
 def first_mode(df: DataFrame, keys: list[str], value: str, seq: str, name: str) -> DataFrame:
@@ -88,10 +181,25 @@ def first_mode(df: DataFrame, keys: list[str], value: str, seq: str, name: str)
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col("s"))).alias(name))
 
 
-def merge_clusters(articles: DataFrame, keys: list[str], numerics: list[str]) -> DataFrame:
-    """One event for each cluster: earliest date, mode of country and place, maxima, count, ordered article ids. articles: keys, pos, seq, idx, ..."""
-    clean = [F.max(F.when(~F.isnan(c), F.col(c))).alias(c) for c in numerics]
-    base = articles.groupBy(*keys).agg(F.min("event_date").alias("event_date"), F.count("*").alias("article_count"), F.min("pos").alias("first_pos"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "idx"))), lambda s: s["idx"]).alias("article_indices"), *clean)
+def merge_clusters(articles: DataFrame, keys: list[str], numerics: list[str] | None = None) -> DataFrame:
+    """One event for each cluster: earliest date, mode of country and place, maxima, count, ordered article ids; and of the columns that there
+    are: the first (lat, lon) pair, the longest rapidpopdescription, and whether all are of low_confidence.
+
+    articles: keys, pos, seq, idx, event_date, country_iso2, location_text, ...; numerics: those of NUMERICS that there are, by default.
+    """
+    have = set(articles.columns)
+    numerics = [c for c in NUMERICS if c in have] if numerics is None else numerics
+    more = [F.max(F.when(~F.isnan(n), n)).alias(c) for c in numerics for n in [F.col(c).try_cast("double")]]
+    if {"lat", "lon"} <= have:
+        both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+        at = F.min(F.when(both, F.struct("seq", "lat", "lon")))
+        more += [at["lat"].alias("lat"), at["lon"].alias("lon")]
+    if "rapidpopdescription" in have:
+        text = F.col("rapidpopdescription")
+        more.append(F.min(F.when(text != "", F.struct((-F.length(text)).alias("n"), "seq", text.alias("t"))))["t"].alias("rapidpopdescription"))
+    if "low_confidence" in have:
+        more.append(F.bool_and(F.coalesce("low_confidence", F.lit(True))).alias("low_confidence"))
+    base = articles.groupBy(*keys).agg(F.min("event_date").alias("event_date"), F.count("*").alias("article_count"), F.min("pos").alias("first_pos"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "idx"))), lambda s: s["idx"]).alias("article_indices"), *more)
     for value, name in (("country_iso2", "primary_country"), ("location_text", "location_text")):
         mode = first_mode(articles, keys, value, "seq", name)
         on = [base[k].eqNullSafe(mode[k]) for k in keys]
@@ -103,12 +211,14 @@ def merge_clusters(articles: DataFrame, keys: list[str], numerics: list[str]) ->
 
 
 def number_events(clusters: DataFrame) -> DataFrame:
-    """event_id TYPE_0001...: numbered over all clusters by their partition's first article, then by cluster. Only keys enter the single-partition window."""
-    firsts = clusters.groupBy("type", "country").agg(F.min("first_pos").alias("group_first"))
-    keys = clusters.select("type", "country", "cluster").join(firsts, ["type", "country"])
-    n = F.row_number().over(W.orderBy("group_first", "type", "country", "cluster")) - 1
-    ids = keys.select("type", "country", "cluster", F.format_string("%s_%04d", F.col("type"), n).alias("event_id"))
-    return clusters.join(ids, ["type", "country", "cluster"])
+    """event_id TYPE_0001...: numbered over all clusters by their group's first article, then by cluster. Only groups (a type and a
+    country each) are counted up in one task; clusters are numbered within their group."""
+    w = W.partitionBy("type", "country").orderBy("cluster")
+    groups = clusters.groupBy("type", "country").agg(F.min("first_pos").alias("first"), F.count("*").alias("k"))
+    upto = F.sum("k").over(W.orderBy("first", "type", "country").rowsBetween(W.unboundedPreceding, -1))
+    groups = groups.select("type", "country", F.coalesce(upto, F.lit(0)).alias("start"))
+    keys = clusters.select("type", "country", "cluster", (F.row_number().over(w) - 1).alias("own")).join(groups, ["type", "country"])
+    return clusters.join(keys.select("type", "country", "cluster", F.format_string("%s_%04d", F.col("type"), F.expr("start + own")).alias("event_id")), ["type", "country", "cluster"])
 
 
 def _near(left: DataFrame, right: DataFrame, days: int, how: str) -> DataFrame:
@@ -152,14 +262,22 @@ def _words(m: dict[str, list[str]], key) -> F:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.array().cast("array<string>"))
 
 
-def link_sectors(events: DataFrame, code: str = "type", iso2: str = "iso2", text: str = "text") -> DataFrame:
-    """With sectors_from_kb, sectors_from_text, key_industries, and etf_sectors beside sector_etfs (first of each fund)."""
-    kb = F.array_distinct(F.concat(_words(PRIOR, F.col(code)), _words({k: v.split() for k, v in COUNTRY_INDUSTRIES.items()}, F.coalesce(iso2, F.lit("")))))
+def link_sectors(events: DataFrame, code: str = "type", iso2: str = "iso2", text: str | None = "text") -> DataFrame:
+    """With sectors_from_kb, sectors_from_text, key_industries, etf_sectors beside sector_etfs (first of each fund), index_ticker and linked.
+
+    Without a text column, sectors_from_text is there already.
+    """
+    place = F.coalesce(iso2, F.lit(""))
+    kb = F.array_distinct(F.concat(_words(PRIOR, F.col(code)), _words({k: v for k, (_, v) in COUNTRIES.items()}, place)))
     funds = F.create_map(*[F.lit(x) for kv in SECTOR_ETF.items() for x in kv])
-    out = events.withColumn("sectors_from_kb", kb).withColumn("sectors_from_text", industries(F.coalesce(text, F.lit(""))))
+    tickers = F.create_map(*[F.lit(x) for k, (t, _) in COUNTRIES.items() for x in (k, t)])
+    out = events.withColumn("sectors_from_kb", kb).withColumn("index_ticker", F.try_element_at(tickers, place))
+    if text is not None:
+        out = out.withColumn("sectors_from_text", industries(F.coalesce(text, F.lit(""))))
     out = out.withColumn("key_industries", F.array_distinct(F.concat("sectors_from_kb", "sectors_from_text")))
     out = out.withColumn("etf_sectors", F.filter("key_industries", lambda s: F.try_element_at(funds, s).isNotNull()))
-    return out.withColumn("sector_etfs", F.transform("etf_sectors", lambda s: F.try_element_at(funds, s)))
+    out = out.withColumn("sector_etfs", F.transform("etf_sectors", lambda s: F.try_element_at(funds, s)))
+    return out.withColumn("linked", F.col(iso2).isNotNull() | (F.size("sector_etfs") > 0))
 
 
 NEWS_SCHEMA = T.StructType().add("idx", "long").add("timestamp", "string").add("label", "string").add("text", "string")

@@ -24,14 +24,33 @@ def viable(df: DataFrame, label: str, classes: list[str], least: int = 20) -> Da
     return df.groupBy("split").agg((F.least(*counts) >= least if len(counts) > 1 else counts[0] >= least).alias("viable"))
 
 
-def hashed_rank(df: DataFrame, by: str, key: str, seed: int) -> Column:
-    return F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
+def hash_of(key: Column, seed: int) -> Column:
+    """32 hexadecimal digits, the same in any engine that has MD5: an order to draw rows by."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
 
 
-def random_split(df: DataFrame, label: str, key: str, seed: int = 42, train: float = 0.7, val: float = 0.1) -> DataFrame:
-    """Stratified split by a hash of the key: reproducible, no sort over a class (each row decides alone)."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(1 << 30))) / float(1 << 30)
-    return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
+def with_hashed_rank(df: DataFrame, by: Column, key: str, seed: int, rank: str = "rn", size: str | None = None) -> DataFrame:
+    """With each row's rank (from 1) among the rows of its class by the key's hash, and the class's size if a name for it is given.
+
+    A class is cut into 256 parts by the hash's first digits: parts are ranked in tasks of their own, and only the parts' counts are
+    added up, so that no task sorts a whole class.
+    """
+    part, order = F.substring("__hash", 1, 2), W.partitionBy("__by", "__part").orderBy("__hash", F.col(key))
+    cut = df.withColumn("__by", by).withColumn("__hash", hash_of(F.col(key), seed)).withColumn("__part", part)
+    counts = cut.groupBy("__by", "__part").agg(F.count("*").alias("__c"))
+    w = W.partitionBy("__by").orderBy("__part")
+    counts = counts.select(F.col("__by").alias("__b"), F.col("__part").alias("__p"), F.coalesce(F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__c").over(W.partitionBy("__by")).alias("__n"))
+    both = cut.withColumn("__own", F.row_number().over(order)).join(counts, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__part") == F.col("__p")))
+    out = [*df.columns, F.expr("__own + __before").alias(rank)]
+    return both.select(*out, *([F.col("__n").alias(size)] if size else []))
+
+
+def random_split(df: DataFrame, label: str, key: str, seed: int = 42, test: float = 0.2, val: float = 0.1) -> DataFrame:
+    """With split: of each class the given shares of its rows, rounded up, are test and val, in order of a hash of the key; the rest is train."""
+    ranked = with_hashed_rank(df, F.col(label), key, seed, "__rank", "__size")
+    first = F.ceil(F.col("__size") * F.lit(test).cast("decimal(9,6)"))
+    second = first + F.ceil(F.col("__size") * F.lit(val).cast("decimal(9,6)"))
+    return ranked.withColumn("split", F.when(F.col("__rank") <= first, "test").when(F.col("__rank") <= second, "val").otherwise("train")).drop("__rank", "__size")
 
 
 def capped(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
@@ -40,15 +59,22 @@ def capped(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFra
 
 
 def top_up(test: DataFrame, train: DataFrame, label: str, key: str, least: int = 30, seed: int = 42) -> DataFrame:
-    """The test rows and, for each class short of so many, rows of train (flagged _augmented)."""
-    have = test.groupBy(label).count()
-    ranked = train.withColumn("rn", hashed_rank(train, label, key, seed)).join(have, label, "left")
-    more = ranked.filter(F.col("rn") <= least - F.coalesce("count", F.lit(0))).drop("rn", "count")
+    """The test rows and, for each class short of so many, rows of train (flagged _augmented), drawn by hash."""
+    have = test.groupBy(label).agg(F.count("*").alias("__have"))
+    ranked = with_hashed_rank(train, F.col(label), key, seed, "__rank").join(have, label, "left")
+    more = ranked.filter(F.col("__rank") <= least - F.coalesce("__have", F.lit(0))).select(*train.columns)
     return test.withColumn("_augmented", F.lit(False)).unionByName(more.withColumn("_augmented", F.lit(True)), allowMissingColumns=True)
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(hashed_rank(df, label, key, seed), k))
+    """With fold, 0 to k-1: each class is dealt out evenly, in order of a hash."""
+    return with_hashed_rank(df, F.col(label), key, seed, "__rank").withColumn("fold", F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int")).drop("__rank")
+
+
+def sampled(df: DataFrame, by: str, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most so many rows of each class, drawn by hash, with shuffled (the place in a random order over all classes)."""
+    drawn = with_hashed_rank(df, F.col(by), key, seed, "__rank").filter(F.col("__rank") <= most).drop("__rank")
+    return with_hashed_rank(drawn, F.lit(0), key, seed + 1, "shuffled")
 
 
 def keep_first(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -78,11 +104,20 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return g.select("label", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(div(2 * p * r, p + r), 6).alias("f1"), "support")
 
 
-def ranking_metrics(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """n_pos, n_neg, roc_auc (ties count half), pr_auc (average precision), over distinct scores: null unless both classes occur."""
-    steps = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("tp"), F.sum(1 - F.col(truth).cast("long")).alias("fp"))
-    w = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    cum = steps.select("tp", "fp", F.sum("tp").over(w).alias("ctp"), F.sum("fp").over(w).alias("cfp"))
+def ranking_metrics(df: DataFrame, score: str, truth: str, parts: int = 64) -> DataFrame:
+    """n_pos, n_neg, roc_auc (ties count half), pr_auc (average precision), over distinct scores: null unless both classes occur.
+
+    Scores are cut at approximate quantiles into parts that are summed up in tasks of their own; one task adds up the parts only.
+    """
+    steps = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("tp"), F.sum(1 - F.col(truth).cast("long")).alias("fp"))
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    part = sum((F.col("s") <= c).cast("int") for c in sorted(set(cuts))) if cuts else F.lit(0)
+    steps = steps.withColumn("part", part)  # parts count up as scores fall
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy("part").agg(F.sum("tp").alias("tps"), F.sum("fp").alias("fps"))
+    sums = sums.select("part", F.coalesce(F.sum("tps").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("fps").over(before), F.lit(0)).alias("fp0"))
+    w = W.partitionBy("part").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    cum = steps.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)}).join(sums, "part").select("tp", "fp", F.expr("ctp + tp0").alias("ctp"), F.expr("cfp + fp0").alias("cfp"))
     g = cum.agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"), F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") / 2)).alias("area"), F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("ap"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return g.select("n_pos", "n_neg", F.round(F.when(both, F.col("area") / (F.col("n_pos") * F.col("n_neg"))), 6).alias("roc_auc"), F.round(F.when(both, F.col("ap") / F.col("n_pos")), 6).alias("pr_auc"))
