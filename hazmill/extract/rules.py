@@ -1,29 +1,32 @@
 """Numeric fields from news text: a rule catalogue and the engine that binds numbers to their anchors.
 
-The engine needs spans and token distances, so it runs as an Arrow-batched function; the rules are data.
-Defined results: empty texts and unknown types give no metrics but low confidence; ties go to the first candidate.
+The engine needs spans and token distances, so it runs as an Arrow-batched function; the rules are data. A match scores by
+its anchors among the tokens from eight before its first to eight after its last one, so a rule of which no anchor is a token
+of the text can't give a candidate and isn't tried.
+
+Defined results: empty texts give no metrics; an unknown type gets the rules for all types and no statement on confidence; among equal
+candidates the first counts. A scale letter needs a word boundary ("12 men" is 12, not 12 million).
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hazmill.functions.exprs import TYPE_CODES, UNIT_FACTORS
+from hazmill.functions.exprs import TEXT_KEYS, TYPE_CODES, UNIT_FACTORS
 
-# Number grammar, units and verbs that the patterns share.
+# The number grammar, without and with a scale.
 N = r"\d[\d,]*(?:\.\d+)?"
 NS = N + r"(?:\s*(?:k|m|b|thousand|million|billion)\b)?"
-AREA = r"(?P<unit>ha|hectares?|acres?|km2|km²|square kilometers?|sq\.?\s*km)"
-WIDE = r"(?P<unit>km2|km²|square kilometers?|sq\.?\s*km|sq\.?\s*mi|square miles?)"
-SPAN = r"(?P<unit>days?|weeks?|months?)"
-WHO = r"(?:people|residents|persons?|families)"
 
 # Cues that weaken a find.
 NEGATIONS = ("no", "not", "without", "zero", "none", "unlikely", "unconfirmed", "could", "may", "might")
@@ -39,6 +42,10 @@ SECTOR_WORDS = {
     "mining": ("mine", "copper", "lithium", "iron ore"),
 }
 
+# The units in which fields are given; people where none is named.
+UNITS = {"depth": "km", "maximum_wind_speed_kmh": "km/h", "rainfall_mm": "mm", "burned_area_ha": "ha", "affected_area_km2": "km2", "maximum_storm_surge_m": "m", "duration_days": "days", "economic_loss_usd": "usd", "affected_country_count": "countries", "magnitude": "", "rapidpopdescription": ""}
+RAPID_UNITS = {"rapid_pop_people": "people", "rapid_pop_log": "log_people", "rapid_missing": "flag", "rapid_few_people": "flag", "rapid_unparsed": "flag"}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,119 +60,280 @@ class Rule:
 
 # The rule catalogue.
 RULES = (
-    Rule("magnitude", ("EQ",), 0.60, 0.18, ("magnitude", "richter", "earthquake", "quake", "aftershock"), (rf"(?:magnitude|richter|mw|mb|ml|ms)\s*[:\-]?\s*(?P<num>{N})", rf"\bM\s*(?P<num>{N})\b", rf"(?P<num>{N})[- ]?(?:magnitude|richter|mw|mb|ml|ms)\b")),
-    Rule("depth", ("EQ",), 0.58, 0.18, ("depth", "deep", "earthquake", "hypocenter", "epicenter"), (rf"(?:depth|deep)\s*(?:of\s*|:\s*)?(?P<num>{N})\s*(?P<unit>km|kilometers?|mi|miles?)", rf"(?P<num>{N})\s*(?P<unit>km|kilometers?|mi|miles?)\s*(?:depth|deep)\b")),
-    Rule("rapidpopdescription", ("EQ",), 0.56, 0.22, ("mmi", "intensity", "earthquake", "quake", "aftershock", "shaking"), (rf"(?P<raw>(?:few|{N})\s*(?:thousand|million|billion)?\s*people(?:\s+in\s+MMI\s+[IVX]+)?)", rf"(?P<raw>MMI\s+[IVX]+\s*(?:felt by|affecting)\s*(?:few|{N})\s*(?:thousand|million|billion)?\s*people)"), True),
-    Rule("maximum_wind_speed_kmh", ("TC",), 0.54, 0.18, ("wind", "gust", "cyclone", "typhoon", "hurricane", "storm", "landfall"), (rf"(?P<num>{N})\s*(?P<unit>km/h|kph|mph|knots?|kt|m/s)\s*(?:sustained\s*)?(?:winds?|gusts?)?",)),
-    Rule("maximum_storm_surge_m", ("TC",), 0.62, 0.18, ("storm surge", "surge", "coastal flooding", "inundation", "cyclone", "typhoon", "hurricane"), (rf"storm surge(?:\s*of)?\s*(?P<num>{N})\s*(?P<unit>m|meters?|ft|feet)",)),
-    Rule("exposed_population", ("TC",), 0.58, 0.18, ("exposed", "at risk", "in the path", "track", "cyclone", "typhoon", "hurricane"), (rf"(?P<num>{NS})\s*(?:people|residents|persons?)\s*(?:were\s*)?(?:exposed|at risk|in the path|under threat|vulnerable)", rf"(?:exposed|at risk|in the path)\s*(?:population\s*)?(?:of\s*)?(?P<num>{NS})")),
-    Rule("rainfall_mm", (), 0.50, 0.18, ("rain", "rainfall", "precipitation", "downpour", "flood", "storm"), (rf"(?P<num>{N})\s*(?P<unit>mm|millimeters?|cm|inches?|in)\s*(?:of\s*)?(?:rain|rainfall|precipitation)",)),
-    Rule("burned_area_ha", ("WF",), 0.58, 0.18, ("burned", "scorched", "charred", "wildfire", "bushfire", "blaze", "fire", "hectare", "acre"), (rf"(?P<num>{N})\s*{AREA}", rf"(?:burned|scorched|charred|destroyed|consumed|razed)\s*(?:(?:over|about|more than|nearly|around|some)\s*)?(?P<num>{N})\s*{AREA}", rf"(?P<num>{N})\s*{AREA}\s*of\s*(?:land|forest|bush|vegetation|terrain)", rf"(?:fire|blaze|wildfire|bushfire)\s*(?:has\s*)?(?:burned|covered|spread over|scorched)\s*(?:(?:over|about|more than|nearly|around)\s*)?(?P<num>{N})\s*{AREA}")),
-    Rule("affected_area_km2", ("DR", "FL"), 0.54, 0.18, ("affected area", "under water", "impacted area", "drought", "flooded area", "parched", "farmland", "land"), (rf"(?P<num>{N})\s*{WIDE}\s*(?:affected|under water|impacted|parched|burned)?", rf"(?P<num>{N})\s*{WIDE}\s*(?:of\s*)?(?:farmland|land|terrain|area)")),
-    Rule("duration_days", ("WF", "DR"), 0.52, 0.18, ("lasting", "lasted", "duration", "days", "weeks", "months", "drought", "wildfire", "blaze", "burning", "persisted"), (rf"(?:for|lasting|lasted|persisting for|persisted for|burning for|raging for|continuing for|going on for)\s*(?P<num>{N})\s*{SPAN}", rf"(?P<num>{N})\s*{SPAN}\s*(?:of\s*)?(?:drought|dry spell|wildfire|bushfire|fires?)", rf"(?P<num>{N})-(?P<unit>day|week|month)\s*(?:wildfire|bushfire|blaze|drought|dry spell|fire)", rf"(?:drought|fire|blaze|wildfire)\s*(?:that\s*)?(?:has\s*)?(?:lasted|burned|continued|persisted|gone on)\s*(?:for\s*)?(?P<num>{N})\s*{SPAN}", rf"(?P<num>{N})\s*{SPAN}\s*ago\b")),
-    Rule("economic_loss_usd", (), 0.55, 0.18, ("loss", "losses", "damage", "insured", "economic"), (rf"(?:\$|usd)\s*(?P<num>{N})\s*(?P<scale>k|m|b|thousand|million|billion)?\s*(?:in\s*)?(?:losses?|damage)", rf"(?:losses?|damage)\s*(?:estimated at|of|around|near)?\s*(?:\$|usd)\s*(?P<num>{N})\s*(?P<scale>k|m|b|thousand|million|billion)?")),
-    Rule("affected_country_count", ("DR",), 0.62, 0.18, ("countries", "nations", "across", "drought", "affecting"), (r"(?:across|affecting|spanning)\s*(?P<num>\d+)\s*(?:countries|nations)", r"(?P<num>\d+)\s*(?:countries|nations)\s*(?:affected|impacted|hit|experiencing)")),
-    Rule("dead", (), 0.60, 0.18, ("dead", "killed", "fatality", "fatalities", "death toll", "deaths", "died", "lives", "perished"), (rf"(?P<num>{NS})\s*(?:people\s*|persons?\s*|civilians?\s*)?(?:were\s*|have\s*been\s*)?(?:killed|dead|died|fatalities?)", rf"(?:killed|claimed|left|took)\s*(?:at least\s*)?(?:more than\s*)?(?:over\s*)?(?:about\s*)?(?P<num>{NS})\s*(?:people|lives|persons?|dead|fatalities?)?", rf"(?:death toll|deaths?)\s*(?:rose to|climbed to|reached|surpassed|exceeded|at|of|:|stands at|now at)\s*(?:at least\s*)?(?:over\s*)?(?P<num>{NS})", rf"(?P<num>{NS})\s*(?:people\s*)?(?:killed|dead)\s*(?:in|after|following|from|by)", rf"(?:claiming|costing|cost)\s*(?:at least\s*)?(?:over\s*)?(?:more than\s*)?(?P<num>{NS})\s*(?:lives?|deaths?|fatalities?)", rf"(?:at least\s*|over\s*|more than\s*)?(?P<num>{NS})\s*(?:people|persons?)\s*(?:lost their lives|perished|were killed|have died)")),
-    Rule("injured", (), 0.58, 0.18, ("injured", "wounded", "hurt"), (rf"(?P<num>{NS})\s*(?:people\s*)?(?:were\s*)?injured", rf"injur(?:ed|ing)\s*(?:at least\s*)?(?:more than\s*)?(?P<num>{NS})\s*(?:people|persons?)?")),
-    Rule("missing", (), 0.58, 0.18, ("missing", "unaccounted"), (rf"(?P<num>{NS})\s*(?:people\s*)?(?:are|were|remain)?\s*missing", rf"missing\s*(?:persons?\s*)?(?:toll\s*)?(?:rose to|reached|:)?\s*(?P<num>{NS})")),
-    Rule("displaced", (), 0.60, 0.18, ("displaced", "evacuated", "homeless", "relocated", "fled", "shelter", "evacuation"), (rf"(?P<num>{NS})\s*(?:people\s*|residents\s*|persons?\s*|families\s*)?(?:were\s*|have\s*been\s*)?(?:displaced|evacuated|homeless|relocated|forced to flee|fled their homes?)", rf"(?:displaced|evacuated|forced to flee|forced from their homes?)\s*(?:at least\s*)?(?:more than\s*)?(?:over\s*)?(?:about\s*)?(?:some\s*)?(?P<num>{NS})\s*{WHO}?", rf"(?P<num>{NS})\s*{WHO}\s*(?:fled|were forced to leave|were uprooted)", rf"(?P<num>{NS})\s*{WHO}\s*(?:are\s*)?(?:seeking shelter|in evacuation cent(?:er|re)|in emergency shelter|in relief camp)")),
-    Rule("people_affected", (), 0.55, 0.18, ("affected", "affecting", "impacted", "stranded", "people", "residents", "evacuation", "evacuated", "at risk", "under threat"), (rf"(?P<num>{NS})\s*(?:people|residents|persons?|families|households?)\s*(?:were\s*|are\s*|have been\s*)?(?:affected|impacted|stranded|displaced by|hit by)", rf"affect(?:ing|ed)\s*(?:at least\s*)?(?:more than\s*)?(?:about\s*)?(?:over\s*)?(?:around\s*)?(?:some\s*)?(?P<num>{NS})\s*(?:people|residents|persons?|families|households?)", rf"evacuation\s*(?:orders?|advisories?|warnings?|notices?)\s*(?:for|issued\s*(?:for|to)|affecting|covering)\s*(?:(?:more than|over|about|nearly|around|some)\s*)?(?P<num>{NS})\s*(?:people|residents|persons?|homes?|households?)?", rf"(?P<num>{NS})\s*(?:people|residents|persons?|homes?|households?)\s*(?:were\s*)?(?:under\s*)?(?:evacuation|evacuat(?:ed|ion))\s*(?:orders?|advisories?|warnings?)?", rf"(?P<num>{NS})\s*(?:people|residents|persons?)\s*(?:were\s*)?(?:ordered|told|forced|asked)\s*(?:to\s*)?evacuate", rf"(?P<num>{NS})\s*(?:people|residents|persons?)\s*(?:are\s*|were\s*)?(?:at risk|under threat|in harm|in the path|threatened)\b")),
+    Rule("magnitude", ("EQ",), 0.60, 0.18, ("magnitude", "richter", "earthquake", "quake", "aftershock"), (
+        rf"(?:magnitude|richter|mw|mb|ml|ms)\s*[:\-]?\s*(?P<num>{N})",
+        rf"\bM\s*(?P<num>{N})\b",
+        rf"(?P<num>{N})[- ]?(?:magnitude|richter|mw|mb|ml|ms)\b",
+    )),
+    Rule("depth", ("EQ",), 0.58, 0.18, ("depth", "deep", "earthquake", "hypocenter", "epicenter"), (
+        rf"(?:depth|deep)\s*(?:of\s*|:\s*)?(?P<num>{N})\s*(?P<unit>km|kilometers?|mi|miles?)",
+        rf"(?P<num>{N})\s*(?P<unit>km|kilometers?|mi|miles?)\s*(?:depth|deep)\b",
+    )),
+    Rule("rapidpopdescription", ("EQ",), 0.56, 0.22, ("mmi", "intensity", "earthquake", "quake", "aftershock", "shaking"), (
+        rf"(?P<raw>(?:few|{N})\s*(?:thousand|million|billion)?\s*people(?:\s+in\s+MMI\s+[IVX]+)?)",
+        rf"(?P<raw>MMI\s+[IVX]+\s*(?:felt by|affecting)\s*(?:few|{N})\s*(?:thousand|million|billion)?\s*people)",
+    ), True),
+    Rule("maximum_wind_speed_kmh", ("TC",), 0.54, 0.18, ("wind", "gust", "cyclone", "typhoon", "hurricane", "storm", "landfall"), (
+        rf"(?P<num>{N})\s*(?P<unit>km/h|kph|mph|knots?|kt|m/s)\s*(?:sustained\s*)?(?:winds?|gusts?)?",
+    )),
+    Rule("maximum_storm_surge_m", ("TC",), 0.62, 0.18, ("storm surge", "surge", "coastal flooding", "inundation", "cyclone", "typhoon", "hurricane"), (
+        rf"storm surge(?:\s*of)?\s*(?P<num>{N})\s*(?P<unit>m|meters?|ft|feet)",
+    )),
+    Rule("exposed_population", ("TC",), 0.58, 0.18, ("exposed", "at risk", "in the path", "track", "cyclone", "typhoon", "hurricane"), (
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?)\s*(?:were\s*)?(?:exposed|at risk|in the path|under threat|vulnerable)",
+        rf"(?:exposed|at risk|in the path)\s*(?:population\s*)?(?:of\s*)?(?P<num>{NS})",
+    )),
+    Rule("rainfall_mm", (), 0.50, 0.18, ("rain", "rainfall", "precipitation", "downpour", "flood", "storm"), (
+        rf"(?P<num>{N})\s*(?P<unit>mm|millimeters?|cm|inches?|in)\s*(?:of\s*)?(?:rain|rainfall|precipitation)",
+    )),
+    Rule("burned_area_ha", ("WF",), 0.58, 0.18, ("burned", "scorched", "charred", "wildfire", "bushfire", "blaze", "fire", "hectare", "acre"), (
+        rf"(?P<num>{N})\s*(?P<unit>ha|hectares?|acres?|km2|km²|square kilometers?|sq\.?\s*km)\s*(?:of\s*(?:land|forest|bush|vegetation|terrain))?\s*(?:burned|scorched|charred|destroyed|ablaze|on fire)?",
+        rf"(?:burned|scorched|charred|destroyed|consumed|razed)\s*(?:(?:over|about|more than|nearly|around|some)\s*)?(?P<num>{N})\s*(?P<unit>ha|hectares?|acres?|km2|km²|square kilometers?|sq\.?\s*km)",
+        rf"(?P<num>{N})\s*(?P<unit>ha|hectares?|acres?|km2|km²|square kilometers?|sq\.?\s*km)\s*(?:of\s*(?:land|forest|bush|vegetation|terrain))\s*(?:burned|scorched|charred|destroyed|consumed|were burned|have burned)?",
+        rf"(?:fire|blaze|wildfire|bushfire)\s*(?:has\s*)?(?:burned|covered|spread over|scorched)\s*(?:(?:over|about|more than|nearly|around)\s*)?(?P<num>{N})\s*(?P<unit>ha|hectares?|acres?|km2|km²|square kilometers?|sq\.?\s*km)",
+    )),
+    Rule("affected_area_km2", ("DR", "FL"), 0.54, 0.18, ("affected area", "under water", "impacted area", "drought", "flooded area", "parched", "farmland", "land"), (
+        rf"(?P<num>{N})\s*(?P<unit>km2|km²|square kilometers?|sq\.?\s*km|sq\.?\s*mi|square miles?)\s*(?:affected|under water|impacted|parched|burned)?",
+        rf"(?P<num>{N})\s*(?P<unit>km2|km²|square kilometers?|sq\.?\s*km|sq\.?\s*mi|square miles?)\s*(?:of\s*)?(?:farmland|land|terrain|area)",
+    )),
+    Rule("duration_days", ("WF", "DR"), 0.52, 0.18, ("lasting", "lasted", "duration", "days", "weeks", "months", "drought", "wildfire", "blaze", "burning", "persisted"), (
+        rf"(?:for|lasting|lasted|persisting for|persisted for|burning for|raging for|continuing for|going on for)\s*(?P<num>{N})\s*(?P<unit>days?|weeks?|months?)",
+        rf"(?P<num>{N})\s*(?P<unit>days?|weeks?|months?)\s*(?:of\s*)?(?:drought|dry spell|wildfire|bushfire|fires?)",
+        rf"(?P<num>{N})-(?P<unit>day|week|month)\s*(?:wildfire|bushfire|blaze|drought|dry spell|fire)",
+        rf"(?:drought|fire|blaze|wildfire)\s*(?:that\s*)?(?:has\s*)?(?:lasted|burned|continued|persisted|gone on)\s*(?:for\s*)?(?P<num>{N})\s*(?P<unit>days?|weeks?|months?)",
+        rf"(?P<num>{N})\s*(?P<unit>days?|weeks?|months?)\s*ago\b",
+    )),
+    Rule("economic_loss_usd", (), 0.55, 0.18, ("loss", "losses", "damage", "insured", "economic"), (
+        rf"(?:\$|usd)\s*(?P<num>{N})\s*(?P<scale>k|m|b|thousand|million|billion)?\s*(?:in\s*)?(?:losses?|damage)",
+        rf"(?:losses?|damage)\s*(?:estimated at|of|around|near)?\s*(?:\$|usd)\s*(?P<num>{N})\s*(?P<scale>k|m|b|thousand|million|billion)?",
+    )),
+    Rule("affected_country_count", ("DR",), 0.62, 0.18, ("countries", "nations", "across", "drought", "affecting"), (
+        r"(?:across|affecting|spanning)\s*(?P<num>\d+)\s*(?:countries|nations)",
+        r"(?P<num>\d+)\s*(?:countries|nations)\s*(?:affected|impacted|hit|experiencing)",
+    )),
+    Rule("dead", (), 0.60, 0.18, ("dead", "killed", "fatality", "fatalities", "death toll", "deaths", "died", "lives", "perished"), (
+        rf"(?P<num>{NS})\s*(?:people\s*|persons?\s*|civilians?\s*)?(?:were\s*|have\s*been\s*)?(?:killed|dead|died|fatalities?)",
+        rf"(?:killed|claimed|left|took)\s*(?:at least\s*)?(?:more than\s*)?(?:over\s*)?(?:about\s*)?(?P<num>{NS})\s*(?:people|lives|persons?|dead|fatalities?)?",
+        rf"(?:death toll|deaths?)\s*(?:rose to|climbed to|reached|surpassed|exceeded|at|of|:|stands at|now at)\s*(?:at least\s*)?(?:over\s*)?(?P<num>{NS})",
+        rf"(?P<num>{NS})\s*(?:people\s*)?(?:killed|dead)\s*(?:in|after|following|from|by)",
+        rf"(?:claiming|costing|cost)\s*(?:at least\s*)?(?:over\s*)?(?:more than\s*)?(?P<num>{NS})\s*(?:lives?|deaths?|fatalities?)",
+        rf"(?:at least\s*|over\s*|more than\s*)?(?P<num>{NS})\s*(?:people|persons?)\s*(?:lost their lives|perished|were killed|have died)",
+    )),
+    Rule("injured", (), 0.58, 0.18, ("injured", "wounded", "hurt"), (
+        rf"(?P<num>{NS})\s*(?:people\s*)?(?:were\s*)?injured",
+        rf"injur(?:ed|ing)\s*(?:at least\s*)?(?:more than\s*)?(?P<num>{NS})\s*(?:people|persons?)?",
+    )),
+    Rule("missing", (), 0.58, 0.18, ("missing", "unaccounted"), (
+        rf"(?P<num>{NS})\s*(?:people\s*)?(?:are|were|remain)?\s*missing",
+        rf"missing\s*(?:persons?\s*)?(?:toll\s*)?(?:rose to|reached|:)?\s*(?P<num>{NS})",
+    )),
+    Rule("displaced", (), 0.60, 0.18, ("displaced", "evacuated", "homeless", "relocated", "fled", "shelter", "evacuation"), (
+        rf"(?P<num>{NS})\s*(?:people\s*|residents\s*|persons?\s*|families\s*)?(?:were\s*|have\s*been\s*)?(?:displaced|evacuated|homeless|relocated|forced to flee|fled their homes?)",
+        rf"(?:displaced|evacuated|forced to flee|forced from their homes?)\s*(?:at least\s*)?(?:more than\s*)?(?:over\s*)?(?:about\s*)?(?:some\s*)?(?P<num>{NS})\s*(?:people|residents|families|persons?)?",
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?|families)\s*(?:fled|were forced to leave|were uprooted)",
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?|families)\s*(?:are\s*)?(?:seeking shelter|in evacuation cent(?:er|re)|in emergency shelter|in relief camp)",
+    )),
+    Rule("people_affected", (), 0.55, 0.18, ("affected", "affecting", "impacted", "stranded", "people", "residents", "evacuation", "evacuated", "at risk", "under threat"), (
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?|families|households?)\s*(?:were\s*|are\s*|have been\s*)?(?:affected|impacted|stranded|displaced by|hit by)",
+        rf"affect(?:ing|ed)\s*(?:at least\s*)?(?:more than\s*)?(?:about\s*)?(?:over\s*)?(?:around\s*)?(?:some\s*)?(?P<num>{NS})\s*(?:people|residents|persons?|families|households?)",
+        rf"evacuation\s*(?:orders?|advisories?|warnings?|notices?)\s*(?:for|issued\s*(?:for|to)|affecting|covering)\s*(?:(?:more than|over|about|nearly|around|some)\s*)?(?P<num>{NS})\s*(?:people|residents|persons?|homes?|households?)?",
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?|homes?|households?)\s*(?:were\s*)?(?:under\s*)?(?:evacuation|evacuat(?:ed|ion))\s*(?:orders?|advisories?|warnings?)?",
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?)\s*(?:were\s*)?(?:ordered|told|forced|asked)\s*(?:to\s*)?evacuate",
+        rf"(?P<num>{NS})\s*(?:people|residents|persons?)\s*(?:are\s*|were\s*)?(?:at risk|under threat|in harm|in the path|threatened)\b",
+    )),
 )
 
 FIELDS = [r.field for r in RULES if not r.text]
+RAPID = ["rapid_missing", "rapid_few_people", "rapid_unparsed"]
+REACH, NEGATION_REACH = 8, 5
 _SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "billion": 1e9}
+_NUMBER = re.compile(r"(\d+(?:\.\d+)?)\s*(k|m|b|thousand|million|billion)?")
+_CUES = re.compile(r"\b(?:" + "|".join(NEGATIONS) + r")\b")
+_TOKEN = re.compile(r"\b[\w/]+\b")
 _compiled: list = []
 
 
-def number(text: str, scale: str | None = None) -> float | None:
-    m = re.match(rf"({N})\s*([a-z]+)?", text.strip().lower())
-    return float(m[1].replace(",", "")) * _SCALES.get(scale or m[2] or "", 1.0) if m else None
+def number(text: str) -> float | None:
+    """A number with commas and at most a scale after it."""
+    m = _NUMBER.fullmatch(" ".join(text.split()).lower().replace(",", ""))
+    return float(m[1]) * _SCALES.get(m[2] or "", 1.0) if m else None
 
 
 def converted(field: str, value: float, unit: str) -> float:
-    name = re.sub(r"(?<!/)s$", "", unit.strip().lower())
+    name = re.sub(r"(?<!/)s$", "", " ".join(unit.lower().split()))
     return value * UNIT_FACTORS.get(field, {}).get(name, 1.0)
 
 
-def binding(tokens: list[tuple[int, int, str]], at: int, anchors: tuple[str, ...], reach: int = 8) -> float:
-    """How well a number at a token is bound to the nearest anchors."""
-    lo, hi = max(0, at - reach), min(len(tokens), at + reach + 1)
-    words = [t[2] for t in tokens[lo:hi]]
-    joined, hits, nearest = " ".join(words), 0, reach
-    for a in anchors:
-        if " " in a or "-" in a:
-            if a in joined:
-                hits, nearest = hits + 1, min(nearest, 1)
-        else:
-            gaps = [abs(lo + i - at) for i, w in enumerate(words) if w.startswith(a)]
-            if gaps:
-                hits, nearest = hits + 1, min(nearest, min(gaps))
-    return 0.42 + 0.12 * min(hits, 3) + max(0.0, 0.26 - 0.03 * nearest) if hits else 0.08
-
-
-def extract(text: str | None, code: str) -> dict[str, tuple[float | str, float, str]]:
-    """Best (value, confidence, evidence) of each field."""
+class Report:
+    """A text in the forms that the rules need: its tokens, and its sentences with their places."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text.lower())]
+        self.starts = [t[0] for t in self.tokens]
+        self.words = {t[2] for t in self.tokens}
+        self.line = " ".join(t[2] for t in self.tokens)
+        self.cuts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)), len(text) + 1]
+
+    def token(self, place: int) -> int:
+        """The token at a place; for a place in no token the last one, or the first one before it."""
+        k = bisect_right(self.starts, place) - 1
+        if k < 0:
+            return 0
+        return k if place < self.tokens[k][1] else len(self.tokens) - 1
+
+    def has_any(self, anchors: tuple[str, ...]) -> bool:
+        return any(a in self.line if " " in a else a in self.words for a in anchors)
+
+    def binding(self, first: int, last: int, anchors: tuple[str, ...]) -> float:
+        """How well a match, from one token to another, is bound to anchors around it."""
+        lo, hi = max(0, first - REACH), min(len(self.tokens) - 1, last + REACH)
+        window = [t[2] for t in self.tokens[lo : hi + 1]]
+        line, gaps = " ".join(window), []
+        for a in anchors:
+            if " " in a:
+                gaps += [1] if a in line else []
+            else:
+                gaps += [min(abs(lo + i - first), abs(lo + i - last)) for i, w in enumerate(window) if w == a]
+        if not gaps:
+            return 0.08
+        return min(1.0, 0.42 + 0.12 * min(len(gaps), 3) + max(0.0, 0.26 - 0.03 * min(gaps)))
+
+    def negated(self, first: int, last: int) -> bool:
+        lo, hi = max(0, first - NEGATION_REACH), min(len(self.tokens) - 1, last + NEGATION_REACH)
+        return _CUES.search(" ".join(t[2] for t in self.tokens[lo : hi + 1])) is not None
+
+    def sentence(self, begin: int, end: int) -> str:
+        """The sentence that holds a span, or nothing if it reaches over a sentence's end."""
+        k = bisect_right(self.cuts, begin)
+        found = self.text[self.cuts[k - 1] : self.cuts[k] if k < len(self.cuts) else None].rstrip()
+        return found if end <= self.cuts[k - 1] + len(found) else ""
+
+
+def candidates(report: Report, rule: Rule, patterns: list) -> Iterator[tuple[float, float | str, str, str]]:
+    """(confidence, value, evidence, match) of each match that is bound well enough."""
+    for pattern in patterns:
+        for m in pattern.finditer(report.text):
+            first, last = report.token(m.start()), report.token(max(m.start(), m.end() - 1))
+            score = report.binding(first, last, rule.anchors)
+            if score < rule.least:
+                continue
+            evidence = report.sentence(*m.span()) or m[0]
+            confidence = rule.base + 0.24 * score - 0.20 * report.negated(first, last)
+            if rule.text:
+                value: float | str | None = " ".join(m["raw"].split())
+            else:
+                parts = m.groupdict()
+                value = number(parts["num"])
+                if value is not None:
+                    value = converted(rule.field, value * _SCALES.get((parts.get("scale") or "").lower(), 1.0), parts.get("unit") or "")
+                confidence += 0.04 * ("official" in evidence.lower())
+            if value is not None and value != "":
+                yield min(0.98, max(0.05, confidence)), value, evidence, m[0]
+
+
+def extract(text: str | None, code: str, fields: frozenset[str] | None = None) -> dict[str, tuple[float | str, float, str, str]]:
+    """Best (value, confidence, evidence, match) of each field, or of the fields asked for."""
     if not _compiled:
         _compiled.extend((r, [re.compile(p, re.I) for p in r.patterns]) for r in RULES)
-    text = re.sub(r"\s+", " ", text or "").strip()
+    text = " ".join((text or "").split())
     if not text:
         return {}
-    tokens = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\b[\w/]+\b", text)]
-    starts = [t[0] for t in tokens]
-    cuts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)), len(text)]
-    out: dict[str, tuple[float | str, float, str]] = {}
+    report = Report(text)
+    out: dict[str, tuple[float | str, float, str, str]] = {}
     for rule, patterns in _compiled:
-        if rule.types and code not in rule.types:
+        if rule.types and code not in rule.types or fields is not None and rule.field not in fields or not report.has_any(rule.anchors):
             continue
-        for pattern in patterns:
-            for m in pattern.finditer(text):
-                at = max(0, bisect_right(starts, m.start("raw" if rule.text else "num")) - 1)
-                score = binding(tokens, at, rule.anchors)
-                if score < rule.least:
-                    continue
-                k = bisect_right(cuts, m.start())
-                evidence = text[cuts[k - 1] : cuts[min(k, len(cuts) - 1)]].strip()
-                near = [t[2] for t in tokens[max(0, at - 5) : at + 6]]
-                confidence = rule.base + 0.24 * score - 0.20 * any(n in near for n in NEGATIONS)
-                if rule.text:
-                    value: float | str | None = m["raw"].strip()
-                else:
-                    parts = m.groupdict()
-                    value = number(parts["num"], (parts.get("scale") or "").lower() or None)
-                    value = converted(rule.field, value, parts.get("unit") or "") if value is not None else None
-                    confidence += 0.04 * ("official" in evidence.lower())
-                if value is None:
-                    continue
-                confidence = round(min(0.98, max(0.05, confidence)), 3)
-                best = out.get(rule.field)
-                rank = (confidence, value if not rule.text else 0.0)
-                if best is None or rank > (best[1], best[0] if not rule.text else 0.0):
-                    out[rule.field] = (round(value, 6) if not rule.text else value, confidence, evidence)
+        best = None
+        for found in candidates(report, rule, patterns):
+            rank = (found[0], 0.0 if rule.text else found[1])
+            if best is None or rank > best[0]:
+                best = rank, found
+        if best:
+            confidence, value, evidence, raw = best[1]
+            out[rule.field] = (value if rule.text else round(value, 6), round(confidence, 3), evidence, raw)
     return out
 
 
-def extract_fields(df: DataFrame, keep: list[str], text: str = "text", label: str = "label") -> DataFrame:
-    """The columns to keep, one column for each field, rapidpopdescription, and metrics (field to value, confidence and evidence)."""
+def rapid_features(text: str) -> dict[str, float | None]:
+    """The five features of a population description."""
+    low = " ".join(text.split()).lower()
+    few = "few people" in low
+    m = re.search(r"(\d+(?:\.\d+)?)\s*(thousand|million|billion)?", low)
+    people = float(m[1]) * _SCALES.get(m[2] or "", 1.0) if m else 100.0 if few else None
+    log = None if people is None else round(math.log1p(people), 6)
+    return {"rapid_pop_people": people, "rapid_pop_log": log, "rapid_missing": float(not low), "rapid_few_people": float(few), "rapid_unparsed": float(bool(low) and not few and m is None)}
+
+
+def code_of(label: str | None) -> str:
+    """The type's code; empty for an unknown one."""
+    return TYPE_CODES.get((label or "").strip().lower(), "")
+
+
+def record(text: str | None, label: str | None, timestamp: str | None = None, place: str | None = None) -> dict:
+    """The whole record of a report: metrics with units and evidence, derived features, sectors, impact summary and meta."""
+    code = code_of(label)
+    found = extract(text, code)
+    metrics = {f: {"value": v, "unit": UNITS.get(f, "people"), "confidence": c, "evidence": e, "raw": r} for f, (v, c, e, r) in found.items()}
+    clean = " ".join((text or "").split())
+    if source := metrics.get("rapidpopdescription"):
+        for f, v in rapid_features(str(source["value"])).items():
+            metrics[f] = {"value": v, "unit": RAPID_UNITS[f], "confidence": round(max(0.0, source["confidence"] - 0.05), 3), "evidence": source["evidence"], "raw": source["raw"]}
+    elif code == "EQ" and clean:
+        for f in RAPID:
+            metrics[f] = {"value": float(f == "rapid_missing"), "unit": "flag", "confidence": 1.0, "evidence": "", "raw": ""}
+    low = clean.lower()
+    hints = {s: n for s, words in SECTOR_WORDS.items() if (n := sum(w in low for w in words))}
+    sectors = sorted(hints, key=lambda s: -hints[s])
+    z = lambda f: float(metrics[f]["value"]) if f in metrics else 0.0
+    score = 18 * math.log1p(z("dead")) + 8 * math.log1p(z("displaced")) + 4 * math.log1p(z("people_affected")) + 12 * math.log1p(z("economic_loss_usd") / 1e6) + 0.08 * z("maximum_wind_speed_kmh") + 2.5 * z("magnitude") + 3 * math.log1p(z("burned_area_ha") / 1e3)
+    score = min(100.0, max(0.0, score))
+    return {
+        "event_type": code or None,
+        "metrics": metrics,
+        "sector_hints": hints,
+        "affected_sectors": sectors,
+        "low_confidence": all(f not in metrics for f in TEXT_KEYS[code]) if code else None,
+        "stock_impact_summary": {"impact_score_0_100": round(score, 3), "impact_tier": "high" if score >= 65 else "medium" if score >= 35 else "low", "likely_affected_sectors": sectors},
+        "meta": {"timestamp": " ".join((timestamp or "").split()), "location_text": " ".join((place or "").split())},
+    }
+
+
+def extract_fields(df: DataFrame, keep: list[str], text: str = "text", label: str = "label", fields: list[str] | None = None) -> DataFrame:
+    """The columns to keep and one column for each field asked for (all fields and rapidpopdescription by default)."""
+    wanted = [*FIELDS, "rapidpopdescription"] if fields is None else fields
     schema = df.select(*keep).schema
-    for f in FIELDS:
-        schema = schema.add(f, "double")
-    schema = schema.add("rapidpopdescription", "string").add("metrics_json", "string")
+    for f in wanted:
+        schema = schema.add(f, "string" if f == "rapidpopdescription" else "double")
+    asked = frozenset(wanted)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for batch in batches:
             texts, labels = batch.column("__text").to_pylist(), batch.column("__label").to_pylist()
-            got = [extract(t, TYPE_CODES.get((x or "").strip().lower(), "")) for t, x in zip(texts, labels)]
-            cols = [pa.array([g[f][0] if f in g else None for g in got], pa.float64()) for f in FIELDS]
-            text_col = pa.array([g["rapidpopdescription"][0] if "rapidpopdescription" in g else None for g in got], pa.string())
-            dump = pa.array([json.dumps({k: {"value": v, "confidence": c, "evidence": e} for k, (v, c, e) in g.items()}, sort_keys=True) for g in got], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *cols, text_col, dump], schema.fieldNames())
+            got = [extract(t, code_of(x), asked) for t, x in zip(texts, labels)]
+            cols = [pa.array([g[f][0] if f in g else None for g in got], pa.string() if f == "rapidpopdescription" else pa.float64()) for f in wanted]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *cols], schema.fieldNames())
 
     return df.select(*keep, F.col(text).alias("__text"), F.col(label).alias("__label")).mapInArrow(extracted, schema)
 
 
-def sector_hints(text) -> F:
+def extract_features(df: DataFrame, text: str = "text", label: str = "label", timestamp: str = "timestamp", place: str = "location_text", out: str = "event_features") -> DataFrame:
+    """The table with a column of JSON records. The text column must be there; other inputs that are missing count as empty."""
+    if text not in df.columns:
+        raise ValueError(f"no column {text}")
+    have = [F.col(c).cast("string") if c in df.columns else F.lit("") for c in (label, timestamp, place)]
+    inputs = [F.col(text).cast("string").alias("__a"), *(c.alias(n) for c, n in zip(have, ("__b", "__c", "__d")))]
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+
+    def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("__a", "__b", "__c", "__d")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array([json.dumps(record(*r), ensure_ascii=False) for r in rows], pa.string())], schema.fieldNames())
+
+    return df.select(*df.columns, *inputs).mapInArrow(recorded, schema)
+
+
+def sector_hints(text: Column) -> Column:
     """Sectors by how many of their keywords a text has, most first."""
     hits = [F.struct((-sum(F.when(F.lower(text).contains(w), 1).otherwise(0) for w in words)).alias("n"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, (s, words) in enumerate(SECTOR_WORDS.items())]
     return F.transform(F.filter(F.array_sort(F.array(*hits)), lambda h: h["n"] < 0), lambda h: h["s"])
