@@ -1,83 +1,72 @@
-"""Severity forests and the text classifier."""
+"""Forests by hazard type and the text classifier."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazmill.functions.exprs import flood_severity
+from hazmill.ml.severity import DEPTH, FEATURES, TREES, SeverityModels, fit_forest, with_features
 from hazmill.operators.tables import class_weights
 
-# Each type's features and tree depth.
-FEATURES = {
-    "EQ": ["magnitude", "depth", "rapid_people", "rapid_log", "rapid_missing", "rapid_few", "rapid_unparsed"],
-    "TC": ["maximum_wind_speed_kmh", "maximum_storm_surge_m", "exposed_population"],
-    "WF": ["duration_days", "burned_area_ha", "people_affected"],
-    "DR": ["duration_days", "affected_area_km2", "affected_country_count"],
-}
-DEPTH = {"EQ": 10, "TC": 10, "WF": 8, "DR": 8}
 
+class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Sparse counts c as 1 + ln c."""
 
-def train_severity(df: DataFrame, features: list[str], label: str = "positive", depth: int = 10, trees: int = 300, seed: int = 42) -> tuple[PipelineModel, dict[str, float]]:
-    """A balanced forest over features whose nulls become their exact medians. label: 0 or 1."""
-    medians = df.agg(*[F.median(c).alias(c) for c in features]).first().asDict()
-    filled = df.fillna({c: v for c, v in medians.items() if v is not None}).fillna(0.0, features)
-    weighted = filled.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    return Pipeline(stages=[assembler, forest]).fit(weighted), medians
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        if inputCol:
+            self._set(inputCol=inputCol, outputCol=outputCol)
 
+    def _transform(self, df: DataFrame) -> DataFrame:
+        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+        return df.withColumn(self.getOutputCol(), damped(self.getInputCol()))
 
-def predict_severity(df: DataFrame, model: PipelineModel, medians: dict[str, float]) -> DataFrame:
-    """With prob (of the positive class) and predicted_alert."""
-    filled = df.fillna({c: v if v is not None else 0.0 for c, v in medians.items()})
-    prob = vector_to_array("probability")[1]
-    return model.transform(filled).withColumn("prob", prob).withColumn("predicted_alert", F.when(prob >= 0.5, "orange_or_red").otherwise("green")).drop("features", "rawPrediction", "probability", "prediction")
 
+def severity_by_type(df: DataFrame, kind: str = "eventtype", trees: int = TREES, seed: int = 42) -> DataFrame:
+    """With prob and predicted_alert: a forest for each type over its own rows and features; floods by rule, without a prob.
 
-def severity_by_type(df: DataFrame, kind: str = "eventtype", label: str = "positive", trees: int = 300, seed: int = 42) -> DataFrame:
-    """With prob and predicted_alert: a forest for each type over its own rows and FEATURES; floods by rule, without a prob.
-
-    df: a double column for each feature, dead and displaced; those that it lacks are null. A type without rows of both classes has
-    no forest: its rows have neither prob nor alert, as have rows of unknown type.
+    df: positive (0 or 1; null for rows not to learn from) and a column for each feature, dead and displaced; those that it lacks are
+    null. A type without rows of both classes has no forest: its rows have neither prob nor alert, as have rows of unknown type.
     """
-    wanted = [*dict.fromkeys(c for columns in FEATURES.values() for c in columns), "dead", "displaced"]
-    full = df.select("*", *[F.lit(None).cast("double").alias(c) for c in wanted if c not in df.columns])
-    none, alert = F.lit(None).cast("double"), flood_severity(F.col("dead"), F.col("displaced"))
-    rest = full.filter(F.col(kind).isNull() | ~F.col(kind).isin(*FEATURES))
-    out = rest.select(*df.columns, none.alias("prob"), F.when(F.col(kind) == "FL", alert).alias("predicted_alert"))
-    for name, features in FEATURES.items():
-        rows = full.filter(F.col(kind) == name)
-        if rows.filter(F.col(label).isNotNull()).select(label).distinct().count() < 2:
-            got = rows.select("*", none.alias("prob"), F.lit(None).cast("string").alias("predicted_alert"))
-        else:
-            model, medians = train_severity(rows.filter(F.col(label).isNotNull()), features, label, DEPTH[name], trees, seed)
-            # the rows' own columns stay as they were: only the copies under the feature names are filled
-            kept = rows.select(F.struct(*df.columns).alias("row"), *features)
-            got = predict_severity(kept, model, {c: medians[c] for c in features}).select("row.*", "prob", "predicted_alert")
-        out = out.unionByName(got.select(*df.columns, "prob", "predicted_alert"))
-    return out
+    full = df.select("*", *[F.lit(None).cast("double").alias(c) for c in ("dead", "displaced") if c not in df.columns])
+    models = {}
+    for name in FEATURES:
+        rows = with_features(full.filter((F.col(kind) == name) & F.col("positive").isNotNull()), name)
+        if rows.select("positive").distinct().count() > 1:
+            models[name] = fit_forest(rows, FEATURES[name], DEPTH[name], trees, seed)
+    return SeverityModels(given=models).predict(full, kind).select(*df.columns, "prob", "predicted_alert")
 
 
-def train_text(df: DataFrame, text: str = "text", label: str = "label", c: float = 5.0, vocabulary: int = 100_000, least: float = 2.0) -> PipelineModel:
-    """TF-IDF of one- and two-word terms (log frequency, unit length) and a balanced multinomial logistic regression."""
+def train_text(df: DataFrame, text: str = "text", label: str = "label", c: float = 5.0, vocabulary: int = 100_000, least: float = 2.0, iterations: int = 1000) -> PipelineModel:
+    """TF-IDF of one- and two-word terms (logarithmic frequency, unit length) and a balanced multinomial logistic regression."""
     n = df.count()
-    weighted = df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    weighted = df.join(class_weights(df, label).select(label, "weight"), label)
     stages = [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=least),
-        IDF(inputCol="counts", outputCol="weighted"),
+        LogCounts(inputCol="counts", outputCol="damped"),
+        IDF(inputCol="damped", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features"),
         StringIndexer(inputCol=label, outputCol="target", handleInvalid="keep"),
-        LogisticRegression(labelCol="target", weightCol="weight", regParam=1 / (c * max(1, n)), maxIter=100),
+        LogisticRegression(labelCol="target", weightCol="weight", regParam=1 / (c * max(1, n)), maxIter=iterations),
     ]
     return Pipeline(stages=stages).fit(weighted)
 
 
-__all__ = ["DEPTH", "FEATURES", "array_to_vector", "predict_severity", "severity_by_type", "train_severity", "train_text"]
+def label_predictions(model: PipelineModel, df: DataFrame, out: str = "pred", confidence: str = "confidence") -> DataFrame:
+    """The table with the most probable label and its probability."""
+    labels = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
+    names = F.array(*map(F.lit, labels))
+    got = model.transform(df).withColumn("__p", vector_to_array("probability"))
+    best = F.array_position(F.slice("__p", 1, len(labels)), F.array_max(F.slice("__p", 1, len(labels)))).cast("int")
+    return got.select(*df.columns, F.element_at(names, best).alias(out), F.array_max("__p").alias(confidence))
