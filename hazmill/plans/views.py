@@ -36,7 +36,10 @@ EV = """select o_orderkey as event_id, cast(o_orderdate as date) as event_date,
  case cast(floor(o_orderkey / 10) as bigint) % 5 when 0 then 'EQ' when 1 then 'TC' when 2 then 'WF' when 3 then 'DR' else 'FL' end as event_type,
  case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'orange_or_red' else 'green' end as severity,
  case o_custkey % 6 when 0 then 'ECONOMY' when 1 then 'LARGE' when 2 then 'MEDIUM' when 3 then 'PROMO' when 4 then 'SMALL' else 'STANDARD' end as ticker
- from orders where o_orderkey % 10 = 0"""
+ from orders"""
+
+# the same events on the first day of their month, so that dates lie free between them
+EVM = EV.replace("cast(o_orderdate as date) as event_date", "cast(date_trunc('month', o_orderdate) as date) as event_date")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
