@@ -1,10 +1,10 @@
 import itertools
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 
-from hazmill.extract.rules import binding, extract
+from hazmill.extract.rules import Report, extract, record
 from hazmill.operators import events as E
 from hazmill.operators import tables as T
 
@@ -56,11 +56,56 @@ def test_ranking_metrics_against_pairs(spark):
 def test_extraction():
     got = extract("A magnitude 6.2 earthquake struck at a depth of 10 miles. Official reports: it killed 12 men.", "EQ")
     assert got["magnitude"][0] == 6.2 and got["depth"][0] == pytest.approx(16.0934) and got["dead"][0] == 12
-    assert extract("", "EQ") == {} and "magnitude" not in extract("magnitude 6.2 earthquake", "TC")
-    assert binding([(0, 1, "x")], 0, ("dead",)) == 0.08
+    assert extract("", "EQ") == {} == extract(None, "") and "magnitude" not in extract("magnitude 6.2 earthquake", "TC")
+    assert Report("x y").binding(0, 0, ("dead",)) == 0.08
+    assert "dead" in extract("The fire left 3 dead.", "") and "dead" not in extract("It left 3 here.", "FL")
+
+
+def test_anchors_must_be_whole_tokens_and_each_counts():
+    report = Report("killed killed killed killers 12")
+    assert report.binding(4, 4, ("killed",)) == pytest.approx(0.42 + 0.36 + 0.26 - 0.06)
+    assert report.binding(4, 4, ("kill",)) == 0.08
+
+
+def test_whole_record():
+    r = record("Quake hits the port [SEP] Shaking felt: few people in MMI VI. Crops and crop harvest lost.", "earthquake", " now ", None)
+    assert r["metrics"]["rapid_pop_people"]["value"] == 100.0 and r["metrics"]["rapid_few_people"]["value"] == 1.0 and r["low_confidence"] is True
+    assert r["sector_hints"] == {"transportation": 1, "agriculture": 2} and r["affected_sectors"] == ["agriculture", "transportation"] and r["meta"] == {"timestamp": "now", "location_text": ""}
+    assert record("", "EQ")["metrics"] == {} and record("x", "volcano")["low_confidence"] is None and record("x", "EQ")["metrics"]["rapid_missing"]["value"] == 1.0
 
 
 def test_queries_import():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 50
+
+
+def test_clusters_across_gaps_and_without_dates(spark):
+    rng, rows = random.Random(9), []
+    for pos in range(400):
+        day = None if rng.random() < 0.15 else date(2025, 1, 1) + timedelta(rng.choice([0, 3, 6, 9, 30, 33, 36, 60, 61]))
+        rows.append((pos, rng.choice(["flood", "eq"]), str(day) if day else None, rng.choice(["JP", None]), " ".join(rng.sample(["alpha", "beta", "gamma", "north"], rng.randint(0, 2)))))
+    df = spark.createDataFrame(rows, "pos long, label string, event_date string, country_iso2 string, location_text string")
+    got = {r.pos: (r.cluster, r.seq) for r in E.greedy_clusters(df).collect()}
+    groups = {}
+    for pos, label, day, iso, place in rows:
+        groups.setdefault((label, iso), []).append((day or "9999", pos, frozenset(place.split()) - {"north"}))
+    for members in groups.values():
+        members.sort(key=lambda m: m[:2])
+        days = [None if d == "9999" else date.fromisoformat(d).toordinal() for d, _, _ in members]
+        want = slow_first_fit(days, [t for _, _, t in members])
+        assert [got[p] for _, p, _ in members] == [(c, i) for i, c in enumerate(want)]
+
+
+def test_as_of_takes_the_first_day_on_or_after(spark):
+    from hazmill.operators.event_study import event_days
+
+    days = spark.createDataFrame([("A", date(2025, 1, d), p) for p, d in enumerate([2, 3, 7])] + [("B", date(2025, 1, 9), 0)], "ticker string, date date, pos int")
+    asked = spark.createDataFrame([(i, "A", date(2025, 1, d)) for i, d in enumerate([1, 2, 4, 7, 8])], "event_id long, ticker string, event_date date")
+    assert [r.t0_pos for r in event_days(asked, days).orderBy("event_id").collect()] == [0, 0, 2, 2, None]
+
+
+def test_splits_are_stratified_and_cover_all(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 10 = 0, 'rare', 'common') as c")
+    n = {(r.c, r.split): r["count"] for r in T.random_split(df, "c", "id").groupBy("c", "split").count().collect()}
+    assert n == {("rare", "test"): 20, ("rare", "val"): 10, ("rare", "train"): 70, ("common", "test"): 180, ("common", "val"): 90, ("common", "train"): 630}
