@@ -220,3 +220,21 @@ INDUSTRY_PATTERNS = {
 def industries(text: Column) -> Column:
     """The sectors that a text names, sorted."""
     return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(s)) for s, p in INDUSTRY_PATTERNS.items()])))
+
+
+# Companies in the news and their sectors, in the order in which a name is tried.
+COMPANY_SECTORS = {
+    "aig": "insurance", "allianz": "insurance", "axa": "insurance", "munich re": "insurance", "swiss re": "insurance", "lloyd's": "insurance", "zurich": "insurance", "berkshire": "insurance", "allstate": "insurance", "state farm": "insurance", "tokio marine": "insurance",
+    "chevron": "energy", "exxon": "energy", "shell": "energy", "bp": "energy", "total": "energy", "conocophillips": "energy", "halliburton": "energy", "schlumberger": "energy", "petronas": "energy", "sinopec": "energy",
+    "pg&e": "utilities", "duke energy": "utilities", "nextera": "utilities",
+    "cargill": "agriculture", "adm": "agriculture", "bunge": "agriculture", "tyson": "agriculture", "nestle": "agriculture", "unilever": "agriculture",
+    "caterpillar": "construction", "lafarge": "construction", "bechtel": "construction", "fluor": "construction",
+    "bhp": "mining", "rio tinto": "mining", "vale": "mining", "barrick": "mining", "freeport": "mining", "glencore": "mining",
+    "united airlines": "tourism", "delta": "tourism", "american airlines": "tourism", "southwest": "tourism", "lufthansa": "tourism", "air france": "tourism", "marriott": "tourism", "hilton": "tourism",
+}
+
+
+def company_sectors(names: Column) -> Column:
+    """The sectors of organisations (an array of names from a recogniser), sorted: each by the first known company that its name holds."""
+    first = lambda n: F.coalesce(*[F.when(F.lower(F.trim(n)).contains(k), s) for k, s in COMPANY_SECTORS.items()])
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(names, F.array().cast("array<string>")), first))))

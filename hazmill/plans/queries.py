@@ -719,6 +719,12 @@ def q_small_functions(spark, d):
     return s.select("s_suppkey", F.array_join(items, ",").alias("joined"), F.round(X.relative_error(k % 5, F.col("s_acctbal")), 4).alias("error"), EV.iso_week(day).alias("week"), X.clamp((k % 10).cast("double"), 2.0, 7.0).alias("clamped"))
 
 
+@query("select s_suppkey, case s_suppkey % 4 when 0 then 'energy,insurance' when 1 then 'utilities' when 2 then '' else 'mining' end as sectors from supplier")
+def q_company_sectors(spark, d):
+    names = F.element_at(F.array(F.array(F.lit("Royal Dutch Shell plc"), F.lit(" Munich RE"), F.lit("Allianz SE")), F.array(F.lit("PG&E Corp"), F.lit("Acme")), F.array(F.lit("Nobody")), F.array(F.lit("Rio Tinto"), F.lit("VALE S.A."))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return V.view(spark, d, "select * from supplier").select("s_suppkey", F.array_join(X.company_sectors(names), ",").alias("sectors"))
+
+
 PLACES = """select o_orderkey, o_orderpriority as label, case when o_orderkey % 4 = 0 then null else 'JP' end as gt_country, case when o_orderkey % 3 = 0 then null when o_orderkey % 5 = 0 then 'us' else 'jp' end as pred_country,
  case when o_orderkey % 7 = 0 then null else 'x' end as pred_location, 10.0 as gt_lat, 20.0 as gt_lon, case when o_orderkey % 2 = 0 then 10.0 + o_orderkey % 9 end as pred_lat, 20.0 as pred_lon, case o_orderkey % 6 when 0 then 'coords_text' when 1 then 'none' else 'location' end as confidence,
  case o_orderkey % 5 when 0 then null when 1 then '1995-03' else '1995-03-05' end as gt_date, case when o_orderkey % 3 = 0 then null else cast('1995-03-01' as date) end as pred_date from orders"""

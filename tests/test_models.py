@@ -55,6 +55,19 @@ def test_text_classifier(spark):
     assert all(r.label == r.pred and 0.5 < r.confidence <= 1 for r in got)
 
 
+def test_batched_labels(spark):
+    from hazmill.ml.batched import batched_labels
+
+    def make():
+        import numpy as np
+
+        return lambda x: np.stack([x, -x, np.zeros_like(x)], axis=1).astype(np.float32)
+
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([3, -2, 0])], "idx long, x double")
+    got = batched_labels(df, make, ["x"], ["a", "b", "c"]).orderBy("idx").collect()
+    assert [r.pred_label for r in got] == ["a", "b", "a"] and got[2].confidence == pytest.approx(1 / 3) and all(r.prob_a + r.prob_b + r.prob_c == pytest.approx(1) for r in got)
+
+
 def test_command_line(spark, folder, tmp_path):
     (tmp_path / "a.csv").write_text('idx,timestamp,label,text\n1,20250105120000,flood,"Flood in Kenya [SEP] A flood killed 150 people."\n2,20250105120000,not_related,x\n')
     cli.main(["extract", "--input", f"{tmp_path}/a.csv", "--output", f"{tmp_path}/features"])
