@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazmill.llm import chat, decontam, langid, mpegaudio, neardup, piece, pii, queries, tokenbin, tokencount, urlfilter
-from hazmill.llm.common import Folders
+from hazmill.llm.common import Folders, Words
 
 WORDS = "amber birch cedar delta ember fable grove heron inlet jolly knoll lemur mango north ocean piper quill raven sable tulip umber viola wheat xenon yacht zebra".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, weight string"
@@ -97,6 +97,66 @@ def test_languages(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def plain_trigrams(text):
+    """Letters with a word edge or a letter on each side."""
+    low = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+    return [low[i - 1 : i + 2] for i in range(1, len(low) - 1) if low[i] != "\0"]
+
+
+def test_languages_equal_exact_sets(spark):
+    """Brute force: shares of trigrams in each language's set, without filters."""
+    rng, letters = random.Random(7), ["aeioubcdfg", "aeioulmnpr", "äöüßklmstz", "aeiouñrstv"]
+    words = [["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(60)] for a in letters]
+    rows = [(i, " ".join(rng.choice(words[i % 4]) for _ in range(rng.randint(3, 60))), "abcd"[i % 4]) for i in range(400)]
+    rows += [(400 + i, " ".join(rng.choice(words[rng.randint(0, 3)]) for _ in range(12)), None) for i in range(100)]
+    learnt = {}
+    for i, t, name in rows:
+        if name and zlib.crc32(str(i).encode()) % 4 != 2:
+            learnt.setdefault(name, set()).update(plain_trigrams(t))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        grams = plain_trigrams(t)
+        shares = {name: sum(g in own for g in grams) / len(grams) for name, own in learnt.items()}
+        best = max(shares.values())
+        slack = 0.01 + 2 / len(grams)  # two false positives of the filters
+        assert got[i].score == pytest.approx(best, abs=slack)
+        assert shares[got[i].lang_pred] >= best - slack
+
+
+def test_leaks_equal_plain_alignment(spark):
+    """Brute force: every item is aligned with every passage of every document."""
+    rng = random.Random(13)
+    items = [(i, prose(rng, rng.randint(12, 70))) for i in range(12)]
+    texts = []
+    for k in range(120):
+        text = prose(rng, rng.randint(40, 400)).split()
+        if k % 2:
+            words = items[k % 12][1].split()
+            kept = [w for w in words if rng.random() > 0.05 * (k % 7)]
+            at = rng.randint(0, len(text))
+            text[at:at] = kept
+        texts.append(" ".join(text))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, texts), bench).collect()}
+    words = Words(pa.array([t for _, t in items], pa.large_string()))
+    own = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+    terms = np.unique(words.hash)
+    n = decontam.block_frequencies(docs(spark, texts).select("doc_id", "text"), spark.sparkContext.broadcast(terms))
+    idf = np.log((2 + n[-1]) / (1 + n[:-1]))
+    want = set()
+    for d, t in enumerate(texts):
+        h = Words(pa.array([t], pa.large_string())).hash
+        for (i, _), item in zip(items, own):
+            weight = idf[decontam.term_of(item, terms)]
+            if any(decontam.confirm(item, weight, h[max(0, o - len(item)) : o + 2 * decontam.HALF + len(item)]) for o in range(0, len(h), decontam.HALF)):
+                want.add((d, i))
+    assert got <= want and len(want) > 40 and len(got) >= 0.95 * len(want)
+
+
+def test_items_are_dealt_to_groups():
+    assert decontam.dealt([60, 60, 60, 200, 1], 128) == [[0, 1], [2], [3], [4]] and decontam.dealt([], 128) == []
+
+
 def test_leaks(spark):
     rng = random.Random(2)
     items = [(i, prose(rng, 40)) for i in range(5)] + [(9, ""), (None, "x"), (10, None)]
@@ -157,6 +217,41 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_equal_weighted_brute_force(spark):
+    """Brute force: the weighted similarity of all pairs, without samples or bands."""
+    rng = random.Random(21)
+    base = [prose(rng, rng.randint(6, 150)) for _ in range(12)]
+    texts = base + [edited(rng, b, rng.randint(0, max(1, len(b.split()) // 40))) for b in base for _ in range(8)] + [b + " " + prose(rng, len(b.split()) // 8) for b in base]
+    idf = neardup.idf_table(neardup.document_frequencies(docs(spark, texts)))
+    owner, h, w = neardup.weighted_shingles(pa.array(texts, pa.large_string()), idf)
+    sets = [(h[owner == i], w[owner == i]) for i in range(len(texts))]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if neardup.similarity(sets[a], sets[b]) >= 0.8:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 12
+
+
+def test_weights_follow_the_share_of_texts():
+    few, many = np.zeros(neardup.WIDTH + 1, dtype=np.int64), np.zeros(neardup.WIDTH + 1, dtype=np.int64)
+    for n, table in ((1000, few), (1_000_000, many)):  # each text has 300 shingles of its own and one that half of all texts share
+        rng = np.random.default_rng(0)
+        table[: neardup.WIDTH] = rng.poisson(300 * n / neardup.WIDTH, neardup.WIDTH)
+        table[7] += n // 2
+        table[-1] = n
+    a, b = neardup.idf_table(few), neardup.idf_table(many)
+    assert abs(a[7] - b[7]) < 0.002 and np.median(a) == np.median(b) == pytest.approx(1 + neardup.DAMP) and (b < 1 + neardup.DAMP - 1e-4).mean() < 0.01
+
+
 def test_block_links_equal_plain_verification(spark):
     rng = random.Random(6)
     base = prose(rng, 120)
@@ -314,6 +409,12 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == [-1, 0, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11] and got.filter(~F.col("agrees")).count() == 0
+    # brute force: the texts that stay, rewritten and encoded one by one
+    near = brute_classes(texts)
+    kept = [(i, t) for i, t in enumerate(texts) if t is not None and near[i] == i and item not in t and any(c.isalpha() for c in t)] + [(r.doc_id, r.text) for r in other.collect() if item not in r.text]
+    lib, p = piece.model(queries.tokenizer("piece_bpe_32k.model")).lib, pii.Permuter(queries.pseudonym_key(spark))
+    want = sorted((-1 if i is None else i, hashlib.sha256(np.array(lib.encode(pii.rewrite(t, p)[0], add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for i, t in kept)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_sha256) for r in got.collect()) == want
 
 
 def test_pipeline_over_empty_tables(spark, tmp_path):
