@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazmill.llm import chat, decontam, langid, mpegaudio, neardup, piece, pii, tokenbin, tokencount, urlfilter
+from hazmill.llm import chat, decontam, langid, merkle, mpegaudio, neardup, negatives, piece, pii, shards, tokenbin, tokencount, urlfilter
 from hazmill.llm.common import table
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+SHARDS = 40
 #: The key of the pseudonyms, unless the session's setting KEY_SETTING gives one. Whoever knows the key can undo them: set your own.
 EXAMPLE_KEY, KEY_SETTING = "hazmill example key; use your own", "spark.hazmill.pseudonymKey"
 
@@ -70,6 +71,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_files(manifest, folder, order)
 
 
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.prepare(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(rows, "id % 100 = 0", "if(id % 7 = 0, (label + 1) % 10, label)", positives=5, negatives=5, low=80, high=100)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_filters, op2_token_counts, op3_url_cascade, op4_latent_decontamination, op5_chat_round_trip, op6_piece_agenda, op7_weighted_minhash, op8_mpeg_audio, op9_feistel_pseudonyms, op10_token_files, pipeline)
+    named = (op1_language_filters, op2_token_counts, op3_url_cascade, op4_latent_decontamination, op5_chat_round_trip, op6_piece_agenda, op7_weighted_minhash, op8_mpeg_audio, op9_feistel_pseudonyms, op10_token_files, op11_balanced_shards, op12_hard_negatives, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -96,5 +110,19 @@ select page_id, host, path,
 from p"""
 
 
+OP12_SQL = """
+with e as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)),
+s as (
+  select a.id as anchor_id, a.label = b.label as same, b.id, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.id <> b.id where a.id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, (row_number() over w)::int as rank, s.id as negative_id, positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by p.anchor_id, positive_id order by s.score desc, s.id) qualify row_number() over w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_cascade": OP3_SQL}
+    return {"op3_url_cascade": OP3_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle_manifest": merkle.oracle()}
