@@ -25,49 +25,67 @@ def aligned_returns(prices: DataFrame, market: DataFrame) -> DataFrame:
     return both.withColumn("pos", F.row_number().over(W.partitionBy("ticker").orderBy("date")) - 1)
 
 
-def event_days(events: DataFrame, returns: DataFrame) -> DataFrame:
-    """The events with t0, t0_pos: the first trading day on or after the event date. One window over both sides, latest first, so that
-    a running last value is enough: no range join, and a ticker's days are gone through once."""
-    days = returns.select("ticker", F.col("date").alias("d"), F.col("pos").alias("p"), F.lit(1).alias("kind"))
-    asked = events.select("ticker", F.col("event_date").alias("d"), F.lit(None).cast("int").alias("p"), F.lit(0).alias("kind")).distinct()
-    w = W.partitionBy("ticker").orderBy(F.desc("d"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
-    found = days.unionByName(asked).select("ticker", "d", "kind", F.last(F.when(F.col("kind") == 1, F.struct("d", "p")), ignorenulls=True).over(w).alias("t"))
-    found = found.filter("kind = 0").select("ticker", F.col("d").alias("event_date"), F.col("t.d").alias("t0"), F.col("t.p").alias("t0_pos"))
+def market_model(returns: DataFrame) -> DataFrame:
+    """For each ticker and trading day as an event's day: date, pos, n_est, alpha, beta, car_t1, car_t3, car_t5.
+
+    The estimation days' moments are differences of two prefix sums over a ticker's days (of returns less the ticker's mean, so that
+    no digits cancel); one window goes through a ticker's days once, whatever the number of events. beta is null where the market didn't
+    move in the estimation days, told by the number of changes.
+    """
+    days = W.partitionBy("ticker").orderBy("date")
+    whole, upto = W.partitionBy("ticker"), days.rowsBetween(W.unboundedPreceding, 0)
+    centred = returns.withColumns({"my": F.avg("y").over(whole), "mx": F.avg("x").over(whole), "moved": (F.col("x") != F.lag("x").over(days)).cast("int")})
+    y, x = F.col("y") - F.col("my"), F.col("x") - F.col("mx")
+    sums = {"s_y": y, "s_x": x, "s_xy": x * y, "s_xx": x * x, "s_moved": F.coalesce("moved", F.lit(0))}
+    prefixed = centred.withColumns({name: F.sum(c).over(upto) for name, c in sums.items()})
+    first, last = -ESTIMATION[0], -ESTIMATION[1]
+    between = {name.replace("s_", "e_"): F.lag(name, last).over(days) - F.coalesce(F.lag(name, first + 1).over(days), F.lit(0)) for name in ("s_y", "s_x", "s_xy", "s_xx")}
+    between["e_moved"] = F.lag("s_moved", last).over(days) - F.coalesce(F.lag("s_moved", first).over(days), F.lit(0))
+    after = {f"{c}{k}": F.lead(c, k).over(days) for k in range(1, EVENT[1] + 1) for c in ("y", "x")}
+    got = prefixed.withColumns(between | after)
+    n = F.greatest(F.lit(0), F.col("pos") - last - F.greatest(F.col("pos") - first, F.lit(0)) + 1)
+    spread = F.col("e_xx") - F.try_divide(F.col("e_x") * F.col("e_x"), n)
+    beta = F.when((F.col("e_moved") > 0) & (spread > 0), (F.col("e_xy") - F.try_divide(F.col("e_x") * F.col("e_y"), n)) / spread)
+    got = got.withColumns({"n_est": n.cast("long"), "beta": beta})
+    mean = lambda c, m: F.try_divide(F.col(c), F.col("n_est")) + F.col(m)
+    got = got.withColumn("alpha", mean("e_y", "my") - F.col("beta") * mean("e_x", "mx"))
+    cars = [sum(F.col(f"y{j}") - (F.col("alpha") + F.col("beta") * F.col(f"x{j}")) for j in range(1, k + 1)).alias(f"car_t{k}") for k in HORIZONS]
+    return got.select("ticker", "date", "pos", "n_est", "alpha", "beta", *cars)
+
+
+def event_days(events: DataFrame, days: DataFrame) -> DataFrame:
+    """The events with known (whether the ticker has any day) and, of the first trading day on or after the event date, t0, t0_pos and days' other columns.
+
+    One window over both sides, latest first, so that a running last value is enough: no range join, and a ticker's days are gone through once.
+    """
+    more = [c for c in days.columns if c not in ("ticker", "date", "pos")]
+    day = F.struct(F.col("date").alias("t0"), F.col("pos").alias("t0_pos"), *more)
+    asked = events.select("ticker", F.col("event_date").alias("d")).distinct()
+    both = days.select("ticker", F.col("date").alias("d"), day.alias("day")).unionByName(asked, allowMissingColumns=True)
+    w = W.partitionBy("ticker").orderBy(F.desc("d"), F.col("day").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    found = both.select("ticker", "d", "day", F.last("day", ignorenulls=True).over(w).alias("t"), (F.count("day").over(W.partitionBy("ticker")) > 0).alias("known"))
+    found = found.filter("day is null").select("ticker", F.col("d").alias("event_date"), "known", "t.*")
     return events.join(found, ["ticker", "event_date"], "left")
 
 
 def abnormal_returns(events: DataFrame, prices: DataFrame, market: DataFrame) -> DataFrame:
-    """One row for each event and ticker: alpha, beta, n_est, car_t1, car_t3, car_t5 and error.
+    """One row for each event and ticker: t0, n_est, alpha, beta, car_t1, car_t3, car_t5 and error."""
+    return study(events, market_model(aligned_returns(prices, market)))
 
-    The regression of each distinct (ticker, t0) is made once, however many events share it.
-    """
-    returns = aligned_returns(prices, market)
-    dated = event_days(events, returns)
-    starts = dated.filter("t0_pos is not null").select("ticker", "t0_pos").distinct()
-    near = starts.select("ticker", "t0_pos", F.explode(F.sequence(F.col("t0_pos") + ESTIMATION[0], F.col("t0_pos") + EVENT[1])).alias("pos"))
-    near = near.join(returns, ["ticker", "pos"]).withColumn("rel", F.col("pos") - F.col("t0_pos"))
-    est = F.col("rel").between(*ESTIMATION)
-    y, x = F.when(est, F.col("y")), F.when(est, F.col("x"))
-    day = lambda c: F.collect_list(F.when(F.col("rel").between(*EVENT), F.struct("rel", c)))
-    fitted = near.groupBy("ticker", "t0_pos").agg(F.count_if(est).alias("n_est"), F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("alpha"), F.array_sort(day("y")).alias("ys"), F.array_sort(day("x")).alias("xs"))
-
-    def car(k):
-        parts = F.zip_with(F.slice("ys", 2, k), F.slice("xs", 2, k), lambda a, b: a["y"] - (F.col("alpha") + F.col("beta") * b["x"]))
-        return F.when(F.size("ys") > k, F.aggregate(parts, F.lit(0.0), lambda s, v: s + v))
-
-    known = returns.select("ticker").distinct().withColumn("known", F.lit(True))
-    out = dated.join(fitted, ["ticker", "t0_pos"], "left").join(known, "ticker", "left")
+
+def study(events: DataFrame, model: DataFrame) -> DataFrame:
+    """abnormal_returns by a market model; settle it if several studies use it."""
+    out = event_days(events, model)
     error = (
         F.when(F.col("ticker").isNull() | F.col("event_date").isNull(), "missing_ticker_or_date")
-        .when(F.col("known").isNull(), "no_price_data")
+        .when(~F.coalesce("known", F.lit(False)), "no_price_data")
         .when(F.col("t0_pos").isNull(), "event_date_after_data")
         .when(F.coalesce("n_est", F.lit(0)) < LEAST_ESTIMATION, "insufficient_estimation_data")
         .when(F.col("beta").isNull(), "ols_failed")
     )
     out = out.withColumn("error", error)
-    good = lambda c: F.when(F.col("error").isNull(), c)
-    cars = [good(car(k)).alias(f"car_t{k}") for k in HORIZONS]
-    return out.select(*events.columns, "t0", F.coalesce("n_est", F.lit(0)).alias("n_est"), good(F.col("alpha")).alias("alpha"), good(F.col("beta")).alias("beta"), *cars, "error")
+    good = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("alpha", "beta", *(f"car_t{k}" for k in HORIZONS))]
+    return out.select(*events.columns, "t0", F.coalesce("n_est", F.lit(0)).alias("n_est"), *good, "error")
 
 
 def explode_tickers(events: DataFrame, align: str = "fixed") -> DataFrame:
@@ -82,7 +100,7 @@ def explode_tickers(events: DataFrame, align: str = "fixed") -> DataFrame:
 
 def _ttest(mean, sd, n):
     t = mean / (sd / F.sqrt(n))
-    return F.when((n >= 3) & (sd > 0), t_pvalue(t, (n - 1).cast("int")))
+    return F.when((n >= 3) & (sd > 0), t_pvalue(t, n - 1))
 
 
 def group_statistics(cars: DataFrame, keys: tuple[str, ...] = ("event_type", "severity", "sector")) -> DataFrame:
@@ -113,7 +131,7 @@ def compare_baseline(events: DataFrame, random: DataFrame) -> DataFrame:
         "window", *[F.round(f"{k}_{v}", 6).alias(f"{k}_{name}") for k in ("event", "random") for v, name in (("m", "mean"), ("p", "std"))], "event_n", "random_n",
         F.round(_ttest(F.col("event_m"), F.col("event_s"), n), 4).alias("p_event_vs_zero"),
         F.round(_ttest(F.col("random_m"), F.col("random_s"), m), 4).alias("p_random_vs_zero"),
-        F.round(F.when(pooled > 0, t_pvalue(t, (n + m - 2).cast("int"))), 4).alias("p_event_vs_random"),
+        F.round(F.when(pooled > 0, t_pvalue(t, n + m - 2)), 4).alias("p_event_vs_random"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazmill.durable import settled
 from hazmill.extract import rules, when, where
 from hazmill.functions import exprs as X
 from hazmill.ml import models, severity
@@ -133,9 +134,9 @@ DRAWN = """
 
 @query(WITH + RATES + f", evm as ({V.EVM})" + study("evm", "m") + ", " + POOL + "," + DRAWN + study("evr", "r") + " select event_id, ticker, error, round(car_t1, 6) as car_t1, round(car_t3, 6) as car_t3, round(car_t5, 6) as car_t5 from carr")
 def q_random_baseline(spark, d):
-    events = V.view(spark, d, V.EVM)
-    drawn = S.random_events(events, S.abnormal_returns(events, *_px(spark, d)))
-    return S.abnormal_returns(drawn, *_px(spark, d)).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
+    events, model = V.view(spark, d, V.EVM), settled(S.market_model(S.aligned_returns(*_px(spark, d))))
+    drawn = S.random_events(events, S.study(events, model))
+    return S.study(drawn, model).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
 
 
 def _asked(spark, d):
