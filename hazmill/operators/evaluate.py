@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazmill.functions.exprs import haversine, parse_date
+from hazmill.operators.medians import exact_medians
 from hazmill.operators.tables import classification_report, confusion
 
 # Errors that labels note instead of a value, and distances and day counts that are reported.
@@ -30,8 +31,15 @@ def rate(hits: Column, of: Column) -> Column:
     return F.round(F.try_divide(F.count_if(of & hits), F.count_if(of)), 6)
 
 
-def _by(df: DataFrame, by: str | None, *aggregates: Column) -> DataFrame:
-    return df.groupingSets([[], [by]], by).agg(*aggregates) if by else df.agg(*aggregates)
+def _by(df: DataFrame, by: str | None, *aggregates: Column, median: str, name: str, columns: list[str]) -> DataFrame:
+    """The aggregates and the exact median of a column, overall and by class."""
+    if by is None:
+        rates, middle = df.agg(*aggregates), exact_medians(df, [], median, name)
+        return rates.crossJoin(middle.select(F.round(name, 4).alias(name))).select(*columns)  # one row each
+    rates = df.groupingSets([[], [by]], by).agg(*aggregates, F.grouping_id().cast("int").alias("__all"))
+    sides = df.select(F.explode(F.array(F.struct(F.lit(0).alias("__all"), F.col(by).alias("__by")), F.struct(F.lit(1).alias("__all"), F.lit(None).cast(df.schema[by].dataType).alias("__by")))).alias("__k"), median).select("__k.*", median)
+    middle = exact_medians(sides, ["__all", "__by"], median, name).select(F.col("__all").alias("__a"), "__by", F.round(name, 4).alias(name))
+    return rates.join(middle, (F.col("__all") == F.col("__a")) & F.col(by).eqNullSafe(F.col("__by")), "left").select(by, *columns)
 
 
 def compare_places(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -44,7 +52,10 @@ def compare_places(df: DataFrame, by: str | None = None) -> DataFrame:
     df = df.withColumn("__km", F.when(placed, haversine(F.col("gt_lat"), F.col("gt_lon"), F.col("pred_lat"), F.col("pred_lon"))))
     km = F.col("__km")
     counts = [F.count_if(F.col("confidence") == c).alias(f"n_{c}") for c in ("coords_text", "location", "none")]
-    return _by(df, by, F.count("*").alias("n"), rate(F.upper(F.trim("gt_country")) == F.upper(F.trim("pred_country")), both).alias("country_accuracy"), rate(F.col("pred_location").isNotNull(), F.lit(True)).alias("coverage"), F.count(km).alias("coord_pairs"), F.round(F.median(km), 4).alias("median_km"), rate(km < 100, km.isNotNull()).alias("within_100"), rate(km < 500, km.isNotNull()).alias("within_500"), *counts)
+    return _by(
+        df, by, F.count("*").alias("n"), rate(F.upper(F.trim("gt_country")) == F.upper(F.trim("pred_country")), both).alias("country_accuracy"), rate(F.col("pred_location").isNotNull(), F.lit(True)).alias("coverage"), F.count(km).alias("coord_pairs"), rate(km < 100, km.isNotNull()).alias("within_100"), rate(km < 500, km.isNotNull()).alias("within_500"), *counts,
+        median="__km", name="median_km", columns=["n", "country_accuracy", "coverage", "coord_pairs", "median_km", "within_100", "within_500", "n_coords_text", "n_location", "n_none"],
+    )
 
 
 def day_errors(df: DataFrame, truth: str = "gt_date", got: str = "pred_date") -> DataFrame:
@@ -58,7 +69,10 @@ def compare_times(df: DataFrame, by: str | None = None) -> DataFrame:
     """n, n_dated (truths), coverage, comparable, exact, within_1d, within_7d, median_days, both_null. df: gt_date, pred_date."""
     df = day_errors(df)
     truth, got = parse_date(F.col("gt_date").cast("string")).isNotNull(), F.col("pred_date").isNotNull()
-    return _by(df, by, F.count("*").alias("n"), F.count_if(truth).alias("n_dated"), rate(got, truth).alias("coverage"), F.count_if(truth & got).alias("comparable"), *[rate(F.col(c), truth & got).alias(c) for c in ("exact", "within_1d", "within_7d")], F.round(F.median("diff_days"), 4).alias("median_days"), F.count_if(~truth & ~got).alias("both_null"))
+    return _by(
+        df, by, F.count("*").alias("n"), F.count_if(truth).alias("n_dated"), rate(got, truth).alias("coverage"), F.count_if(truth & got).alias("comparable"), *[rate(F.col(c), truth & got).alias(c) for c in ("exact", "within_1d", "within_7d")], F.count_if(~truth & ~got).alias("both_null"),
+        median="diff_days", name="median_days", columns=["n", "n_dated", "coverage", "comparable", "exact", "within_1d", "within_7d", "median_days", "both_null"],
+    )
 
 
 def breakdown(df: DataFrame, column: str) -> DataFrame:

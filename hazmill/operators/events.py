@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazmill.durable import settled
 from hazmill.functions.exprs import industries, location_tokens, nullify, type_code
 
 TOLERANCE = 7
@@ -80,37 +81,97 @@ class FirstFit:
     """A group's clusters, to which articles are added in order (dated first): the first cluster whose dates are all within the tolerance
     and whose places all overlap, else a new one. As articles come by date, a cluster's first date decides for all; a cluster that
     is too old stays so for all later dated articles, and only undated ones look at it again.
+
+    A cluster keeps its minimal sets of tokens only (who overlaps a set overlaps what holds it), on levels: level j has each cluster's j-th
+    set, as an index from token to a bitset of clusters. Who overlaps all sets of which cluster is then a few bit operations a level, for
+    all live clusters at once, and the first fit is the lowest bit left. Clusters that grew too old leave the bitsets.
     """
 
     def __init__(self):
         self.first: list[int | None] = []
         self.sets: list[list[frozenset]] = []
-        self.live = 0
-
-    def add(self, day: int | None, own: frozenset) -> int:
-        first, sets = self.first, self.sets
-        if day is not None:
-            while self.live < len(first) and first[self.live] is not None and day - first[self.live] > TOLERANCE:
-                self.live += 1
-        for k in range(self.live if day is not None else 0, len(first)):
-            if (day is None or first[k] is None or day - first[k] <= TOLERANCE) and (not own or all(not m or own & m for m in sets[k])):
-                break
-        else:
-            k = len(first)
-            first.append(None)
-            sets.append([])
-        if first[k] is None:
-            first[k] = day
-        self.hold(k, own)
-        return k
+        self.live = 0  # clusters before it are too old for dated articles
+        self.base = 0  # the cluster of bit 0
+        self.full: list[int] = []  # by level: clusters that have a set there
+        self.index: list[dict[str, int]] = []  # by level: token to clusters
+        self.undated = 0  # bitset of clusters without a date
+
+    def _set(self, cluster: int, own: frozenset) -> None:
+        """Note one of the cluster's minimal sets on the level of its number."""
+        level, bit = len(self.sets[cluster]) - 1, 1 << (cluster - self.base)
+        while len(self.full) <= level:
+            self.full.append(0)
+            self.index.append({})
+        self.full[level] |= bit
+        for token in own:
+            self.index[level][token] = self.index[level].get(token, 0) | bit
+
+    def _clear(self, cluster: int) -> None:
+        bit = 1 << (cluster - self.base)
+        for level, own in enumerate(self.sets[cluster]):
+            self.full[level] &= ~bit
+            for token in own:
+                self.index[level][token] &= ~bit
 
     def hold(self, cluster: int, own: frozenset) -> None:
         """Note a member's places, making clusters up to its own."""
         while len(self.sets) <= cluster:
+            self.undated |= 1 << (len(self.first) - self.base)
             self.first.append(None)
             self.sets.append([])
-        if own not in self.sets[cluster]:
-            self.sets[cluster].append(own)
+        held = self.sets[cluster]
+        if not own or any(m <= own for m in held):
+            return
+        if any(own < m for m in held):
+            self._clear(cluster)
+            kept, self.sets[cluster] = [m for m in held if not own < m], []
+            for m in kept:
+                self.sets[cluster].append(m)
+                self._set(cluster, m)
+        self.sets[cluster].append(own)
+        self._set(cluster, own)
+
+    def _age(self, day: int) -> None:
+        """Leave clusters behind that are too old; drop their bits now and then."""
+        while self.live < len(self.first) and self.first[self.live] is not None and day - self.first[self.live] > TOLERANCE:
+            self.live += 1
+        gone = self.live - self.base
+        if gone > 1024 and 2 * gone > len(self.first) - self.base and not self.undated:
+            self.full = [bits >> gone for bits in self.full]
+            self.index = [{t: bits >> gone for t, bits in level.items() if bits >> gone} for level in self.index]
+            self.base = self.live
+
+    def add(self, day: int | None, own: frozenset) -> int:
+        if day is not None:
+            self._age(day)
+        elif self.base:
+            self._rebuild()
+        start = (self.live if day is not None else 0) - self.base
+        fits = (1 << (len(self.first) - self.base)) - (1 << start) if len(self.first) > self.base + start else 0
+        if own:
+            for full, index in zip(self.full, self.index):
+                overlap = 0
+                for token in own:
+                    overlap |= index.get(token, 0)
+                fits &= ~full | overlap
+                if not fits & full:  # no candidate has more sets
+                    break
+        k = self.base + (fits & -fits).bit_length() - 1 if fits else len(self.first)
+        self.hold(k, own)
+        if day is not None and self.first[k] is None:
+            self.first[k] = day
+            self.undated &= ~(1 << (k - self.base))
+        return k
+
+    def _rebuild(self) -> None:
+        """All clusters' bits again, for articles without a date."""
+        self.base, self.full, self.index, sets = 0, [], [], self.sets
+        self.sets = [[] for _ in sets]
+        self.undated = sum(1 << k for k, first in enumerate(self.first) if first is None)
+        for k, held in enumerate(sets):
+            for own in held:
+                self.sets[k].append(own)
+                self._set(k, own)
 
 
 def first_fit(days: list[int | None], tokens: list[frozenset]) -> list[int]:
@@ -155,14 +216,15 @@ def greedy_clusters(articles: DataFrame) -> DataFrame:
     Dated articles whose neighbouring dates lie more than the tolerance apart can't share a cluster, so a group is worked
     off in segments, each in a task of its own; a segment numbers on from the ones before it. Articles without a date come last in the rule's order and look at all of
     their group's clusters: they are placed in a second pass, which gets the clusters' distinct sets of tokens, not their
-    articles. A segment itself can't be cut, as the rule depends on the order.
+    articles. A segment itself can't be cut, as the rule depends on the order; nor can a group's articles without a date, which are one task.
     """
     keyed = partition_keys(articles).select("pos", "type", "country", F.col("event_date").cast("date").alias("day"), location_tokens(F.col("location_text")).alias("tokens"))
     dated = keyed.filter("day is not null").join(_segments(keyed), ["type", "country", "day"])
     unknown = {"cluster": F.lit(None).cast("int"), "seq": F.lit(None).cast("int")}
     group = ["type", "country", "segment"]
     rows = dated.withColumns(unknown).repartition(*group).sortWithinPartitions(*group, "day", "pos")
-    local = rows.mapInArrow(lambda batches: _placed(batches, group), "pos long, type string, country string, segment int, tokens array<string>, cluster int, seq int")
+    # Settled, as sizes, places and known sets all start from it: the Python pass runs once.
+    local = settled(rows.mapInArrow(lambda batches: _placed(batches, group), "pos long, type string, country string, segment int, tokens array<string>, cluster int, seq int"))
     before = W.partitionBy("type", "country").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     sizes = local.groupBy(*group).agg(F.max("cluster").alias("c"), F.max("seq").alias("s"))
     shift = sizes.select(*group, *[F.coalesce(F.sum(F.col(x) + 1).over(before), F.lit(0)).cast("int").alias(f"{x}0") for x in ("c", "s")])

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazmill.durable import settled
+from hazmill.operators.medians import exact_medians
+
 
 def time_split(df: DataFrame, at: Column, first: str, second: str) -> DataFrame:
     """With split: train up to the first boundary (midnight), val up to the second, test after it; null times are in none."""
@@ -104,20 +107,23 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     return g.select("label", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(div(2 * p * r, p + r), 6).alias("f1"), "support")
 
 
-def ranking_metrics(df: DataFrame, score: str, truth: str, parts: int = 64) -> DataFrame:
+def ranking_metrics(df: DataFrame, score: str, truth: str, few: int = 100_000) -> DataFrame:
     """n_pos, n_neg, roc_auc (ties count half), pr_auc (average precision), over distinct scores: null unless both classes occur.
 
-    Scores are cut at approximate quantiles into parts that are summed up in tasks of their own; one task adds up the parts only.
+    Distinct scores are counted up in their order: by one window if there are few, else in ranges of scores that are summed up in tasks of their own, so that
+    one task adds up the ranges only.
     """
     steps = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("tp"), F.sum(1 - F.col(truth).cast("long")).alias("fp"))
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
-    part = sum((F.col("s") <= c).cast("int") for c in sorted(set(cuts))) if cuts else F.lit(0)
-    steps = steps.withColumn("part", part)  # parts count up as scores fall
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sums = steps.groupBy("part").agg(F.sum("tp").alias("tps"), F.sum("fp").alias("fps"))
-    sums = sums.select("part", F.coalesce(F.sum("tps").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("fps").over(before), F.lit(0)).alias("fp0"))
-    w = W.partitionBy("part").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    cum = steps.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)}).join(sums, "part").select("tp", "fp", F.expr("ctp + tp0").alias("ctp"), F.expr("cfp + fp0").alias("cfp"))
+    if df.select(F.approx_count_distinct(score, 0.02)).first()[0] > few:
+        ranged = settled(steps.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id()))
+        before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        sums = ranged.groupBy("part").agg(F.sum("tp").alias("tps"), F.sum("fp").alias("fps"))
+        sums = sums.select("part", F.coalesce(F.sum("tps").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("fps").over(before), F.lit(0)).alias("fp0"))
+        w = W.partitionBy("part").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+        cum = ranged.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)}).join(sums, "part").select("tp", "fp", F.expr("ctp + tp0").alias("ctp"), F.expr("cfp + fp0").alias("cfp"))
+    else:
+        w = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+        cum = steps.withColumns({"ctp": F.sum("tp").over(w), "cfp": F.sum("fp").over(w)})
     g = cum.agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"), F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") / 2)).alias("area"), F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("ap"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return g.select("n_pos", "n_neg", F.round(F.when(both, F.col("area") / (F.col("n_pos") * F.col("n_neg"))), 6).alias("roc_auc"), F.round(F.when(both, F.col("ap") / F.col("n_pos")), 6).alias("pr_auc"))
@@ -139,4 +145,6 @@ def threshold_accuracy(df: DataFrame, field: str, truth: str, got: str) -> DataF
     e = F.when(F.col(truth) > 0, F.abs(F.col(got) - F.col(truth)) / F.col(truth))
     both = F.col(truth).isNotNull() & F.col(got).isNotNull()
     hits = [F.round(F.try_divide(F.count_if(both & (e <= x / 100)), F.count_if(both)), 6).alias(f"within_{x}") for x in (5, 20, 50)]
-    return df.groupBy(field).agg(F.count_if(F.col(truth).isNotNull()).alias("n"), F.round(F.try_divide(F.count_if(both), F.count_if(F.col(truth).isNotNull())), 6).alias("coverage"), *hits, F.round(F.median(F.when(both, e)), 6).alias("median_error"))
+    rates = df.groupBy(field).agg(F.count_if(F.col(truth).isNotNull()).alias("n"), F.round(F.try_divide(F.count_if(both), F.count_if(F.col(truth).isNotNull())), 6).alias("coverage"), *hits)
+    middle = exact_medians(df.select(F.col(field).alias("__f"), F.when(both, e).alias("__e")), ["__f"], "__e", "median_error")
+    return rates.join(middle, F.col(field).eqNullSafe(F.col("__f"))).select(*rates.columns, F.round("median_error", 6).alias("median_error"))
