@@ -1,4 +1,4 @@
-"""Intermediate results that survive lost executors: reliable checkpoints in the folder that the cluster shares."""
+"""Where intermediate rows are: reliable checkpoints in the folder that the cluster shares, and small inputs dealt out to all cores."""
 
 from __future__ import annotations
 
@@ -19,3 +19,20 @@ def settled(df: DataFrame) -> DataFrame:
             path = "file://" + tempfile.mkdtemp(prefix="hazmill-")
         sc.setCheckpointDir(path)
     return df.checkpoint()
+
+
+#: Bytes of files for each core below which an input may be read by a few tasks only (a split of Spark's).
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt out evenly if their files are too small to be split among the cores: for steps that cost far more a row than a shuffle.
+
+    What is shuffled has at most a split's bytes for each core; a larger input is read in enough parts as it is.
+    """
+    sc = df.sparkSession.sparkContext
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return df.repartition(sc.defaultParallelism) if total < SPLIT * sc.defaultParallelism else df

@@ -1,8 +1,7 @@
 """Numeric fields from news text: a rule catalogue and the engine that binds numbers to their anchors.
 
-The engine needs spans and token distances, so it runs as an Arrow-batched function; the rules are data. A match scores by
-its anchors among the tokens from eight before its first to eight after its last one, so a rule of which no anchor is a token
-of the text can't give a candidate and isn't tried.
+The engine needs spans and token distances, so it runs on Arrow batches, a batch's texts at once (columns.py); the rules are data. A match scores by
+its anchors among the tokens from eight before its first to eight after its last one.
 
 Defined results: empty texts give no metrics; an unknown type gets the rules for all types and no statement on confidence; among equal
 candidates the first counts. A scale letter needs a word boundary ("12 men" is 12, not 12 million).
@@ -17,11 +16,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazmill.durable import spread
+from hazmill.extract.columns import BREAK, Batch, Matcher, bindings, negated, with_anchors
 from hazmill.functions.exprs import TEXT_KEYS, TYPE_CODES, UNIT_FACTORS
 
 # The number grammar, without and with a scale.
@@ -145,12 +147,8 @@ RULES = (
 
 FIELDS = [r.field for r in RULES if not r.text]
 RAPID = ["rapid_missing", "rapid_few_people", "rapid_unparsed"]
-REACH, NEGATION_REACH = 8, 5
 _SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "b": 1e9, "billion": 1e9}
 _NUMBER = re.compile(r"(\d+(?:\.\d+)?)\s*(k|m|b|thousand|million|billion)?")
-_CUES = re.compile(r"\b(?:" + "|".join(NEGATIONS) + r")\b")
-_TOKEN = re.compile(r"\b[\w/]+\b")
-_compiled: list = []
 
 
 def number(text: str) -> float | None:
@@ -164,95 +162,93 @@ def converted(field: str, value: float, unit: str) -> float:
     return value * UNIT_FACTORS.get(field, {}).get(name, 1.0)
 
 
-class Report:
-    """A text in the forms that the rules need: its tokens, and its sentences with their places."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text.lower())]
-        self.starts = [t[0] for t in self.tokens]
-        self.words = {t[2] for t in self.tokens}
-        self.line = " ".join(t[2] for t in self.tokens)
-        self.cuts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)), len(text) + 1]
-
-    def token(self, place: int) -> int:
-        """The token at a place; for a place in no token the last one, or the first one before it."""
-        k = bisect_right(self.starts, place) - 1
-        if k < 0:
-            return 0
-        return k if place < self.tokens[k][1] else len(self.tokens) - 1
-
-    def has_any(self, anchors: tuple[str, ...]) -> bool:
-        return any(a in self.line if " " in a else a in self.words for a in anchors)
-
-    def binding(self, first: int, last: int, anchors: tuple[str, ...]) -> float:
-        """How well a match, from one token to another, is bound to anchors around it."""
-        lo, hi = max(0, first - REACH), min(len(self.tokens) - 1, last + REACH)
-        window = [t[2] for t in self.tokens[lo : hi + 1]]
-        line, gaps = " ".join(window), []
-        for a in anchors:
-            if " " in a:
-                gaps += [1] if a in line else []
-            else:
-                gaps += [min(abs(lo + i - first), abs(lo + i - last)) for i, w in enumerate(window) if w == a]
-        if not gaps:
-            return 0.08
-        return min(1.0, 0.42 + 0.12 * min(len(gaps), 3) + max(0.0, 0.26 - 0.03 * min(gaps)))
-
-    def negated(self, first: int, last: int) -> bool:
-        lo, hi = max(0, first - NEGATION_REACH), min(len(self.tokens) - 1, last + NEGATION_REACH)
-        return _CUES.search(" ".join(t[2] for t in self.tokens[lo : hi + 1])) is not None
-
-    def sentence(self, begin: int, end: int) -> str:
-        """The sentence that holds a span, or nothing if it reaches over a sentence's end."""
-        k = bisect_right(self.cuts, begin)
-        found = self.text[self.cuts[k - 1] : self.cuts[k] if k < len(self.cuts) else None].rstrip()
-        return found if end <= self.cuts[k - 1] + len(found) else ""
-
-
-def candidates(report: Report, rule: Rule, patterns: list) -> Iterator[tuple[float, float | str, str, str]]:
-    """(confidence, value, evidence, match) of each match that is bound well enough."""
-    for pattern in patterns:
-        for m in pattern.finditer(report.text):
-            first, last = report.token(m.start()), report.token(max(m.start(), m.end() - 1))
-            score = report.binding(first, last, rule.anchors)
-            if score < rule.least:
+_matchers: list = []
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+#: Characters of a batch that is matched as one string.
+CHUNK = 1 << 20
+
+
+def _sentence(text: str, begin: int, end: int) -> str:
+    """The sentence that holds a span, or nothing if it reaches over a sentence's end."""
+    cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(text)), len(text) + 1]
+    k = bisect_right(cuts, begin)
+    found = text[cuts[k - 1] : cuts[k] if k < len(cuts) else None].rstrip()
+    return found if end <= cuts[k - 1] + len(found) else ""
+
+
+def _value(rule: Rule, m: re.Match) -> float | str | None:
+    if rule.text:
+        return " ".join(m["raw"].split()) or None
+    parts = m.groupdict()
+    value = number(parts["num"])
+    return None if value is None else converted(rule.field, value * _SCALES.get((parts.get("scale") or "").lower(), 1.0), parts.get("unit") or "")
+
+
+def _found(batch: Batch, rule: Rule, matchers: list[Matcher], allowed: np.ndarray, starts: dict, with_evidence: bool) -> Iterator[tuple[int, float | str, float, str, str]]:
+    """(text, value, confidence, evidence, match) of each text's best match: the surest, then the largest, then the first."""
+    pairs = [p for matcher in matchers for p in matcher.matches(batch, allowed, starts)]
+    if not pairs:
+        return
+    texts = np.fromiter((t for t, _ in pairs), dtype=np.int64, count=len(pairs))
+    spans = np.array([m.span() for _, m in pairs], dtype=np.int64)
+    first, last = batch.token_at(spans[:, 0], texts), batch.token_at(np.maximum(spans[:, 0], spans[:, 1] - 1), texts)
+    score = bindings(batch, texts, first, last, rule.anchors)
+    confidence = rule.base + 0.24 * score - 0.20 * negated(batch, texts, first, last, NEGATIONS)
+    best: dict[int, tuple] = {}
+    for k in np.flatnonzero(score >= rule.least).tolist():
+        text, m = pairs[k]
+        value = _value(rule, m)
+        if value is None:
+            continue
+        sure = confidence[k]
+        if not rule.text and batch.official[text]:
+            at = batch.begin[text]
+            evidence = _sentence(batch.texts[text], m.start() - at, m.end() - at) or m[0]
+            sure = sure + 0.04 * ("official" in evidence.lower())
+        rank = (min(0.98, max(0.05, float(sure))), 0.0 if rule.text else value)
+        if text not in best or rank > best[text][0]:
+            best[text] = rank, value, m
+    for text, (rank, value, m) in best.items():
+        at = batch.begin[text]
+        evidence = (_sentence(batch.texts[text], m.start() - at, m.end() - at) or m[0]) if with_evidence else ""
+        yield text, value if rule.text else round(value, 6), round(rank[0], 3), evidence, m[0]
+
+
+def extract_all(texts: list[str | None], codes: list[str], fields: frozenset[str] | None = None, evidence: bool = True) -> list[dict[str, tuple[float | str, float, str, str]]]:
+    """For each text the best (value, confidence, evidence, match) of each field, or of the fields asked for; the evidence is left out if it isn't wanted."""
+    if not _matchers:
+        _matchers.extend((r, [Matcher(p) for p in r.patterns]) for r in RULES)
+    clean = [" ".join(t.split()) if t else "" for t in texts]
+    out: list[dict] = [{} for _ in clean]
+    at = 0
+    while at < len(clean):
+        to, size = at, 0
+        while to < len(clean) and (to == at or size + len(clean[to]) <= CHUNK):
+            size += len(clean[to])
+            to += 1
+        batch = Batch(clean[at:to])
+        batch.official = ["official" in t for t in batch.low.split(BREAK)] if "official" in batch.low else [False] * (to - at)
+        kinds, starts = np.array(codes[at:to], dtype=object), {}
+        numbered = np.zeros(to - at, dtype=bool)
+        numbered[batch.text_of(batch.number_starts)] = True
+        for rule, matchers in _matchers:
+            if fields is not None and rule.field not in fields:
                 continue
-            evidence = report.sentence(*m.span()) or m[0]
-            confidence = rule.base + 0.24 * score - 0.20 * report.negated(first, last)
-            if rule.text:
-                value: float | str | None = " ".join(m["raw"].split())
-            else:
-                parts = m.groupdict()
-                value = number(parts["num"])
-                if value is not None:
-                    value = converted(rule.field, value * _SCALES.get((parts.get("scale") or "").lower(), 1.0), parts.get("unit") or "")
-                confidence += 0.04 * ("official" in evidence.lower())
-            if value is not None and value != "":
-                yield min(0.98, max(0.05, confidence)), value, evidence, m[0]
+            allowed = with_anchors(batch, rule.anchors)
+            if rule.types:
+                allowed &= np.isin(kinds, rule.types)
+            if not rule.text:  # all other patterns have a number
+                allowed &= numbered
+            if allowed.any():
+                for text, *found in _found(batch, rule, matchers, allowed, starts, evidence):
+                    out[at + text][rule.field] = tuple(found)
+        at = to
+    return out
 
 
 def extract(text: str | None, code: str, fields: frozenset[str] | None = None) -> dict[str, tuple[float | str, float, str, str]]:
-    """Best (value, confidence, evidence, match) of each field, or of the fields asked for."""
-    if not _compiled:
-        _compiled.extend((r, [re.compile(p, re.I) for p in r.patterns]) for r in RULES)
-    text = " ".join((text or "").split())
-    if not text:
-        return {}
-    report = Report(text)
-    out: dict[str, tuple[float | str, float, str, str]] = {}
-    for rule, patterns in _compiled:
-        if rule.types and code not in rule.types or fields is not None and rule.field not in fields or not report.has_any(rule.anchors):
-            continue
-        best = None
-        for found in candidates(report, rule, patterns):
-            rank = (found[0], 0.0 if rule.text else found[1])
-            if best is None or rank > best[0]:
-                best = rank, found
-        if best:
-            confidence, value, evidence, raw = best[1]
-            out[rule.field] = (value if rule.text else round(value, 6), round(confidence, 3), evidence, raw)
-    return out
+    """extract_all of one text."""
+    return extract_all([text], [code], fields)[0]
 
 
 def rapid_features(text: str) -> dict[str, float | None]:
@@ -270,10 +266,10 @@ def code_of(label: str | None) -> str:
     return TYPE_CODES.get((label or "").strip().lower(), "")
 
 
-def record(text: str | None, label: str | None, timestamp: str | None = None, place: str | None = None) -> dict:
-    """The whole record of a report: metrics with units and evidence, derived features, sectors, impact summary and meta."""
+def record(text: str | None, label: str | None, timestamp: str | None = None, place: str | None = None, found: dict | None = None) -> dict:
+    """The whole record of a report: metrics with units and evidence, derived features, sectors, impact summary and meta. found: what extract gives, if it is there."""
     code = code_of(label)
-    found = extract(text, code)
+    found = extract(text, code) if found is None else found
     metrics = {f: {"value": v, "unit": UNITS.get(f, "people"), "confidence": c, "evidence": e, "raw": r} for f, (v, c, e, r) in found.items()}
     clean = " ".join((text or "").split())
     if source := metrics.get("rapidpopdescription"):
@@ -310,11 +306,11 @@ def extract_fields(df: DataFrame, keep: list[str], text: str = "text", label: st
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, labels = batch.column("__text").to_pylist(), batch.column("__label").to_pylist()
-            got = [extract(t, code_of(x), asked) for t, x in zip(texts, labels)]
+            got = extract_all(texts, [code_of(x) for x in labels], asked, evidence=False)
             cols = [pa.array([g[f][0] if f in g else None for g in got], pa.string() if f == "rapidpopdescription" else pa.float64()) for f in wanted]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *cols], schema.fieldNames())
 
-    return df.select(*keep, F.col(text).alias("__text"), F.col(label).alias("__label")).mapInArrow(extracted, schema)
+    return spread(df).select(*keep, F.col(text).alias("__text"), F.col(label).alias("__label")).mapInArrow(extracted, schema)
 
 
 def extract_features(df: DataFrame, text: str = "text", label: str = "label", timestamp: str = "timestamp", place: str = "location_text", out: str = "event_features") -> DataFrame:
@@ -327,10 +323,11 @@ def extract_features(df: DataFrame, text: str = "text", label: str = "label", ti
 
     def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("__a", "__b", "__c", "__d")))
+            inputs = [batch.column(c).to_pylist() for c in ("__a", "__b", "__c", "__d")]
+            rows = zip(*inputs, extract_all(inputs[0], [code_of(x) for x in inputs[1]]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array([json.dumps(record(*r), ensure_ascii=False) for r in rows], pa.string())], schema.fieldNames())
 
-    return df.select(*df.columns, *inputs).mapInArrow(recorded, schema)
+    return spread(df).select(*df.columns, *inputs).mapInArrow(recorded, schema)
 
 
 def sector_hints(text: Column) -> Column:

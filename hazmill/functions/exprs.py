@@ -187,7 +187,7 @@ def _half_gamma_ratio(a: Column) -> Column:
     """Gamma(a + 1/2) / Gamma(a): shifted upwards, then an asymptotic series in 1/a."""
     shifted = F.aggregate(F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(1.0), lambda acc, k: acc * (a + k) / (a + k + 0.5))
     r = 1 / (a + SHIFT)
-    series = 1 - r / 8 + r * r / 128 + 5 * r * r * r / 1024 - 21 * r * r * r * r / 32768
+    series = 1 - r / 8 + r**2 / 128 + 5 * r**3 / 1024 - 21 * r**4 / 32768 - 399 * r**5 / 262144
     return shifted * F.sqrt(a + SHIFT) * series
 
 

@@ -297,7 +297,7 @@ def q_extract_fields(spark, d):
     return got.select("pos", *[F.round(n, 4).alias(n) for n in FIELD_SQL], "dead", "displaced")
 
 
-#: label, text, field, factor (or the text that is wanted), unit, confidence. The confidence was worked out by hand from the rule: base + 0.24 x
+#: label, text, field, factor (or the text that is wanted), unit, confidence: each of the catalogue's patterns matches one of them. The confidence was worked out by hand from the rule: base + 0.24 x
 #: (0.42 + 0.12 x hits + 0.26 - 0.03 x distance), less 0.2 by a negation, more 0.04 by "official". Null: no find.
 FINDS = [
     ("earthquake", "The quake had magnitude {n}.", "magnitude", 1.0, "", 0.821),
@@ -324,6 +324,35 @@ FINDS = [
     ("cyclone", "The quake had magnitude {n}.", "magnitude", None, None, None),
     ("flood", "The fatality count isn't known. Reporters who came from afar asked about it for days, and {n} killed cows.", "injured", None, None, None),
     ("earthquake", "The magnitudes were {n} mw.", "magnitude", None, None, None),
+    ("earthquake", "M {n} quake.", "magnitude", 1.0, "", 0.785),
+    ("earthquake", "A {n}-magnitude quake.", "magnitude", 1.0, "", 0.821),
+    ("earthquake", "Depth of {n} km.", "depth", 1.0, "km", 0.772),
+    ("earthquake", "MMI VI affecting {n} thousand people.", "rapidpopdescription", "MMI VI affecting {n} thousand people", "", 0.752),
+    ("cyclone", "The cyclone put at risk {n} homes.", "exposed_population", 1.0, "people", 0.794),
+    ("wildfire", "Some {n} hectares scorched.", "burned_area_ha", 1.0, "ha", 0.772),
+    ("wildfire", "Lost: {n} ha of forest were burned.", "burned_area_ha", 1.0, "ha", 0.772),
+    ("wildfire", "The blaze spread over {n} acres.", "burned_area_ha", 0.404686, "ha", 0.772),
+    ("flood", "All {n} km2 of farmland.", "affected_area_km2", 1.0, "km2", 0.732),
+    ("drought", "After {n} days of drought.", "duration_days", 1.0, "days", 0.741),
+    ("wildfire", "The blaze continued {n} weeks.", "duration_days", 7.0, "days", 0.741),
+    ("drought", "Begun {n} months ago.", "duration_days", 30.0, "days", 0.705),
+    ("flood", "Some ${n} million in damage.", "economic_loss_usd", 1e6, "usd", 0.742),
+    ("drought", "Dry across {n} countries.", "affected_country_count", 1.0, "countries", 0.841),
+    ("flood", "Some {n} people were killed.", "dead", 1.0, "people", 0.792),
+    ("flood", "The death toll rose to {n}.", "dead", 1.0, "people", 0.785),
+    ("flood", "Some {n} dead after rain.", "dead", 1.0, "people", 0.792),
+    ("flood", "Water came, claiming {n} lives.", "dead", 1.0, "people", 0.792),
+    ("flood", "More than {n} people perished.", "dead", 1.0, "people", 0.792),
+    ("flood", "It injured {n} people.", "injured", 1.0, "people", 0.772),
+    ("flood", "Missing persons rose to {n}.", "missing", 1.0, "people", 0.772),
+    ("flood", "Some {n} people were evacuated.", "displaced", 1.0, "people", 0.792),
+    ("flood", "It displaced some {n} families.", "displaced", 1.0, "people", 0.792),
+    ("flood", "And {n} people are seeking shelter.", "displaced", 1.0, "people", 0.792),
+    ("flood", "Some {n} families were affected.", "people_affected", 1.0, "people", 0.742),
+    ("flood", "Rain affecting {n} households.", "people_affected", 1.0, "people", 0.742),
+    ("flood", "Some {n} homes under evacuation orders.", "people_affected", 1.0, "people", 0.735),
+    ("flood", "Some {n} residents were told to evacuate.", "people_affected", 1.0, "people", 0.735),
+    ("flood", "Some {n} people are at risk.", "people_affected", 1.0, "people", 0.764),
 ]
 
 
@@ -339,7 +368,7 @@ def _text_of(text: str, function: str = "concat") -> str:
 FOUND = [("null" if w is None else _text_of(w) if isinstance(w, str) else f"cast(round((10 + o_custkey % 90) * cast({w} as double), 6) as varchar)") for _, _, _, w, _, _ in FINDS]
 
 
-@query("select o_orderkey, " + _case(f"'{f[2]}'" for f in FINDS) + " as field, try_cast(" + _case(FOUND) + " as double) as number, case when o_orderkey % " + f"{len(FINDS)} = {next(k for k, f in enumerate(FINDS) if isinstance(f[3], str))} then " + next(w for w, f in zip(FOUND, FINDS) if isinstance(f[3], str)) + " end as words, " + _case("null" if f[4] is None else f"'{f[4]}'" for f in FINDS) + " as unit, cast(" + _case("null" if f[5] is None else str(f[5]) for f in FINDS) + " as double) as confidence from orders")
+@query("select o_orderkey, " + _case(f"'{f[2]}'" for f in FINDS) + " as field, try_cast(" + _case(FOUND) + " as double) as number, " + _case(w if isinstance(f[3], str) else "null" for w, f in zip(FOUND, FINDS)) + " as words, " + _case("null" if f[4] is None else f"'{f[4]}'" for f in FINDS) + " as unit, cast(" + _case("null" if f[5] is None else str(f[5]) for f in FINDS) + " as double) as confidence from orders")
 def q_extract_rules(spark, d):
     asked = V.view(spark, d, "select o_orderkey, " + _case(f"'{f[0]}'" for f in FINDS) + " as label, " + _case(_text_of(f[1]) for f in FINDS) + " as text, " + _case(f"'{f[2]}'" for f in FINDS) + " as field from orders")
     got = rules.extract_features(asked).withColumn("m", F.from_json("event_features", "struct<metrics:map<string,struct<value:string,unit:string,confidence:double>>>")["metrics"])
