@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +51,32 @@ def test_title_and_body(spark):
 def test_units_and_distance(spark):
     assert one(spark, X.convert_unit("maximum_wind_speed_kmh", F.lit(10.0), F.lit("m/s"))) == 36.0
     assert one(spark, X.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(6371 * math.pi)
+
+
+def series_pvalue(t, n):
+    """Two-sided p-value by the finite trigonometric series."""
+    theta = math.atan(abs(t) / math.sqrt(n))
+    cos, sin = math.cos(theta), math.sin(theta)
+    if n == 1:
+        return 1 - 2 * theta / math.pi
+    term = total = 1.0 if n % 2 == 0 else cos
+    for k in range(1, (n - n % 2) // 2 if n % 2 == 0 else (n - 1) // 2):
+        term *= cos * cos * ((2 * k - 1) / (2 * k) if n % 2 == 0 else 2 * k / (2 * k + 1))
+        total += term
+    return 1 - (sin * total if n % 2 == 0 else 2 / math.pi * (theta + sin * total))
+
+
+def test_t_tails_equal_the_series(spark):
+    rows = [(float(t), n) for n in (1, 2, 3, 4, 7, 10, 33, 100, 501, 999, 1000, 1001, 2500, 20_000) for t in (-2.5, 0.0, 1e-4, 0.3, 1.0, 1.72, 1.75, 4.0, 30.0)]
+    got = spark.createDataFrame(rows, "t double, n long").select("t", "n", X.t_pvalue(F.col("t"), F.col("n")).alias("p")).collect()
+    assert max(abs(r.p - max(0.0, series_pvalue(r.t, r.n))) for r in got) < 1e-9
+
+
+def test_t_tails_of_very_many_degrees_are_normal_and_quick(spark):
+    rows = [(z / 10, 10**9) for z in range(0, 80)]
+    got = spark.createDataFrame(rows, "t double, n long").select("t", X.t_pvalue(F.col("t"), F.col("n")).alias("p")).collect()
+    assert all(r.p == pytest.approx(math.erfc(r.t / math.sqrt(2)), rel=1e-6, abs=1e-15) for r in got)
+    begun = time.time()
+    spark.range(100_000).select(F.sum(X.t_pvalue(F.col("id") / 20_000.0, F.lit(10**9)))).collect()
+    assert time.time() - begun < 60
+    assert one(spark, X.t_pvalue(F.lit(1.0), F.lit(0))) is None and one(spark, X.t_pvalue(F.lit(None).cast("double"), F.lit(5))) is None

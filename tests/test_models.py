@@ -8,7 +8,6 @@ from hazmill import cli
 from hazmill.ml import models, severity
 from hazmill.plans import pipeline as P
 from hazmill.sources import tables
-from hazmill.streaming.clusters import stream_clusters
 
 
 @pytest.fixture(scope="module")
@@ -84,14 +83,3 @@ def _as_parquet(spark, tmp_path):
     path = f"{tmp_path}/again.parquet"
     spark.read.parquet(f"{tmp_path}/out/events").write.parquet(path)
     return path
-
-
-def test_streamed_clusters(spark, tmp_path):
-    schema = "pos long, label string, event_date string, country_iso2 string, location_text string"
-    rows = [(0, "flood", "2025-01-01", "JP", "alpha"), (1, "flood", "2025-01-03", "JP", "alpha beta"), (2, "flood", "2025-01-30", "JP", "alpha"), (3, "flood", None, "JP", "gamma"), (4, "eq", "2025-01-01", "JP", "alpha")]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    q = stream_clusters(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.pos: (r.type, r.cluster) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got[0] == got[1] == ("FL", 0) and got[2] == ("FL", 1) and got[4] == ("EQ", 0) and got[3][1] == 2

@@ -1,15 +1,20 @@
 import itertools
 import random
 import re
+import statistics
 from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from hazmill.extract import columns
 from hazmill.extract.rules import NEGATIONS, RULES, extract, extract_all, record
 from hazmill.operators import events as E
 from hazmill.operators import tables as T
+from hazmill.operators.event_study import market_model
+from hazmill.operators.medians import exact_medians
 
 
 def slow_first_fit(days, tokens):
@@ -152,3 +157,50 @@ def test_splits_are_stratified_and_cover_all(spark):
     df = spark.range(1000).selectExpr("id", "if(id % 10 = 0, 'rare', 'common') as c")
     n = {(r.c, r.split): r["count"] for r in T.random_split(df, "c", "id").groupBy("c", "split").count().collect()}
     assert n == {("rare", "test"): 20, ("rare", "val"): 10, ("rare", "train"): 70, ("common", "test"): 180, ("common", "val"): 90, ("common", "train"): 630}
+
+
+def test_exact_medians_of_a_million_errors(spark):
+    df = spark.range(1_000_001).select(F.lit("big").alias("g"), F.exp(F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e8).alias("v"))
+    small = spark.createDataFrame([("small", float(x)) for x in (5, 1, 4, 2)] + [("none", None), (None, 2.0), (None, 9.0), (None, 3.0)], "g string, v double")
+    got = {r.g: r.m for r in exact_medians(df.unionByName(small), ["g"], "v", "m").collect()}
+    values = sorted(r.v for r in df.select("v").collect())
+    assert got == {"big": values[500_000], "small": 3.0, "none": None, None: 3.0}
+
+
+def test_exact_medians_of_odd_spreads(spark):
+    for seed in range(5):
+        rng = random.Random(seed)
+        values = [rng.choice([0.0, 1e-300, 1e300, -1e300, 5.0, rng.random(), float(rng.randint(0, 9))]) for _ in range(rng.randint(1, 300))]
+        got = exact_medians(spark.createDataFrame([(v,) for v in values], "v double"), [], "v", "m", few=4, bins=8).first()[0]
+        assert got == statistics.median(values)
+    assert exact_medians(spark.createDataFrame([], "v double"), [], "v", "m").first()[0] is None
+
+
+def test_market_model_against_regression_of_each_window(spark):
+    rng = random.Random(9)
+    rows = [(t, date(2025, 1, 1) + timedelta(days=k), rng.gauss(5, 1), 0.5 if t == "flat" or 10 <= k < 70 and t == "part" else rng.gauss(-3, 1)) for t, n in (("a", 90), ("flat", 60), ("part", 90), ("short", 12)) for k in range(n)]
+    returns = spark.createDataFrame(rows, "ticker string, date date, y double, x double").withColumn("pos", F.row_number().over(W.partitionBy("ticker").orderBy("date")) - 1)
+    of = {}
+    for t, _, y, x in rows:
+        of.setdefault(t, []).append((y, x))
+    for r in market_model(returns).collect():
+        days = of[r.ticker]
+        est = days[max(0, r.pos - 45) : max(0, r.pos - 5)]
+        assert r.n_est == len(est)
+        mx, my = (sum(d[k] for d in est) / len(est) if est else 0 for k in (1, 0))
+        sxx = sum((x - mx) ** 2 for _, x in est)
+        if not est or len({x for _, x in est}) == 1:
+            assert r.beta is None and r.car_t1 is None
+            continue
+        beta = sum((x - mx) * (y - my) for y, x in est) / sxx
+        assert r.beta == pytest.approx(beta, abs=1e-8) and r.alpha == pytest.approx(my - beta * mx, abs=1e-7)
+        for k in (1, 3, 5):
+            got = r[f"car_t{k}"]
+            after = days[r.pos + 1 : r.pos + k + 1]
+            assert got == pytest.approx(sum(y - (my - beta * mx) - beta * x for y, x in after), abs=1e-6) if len(after) == k else got is None
+
+
+def test_ranking_of_many_scores_in_ranges(spark):
+    rows = [(k % 97 / 97, int(k * 7 % 3 == 0)) for k in range(500)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    assert T.ranking_metrics(df, "s", "y", few=10).first() == T.ranking_metrics(df, "s", "y").first()
