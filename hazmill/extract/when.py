@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazmill.durable import spread
 from hazmill.functions.exprs import body_of, sentences, title_of
 
 # Trigger, aftermath and date vocabulary.
@@ -126,7 +127,7 @@ def event_time(df: DataFrame, text: str = "text", base: str = "base", code: str
     retro = F.exists(s, idle) & ~early
     fallback = F.when(~drought & ~retro & b.isNotNull(), _found(b, "day", "event_date", F.lit(None).cast("string"), "step5_fallback"))
     dated = [F.when(x["date"].isNotNull(), x) if k == len(steps) - 1 else x for k, x in enumerate(steps)]
-    out = df.withColumn("__whole", whole).withColumn("__s", sentences(F.col("__whole"))).withColumn("__near", close)
+    out = spread(df).withColumn("__whole", whole).withColumn("__s", sentences(F.col("__whole"))).withColumn("__near", close)
     out = out.withColumn("__rest", F.filter(s, lambda x: ~F.array_contains(near, x) & ~idle(x))).withColumn("__t", F.coalesce(*dated, fallback))
     unknown = lambda c: F.coalesce(F.col(f"__t.{c}"), F.lit("unknown")).alias(c)
     return out.select(*df.columns, F.col("__t.date").alias("event_date"), unknown("granularity"), unknown("time_type"), F.col("__t.raw").alias("date_raw"), F.coalesce("__t.method", F.lit("none")).alias("method"))

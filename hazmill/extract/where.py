@@ -2,8 +2,8 @@
 
 The country index holds the English names and two- and three-letter codes of all countries that the Java platform knows, overridden by aliases (a
 parameter: a table of alias and iso2; ALIASES by default). The city index is made from a gazetteer table that the user
-gives (a geographical database's cities: name, alternatenames, population, iso2, lat, lon). Both are joined by name, as equi joins:
-Spark broadcasts them while they are below its threshold and shuffles otherwise.
+gives (a geographical database's cities: name, alternatenames, population, iso2, lat, lon). An index of up to gazetteer.MOST_NAMES names goes to the
+tasks as a trie and each text is read once; a larger one is joined with the texts' runs of words, by name.
 
 Entities: by default all runs of one to four words that begin and end with a capital and that an index knows, the longest at
 each place first; a column of entities from a recogniser can be given instead. Order: those of the title, then those of
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazmill.extract.gazetteer import entities, longest_name, looked_up, trie
 from hazmill.functions.exprs import coordinates, nullify, sentences
 
 # Names that stand for a country: short and other names, peoples, regions.
@@ -97,7 +98,17 @@ def entity_candidates(articles: DataFrame, index: DataFrame, text: str = "text",
         F.array(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("part"), F.coalesce(F.col(title), F.lit("")).alias("text"))),
         F.transform(F.slice(sentences(body), 1, 3), lambda s, i: F.struct(F.when(s.rlike(TRIGGERS), 1).otherwise(2).alias("rank"), i.alias("part"), s.alias("text"))),
     )
-    split = articles.select(key, F.lower(F.trim(F.regexp_extract(body, DATELINE, 1))).alias("dateline"), F.explode(parts).alias("p")).select(key, "dateline", "p.*")
+    dateline = F.coalesce(F.lower(F.trim(F.regexp_extract(body, DATELINE, 1))), F.lit(""))
+    if (root := trie(index)) is not None:
+        kind = articles.schema[key].dataType.simpleString()
+        asked = articles.select(key, F.coalesce(parts, F.array().cast("array<struct<rank:int,part:int,text:string>>")).alias("parts"), dateline.alias("dateline"))
+        found = looked_up(asked, root, lambda p, d, r: entities([x for x in p if x["text"]], d, r, LONGEST), ["parts", "dateline"], f"{key} {kind}, entities array<string>")
+        return found.filter(F.size("entities") > 0)
+    return _joined_candidates(articles.select(key, dateline.alias("dateline"), F.explode(parts).alias("p")).select(key, "dateline", "p.*"), index, key)
+
+
+def _joined_candidates(split: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """entity_candidates for an index of any size. split: key, dateline, rank, part, text."""
     runs = split.select(key, "dateline", "rank", "part", F.explode(_phrases(F.col("text"), True)).alias("r")).select(key, "dateline", "rank", "part", "r.*")
     # codes and other short names count only in capitals: "US", not "us" or "It"
     runs = runs.withColumn("name", F.lower("phrase")).filter((F.length("phrase") > 3) | (F.col("phrase") == F.upper("phrase")))
@@ -159,18 +170,27 @@ def resolve_iso2(events: DataFrame, key: str = "event_id", iso2: str = "country_
     asked = events.select(F.col(key).alias("k"), given.alias("given"), nullify(F.col(place)).alias("place"))
     asked = asked.join(known.select(F.col("iso2").alias("given"), F.lit(True).alias("valid")), "given", "left")
     open_ = asked.filter("valid is null and place is not null")
+    if (root := trie(index, "iso2")) is not None:
+        kind = events.schema[key].dataType.simpleString()
+        found = looked_up(open_.select("k", "place"), root, lambda p, r: longest_name(p, r, LONGEST), ["place"], f"k {kind}, found string").filter("found is not null")
+    else:
+        found = _joined_names(open_, index)
+    out = asked.join(found, "k", "left")
+    code = F.when(F.col("valid"), F.col("given")).when(F.col("place").isNull(), F.when(F.col("given") != "", F.col("given"))).otherwise(F.col("found"))
+    out = out.select(F.col("k").alias(key), code.alias("iso2"))
+    return out.join(known.select("iso2", F.col("name").alias("country_name")), "iso2", "left").select(key, "iso2", F.coalesce("country_name", "iso2").alias("country_name"))
+
+
+def _joined_names(places: DataFrame, index: DataFrame) -> DataFrame:
+    """k, found of places (k, place): the longest run of words that is a name, for an index of any size."""
     words = F.filter(F.split(F.regexp_replace("place", ",", " "), r"(?U)\s+"), lambda w: w != "")
 
     def runs(n):
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(F.lit(-n).alias("neg"), i.alias("start"), F.regexp_replace(F.lower(F.array_join(F.slice(words, i, n), " ")), r"^\.+|\.+$", "").alias("name")))
 
-    tried = open_.select("k", F.explode(F.concat(*[runs(n) for n in range(1, LONGEST + 1)])).alias("r")).select("k", "r.*")
-    found = tried.join(index, "name").groupBy("k").agg(F.min(F.struct("neg", "start", "iso2")).alias("f")).select("k", F.col("f.iso2").alias("found"))
-    out = asked.join(found, "k", "left")
-    code = F.when(F.col("valid"), F.col("given")).when(F.col("place").isNull(), F.when(F.col("given") != "", F.col("given"))).otherwise(F.col("found"))
-    out = out.select(F.col("k").alias(key), code.alias("iso2"))
-    return out.join(known.select("iso2", F.col("name").alias("country_name")), "iso2", "left").select(key, "iso2", F.coalesce("country_name", "iso2").alias("country_name"))
+    tried = places.select("k", F.explode(F.concat(*[runs(n) for n in range(1, LONGEST + 1)])).alias("r")).select("k", "r.*")
+    return tried.join(index, "name").groupBy("k").agg(F.min(F.struct("neg", "start", "iso2")).alias("f")).select("k", F.col("f.iso2").alias("found"))
 
 
 def catalogue_countries(catalogue: DataFrame, aliases: DataFrame | None = None, fallback: bool = True, country: str = "country") -> DataFrame:

@@ -121,3 +121,24 @@ def test_locations(spark):
     named = spark.createDataFrame([(0, ["Atlantis", "Lima, Peru"]), (1, []), (2, ["Nowhere", "Kobe", "Peru"])], "pos long, names array<string>").withColumns({"title": F.lit(""), "text": F.lit("")})
     given = {r.pos: (r.location_text, r.country_iso2) for r in where.extract_location(named, cities, entities="names").collect()}
     assert given == {0: ("Atlantis", "PE"), 1: (None, None), 2: ("Kobe", "JP")}
+
+
+def test_trie_and_join_find_the_same_names(spark, monkeypatch):
+    import random
+
+    from hazmill.extract import gazetteer, where
+
+    rng = random.Random(5)
+    words = ["Japan", "South", "Korea", "korea", "United", "States", "of", "the", "U.S.", "US", "us", "Congo", "Democratic Republic of the Congo", "struck", "Papua New Guinea's", "Türkiye", "Springfield,", "New", "Kobe", "[SEP]", "It rained.", "Timor-Leste", "'India'", "(Fiji)", "TOKYO,", "Cote d'Ivoire", "İzmir"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14))), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), rng.choice([None, "JP", "xx", ""])) for k in range(300)] + [(300, None, None, None)]
+    a = spark.createDataFrame(rows, "pos long, text string, title string, country_iso2 string")
+    cities = where.city_index(spark.createDataFrame([("Springfield", "", 10, "US", 1.0, 2.0), ("Kobe", "New Kobe,South Kobe", 5, "JP", 1.0, 1.0), ("Korea", "x", 1, "ZZ", 0.0, 0.0)], "name string, alternatenames string, population long, iso2 string, lat double, lon double"))
+
+    def both():
+        named = sorted(map(tuple, where.extract_location(a, cities).collect()), key=str)
+        codes = sorted(map(tuple, where.resolve_iso2(a.withColumnRenamed("text", "location_text"), "pos").collect()), key=str)
+        return named, codes
+
+    small = both()
+    monkeypatch.setattr(gazetteer, "MOST_NAMES", 3)
+    assert both() == small and sum(r[2] is not None for r in small[0]) > 100 and sum(r[1] is not None for r in small[1]) > 100
