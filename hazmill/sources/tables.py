@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from hazmill.extract.where import catalogue_countries
 from hazmill.functions.exprs import duration_days, severity_level, to_number
 from hazmill.operators.tables import pending
+from hazmill.sources.answers import read_answers, write_answers
 from hazmill.sources.sheets import read_xlsx
 
 # The catalogue's columns.
@@ -76,20 +77,15 @@ def write_fixed(df: DataFrame, path: str, columns: list[str] | None = None) -> N
 def labelled(df: DataFrame, folder: str, ask: Callable[[list[dict]], list[dict]], result: str, key: str = "idx", label: str = "label", batch: int = 50) -> DataFrame:
     """Ask a service for each row that the folder holds no answer for yet (an error isn't one), and give all answers, the last of each key.
 
-    ask: rows to answers (dicts of the result's columns), on the executors. Rows are asked in batches of so many for each core, and each batch is appended
-    when it is done, so that a broken run goes on where it stopped.
+    ask: rows to answers (dicts of the result's columns), on the executors. Rows are asked in batches of so many for each core, and each batch is committed
+    as a whole when it is done (see answers.py), so that a broken run goes on where it stopped.
     """
     spark = df.sparkSession
     schema = T.StructType.fromDDL(result)
     whole = T.StructType([*schema.fields, T.StructField("__at", T.LongType())])
 
     def answered() -> DataFrame:
-        try:
-            return spark.read.schema(whole).parquet(folder)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], whole)
+        return read_answers(spark, folder, whole)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
@@ -103,7 +99,7 @@ def labelled(df: DataFrame, folder: str, ask: Callable[[list[dict]], list[dict]]
     turns = -(-n // max(1, batch * cores))
     for turn in range(turns):
         now = pending(df, answered(), key, label).filter(F.pmod(F.xxhash64(key), F.lit(turns)) == turn)
-        now.repartition(cores).mapInArrow(asked, whole).write.mode("append").parquet(folder)
+        write_answers(now.repartition(cores).mapInArrow(asked, whole), folder)
     got = answered()
     rest = [c for c in schema.fieldNames() if c != key]
     return got.groupBy(key).agg(F.max_by(F.struct(*rest), "__at").alias("r")).select(key, "r.*")

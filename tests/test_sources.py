@@ -1,8 +1,10 @@
 import json
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazmill.extract import where
 from hazmill.sources import rest, sheets, tables
@@ -142,3 +144,92 @@ def test_trie_and_join_find_the_same_names(spark, monkeypatch):
     small = both()
     monkeypatch.setattr(gazetteer, "MOST_NAMES", 3)
     assert both() == small and sum(r[2] is not None for r in small[0]) > 100 and sum(r[1] is not None for r in small[1]) > 100
+
+
+def test_answers_of_failed_tasks_dont_count(spark, tmp_path):
+    from hazmill.sources import tables
+    from hazmill.sources.answers import AnswerWriter, read_answers, write_answers
+
+    folder = f"{tmp_path}/answers"
+    df = spark.range(40).withColumnRenamed("id", "idx").withColumn("text", F.col("idx").cast("string"))
+
+    def fails_late(rows):
+        out = []
+        for r in rows:
+            if r["idx"] == 33:
+                raise RuntimeError("the service is gone")
+            out.append({"idx": r["idx"], "label": "x"})
+        return out
+
+    with pytest.raises(Exception, match="service is gone"):
+        tables.labelled(df, folder, fails_late, "idx long, label string", batch=100)
+    schema = T.StructType.fromDDL("idx long, label string, __at long")
+    assert read_answers(spark, folder, schema).count() == 0  # other tasks of the job had written their files
+    asked = spark.sparkContext.accumulator(0)
+
+    def well(rows):
+        asked.add(len(rows))
+        return [{"idx": r["idx"], "label": "y"} for r in rows]
+
+    for _ in range(2):  # the second run asks for nothing
+        got = tables.labelled(df, folder, well, "idx long, label string", batch=3).collect()
+        assert sorted((r.idx, r.label) for r in got) == [(i, "y") for i in range(40)]
+    assert asked.value == 40 and read_answers(spark, folder, schema).count() == 40
+
+    # a task that ran twice: only the attempt that the driver knows of counts
+    writer = AnswerWriter(f"{tmp_path}/twice")
+    batch = pa.RecordBatch.from_pydict({"idx": [1, 2]})
+    first, second = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert first.name != second.name
+    writer.commit([second, None])
+    assert sorted(r.idx for r in read_answers(spark, f"{tmp_path}/twice", T.StructType.fromDDL("idx long")).collect()) == [1, 2]
+    other = AnswerWriter(f"{tmp_path}/twice")
+    other.abort([other.write(iter([batch])), None])
+    assert read_answers(spark, f"{tmp_path}/twice", T.StructType.fromDDL("idx long")).count() == 2
+    assert len(list((tmp_path / "twice" / "files").iterdir())) == 2
+
+
+def test_price_source_asks_for_what_is_wanted(spark, tmp_path):
+    import datetime
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from hazmill.sources.prices import read_prices, write_prices
+
+    log = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            _, ticker, begin, end = self.path.split("/")
+            log.append((ticker, begin, end))
+            days = [datetime.date(2025, 1, 1) + datetime.timedelta(days=k) for k in range(10)]
+            body = json.dumps({"prices": [{"date": d.isoformat(), "close": float(d.day)} for d in days if begin <= d.isoformat() <= end]}).encode()
+            self.send_response(404 if ticker == "T9" else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    tickers = ",".join(f"T{k}" for k in range(30))
+    prices = read_prices(spark, url=f"http://127.0.0.1:{server.server_port}/{{ticker}}/{{begin}}/{{end}}", tickers=tickers, perpartition="7")
+    assert prices.count() == 29 * 10 and len(log) == 30 and prices.rdd.getNumPartitions() == 5  # T9 isn't known
+    log.clear()
+    some = prices.filter("ticker in ('T3', 'T4', 'nothing') and date >= '2025-01-05' and date < '2025-01-08'")
+    assert sorted((r.ticker, r.close) for r in some.collect()) == [(t, c) for t in ("T3", "T4") for c in (5.0, 6.0, 7.0)]
+    assert sorted(log) == [("T3", "2025-01-05", "2025-01-07"), ("T4", "2025-01-05", "2025-01-07")]
+    log.clear()
+    assert prices.filter("ticker = 'T1' and date > '2025-01-09'").count() == 1 and log == [("T1", "2025-01-10", "9999-12-31")]
+    assert prices.filter("ticker = 'T1' and date = '2025-01-02' and close > 5").count() == 0 and prices.filter("ticker = 'T1' and ticker = 'T2'").count() == 0
+    server.shutdown()
+
+    folder = f"{tmp_path}/prices"
+    rows = [(t, datetime.date(2025, 1, k), float(k)) for t in ("A B", "C/D", "^X") for k in range(1, 6)]
+    write_prices(spark.createDataFrame(rows, "ticker string, date date, close double"), folder)
+    files = read_prices(spark, path=folder)
+    assert sorted(map(tuple, files.collect())) == sorted(rows)
+    assert sorted(map(tuple, files.filter("ticker = 'C/D' and date between '2025-01-02' and '2025-01-03'").collect())) == [r for r in rows if r[0] == "C/D" and 2 <= r[2] <= 3]
+    assert read_prices(spark, path=f"{tmp_path}/none").count() == 0
