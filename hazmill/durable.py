@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table, computed once. The folder is the session's spark.checkpoint.dir; only a local session without one gets its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local session without one gets its own."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="hazmill-")
         sc.setCheckpointDir(path)
+    return path or sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table, computed once, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazmill.durable import settled
 from hazmill.functions.exprs import flood_severity, rapid_population
 from hazmill.operators.tables import class_weights, classification_report, folds, random_split, ranking_metrics, top_up
 
@@ -94,7 +95,7 @@ def _enough(df: DataFrame, least: int) -> bool:
 
 def train_type(catalogue: DataFrame, kind: str, folder: str, key: str = "eventid", trees: int = TREES, seed: int = 42) -> dict | None:
     """Split, check, top up, fit, evaluate, cross-validate, fit again on train and val, store. The metrics, or null without enough rows."""
-    rows = with_features(with_target(catalogue.filter(F.upper(F.trim("eventtype")) == kind)), kind)
+    rows = settled(with_features(with_target(catalogue.filter(F.upper(F.trim("eventtype")) == kind)), kind))  # all steps below start from it
     if not _enough(rows, max(2, TRAIN_LEAST // 2)):
         return None
     features, method = FEATURES[kind], "time"
@@ -119,6 +120,7 @@ def train_type(catalogue: DataFrame, kind: str, folder: str, key: str = "eventid
         own, own_medians = fit_forest(dealt.filter(F.col("fold") != fold), features, DEPTH[kind], trees, seed)
         f1.append(evaluate(scored(dealt.filter(F.col("fold") == fold), own, own_medians))["macro_f1"])
     out["cv_f1"] = sum(f1) / k
+    out["cv_f1_std"] = (sum((x - out["cv_f1"]) ** 2 for x in f1) / k) ** 0.5
     both = train.unionByName(val)
     final, medians = fit_forest(both, features, DEPTH[kind], trees, seed)
     save(catalogue.sparkSession, folder, kind, final, medians, both.count())

@@ -93,6 +93,17 @@ def full_report(df: DataFrame, labels: list[str], label: str = "label", pred: st
     return own.unionByName(macro).unionByName(accuracy)
 
 
+def rule_baseline(labels: DataFrame, classes: list[str], truth: str = "label", guess: str = "old_event_type", articles: DataFrame | None = None, key: str = "idx") -> DataFrame:
+    """full_report of what earlier rules or themes said of each article against its label; rows whose label is missing or an error don't count.
+
+    Without articles, labels has both columns; else the guesses are the articles'.
+    """
+    both = valid_labels(labels, truth)
+    if articles is not None:
+        both = both.select(key, truth).join(articles.select(key, guess), key)
+    return full_report(both.select(F.col(truth).alias("label"), F.lower(F.trim(guess)).alias("pred")), classes)
+
+
 def positive_f1(df: DataFrame, positive: str, label: str = "label", pred: str = "pred") -> DataFrame:
     """f1 of one class (0 if it doesn't occur)."""
     own = classification_report(df, label, pred).filter(F.col("label") == positive)

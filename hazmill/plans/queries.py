@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hazmill.durable import settled
+from hazmill.durable import settled, shared_folder
 from hazmill.extract import rules, when, where
 from hazmill.functions import exprs as X
 from hazmill.ml import models, severity
@@ -18,7 +20,9 @@ from hazmill.operators import events as E
 from hazmill.operators import tables as T
 from hazmill.plans import pipeline as P
 from hazmill.plans import views as V
+from hazmill.sources import rest
 from hazmill.sources import tables as R
+from hazmill.sources.prices import read_prices, write_prices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,6 +143,21 @@ def q_random_baseline(spark, d):
     return S.study(drawn, model).select("event_id", "ticker", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
 
 
+@query(WITH + RATES + f", evm as ({V.EVM})" + study("evm", "m") + ", " + POOL + "," + DRAWN + study("evr", "r") + f"""
+ , l as (select true as ev, 'car_t1' as "window", car_t1 as car from carm union all select true, 'car_t3', car_t3 from carm union all select true, 'car_t5', car_t5 from carm
+   union all select false, 'car_t1', car_t1 from carr union all select false, 'car_t3', car_t3 from carr union all select false, 'car_t5', car_t5 from carr),
+ g as (select "window", avg(car) filter (ev) as em, stddev_pop(car) filter (ev) as ep, stddev_samp(car) filter (ev) as es, count(car) filter (ev) as en, avg(car) filter (not ev) as rm_, stddev_pop(car) filter (not ev) as rp, stddev_samp(car) filter (not ev) as rs, count(car) filter (not ev) as rn from l group by 1),
+ h as (select *, ((en - 1) * es * es + (rn - 1) * rs * rs) / (en + rn - 2) as pooled from g where en >= 3 and rn >= 3)
+ select "window", round(em, 6) as event_mean, round(ep, 6) as event_std, round(rm_, 6) as random_mean, round(rp, 6) as random_std, en as event_n, rn as random_n,
+ round({tp('(em / (es / sqrt(en)))', '(en - 1)')}, 4) as p_event_vs_zero, round({tp('(rm_ / (rs / sqrt(rn)))', '(rn - 1)')}, 4) as p_random_vs_zero,
+ round({tp('((em - rm_) / sqrt(pooled * (1.0 / en + 1.0 / rn)))', '(en + rn - 2)')}, 4) as p_event_vs_random from h""")
+def q_events_against_random(spark, d):
+    """The whole of the baseline: events to abnormal returns, against those of as many random dates."""
+    events, model = V.view(spark, d, V.EVM), settled(S.market_model(S.aligned_returns(*_px(spark, d))))
+    cars = settled(S.study(events, model))
+    return S.compare_baseline(cars, S.study(S.random_events(events, cars), model))
+
+
 def _asked(spark, d):
     a = V.view(spark, d, V.ART).filter("label <> 'not_related'")
     return a.select(F.col("pos").alias("cid"), X.type_code(F.col("label")).alias("type"), F.col("country_iso2").alias("iso2"), X.parse_date(F.col("event_date")).alias("day"))
@@ -448,6 +467,83 @@ def q_link_sectors(spark, d):
     return got.select("pos", F.array_join("key_industries", ",").alias("key_industries"), F.array_join("sector_etfs", ",").alias("sector_etfs"), "index_ticker", "linked")
 
 
+#: Prices under the names of funds; other funds have none.
+FX = V.PX.replace("p_type as ticker", "case p_type when 'ECONOMY' then 'SPY' when 'LARGE' then 'EWJ' when 'MEDIUM' then 'IAK' when 'PROMO' then 'MOO' when 'SMALL' then 'XHB' else 'XLU' end as ticker")
+FUNDED = f"with art as ({ART}), px as ({FX}), mkt as ({V.MKT}), {LINKED}," + RATES + f""",
+ k as (select pos, {CODE} as type, country_iso2 as iso2, case when pos % 23 <> 0 then cast(event_date as date) end as day from art where label <> 'not_related'),
+ l as (select pos, day, type, iso2, list_filter(list_concat(a, coalesce(b, [])), lambda x, i: list_position(list_concat(a, coalesce(b, [])), x) = i) as s from k left join prior using (type) left join kb using (iso2))"""
+
+
+def _linked(spark, d):
+    a = V.view(spark, d, V.ART).filter("label <> 'not_related'").withColumn("type", X.type_code(F.col("label"))).withColumn("sectors_from_text", F.array().cast("array<string>"))
+    dated = F.when(F.col("event_id") % 23 != 0, F.to_date("event_date"))
+    return E.link_sectors(a.withColumnRenamed("pos", "event_id").withColumn("event_date", dated).withColumn("predicted_alert", F.lit("green")), "type", "country_iso2", None)
+
+
+@query(FUNDED + """, m as (select pos as event_id, day as event_date, f[x] as ticker, x as sector from (select pos, day, unnest(s) as x from l where day is not null), fund where f[x] is not null)""" + study("m", "f") + " select event_id, ticker, sector, case when ticker not in (select ticker from al) then 'no_price_data' else error end as error, round(car_t1, 6) as car_t1, round(car_t3, 6) as car_t3, round(car_t5, 6) as car_t5 from carf")
+def q_fund_study(spark, d):
+    """Events to their funds to abnormal returns; events without a date or a fund have no rows."""
+    cars, _ = P.event_study(_linked(spark, d), V.view(spark, d, FX), V.view(spark, d, V.MKT))
+    return cars.select("event_id", "ticker", "sector", "error", *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
+
+
+INDEXES = "map(['US','JP','CN','IN','AU','ID','PH','NP','TR','MX'], ['SPY','EWJ','FXI','INDA','EWA','IDX','EPHE','^NEPSE','TUR','EWW'])"
+
+
+@query(FUNDED + f", o as (select pos as event_id, day as event_date, coalesce({INDEXES}[iso2], list_filter(list_transform(s, lambda x: f[x]), lambda y: y is not null)[1]) as ticker from l, fund)" + study("o", "s") + " select event_id, ticker, case when event_date is null then 'missing_ticker_or_date' when ticker not in (select ticker from al) then 'no_price_data' else error end as error, case when error is null then round(beta, 6) end as beta, round(car_t1, 6) as car_t1, round(car_t3, 6) as car_t3, round(car_t5, 6) as car_t5 from cars")
+def q_single_ticker_study(spark, d):
+    """One ticker an event: its country's index, or else its first fund."""
+    cars = P.single_ticker_study(_linked(spark, d), V.view(spark, d, FX), V.view(spark, d, V.MKT))
+    return cars.select("event_id", "ticker", "error", F.round("beta", 6).alias("beta"), *[F.round(f"car_t{k}", 6).alias(f"car_t{k}") for k in S.HORIZONS])
+
+
+@query(f"with px as ({V.PX}) select ticker, date, round(close, 2) as close from px where ticker in ('ECONOMY', 'PROMO', 'STANDARD') and date >= date '1996-03-01' and date < date '2000-01-01'")
+def q_price_history(spark, d):
+    """Prices from files by ticker, with a filter that reaches the source: only those tickers' files are opened."""
+    folder = f"{shared_folder(spark)}/prices-{uuid.uuid4().hex}"
+    write_prices(V.view(spark, d, V.PX), folder)
+    wanted = F.col("ticker").isin("ECONOMY", "PROMO", "STANDARD") & (F.col("date") >= F.lit(date(1996, 3, 1))) & (F.col("date") < F.lit(date(2000, 1, 1)))
+    return read_prices(spark, path=folder).filter(wanted).select("ticker", "date", F.round("close", 2).alias("close"))
+
+
+FROM = "case when eventid % 17 = 0 then null when eventid % 19 = 0 then 'bad' else concat(cast(fromdate as {s}), 'T00:00:00') end"
+
+
+@query(f"with cat as ({V.CAT_DUCK}) select eventid, case when eventid % 17 = 0 or eventid % 19 = 0 then null when fromdate < date '1998-01-01' then 'train' when fromdate < date '2000-01-01' then 'val' else 'test' end as split from cat")
+def q_catalogue_split(spark, d):
+    rows = V.view(spark, d, V.CAT_SPARK).withColumn("fromdate", F.expr(FROM.format(s="string")))
+    return severity.time_split(rows, "fromdate", "1998-01-01", "2000-01-01").select("eventid", "split")
+
+
+@query(f"with r as (select eventid, eventtype, alertlevel, eventid * 7919 % 1000003 as n from ({V.CAT_DUCK})), a as (select 'level' as by_, *, row_number() over (partition by eventtype, alertlevel order by n) as rn from r), b as (select 'type' as by_, *, row_number() over (partition by eventtype order by n) as rn from r) select by_, eventid, eventtype, alertlevel, n from a where rn <= 10 union all select by_, eventid, eventtype, alertlevel, n from b where rn <= 25")
+def q_balanced_rows(spark, d):
+    """The first 10 entries of each type and level, and the first 25 of each type."""
+    rows = V.view(spark, d, V.CAT_SPARK).select("eventid", "eventtype", "alertlevel", F.expr("eventid * 7919 % 1000003").alias("n"))
+    return rest.balanced(rows, 10, 25).withColumn("by_", F.lit("level")).unionByName(rest.balanced(rows, 0, 25).withColumn("by_", F.lit("type")))
+
+
+#: What a quake's people are: the text's number and scale; 100 for a few.
+QUAKES = """select p_partkey, case p_partkey % 6 when 0 then null when 1 then 'Few people in MMI VI' when 2 then concat(cast(p_size as {s}), ' thousand people in MMI VII') when 3 then concat(cast(p_size as {s}), '.5 million in MMI V') when 4 then 'unknown' else ' ' end as rapidpopdescription,
+ case p_partkey % 4 when 0 then 'nan' when 1 then 'n/a' else cast(p_size as {s}) end as magnitude, case p_partkey % 5 when 0 then null else concat(cast(p_size as {s}), '.25') end as depth from part"""
+
+
+@query("with q as (" + QUAKES.format(s="varchar") + """), n as (select *, case p_partkey % 6 when 1 then 100.0::double when 2 then cast(split_part(rapidpopdescription, ' ', 1) as double) * 1000 when 3 then cast(split_part(rapidpopdescription, ' ', 1) as double) * 1000000 end as people from q)
+ select p_partkey, case when p_partkey % 4 > 1 then cast(magnitude as double) end as magnitude, cast(depth as double) as depth, people as rapid_pop_people, round(ln(1 + people), 6) as rapid_pop_log, case when p_partkey % 6 in (0, 5) then 1.0::double else 0.0::double end as rapid_missing, case when p_partkey % 6 = 1 then 1.0::double else 0.0::double end as rapid_few_people, case when p_partkey % 6 = 4 then 1.0::double else 0.0::double end as rapid_unparsed from n""")
+def q_model_features(spark, d):
+    got = severity.with_features(V.view(spark, d, QUAKES.format(s="string")), "EQ")
+    return got.select("p_partkey", *[F.round(c, 6).alias(c) if c == "rapid_pop_log" else F.col(c) for c in severity.FEATURES["EQ"]])
+
+
+BASE = """select o_orderkey as idx, case o_orderpriority when '1-URGENT' then 'flood' when '2-HIGH' then 'drought' when '3-MEDIUM' then 'error' when '4-NOT SPECIFIED' then null else 'cyclone' end as label,
+ case o_orderkey % 4 when 0 then ' Flood' when 1 then 'drought' when 2 then 'cyclone ' else 'wildfire' end as old_event_type from orders"""
+
+
+@query(f"with b as ({BASE}), p as (select label, trim(lower(old_event_type)) as pred from b where label is not null and label <> 'error'), c as (select * from (values (0, 'flood'), (1, 'drought'), (2, 'cyclone'), (3, 'quake')) v(nr, c)), g as (select nr, c, (select count(*) from p where label = c) as support, (select count(*) from p where pred = c) as predicted, (select count(*) from p where label = c and pred = c) as tp from c), f as (select nr, c as label, round(coalesce(tp / nullif(predicted, 0), 0), 6) as precision, round(coalesce(tp / nullif(support, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(predicted + support, 0), 0), 6) as f1, support from g) select * from f union all select 4, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from f union all select 5, 'accuracy', round(count(*) filter (label = pred) / count(*), 6), round(count(*) filter (label = pred) / count(*), 6), round(count(*) filter (label = pred) / count(*), 6), count(*) from p")
+def q_rule_baseline(spark, d):
+    rows = V.view(spark, d, BASE)
+    return EV.rule_baseline(rows.select("idx", "label"), ["flood", "drought", "cyclone", "quake"], articles=rows.select("idx", "old_event_type"))
+
+
 @query("select o_orderkey, round(least(100, 18 * ln(1 + o_custkey % 300) + 8 * ln(1 + o_custkey % 5000) + 2.5 * (o_orderkey % 9)), 4) as score, case when least(100, 18 * ln(1 + o_custkey % 300) + 8 * ln(1 + o_custkey % 5000) + 2.5 * (o_orderkey % 9)) >= 65 then 'high' when least(100, 18 * ln(1 + o_custkey % 300) + 8 * ln(1 + o_custkey % 5000) + 2.5 * (o_orderkey % 9)) >= 35 then 'medium' else 'low' end as tier from orders")
 def q_impact_score(spark, d):
     z = F.lit(None).cast("double")
