@@ -67,8 +67,7 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, folder, order = tokenbin.tokens_to_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
-    return tokenbin.read_files(manifest, folder, order)
+    return tokenbin.read_files(spark, tokenbin.tokens_to_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
 def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

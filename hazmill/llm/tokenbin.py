@@ -5,14 +5,17 @@ control bytes (one bit an id for vocabularies of up to 65,536 ids, else two: the
 less one; eight or four ids a byte, first id in the low bits) and its data bytes (the rank, little-endian). A
 control byte is decoded by table lookup: lengths and offsets of its ids come from arrays.
 
-File (little-endian): ``HMTB``, version, control bits and a zero (1, 1 and 2 bytes), then blocks. A block is its number of
-documents, of control bytes and of data bytes (3 x uint64), for each document its id, whether that isn't null,
-its ids and its data bytes (int64, uint8, uint32, uint32 arrays), then all control bytes and all data bytes.
-One file for each range of doc_id, in ascending order, in the shared folder. Each task attempt writes
-a name of its own, and the manifest lists only what successful attempts wrote, so lost executors leave nothing half read.
+File (little-endian): ``HMTB``, version, control bits and a zero (1, 1 and 2 bytes), the number of ids and the ids in order of
+rank (uint32 each), then blocks. A block is its number of documents, of control bytes and of data bytes (3 x uint64), for each document its id,
+whether that isn't null, its ids and its data bytes (int64, uint8, uint32, uint32 arrays), then all control bytes and all data bytes. So each
+file can be decoded by itself.
+
+A folder holds `files`, one for each range of doc_id in ascending order, and `manifest`, a Parquet table of the files' names in that order and
+their numbers of documents and ids. Each task attempt writes a name of its own, and the manifest lists only what successful attempts wrote, so lost
+executors leave nothing half read. read_files needs the folder alone. A folder that the caller names is kept; else it is deleted when the driver ends.
 
 Defined results: a null text is empty (its record holds the end id only); null ids come first; rows that repeat
-an id follow each other, ordered by their ids' bytes; no rows give no files.
+an id follow each other, in order of a checksum of their ids, and an id of very many rows is dealt to several files by it; no rows give no files.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazmill.llm.common import gather, holds, new_path, released, slices, stored, texts_of
@@ -155,26 +158,35 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def encode_record(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
-    """Control and data bytes of one document's ranks."""
-    r = ranks.astype(np.uint32)
+def encode_records(ranks: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of documents' ranks, one document after the other, and each one's number of data bytes."""
+    r = ranks.astype("<u4")
     extra = (r > 0xFF).astype(np.uint8)
     if bits == 2:
         extra += (r > 0xFFFF).astype(np.uint8) + (r > 0xFFFFFF)
     per = 8 // bits
-    padded = np.zeros(-(-len(r) // per) * per, dtype=np.uint8)
-    padded[: len(r)] = extra
+    padded = np.zeros(int(control_bytes(sizes, bits).sum()) * per, dtype=np.uint8)
+    padded[_places(sizes, bits)] = extra
     control = (padded.reshape(-1, per) << (np.arange(per, dtype=np.uint8) * bits)).sum(axis=1, dtype=np.uint8)
-    raw = r.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) <= extra[:, None]].tobytes()
+    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    more = np.append(0, np.cumsum(extra, dtype=np.int64))
+    ends = np.cumsum(sizes)
+    return control, data, sizes + more[ends] - more[ends - sizes]
+
+
+def _places(sizes: np.ndarray, bits: int) -> np.ndarray:
+    """Where documents' ids are among the fields of their control bytes."""
+    per = 8 // bits
+    own, fields = np.cumsum(sizes) - sizes, control_bytes(sizes, bits) * per
+    return np.arange(int(sizes.sum())) + np.repeat(np.cumsum(fields) - fields - own, sizes)
 
 
 _LENGTHS = {b: ((np.arange(256)[:, None] >> (np.arange(8 // b) * b)) & ((1 << b) - 1)) + 1 for b in (1, 2)}
 
 
-def decode_record(control: np.ndarray, data: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """The ranks: lengths by table lookup of the control bytes, offsets as their running sum."""
-    lengths = _LENGTHS[bits][control].ravel()[:n]
+def decode_records(control: np.ndarray, data: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """The ranks of documents, one after the other: lengths by table lookup of the control bytes, offsets as their running sum."""
+    lengths = _LENGTHS[bits][control].ravel()[_places(sizes, bits)]
     start = np.cumsum(lengths) - lengths
     out = data[start].astype(np.uint32)
     for k in range(1, 2 if bits == 1 else 4):
@@ -234,99 +246,134 @@ def _pack(docs: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
     return head + ids + given + sizes + control + data
 
 
-def write_files(encoded: DataFrame, order: np.ndarray, kind: str, folder: str, files: int) -> DataFrame:
-    """Write one file for each range of doc_id; the manifest: path, part, n_docs, n_ids, n_bytes."""
-    bits = 1 if len(order) <= 1 << 16 else 2
+def _few(column: pa.Array, width: int) -> Iterator[tuple[int, int]]:
+    """Bounds of successive rows whose ids are few together."""
+    ends = np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64)) // width
+    at = 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_IDS, "right")))
+        yield at, to
+        at = to
+
+
+def _slices(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of a byte array as binary values."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+#: What a null id counts as when ranges are cut.
+LOWEST = -(1 << 63)
+
+
+def write_files(encoded: DataFrame, order: np.ndarray, kind: str, folder: str, files: int) -> None:
+    """Write one file for each range of doc_id and the manifest: name, part, n_docs, n_ids, n_bytes."""
+    bits, width = 1 if len(order) <= 1 << 16 else 2, np.dtype(kind).itemsize
     rank = np.empty(len(order), dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    shared = encoded.sparkSession.sparkContext.broadcast(rank)
+    shared = encoded.sparkSession.sparkContext.broadcast((rank, order.astype("<u4")))  # as large as the vocabulary
     # Bounds from the ids alone: a range partitioner would draw its sample by ranking all documents once more.
     shares = [k / files for k in range(1, files)]
-    bounds = encoded.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))).first()[0] if shares else None
+    key = F.coalesce("doc_id", F.lit(LOWEST))
+    bounds = encoded.agg(F.percentile_approx(key, shares, max(10_000, 20 * files))).first()[0] if shares else None
     cuts = np.array(bounds or [], dtype=np.int64)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, control, data = [], [], []
-            for value in batch.column("ids"):
-                ids = np.frombuffer(value.as_buffer(), dtype=kind)
-                c, d = encode_record(shared.value[ids], bits)
-                n.append(len(ids))
-                control.append(c)
-                data.append(d)
-            ids = batch.column("doc_id")
-            part = np.where(np.asarray(ids.is_null()), 0, np.searchsorted(cuts, np.asarray(ids.fill_null(0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["part", "doc_id", "n", "control", "data"])
+        rank = shared.value[0]
+        for whole in batches:
+            for at, to in _few(whole.column("ids"), width):
+                batch = whole.slice(at, to - at)
+                column = batch.column("ids")
+                n = np.asarray(pc.binary_length(column), dtype=np.int64) // width
+                raw = column.buffers()[2]
+                begin = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+                ids = np.frombuffer(raw, dtype=np.uint8)[begin : begin + int(n.sum()) * width].view(kind)
+                control, data, lengths = encode_records(rank[ids], n, bits)
+                mix = np.fromiter((zlib.crc32(v.as_buffer()) for v in column), dtype=np.int64, count=len(n))
+                names = np.asarray(batch.column("doc_id").fill_null(LOWEST))
+                # An id that is several bounds has the ranges between them, dealt by the checksum.
+                low, high = np.searchsorted(cuts, names), np.searchsorted(cuts, names, "right")
+                part = (low + np.where(high - low > 1, mix * (high - low) >> 32, 0)).astype(np.int32)
+                columns = [pa.array(part), batch.column("doc_id"), pa.array(mix), pa.array(n), _slices(control, control_bytes(n, bits)), _slices(data, lengths)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "mix", "n", "control", "data"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        part, out, path, held, waiting = TaskContext.get().partitionId(), None, None, [], 0
-        n_docs = n_ids = n_bytes = 0
+        part, out, name, held, waiting = TaskContext.get().partitionId(), None, "", [], 0
+        n_docs = n_ids = 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
                 if out is None:
-                    store, base = fs.FileSystem.from_uri(folder)
+                    store, base = fs.FileSystem.from_uri(f"{folder}/files")
                     store.create_dir(base, recursive=True)
-                    path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.hmtb"
-                    out = store.open_output_stream(path)
-                    out.write(MAGIC + bytes([1, bits, 0, 0]))
-                    n_bytes = 8
+                    name = f"part-{part:06d}-{uuid.uuid4().hex}.hmtb"
+                    out = store.open_output_stream(f"{base}/{name}")
+                    ids = shared.value[1]
+                    out.write(MAGIC + bytes([2, bits, 0, 0]) + np.array([len(ids)], "<u4").tobytes() + ids.tobytes())
                 held.append(row)
                 n_docs, n_ids, waiting = n_docs + 1, n_ids + row[1], waiting + row[1]
                 if waiting >= BLOCK_IDS:
-                    n_bytes += out.write(_pack(held)) or 0
+                    out.write(_pack(held))
                     held, waiting = [], 0
         if held:
             out.write(_pack(held))
         if out is not None:
             n_bytes = out.tell()
             out.close()
-            name = path.rsplit("/", 1)[1]
             yield pa.RecordBatch.from_pylist([{"name": name, "part": part, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    rows = encoded.mapInArrow(released(ranked), "part int, doc_id long, n long, control binary, data binary")
-    ordered = rows.repartitionById(files, F.col("part")).drop("part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
-    return stored(ordered.mapInArrow(released(written), "name string, part int, n_docs long, n_ids long, n_bytes long"), "tokens-manifest")
+    rows = encoded.mapInArrow(released(ranked), "part int, doc_id long, mix long, n long, control binary, data binary")
+    ordered = rows.repartitionById(files, F.col("part")).drop("part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mix", "n", "control", "data")
+    ordered.mapInArrow(released(written), MANIFEST).write.parquet(f"{folder}/manifest")
+
+
+MANIFEST = "name string, part int, n_docs long, n_ids long, n_bytes long"
+
+
+def decoded_blocks(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, whether they aren't null, numbers of ids, all ids) of each block of an open file."""
+    head = f.read(12)
+    if head[:5] != MAGIC + b"\x02":
+        raise ValueError("no token file")
+    bits, size = head[5], int(np.frombuffer(head[8:], "<u4")[0])
+    order = np.frombuffer(f.read(4 * size), dtype="<u4")
+    while head := f.read(24):
+        n, n_control, n_data = (int(x) for x in np.frombuffer(head, dtype="<u8"))
+        ids, given = np.frombuffer(f.read(8 * n), dtype="<i8"), np.frombuffer(f.read(n), dtype="u1")
+        sizes, _ = np.frombuffer(f.read(8 * n), dtype="<u4").reshape(2, n).astype(np.int64)
+        control, data = np.frombuffer(f.read(n_control), dtype=np.uint8), np.frombuffer(f.read(n_data), dtype=np.uint8)
+        yield ids, given, sizes, order[decode_records(control, data, sizes, bits)]
 
 
-def read_files(manifest: DataFrame, folder: str, order: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files alone."""
-    spark = manifest.sparkSession
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the folder alone."""
     start, rows = 0, []
-    for name, n_ids in manifest.orderBy("part").select("name", "n_ids").collect():  # a short row for each file
+    for name, n_ids in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("part").select("name", "n_ids").collect():  # a short row for each file
         rows.append((name, start))
         start += n_ids
-    shared = spark.sparkContext.broadcast(order)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(f"{folder}/files")
         for batch in batches:
             for name, begin in zip(batch.column("name").to_pylist(), batch.column("begin").to_pylist()):
                 with store.open_input_stream(f"{base}/{name}") as f:
-                    magic = f.read(8)
-                    if magic[:5] != MAGIC + b"\x01":
-                        raise ValueError(f"{name} isn't a token file")
-                    bits = magic[5]
-                    while head := f.read(24):
-                        n, n_control, n_data = (int(x) for x in np.frombuffer(head, dtype="<u8"))
-                        ids, given = np.frombuffer(f.read(8 * n), dtype="<i8"), np.frombuffer(f.read(n), dtype="u1")
-                        sizes, lengths = np.frombuffer(f.read(8 * n), dtype="<u4").reshape(2, n).astype(np.int64)
-                        control, data = np.frombuffer(f.read(n_control), dtype=np.uint8), np.frombuffer(f.read(n_data), dtype=np.uint8)
-                        c, d = np.append(0, np.cumsum(control_bytes(sizes, bits))), np.append(0, np.cumsum(lengths))
-                        crc = [zlib.crc32(shared.value[decode_record(control[c[i] : c[i + 1]], data[d[i] : d[i + 1]], int(sizes[i]), bits)].astype("<u4").tobytes()) for i in range(n)]
-                        before = begin + np.cumsum(sizes) - sizes
+                    for ids, given, sizes, tokens in decoded_blocks(f):
+                        ends = np.cumsum(sizes)
+                        raw = memoryview(tokens.astype("<u4").tobytes())
+                        crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=given == 0), pa.array(begin + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         begin += int(sizes.sum())
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=given == 0), pa.array(before), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     names = spark.createDataFrame(rows, "name string, begin long")
     return names.repartition(max(1, len(rows))).mapInArrow(released(decoded), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokens_to_files(df: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, np.ndarray]:
-    """Encode, rank and write; gives the manifest, the files' folder and the ids in order of rank."""
+def tokens_to_files(df: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, file_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text") -> str:
+    """Encode, rank and write; gives the folder (a URI that all executors share), a fresh one that the driver deletes at its end unless one is named."""
     spark = df.sparkSession
     size = encoder(tokenizer).size
     kind = "<u2" if size <= 1 << 16 else "<u4"
@@ -334,5 +381,6 @@ def tokens_to_files(df: DataFrame, tokenizer: str, end_id: int = 1, file_bytes:
     order = ranking(encoded, size, kind)
     total = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0
     files = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
-    folder = new_path(spark, "token-files")
-    return write_files(encoded, order, kind, folder, int(files)), folder, order
+    folder = (folder or new_path(spark, "token-files")).rstrip("/")
+    write_files(encoded, order, kind, folder, int(files))
+    return folder

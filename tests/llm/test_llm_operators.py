@@ -3,6 +3,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +45,56 @@ def test_heap_and_lock_step_agree():
     assert model.lock_step(words) == [model.heap_agenda(w) for w in words]
 
 
-def test_token_files(spark):
-    df = docs(spark, HARD)
-    manifest, folder, order = tokenbin.tokens_to_files(df, queries.tokenizer("word_bpe_49k.json"))
-    lib, start = tokenbin.encoder(queries.tokenizer("word_bpe_49k.json")).lib, 0
-    for r in tokenbin.read_files(manifest, folder, order).orderBy("doc_id").collect():
-        ids = [*lib.encode(HARD[r.doc_id] or "", add_special_tokens=False).ids, 1]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+def read_back(spark, rows, folder):
+    lib = tokenbin.encoder(queries.tokenizer("word_bpe_49k.json")).lib
+    want = Counter()
+    for i, t in rows:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    got = sorted(tokenbin.read_files(spark, folder).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    names = [r.doc_id for r in got]
+    assert names == sorted(names, key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_token_files_are_read_in_another_session(spark, tmp_path):
+    folder = f"file://{tmp_path}/kept"
+    assert tokenbin.tokens_to_files(docs(spark, HARD), queries.tokenizer("word_bpe_49k.json"), folder) == folder
+    read_back(spark.newSession(), list(enumerate(HARD)), folder)
+    name = next((tmp_path / "kept" / "files").glob("*.hmtb"))
+    with open(name, "rb") as f:  # a file by itself
+        tokenbin.encoder(queries.tokenizer("word_bpe_49k.json"))
+        ids, given, sizes, tokens = next(tokenbin.decoded_blocks(f))
+        assert len(ids) == len(sizes) and sizes.sum() == len(tokens) and tokens[sizes[0] - 1] == 1
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tokenbin.tokens_to_files(docs(spark, HARD), queries.tokenizer("word_bpe_49k.json"), folder)
+
+
+def test_token_files_of_hot_and_null_ids(spark):
+    """A third of the rows have no id and a third share one: they are dealt to several files."""
+    rng = random.Random(8)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else rng.randint(0, 9) + 100 * (k % 2), prose(rng, rng.randint(0, 60))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = tokenbin.tokens_to_files(df, queries.tokenizer("word_bpe_49k.json"), file_bytes=8 << 10)
+    manifest = spark.read.parquet(f"{folder}/manifest").collect()
+    assert len(manifest) > 4 and max(m.n_docs for m in manifest) < 150
+    read_back(spark, rows, folder)
+    assert tokenbin.read_files(spark, tokenbin.tokens_to_files(docs(spark, []), queries.tokenizer("word_bpe_49k.json"))).count() == 0
 
 
 @pytest.mark.parametrize("bits", [1, 2])
 def test_record_coding(bits):
-    for r in ([], [0], [255, 256, 65535], list(range(300))):
-        control, data = tokenbin.encode_record(np.array(r, dtype=np.uint32), bits)
-        assert tokenbin.decode_record(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(r), bits).tolist() == r
+    rows = [[], [0], [255, 256, 65535], list(range(300)), [], [7] * 9] + ([[1 << 16, (1 << 24) - 1, 1 << 24, 3]] if bits == 2 else [])
+    sizes = np.array([len(r) for r in rows])
+    flat = np.array([x for r in rows for x in r], dtype=np.uint32)
+    control, data, lengths = tokenbin.encode_records(flat, sizes, bits)
+    assert len(data) == lengths.sum() and len(control) == tokenbin.control_bytes(sizes, bits).sum()
+    assert tokenbin.decode_records(control, data, sizes, bits).tolist() == flat.tolist()
+    assert lengths.tolist() == [sum(max(1, (int(x).bit_length() + 7) // 8) for x in r) for r in rows]
 
 
 def test_urls(spark):
