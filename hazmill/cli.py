@@ -5,6 +5,8 @@ extract   a table with a text column to the same table with a JSON column of ext
 train     a catalogue to a folder of severity models
 recall    events and a catalogue to the catalogue's entries with the events near them, and the rates
 fetch     a paged service to a catalogue table
+evaluate  labels and articles to rates of what is extracted: places, times, numbers, or earlier labels
+label     articles that have no answer yet to answers of a service, kept in a folder, and a table of what they say
 """
 
 from __future__ import annotations
@@ -12,17 +14,23 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazmill.extract.rules import extract_features
-from hazmill.functions.exprs import parse_date
+from hazmill.extract.rules import FIELDS, extract_features, extract_fields
+from hazmill.extract.when import event_time
+from hazmill.extract.where import city_index, extract_location
+from hazmill.functions.exprs import body_of, nullify, parse_date, parse_timestamp, title_of, to_number, type_code
 from hazmill.ml.severity import FEATURES, SeverityModels, train_type
+from hazmill.operators.evaluate import compare_places, compare_times, join_labels, rule_baseline, valid_labels
 from hazmill.operators.events import catalogue_recall, recall_rates
-from hazmill.operators.tables import keep_first
+from hazmill.operators.tables import keep_first, threshold_accuracy
 from hazmill.plans.pipeline import build_events, event_study, locate
 from hazmill.sources import rest, sheets, tables
 
+#: What articles are labelled as.
+LABELS = ("earthquake", "flood", "cyclone", "wildfire", "drought", "not_related")
+
 
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="hazmill", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -63,6 +71,19 @@ def arguments() -> argparse.ArgumentParser:
     f.add_argument("--balanced-per-level", type=int, default=0)
     f.add_argument("--no-details", action="store_true")
     f.add_argument("--output", required=True)
+    e = sub.add_parser("evaluate")
+    e.add_argument("kind", choices=sorted(EVALUATIONS))
+    e.add_argument("--labels", required=True)
+    e.add_argument("--articles", help="idx, timestamp, label, text; earlier labels need none")
+    e.add_argument("--cities", help="gazetteer, for places")
+    e.add_argument("--output", required=True)
+    n = sub.add_parser("label")
+    n.add_argument("--kind", choices=["type", "place", "time", "numbers"], default="type")
+    n.add_argument("--input", required=True, help="idx, label, text")
+    n.add_argument("--service", required=True, help="URL that is sent {idx, label, text} as JSON and answers {answer}; {idx} in it is filled in and makes it a plain request")
+    n.add_argument("--answers", required=True, help="folder of answers; rows that have one there aren't asked again")
+    n.add_argument("--batch", type=int, default=50)
+    n.add_argument("--output", required=True)
     return top
 
 
@@ -70,8 +91,6 @@ def analyse(spark: SparkSession, o: argparse.Namespace) -> None:
     raw = tables.read_table(spark, o.input, tables.ARTICLES, line_breaks=True).withColumn("pos", F.monotonically_increasing_id())
     cities = tables.read_table(spark, o.cities) if o.cities else None
     if cities is not None:
-        from hazmill.extract.where import city_index
-
         cities = city_index(cities)
     articles = locate(raw.filter(~F.col("label").eqNullSafe("not_related")), cities)
     entries = tables.catalogue(spark, o.catalogue, countries=True)
@@ -113,13 +132,71 @@ def fetch(spark: SparkSession, o: argparse.Namespace) -> None:
     tables.write_fixed(chosen if o.no_details else rest.with_details(chosen), o.output)
 
 
+def _evaluated(spark: SparkSession, o: argparse.Namespace, truth: str) -> DataFrame:
+    """The articles (pos, label, timestamp, text) that have a valid label, with the label's columns, which are called ..._gt where both have one."""
+    labels = valid_labels(tables.read_table(spark, o.labels), truth)
+    articles = tables.read_table(spark, o.articles, tables.ARTICLES, line_breaks=True)
+    both = join_labels(labels, articles).withColumn("pos", F.col("idx").cast("long"))
+    return both.withColumnRenamed("label_article", "label") if "label" in labels.columns else both
+
+
+def evaluate_places(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    both = _evaluated(spark, o, "location_text").withColumns({"gt_country": F.col("country_iso2"), "gt_lat": to_number(F.col("lat")), "gt_lon": to_number(F.col("lon"))}).drop("location_text", "country_iso2", "lat", "lon")
+    cities = city_index(tables.read_table(spark, o.cities)) if o.cities else None
+    cut = both.withColumns({"title": title_of(F.col("text")), "body": body_of(F.col("text"))})
+    got = extract_location(cut, cities, None, "body", "title").select("pos", F.col("location_text").alias("pred_location"), F.col("country_iso2").alias("pred_country"), F.col("lat").alias("pred_lat"), F.col("lon").alias("pred_lon"), F.col("loc_confidence").alias("confidence"))
+    return compare_places(both.join(got, "pos"), "label")
+
+
+def evaluate_times(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    both = _evaluated(spark, o, "granularity").withColumns({"base": F.to_date(parse_timestamp(F.col("timestamp"))), "type": type_code(F.col("label"))}).withColumnRenamed("granularity", "granularity_gt")
+    got = event_time(both.drop("time_type", "event_date_raw"), "text", "base", "type")
+    return compare_times(got.withColumns({"gt_date": nullify(F.col("event_date_iso")), "pred_date": F.col("event_date")}), "label")
+
+
+def evaluate_numbers(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    """field, n, coverage, within_5, within_20, within_50, median_error."""
+    both = _evaluated(spark, o, "idx")
+    names = {name: LABEL_FIELDS.get(name, name) for name in both.columns if LABEL_FIELDS.get(name, name) in FIELDS}
+    truths = both.select("pos", *[to_number(F.col(c)).alias(f"t_{f}") for c, f in names.items()])
+    got = extract_fields(both, ["pos"], "text", "label", list(names.values())).join(truths, "pos")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("truth"), F.col(f).alias("got")) for f in names.values()]))
+    return threshold_accuracy(got.select(each.alias("e")).select("e.*"), "field", "truth", "got")
+
+
+def evaluate_labels(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    """What was said before (old_event_type) against the labels (llm_event_type or label)."""
+    labels = tables.read_table(spark, o.labels)
+    truth = "llm_event_type" if "llm_event_type" in labels.columns else "label"
+    return rule_baseline(labels, list(LABELS), truth).orderBy("nr")
+
+
+EVALUATIONS = {"places": evaluate_places, "times": evaluate_times, "numbers": evaluate_numbers, "labels": evaluate_labels}
+#: Names of label columns that fields have other names for.
+LABEL_FIELDS = {"depth_km": "depth", "wind_speed_kmh": "maximum_wind_speed_kmh", "storm_surge_m": "maximum_storm_surge_m"}
+
+
+def evaluate(spark: SparkSession, o: argparse.Namespace) -> None:
+    got = EVALUATIONS[o.kind](spark, o)
+    tables.write_csv(got, o.output)
+    spark.read.csv(o.output, header=True).show(100, False)
+
+
+def label(spark: SparkSession, o: argparse.Namespace) -> None:
+    rows = tables.read_table(spark, o.input, tables.ARTICLES, line_breaks=True).select("idx", "label", "text")
+    answers = tables.labelled(rows, o.answers, rest.asker(o.service), "idx long, label string, response string", batch=o.batch)
+    known = answers.select("idx", "response").join(rows.select("idx", F.col("label").alias("kind")), "idx")
+    said = {"type": lambda: [tables.parse_label(F.col("response"), list(LABELS)).alias("label")], "place": lambda: tables.parse_place(F.col("response")), "time": lambda: tables.parse_time(F.col("response")), "numbers": lambda: tables.parse_numbers(F.col("response"), F.col("kind"))}[o.kind]()
+    tables.write_csv(known.select("idx", *([] if o.kind == "type" else [F.col("kind").alias("label")]), *said), o.output)
+
+
 def main(args: list[str] | None = None) -> None:
     from hazmill.shipping import ship
 
     o = arguments().parse_args(args)
     spark = SparkSession.builder.appName("hazmill").getOrCreate()
     ship(spark)
-    {"analyse": analyse, "extract": extract, "train": train, "recall": recall, "fetch": fetch}[o.command](spark, o)
+    {"analyse": analyse, "extract": extract, "train": train, "recall": recall, "fetch": fetch, "evaluate": evaluate, "label": label}[o.command](spark, o)
 
 
 if __name__ == "__main__":

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.error import HTTPError
 from urllib.parse import quote
-from urllib.request import urlopen
+from urllib.request import Request, urlopen
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +33,7 @@ def backoff(attempt: int, wait: float = WAIT, longest: float = LONGEST_WAIT) ->
     return min(wait * 2**attempt, longest) + random.uniform(0, CHANCE)
 
 
-def fetch_json(url: str, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, opener=urlopen):
+def fetch_json(url: str | Request, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, opener=urlopen):
     """The JSON behind a URL."""
     for attempt in range(attempts):
         try:
@@ -137,6 +137,23 @@ def fetched(df: DataFrame, url: str, out: str, attempts: int = ATTEMPTS, paralle
     return rows.mapInArrow(got, schema)
 
 
+def asker(url: str, attempts: int = ATTEMPTS) -> Callable[[list[dict]], list[dict]]:
+    """A function from rows (idx, label, text) to answers (idx, label: done or error, response) of a service; with {idx} in the URL it is only read."""
+
+    def ask(rows: list[dict]) -> list[dict]:
+        out = []
+        for r in rows:
+            address = url.format(idx=r["idx"]) if "{idx}" in url else Request(url, json.dumps(r, default=str).encode(), {"Content-Type": "application/json"})
+            try:
+                said = fetch_json(address, attempts).get("answer")
+            except (OSError, ValueError, AttributeError):
+                said = None
+            out.append({"idx": int(r["idx"]), "label": "error" if said is None else "done", "response": said})
+        return out
+
+    return ask
+
+
 def balanced(rows: DataFrame, per_level: int, limit: int) -> DataFrame:
     """The first rows of each type and level, or, without a number for these, of each type. rows: eventid, eventtype, alertlevel, n; ids are there once."""
     from hazmill.operators.tables import capped

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import date, timedelta
 
@@ -83,3 +84,34 @@ def _as_parquet(spark, tmp_path):
     path = f"{tmp_path}/again.parquet"
     spark.read.parquet(f"{tmp_path}/out/events").write.parquet(path)
     return path
+
+
+def test_evaluations_and_labelling_from_the_command_line(spark, tmp_path):
+    articles = [(1, "2025-01-10", "flood", "Flood hits Japan [SEP] Flood killed 12 people on 5 January 2025. It struck Japan at 35.0N, 139.0E."), (2, "2025-02-01", "earthquake", "Quake [SEP] A magnitude 6.1 earthquake struck Chile yesterday."), (3, "2025-03-01", "flood", "x [SEP] y")]
+    spark.createDataFrame(articles, "idx long, timestamp string, label string, text string").coalesce(1).write.csv(f"{tmp_path}/a.csv", header=True)
+    labels = [(1, "flood", "Japan", "JP", "35.1", "139.0", "2025-01-05", "day", "12"), (2, "earthquake", "Chile", "CL", None, None, "2025-01-30", "day", None), (3, "flood", "error", "error", None, None, None, "unknown", None)]
+    spark.createDataFrame(labels, "idx long, label string, location_text string, country_iso2 string, lat string, lon string, event_date_iso string, granularity string, dead string").coalesce(1).write.csv(f"{tmp_path}/l.csv", header=True)
+
+    def result(kind, labels="l.csv"):
+        cli.main(["evaluate", kind, "--labels", f"{tmp_path}/{labels}", "--articles", f"{tmp_path}/a.csv", "--output", f"{tmp_path}/{kind}"])
+        return [r.asDict() for r in spark.read.csv(f"{tmp_path}/{kind}", header=True).collect()]
+
+    places = {r["label"]: r for r in result("places")}
+    assert places[None]["n"] == "2" and places[None]["country_accuracy"] == "1.0" and float(places["flood"]["median_km"]) == pytest.approx(11.12, abs=0.1)
+    times = {r["label"]: r for r in result("times")}
+    assert times[None]["n"] == "3" and times["flood"]["exact"] == "1.0" and times["earthquake"]["median_days"] == "1.0"
+    numbers = {r["field"]: r for r in result("numbers")}
+    assert numbers["dead"]["n"] == "1" and numbers["dead"]["within_5"] == "1.0"
+    spark.createDataFrame([(1, "flood", " Flood"), (2, "earthquake", "flood"), (3, "error", "flood")], "idx long, llm_event_type string, old_event_type string").coalesce(1).write.csv(f"{tmp_path}/t.csv", header=True)
+    said = {r["label"]: r for r in result("labels", "t.csv")}
+    assert said["accuracy"]["f1"] == "0.5" and said["flood"]["precision"] == "0.5" and said["earthquake"]["recall"] == "0.0"
+
+    (tmp_path / "service").mkdir()
+    for k, text in ((1, "LABEL: flood"), (2, "this is an earthquake")):
+        (tmp_path / "service" / f"{k}.json").write_text(json.dumps({"answer": text}))
+    for round_ in (1, 2):  # the third article's answer is there the second time only
+        cli.main(["label", "--input", f"{tmp_path}/a.csv", "--service", f"file://{tmp_path}/service/{{idx}}.json", "--answers", f"{tmp_path}/answers", "--output", f"{tmp_path}/labels"])
+        got = {r.idx: r.label for r in spark.read.csv(f"{tmp_path}/labels", header=True).collect()}
+        assert got["1"] == "flood" and got["2"] == "earthquake" and got.get("3") in ((None, "error") if round_ == 1 else ("not_related",))
+        (tmp_path / "service" / "3.json").write_text(json.dumps({"answer": "LABEL: not_related"}))
+        (tmp_path / "service" / "1.json").write_text(json.dumps({"answer": "LABEL: drought"}))  # isn't asked for again
