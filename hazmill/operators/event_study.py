@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazmill.durable import settled
 from hazmill.functions.exprs import t_pvalue
 
 ESTIMATION, EVENT, LEAST_ESTIMATION, HORIZONS = (-45, -6), (0, 5), 10, (1, 3, 5)
@@ -156,8 +157,9 @@ def random_events(events: DataFrame, cars: DataFrame, n: int | None = None, seed
     that no task makes all of them.
     """
     w = W.orderBy("date")
-    pool = free_dates(events).select("date", (F.row_number().over(w) - 1).alias("k"))
-    counts = cars.filter("error is null and ticker is not null").groupBy("ticker").agg(F.count("*").alias("c"))
+    # Two small tables from which several steps start: a row for each day, a row for each ticker.
+    pool = settled(free_dates(events).select("date", (F.row_number().over(w) - 1).alias("k")))
+    counts = settled(cars.filter("error is null and ticker is not null").groupBy("ticker").agg(F.count("*").alias("c")))
     upto = F.sum("c").over(W.orderBy("ticker").rowsBetween(W.unboundedPreceding, 0))
     tickers = counts.select("ticker", (upto - F.col("c")).alias("a"), (upto - 1).alias("b"))
     owners = tickers.select("*", F.explode(F.expr(f"sequence(a div {SPAN}, b div {SPAN})")).alias("span"))

@@ -71,3 +71,26 @@ def test_each_type_has_its_own_forest(spark):
     assert got["DR", 98].prob is None and got["DR", 98].predicted_alert is None
     for i, t, _, y in rows:
         assert got[t, i].predicted_alert == ("orange_or_red" if y else "green")
+
+
+def leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_plans_read_their_inputs_a_few_times(spark):
+    """The market model is made in one pass, and settled where several steps start from it."""
+    assert leaves(Q.q_ols_beta(spark, SMALL)) <= 6 and leaves(Q.q_car_windows(spark, SMALL)) <= 6
+    assert leaves(Q.q_random_baseline(spark, SMALL)) <= 20
+    plan = Q.q_greedy_clusters(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # that of articles without a date; the others were placed before
+
+
+def test_the_rest_works_without_the_training_data_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['hazmill.llm.queries'] = None; import __spark_entry__ as e; n = e.queries(); assert len(n) > 80 and not any(k.startswith('op') or k == 'pipeline' for k in n) and set(e.oracle_sql()) <= set(n)"
+    root = Path(__file__).resolve().parent.parent
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr
