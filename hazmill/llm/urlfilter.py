@@ -1,20 +1,22 @@
 """Exact URL filtering by a cascade of Bloom filters.
 
 Keys are a rule's host and path joined. The complete key universe is every key that any URL of
-the corpus could match: its host and parent domains, each with the prefixes of its path that are
-as long as some listed path. Level 0 holds the listed keys, level 1 those keys of the universe that
+the corpus could match: the last labels of its host, as many as some listed host has, each with the prefix of its path that is
+as long as some path listed with so many labels. Level 0 holds the listed keys, level 1 those keys of the universe that
 level 0 wrongly admits, level 2 the listed keys that level 1 wrongly admits, and so on until none
 is left; a key's membership is read from the first level that rejects it, with no join.
 
 Level 0 has log2(universe / listed) bits a key (rounded up, two at least), so that about as many
-false positives as listed keys are left to the driver and to the later levels, at any size of the corpus. Whether a key that level 0
-admits is listed is told by the key itself, not by its hash: should a key of the corpus share its 64-bit hash with one of
-another kind, no cascade can tell them apart, and the build ends with an error. The corpus is read three times for any number of verdicts: to estimate
-the universe, to find the false positives, to judge.
+false positives as listed keys are left to the driver and to the later levels, at any size of the corpus. Keys stand for themselves by two 64-bit
+hashes; whether a key that level 0 admits is listed is told by a join of these few with the rules, by the key's string. The corpus is read three times for
+any number of verdicts: to estimate the universe, to find the false positives, to judge.
+
+Rules are a table of any size: up to MOST_RULES the filters (some bits a rule) are broadcast; more rules than that are joined with the URLs' keys, which gives the same.
 
 Defined results: a null URL, or one without ``://``, has empty host and path. Without a rule the
-verdict is the method's: allow, as the key is in no list. Null page ids, repeated rows and empty
-tables pass through.
+verdict is the method's: allow, as the key is in no list. Of rules that fit, the longest key wins; among equally long ones the verdict
+that is first in alphabetical order, then the longer host. Null page ids, repeated rows and empty tables pass through. A URL of any length and a host of any number of
+labels have as many keys as there are shapes (labels and path length) of rules.
 """
 
 from __future__ import annotations
@@ -41,15 +43,32 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys that a rule fitting this URL can have: parent domains x path prefixes of the listed lengths."""
+#: Rules whose filters are broadcast: a few bytes each.
+MOST_RULES = 5_000_000
+
+
+def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
+    """The numbers of host labels and lengths of path that listed keys have together."""
+    host, path = F.substring_index("key", "/", 1), F.expr("length(key) - instr(key, '/') + 1")
+    return sorted((r.labels, r.n) for r in rules.select(F.size(F.split(host, r"\.")).alias("labels"), path.alias("n")).distinct().collect())  # a few numbers for each shape
+
+
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """All keys that a rule fitting this URL can have, longest hosts first."""
+    if not shapes:
+        return F.array().cast("array<string>")
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(F.array_compact(paths), lambda p: F.concat(h, p))))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in sorted(shapes, reverse=True)])
+    fits = F.filter(wanted, lambda s: (s["k"] <= F.size(labels)) & (s["n"] <= F.length(path)))
+    keys = F.transform(fits, lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["k"] + 1, s["k"]), "."), path.substr(F.lit(1), s["n"])))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
+def hashes_of(key: Column) -> Column:
+    """Two 64-bit hashes of a key."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
+
+
 @dataclass
 class Level:
     bits: int
@@ -57,8 +76,10 @@ class Level:
     words: np.ndarray = field(repr=False, default=None)
 
     def positions(self, keys: np.ndarray, seed: int) -> Iterator[np.ndarray]:
-        h = mix(keys ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        step = mix(h) | np.uint64(1)
+        """keys: two hashes each."""
+        h = mix(keys[:, 0] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        step = mix(h + keys[:, 1]) | np.uint64(1)
+        h = h ^ mix(keys[:, 1])
         for _ in range(self.hashes):
             yield (h % np.uint64(self.bits)).astype(np.int64)
             h = h + step
@@ -104,7 +125,7 @@ def cascade(listed: np.ndarray, false: np.ndarray, first: Level) -> Cascade:
     levels, yes, no = [first], listed, false
     while len(no):
         if len(levels) > 200:
-            raise RuntimeError("two keys share a 64-bit hash; choose another seed")
+            raise RuntimeError("two keys share both hashes")
         level = Level(max(64, math.ceil(2 * len(no) / math.log(2))), 2)
         level.add(no, len(levels))
         levels.append(level)
@@ -112,42 +133,48 @@ def cascade(listed: np.ndarray, false: np.ndarray, first: Level) -> Cascade:
     return Cascade(levels)
 
 
-def build(keys: DataFrame, listed: dict[str, dict[str, int]]) -> dict[str, Cascade]:
-    """A cascade for each list of keys (with their hashes) over the universe in the columns key and key_hash. Only the false positives of the levels 0,
-    about as many as are listed, reach the driver."""
-    universe = keys.agg(F.approx_count_distinct("key_hash")).first()[0]
-    hashes = {name: np.array(list(of.values()), dtype=np.int64).astype(np.uint64) for name, of in listed.items()}
+def _pairs(rows: list) -> np.ndarray:
+    return np.array([(r.a, r.b) for r in rows], dtype=np.int64).reshape(-1, 2).astype(np.uint64)
+
+
+def build(keys: DataFrame, rules: DataFrame) -> dict[str, Cascade]:
+    """A cascade for each verdict of the rules (key, verdict) over the universe in the columns key, a and b (its hashes). The driver gets the rules' hashes, MOST_RULES at most, and
+    those of the false positives of the levels 0, which are about as many."""
+    universe = keys.agg(F.approx_count_distinct("a")).first()[0]
+    listed: dict[str, list] = {}
+    for r in rules.select("verdict", hashes_of(F.col("key")).alias("h")).select("verdict", "h.*").distinct().collect():
+        listed.setdefault(r.verdict, []).append(r)
+    hashes = {name: _pairs(rows) for name, rows in sorted(listed.items())}
     firsts = {name: first_level(h, universe) for name, h in hashes.items()}
-    shared = keys.sparkSession.sparkContext.broadcast((firsts, {name: frozenset(of) for name, of in listed.items()}))
+    shared = keys.sparkSession.sparkContext.broadcast(firsts)
 
-    def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, own = shared.value
+    def admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("key_hash").to_numpy(zero_copy_only=False).astype(np.uint64)
-            for name, level in levels.items():
-                passed = np.flatnonzero(level.has(h, 0))
-                names = batch.column("key").take(pa.array(passed)).to_pylist()
-                found = np.unique(h[[p for p, k in zip(passed, names) if k not in own[name]]])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64))], ["list", "key_hash"])
+            h = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1).astype(np.uint64)
+            for name, level in shared.value.items():
+                passed = pa.array(np.flatnonzero(level.has(h, 0)))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(passed), pa.string()), *(batch.column(c).take(passed) for c in ("key", "a", "b"))], ["verdict", "key", "a", "b"])
 
-    false: dict[str, list[int]] = {name: [] for name in listed}
-    for name, h in keys.select("key", "key_hash").mapInArrow(released(wrong), "list string, key_hash long").distinct().collect():
-        false[name].append(h)
-    return {name: cascade(hashes[name], np.array(false[name], dtype=np.int64).astype(np.uint64), firsts[name]) for name in listed}
+    passed = keys.select("key", "a", "b").mapInArrow(released(admitted), "verdict string, key string, a long, b long").distinct()
+    false: dict[str, list] = {name: [] for name in hashes}
+    for r in passed.join(rules.select("verdict", "key").distinct(), ["verdict", "key"], "left_anti").select("verdict", "a", "b").distinct().collect():
+        false[r.verdict].append(r)
+    return {name: cascade(hashes[name], _pairs(false[name]), firsts[name]) for name in hashes}
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """The columns to keep with host, path, the longest fitting rule and its verdict. rules: (key, verdict), the key being host and path joined."""
     spark = pages.sparkSession
-    lengths = sorted({len(k) - k.index("/") for k, _ in rules})
-    hashed = spark.createDataFrame([(k, v) for k, v in rules], "key string, verdict string").select("key", "verdict", F.xxhash64("key").alias("h")).collect()
+    rules = spark.createDataFrame(rules, "key string, verdict string") if isinstance(rules, list) else rules.select("key", "verdict")
+    shapes = shapes_of(rules)
     keyed = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    cand = candidate_keys(F.col("host"), F.col("path"), lengths)
-    keyed = keyed.withColumn("cand", cand).withColumn("cand_hash", F.transform("cand", lambda k: F.xxhash64(k)))
-    universe = keyed.select(F.explode(F.arrays_zip("cand", "cand_hash")).alias("k")).select(F.col("k.cand").alias("key"), F.col("k.cand_hash").alias("key_hash"))
-    filters = build(universe, {verdict: {r.key: r.h for r in hashed if r.verdict == verdict} for verdict in sorted({v for _, v in rules})})
-    shared = spark.sparkContext.broadcast(filters)
+    keyed = keyed.withColumn("cand", candidate_keys(F.col("host"), F.col("path"), shapes))
     names = [*keep, "host", "path"]
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        return _joined(keyed, rules, names, default)
+    keyed = keyed.withColumn("hashes", F.transform("cand", hashes_of))
+    universe = keyed.select(F.explode(F.arrays_zip("cand", "hashes")).alias("k")).select(F.col("k.cand").alias("key"), "k.hashes.a", "k.hashes.b")
+    shared = spark.sparkContext.broadcast(build(universe, rules))
     schema = keyed.select(*names).schema.add("rule", "string").add("verdict", "string")
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +182,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
             n = batch.num_rows
             if not n:
                 continue
-            lists = batch.column("cand_hash")
+            lists = batch.column("hashes")
             sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            both = lists.flatten()
+            flat = np.stack([both.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1).astype(np.uint64)
             keys = batch.column("cand").flatten().to_pylist()
             owner = np.repeat(np.arange(n), sizes)
             rule, said = [None] * n, [default] * n
@@ -169,3 +197,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rule, pa.string()), pa.array(said, pa.string())], [*names, "rule", "verdict"])
 
     return keyed.mapInArrow(released(decided), schema)
+
+
+def _joined(keyed: DataFrame, rules: DataFrame, names: list[str], default: str) -> DataFrame:
+    """The same by a join of the URLs' distinct keys with the rules, for lists of any size: each distinct (host, path) is looked up once."""
+    once = keyed.select("host", "path", "cand").distinct()
+    each = once.select("host", "path", F.posexplode("cand").alias("at", "key"))
+    found = each.join(rules, "key").groupBy("host", "path").agg(F.min(F.struct((-F.length("key")).alias("less"), F.col("verdict"), F.col("at"), F.col("key"))).alias("f"))
+    out = keyed.join(found, ["host", "path"], "left")
+    return out.select(*names, F.col("f.key").alias("rule"), F.coalesce("f.verdict", F.lit(default)).alias("verdict"))

@@ -107,21 +107,40 @@ def test_urls(spark):
 
 def test_cascade_is_exact_over_its_universe():
     rng = np.random.default_rng(5)
-    universe = rng.integers(0, 2**63, 20000).astype(np.uint64)
+    universe = rng.integers(0, 2**63, (20000, 2)).astype(np.uint64)
+    universe[300:310, 0] = universe[:10, 0]  # one hash in common with a listed key
     listed, first = universe[:300], urlfilter.first_level(universe[:300], 20000)
     false = universe[300:][first.has(universe[300:], 0)]
     assert urlfilter.cascade(listed, false, first).has(universe).tolist() == [True] * 300 + [False] * 19700
 
 
-def test_cascade_build_tells_keys_apart_by_their_strings(spark):
+def test_cascade_build_over_several_lists(spark):
     keys = [f"host{k}.net/" for k in range(3000)]
-    listed = {"a": {k: hash(k) for k in keys[:20]}, "b": {k: hash(k) for k in keys[20:25]}}
-    table = spark.createDataFrame([(k, hash(k)) for k in keys], "key string, key_hash long")
-    got = urlfilter.build(table, listed)
-    h = np.array([hash(k) for k in keys], dtype=np.int64).astype(np.uint64)
+    rules = spark.createDataFrame([(k, "ab"[n >= 20]) for n, k in enumerate(keys[:25])], "key string, verdict string")
+    table = spark.createDataFrame([(k,) for k in keys], "key string").select("key", urlfilter.hashes_of(F.col("key")).alias("h")).select("key", "h.*")
+    got = urlfilter.build(table, rules)
+    of = {r.key: (r.a, r.b) for r in table.collect()}
+    h = np.array([of[k] for k in keys], dtype=np.int64).astype(np.uint64)
     assert got["a"].has(h).tolist() == [k < 20 for k in range(3000)] and got["b"].has(h).tolist() == [20 <= k < 25 for k in range(3000)]
-    with pytest.raises(RuntimeError):  # an unlisted key with a listed one's hash
-        urlfilter.build(spark.createDataFrame([(k, hash(k)) for k in keys[:30]] + [("other", hash(keys[0]))], "key string, key_hash long"), listed)
+
+
+def test_urls_against_every_rule_and_by_the_join(spark, monkeypatch):
+    """A list of many shapes as a table: the cascade, the join beyond MOST_RULES and a walk over all rules agree."""
+    rng = random.Random(6)
+    labels = ["a", "b", "net", "org", "example", "x"]
+    name = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "".join(rng.choice(["a/", "b/", "é", "c"]) for _ in range(rng.randint(0, 4)))
+    rules = [(name() + path(), rng.choice(["allow", "block", "look"])) for _ in range(300)]
+    urls = [f"http://{name()}{path()}{rng.choice(['', '?q', '#f/'])}" for _ in range(800)] + [None, "", "http:///a", "http://" + "a." * 3000 + "net/a/" + "b/" * 20_000, "http://a..net/"]
+    pages, table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "key string, verdict string")
+    got = {r.page_id: r for r in urlfilter.judge(pages, table).collect()}
+    for i, r in got.items():
+        fits = [(-len(k), v, -k.index("/"), k) for k, v in rules if r.host and ("." + r.host).endswith("." + k[: k.index("/")]) and r.path.startswith(k[k.index("/") :])]
+        assert (r.rule, r.verdict) == ((min(fits)[3], min(fits)[1]) if fits else (None, "allow"))
+    assert len(got) == len(urls) and sum(r.rule is not None for r in got.values()) > 200
+    monkeypatch.setattr(urlfilter, "MOST_RULES", 10)
+    assert {r.page_id: r for r in urlfilter.judge(pages, table).collect()} == got
+    assert {r.verdict for r in urlfilter.judge(pages, table.limit(0)).collect()} == {"allow"}
 
 
 def test_languages(spark):
