@@ -44,6 +44,7 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--cities", help="gazetteer: name, alternatenames, population, iso2, lat, lon")
     a.add_argument("--max-rows", type=int, default=0)
     a.add_argument("--skip-stock", action="store_true")
+    a.add_argument("--lists", action="store_true", help="the articles' ids in one row for each event")
     a.add_argument("--output-dir", required=True)
     x = sub.add_parser("extract")
     x.add_argument("--input", required=True)
@@ -60,6 +61,7 @@ def arguments() -> argparse.ArgumentParser:
     r.add_argument("--start", default="2025-08-01")
     r.add_argument("--end", default="2025-12-31")
     r.add_argument("--tolerance", type=int, default=7)
+    r.add_argument("--lists", action="store_true", help="the clusters' ids in one text for each entry")
     r.add_argument("--output", required=True)
     f = sub.add_parser("fetch")
     f.add_argument("--url", required=True, help="with {type}, {level}, {begin}, {end} and {page}")
@@ -95,7 +97,7 @@ def analyse(spark: SparkSession, o: argparse.Namespace) -> None:
     articles = locate(raw.filter(~F.col("label").eqNullSafe("not_related")), cities)
     entries = tables.catalogue(spark, o.catalogue, countries=True)
     entries = entries.select(F.monotonically_increasing_id().alias("g_pos"), F.col("etype").alias("g_type"), F.col("iso2").alias("g_iso2"), F.col("event_date").alias("g_day"), F.col("alertlevel").alias("alert"), *[c for c in entries.columns if c in tables.CATALOGUE_NUMBERS or c == "rapidpopdescription"])
-    build_events(articles, entries, SeverityModels(o.models), o.max_rows).write.mode("overwrite").parquet(f"{o.output_dir}/events")
+    build_events(articles, entries, SeverityModels(o.models), o.max_rows, lists=o.lists).write.mode("overwrite").parquet(f"{o.output_dir}/events")
     events = spark.read.parquet(f"{o.output_dir}/events")
     if o.skip_stock or not o.prices:
         return
@@ -119,7 +121,7 @@ def train(spark: SparkSession, o: argparse.Namespace) -> None:
 def recall(spark: SparkSession, o: argparse.Namespace) -> None:
     events = tables.read_table(spark, o.events).select(F.col("event_id").alias("cid"), "type", "iso2", parse_date(F.col("event_date").cast("string")).alias("day"))
     entries = tables.catalogue(spark, o.catalogue, o.start, o.end, countries=True).select(F.col("eventid").alias("g_pos"), F.col("etype").alias("g_type"), F.col("iso2").alias("g_iso2"), F.col("event_date").alias("g_day"), F.col("alertlevel").alias("alert"))
-    found = catalogue_recall(events, entries, o.tolerance)
+    found = catalogue_recall(events, entries, o.tolerance, o.lists)
     tables.write_csv(found, o.output)
     recall_rates(found).show(100, False)
 

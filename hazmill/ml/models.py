@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazmill.ml.severity import DEPTH, FEATURES, TREES, SeverityModels, fit_forest, with_features
 from hazmill.operators.tables import class_weights
 
 
 class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Sparse counts c as 1 + ln c."""
+    """Sparse counts c as 1 + ln c: a batch's values are one array."""
 
     def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
         super().__init__()
@@ -26,8 +30,17 @@ class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
             self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        damped = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-        return df.withColumn(self.getOutputCol(), damped(self.getInputCol()))
+        source, schema = self.getInputCol(), T.StructType([*df.schema.fields, T.StructField(self.getOutputCol(), VectorUDT())])
+
+        def damped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch.column(source)
+                kind, size, indices, values = (v.field(c) for c in ("type", "size", "indices", "values"))
+                logs = pa.ListArray.from_arrays(values.offsets, pa.array(1 + np.log(values.values.to_numpy(zero_copy_only=False))))
+                out = pa.StructArray.from_arrays([kind, size, indices, logs], fields=[v.type.field(c).with_type(a.type) for c, a in zip(("type", "size", "indices", "values"), (kind, size, indices, logs))])
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], schema.fieldNames())
+
+        return df.mapInArrow(damped, schema)
 
 
 def severity_by_type(df: DataFrame, kind: str = "eventtype", trees: int = TREES, seed: int = 42) -> DataFrame:

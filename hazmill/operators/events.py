@@ -243,9 +243,14 @@ def first_mode(df: DataFrame, keys: list[str], value: str, seq: str, name: str)
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col("s"))).alias(name))
 
 
-def merge_clusters(articles: DataFrame, keys: list[str], numerics: list[str] | None = None) -> DataFrame:
-    """One event for each cluster: earliest date, mode of country and place, maxima, count, ordered article ids; and of the columns that there
-    are: the first (lat, lon) pair, the longest rapidpopdescription, and whether all are of low_confidence.
+def cluster_members(articles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, idx: which articles a cluster has, a row each."""
+    return articles.select(*keys, "seq", "idx")
+
+
+def merge_clusters(articles: DataFrame, keys: list[str], numerics: list[str] | None = None, lists: bool = False) -> DataFrame:
+    """One event for each cluster: earliest date, mode of country and place, maxima, count; with lists also its ordered article ids in one row (cluster_members has
+    them as a table, for clusters of any size); and of the columns that there are: the first (lat, lon) pair, the longest rapidpopdescription, and whether all are of low_confidence.
 
     articles: keys, pos, seq, idx, event_date, country_iso2, location_text, ...; numerics: those of NUMERICS that there are, by default.
     """
@@ -261,7 +266,9 @@ def merge_clusters(articles: DataFrame, keys: list[str], numerics: list[str] | N
         more.append(F.min(F.when(text != "", F.struct((-F.length(text)).alias("n"), "seq", text.alias("t"))))["t"].alias("rapidpopdescription"))
     if "low_confidence" in have:
         more.append(F.bool_and(F.coalesce("low_confidence", F.lit(True))).alias("low_confidence"))
-    base = articles.groupBy(*keys).agg(F.min("event_date").alias("event_date"), F.count("*").alias("article_count"), F.min("pos").alias("first_pos"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "idx"))), lambda s: s["idx"]).alias("article_indices"), *more)
+    if lists:
+        more.insert(0, F.transform(F.array_sort(F.collect_list(F.struct("seq", "idx"))), lambda s: s["idx"]).alias("article_indices"))
+    base = articles.groupBy(*keys).agg(F.min("event_date").alias("event_date"), F.count("*").alias("article_count"), F.min("pos").alias("first_pos"), *more)
     for value, name in (("country_iso2", "primary_country"), ("location_text", "location_text")):
         mode = first_mode(articles, keys, value, "seq", name)
         on = [base[k].eqNullSafe(mode[k]) for k in keys]
@@ -305,11 +312,17 @@ def nearest_catalogue(clusters: DataFrame, catalogue: DataFrame, days: int = TOL
     return out.select(*clusters.columns, F.col("m.g_pos").alias("g_pos"), F.col("m.gap").alias("gap"), label.alias("predicted_alert"), F.when(label == "orange_or_red", 1.0).when(label == "green", 0.0).alias("prob"))
 
 
-def catalogue_recall(clusters: DataFrame, catalogue: DataFrame, days: int = TOLERANCE) -> DataFrame:
-    """Each catalogue entry with the clusters within the tolerance: n, found, over_split and their ids in order."""
-    pairs = _near(clusters, catalogue, days, "inner").groupBy("g_pos").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("cid")), lambda c: c.cast("string")), ";").alias("ids"))
+def catalogue_links(clusters: DataFrame, catalogue: DataFrame, days: int = TOLERANCE) -> DataFrame:
+    """g_pos, cid: the clusters within the tolerance of each catalogue entry, a row each."""
+    return _near(clusters, catalogue, days, "inner").select("g_pos", "cid")
+
+
+def catalogue_recall(clusters: DataFrame, catalogue: DataFrame, days: int = TOLERANCE, lists: bool = False) -> DataFrame:
+    """Each catalogue entry with the clusters within the tolerance: n, found, over_split; with lists also their ids in order, in one text (catalogue_links has them as a table)."""
+    ids = [F.array_join(F.transform(F.array_sort(F.collect_list("cid")), lambda c: c.cast("string")), ";").alias("ids")] if lists else []
+    pairs = catalogue_links(clusters, catalogue, days).groupBy("g_pos").agg(F.count("*").alias("n"), *ids)
     n = F.coalesce("n", F.lit(0))
-    return catalogue.join(pairs, "g_pos", "left").select(*catalogue.columns, n.alias("n_matching"), (n > 0).alias("found"), (n > 1).alias("over_split"), F.coalesce("ids", F.lit("")).alias("matching_ids"))
+    return catalogue.join(pairs, "g_pos", "left").select(*catalogue.columns, n.alias("n_matching"), (n > 0).alias("found"), (n > 1).alias("over_split"), *([F.coalesce("ids", F.lit("")).alias("matching_ids")] if lists else []))
 
 
 def recall_rates(matches: DataFrame) -> DataFrame:

@@ -47,18 +47,18 @@ def text_sectors(texts: DataFrame) -> DataFrame:
     return lists.select("event_id", F.array_distinct(F.flatten(F.transform("l", lambda x: x["s"]))).alias("sectors_from_text"))
 
 
-def build_events(articles: DataFrame, catalogue: DataFrame, models: SeverityModels | None = None, max_rows: int = 0, aliases: DataFrame | None = None) -> DataFrame:
+def build_events(articles: DataFrame, catalogue: DataFrame, models: SeverityModels | None = None, max_rows: int = 0, aliases: DataFrame | None = None, lists: bool = False) -> DataFrame:
     """Events of articles (pos, idx, label, event_date, country_iso2, location_text, text; see locate): clustered, numbered, matched by the
     resolved country, given a severity, linked.
 
     A matched event takes the catalogue's fields, nulls too. An unmatched one takes those of its articles' texts; its severity comes from
-    its type's model, or a rule for floods (a type without a model has none). catalogue: g_pos, g_type, g_iso2, g_day, alert and any of the fields.
+    its type's model, or a rule for floods (a type without a model has none). With lists each event has its articles' ids in one row. catalogue: g_pos, g_type, g_iso2, g_day, alert and any of the fields.
     """
     relevant = articles.filter(~F.col("label").eqNullSafe("not_related"))
     if max_rows:
         relevant = relevant.orderBy("pos").limit(max_rows)
     placed = settled(greedy_clusters(relevant)).join(relevant, "pos")  # several steps below start from the clusters
-    events = settled(number_events(settled(merge_clusters(placed, ["type", "country", "cluster"]))))
+    events = settled(number_events(settled(merge_clusters(placed, ["type", "country", "cluster"], lists=lists))))
     asked = events.select(F.col("event_id").alias("cid"), "type", F.col("primary_country").alias("iso2"), F.col("event_date").cast("date").alias("day"))
     matched = nearest_catalogue(asked, catalogue).select(F.col("cid").alias("event_id"), "g_pos", F.col("predicted_alert").alias("catalogue_alert"), F.col("prob").alias("catalogue_prob"))
     fields = [*TEXT_NUMERICS, "rapidpopdescription", *RAPID]

@@ -179,7 +179,7 @@ def q_nearest_catalogue(spark, d):
 
 @query(ASKED + ", m as (select g_pos, count(*) as n, string_agg(cast(cid as varchar), ';' order by cid) as ids from near group by 1) select eventid as g_pos, eventtype as g_type, iso2 as g_iso2, fromdate as g_day, alertlevel as alert, coalesce(n, 0) as n_matching, coalesce(n, 0) > 0 as found, coalesce(n, 0) > 1 as over_split, coalesce(ids, '') as matching_ids from cat left join m on m.g_pos = eventid")
 def q_catalogue_matches(spark, d):
-    return E.catalogue_recall(_asked(spark, d), _cat(spark, d))
+    return E.catalogue_recall(_asked(spark, d), _cat(spark, d), lists=True)
 
 
 @query(ASKED + ", m as (select g_pos, count(*) as n from near group by 1), f as (select eventtype as g_type, coalesce(n, 0) as n from cat left join m on m.g_pos = eventid) select g_type, count(*) as matchable, count(*) filter (n > 0) as n_found, round(count(*) filter (n > 0) / count(*), 4) as recall, round(count(*) filter (n > 1) / nullif(count(*) filter (n > 0), 0), 4) as over_split_rate from f group by grouping sets ((), (g_type))")
@@ -248,7 +248,7 @@ def _merged(spark, d):
     a = V.view(spark, d, f"select *, {MORE} from ({V.ART}) x").filter("label <> 'not_related'")
     a = a.withColumns({c: F.col(c).cast("double") for c in ("magnitude", "dead", "lat", "lon")})
     a = E.partition_keys(a).withColumn("cluster", F.floor(F.col("pos") / 600).cast("int")).withColumn("seq", F.col("pos"))
-    return E.merge_clusters(a, ["type", "country", "cluster"])
+    return E.merge_clusters(a, ["type", "country", "cluster"], lists=True)
 
 
 MERGED = WITH + f"""k as (select *, {MORE}, {CODE} as type, coalesce(country_iso2, 'UNKNOWN_COUNTRY') as country, cast(floor(pos / 600) as int) as cluster from art where label <> 'not_related'),
