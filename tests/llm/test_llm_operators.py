@@ -493,3 +493,53 @@ def test_empty_tables_null_ids_and_clashing_columns(spark, tmp_path):
             want = {"op3_url_cascade": 2, "op4_latent_decontamination": 0, "op5_chat_round_trip": 3}.get(name, 5)
             assert q(spark, f"{tmp_path}/full").count() == want, name
             assert q(spark, f"{tmp_path}/empty").count() == (name == "op5_chat_round_trip"), name
+
+
+def test_very_long_texts(spark):
+    """One text of some 400,000 characters among short ones, in the operators that don't cut texts and in the pipeline's stages."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    long = prose(rng, 45_000)
+    words = long.split()
+    near = " ".join(w for k, w in enumerate(words) if k % 1000)
+    item = " ".join(words[30_000:30_040])
+    texts = [prose(rng, 60) for _ in range(40)] + [long + " write to rosa.lind@example.org", near, "word " * 80_000]
+    df = docs(spark, texts)
+    assert len(long) > 300_000
+    of = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert of[40].lang_pred == "en" and 0 <= of[40].score <= 1 and of[42].lang_pred in ("en", "und")
+    classes = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    assert classes[40].class_id == classes[41].class_id and len({classes[i].class_id for i in range(40)}) == 40
+    bench = spark.createDataFrame([(1, item), (2, prose(rng, 30))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()} == {(40, 1), (41, 1)}
+    hidden = {r.doc_id: r.text for r in pii.pseudonymise(df, b"a key", ["doc_id"]).collect()}
+    assert "rosa.lind" not in hidden[40] and hidden[40].startswith(words[0]) and len(hidden[40]) > 300_000 and hidden[42] == texts[42]
+    kept = corpus_pipeline.keep_known_languages(spark, df, "").select("doc_id", "text").collect()
+    assert {r.doc_id for r in kept} >= set(range(42)) and all(r.text == texts[r.doc_id] for r in kept)
+    assert corpus_pipeline.hide_personal_data(spark, df, "").filter("doc_id = 40 and text like '%rosa.lind%'").count() == 0
+    assert 41 not in {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+
+
+def test_recall_of_leaks_on_the_tables(spark):
+    """Every 50th document against all items by exact alignment: what the query finds of it, and nothing else."""
+    folder = "/root/testdata/sf0.1"
+    df, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    asked = df.filter("doc_id % 50 = 0").select("doc_id", "text").collect()
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).filter("doc_id % 50 = 0").collect()}
+    items = bench.filter("text is not null").collect()
+    words = Words(pa.array([r.text for r in items], pa.large_string()))
+    own = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+    terms = np.unique(words.hash)
+    n = decontam.block_frequencies(df.select("doc_id", "text"), spark.sparkContext.broadcast(terms))
+    idf = np.log((2 + n[-1]) / (1 + n[:-1]))
+    weights = [idf[decontam.term_of(item, terms)] for item in own]
+    want = set()
+    for d in asked:
+        h = Words(pa.array([d.text or ""], pa.large_string())).hash
+        for r, item, weight in zip(items, own, weights):
+            if len(item) and weight[np.isin(item, h)].sum() >= decontam.PART * weight.sum():
+                if any(decontam.confirm(item, weight, h[max(0, o - len(item)) : o + 2 * decontam.HALF + len(item)]) for o in range(0, len(h), decontam.HALF)):
+                    want.add((d.doc_id, r.item_id))
+    print(f"leaks of every 50th document: {len(want)}, found {len(got & want)}, others {len(got - want)}")
+    assert len(want) >= 3 and len(got & want) >= 0.9 * len(want) and got <= want
