@@ -17,6 +17,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazmill.durable import settled
 from hazmill.extract.rules import FIELDS, extract_features, extract_fields
 from hazmill.extract.when import event_time
 from hazmill.extract.where import city_index, extract_location
@@ -27,6 +28,7 @@ from hazmill.operators.events import catalogue_recall, recall_rates
 from hazmill.operators.tables import keep_first, threshold_accuracy
 from hazmill.plans.pipeline import build_events, event_study, locate
 from hazmill.sources import rest, sheets, tables
+from hazmill.sources.prices import read_prices
 
 #: What articles are labelled as.
 LABELS = ("earthquake", "flood", "cyclone", "wildfire", "drought", "not_related")
@@ -39,6 +41,7 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--input", required=True, help="articles: idx, timestamp, label, text")
     a.add_argument("--catalogue", help="hazard catalogue; none is an empty one")
     a.add_argument("--prices", help="ticker, date, close; without it no returns are computed")
+    a.add_argument("--price-url", help="a service of prices instead, with {ticker}, {begin} and {end}; only the events' funds and days are asked for")
     a.add_argument("--market", default="ACWI", help="the ticker that stands for the market")
     a.add_argument("--models", help="folder of severity models")
     a.add_argument("--cities", help="gazetteer: name, alternatenames, population, iso2, lat, lon")
@@ -99,14 +102,26 @@ def analyse(spark: SparkSession, o: argparse.Namespace) -> None:
     entries = entries.select(F.monotonically_increasing_id().alias("g_pos"), F.col("etype").alias("g_type"), F.col("iso2").alias("g_iso2"), F.col("event_date").alias("g_day"), F.col("alertlevel").alias("alert"), *[c for c in entries.columns if c in tables.CATALOGUE_NUMBERS or c == "rapidpopdescription"])
     build_events(articles, entries, SeverityModels(o.models), o.max_rows, lists=o.lists).write.mode("overwrite").parquet(f"{o.output_dir}/events")
     events = spark.read.parquet(f"{o.output_dir}/events")
-    if o.skip_stock or not o.prices:
+    if o.skip_stock or not (o.prices or o.price_url):
         return
-    prices = tables.read_table(spark, o.prices).select("ticker", F.to_date("date").alias("date"), F.col("close").cast("double").alias("close"))
+    if o.price_url:
+        prices = settled(prices_of(events, o.price_url, o.market))
+    else:
+        prices = tables.read_table(spark, o.prices).select("ticker", F.to_date("date").alias("date"), F.col("close").cast("double").alias("close"))
     cars, groups = event_study(events, prices, prices.filter(F.col("ticker") == o.market))
     cars.write.mode("overwrite").parquet(f"{o.output_dir}/car_results")
     tables.write_csv(groups, f"{o.output_dir}/group_analysis")
 
 
+def prices_of(events: DataFrame, url: str, market: str, before: int = 120, after: int = 30) -> DataFrame:
+    """Prices of the events' funds and the market, from so many days before the first event to so many after the last."""
+    funds = events.select(F.explode("sector_etfs").alias("t")).distinct().collect()  # at most the funds that are known
+    day = F.to_date("event_date")
+    first, last = events.agg(F.date_sub(F.min(day), before), F.date_add(F.max(day), after)).first()
+    prices = read_prices(events.sparkSession, url=url, tickers=",".join(sorted({r.t for r in funds} | {market})))
+    return prices.filter(F.col("date").between(F.lit(first), F.lit(last)))
+
+
 def extract(spark: SparkSession, o: argparse.Namespace) -> None:
     got = extract_features(tables.read_table(spark, o.input, line_breaks=True), o.text_column, o.event_type_column, o.timestamp_column, o.location_column)
     (sheets.write_xlsx if o.output.endswith(".xlsx") else tables.write_csv)(got, o.output)

@@ -60,6 +60,7 @@ def build_text(title: Column, body: Column) -> Column:
 
 
 def parse_timestamp(c: Column) -> Column:
+    # The forms of a timestamp, in the order in which they are tried.
     forms = ("yyyyMMddHHmmss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in forms])
 
@@ -131,6 +132,7 @@ def coordinates(text: Column) -> Column:
     def number(pattern, k):
         return F.regexp_extract(text, pattern, k).try_cast("double")
 
+    # Three notations of coordinates, in the order in which they are tried.
     a = r"(?i)(\d{1,3}(?:\.\d+)?)\s*°?\s*([NS])[,\s]+?(\d{1,3}(?:\.\d+)?)\s*°?\s*([EW])"
     b = r"(?is)lat(?:itude)?\s*[:\s]\s*(-?\d{1,3}(?:\.\d+)?).*?lon(?:gitude)?\s*[:\s]\s*(-?\d{1,3}(?:\.\d+)?)"
     c = r"\(\s*(-?\d{1,2}(?:\.\d+)?)\s*,\s*(-?\d{2,3}(?:\.\d+)?)\s*\)"
@@ -153,6 +155,7 @@ def rapid_population(text: Column) -> Column:
 def impact_score(dead, displaced, affected, loss, wind, magnitude, burned) -> Column:
     """0 to 100."""
     z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    # The weights of the score.
     raw = 18 * F.log1p(z(dead)) + 8 * F.log1p(z(displaced)) + 4 * F.log1p(z(affected)) + 12 * F.log1p(z(loss) / 1e6) + 0.08 * z(wind) + 2.5 * z(magnitude) + 3 * F.log1p(z(burned) / 1e3)
     return clamp(raw, 0.0, 100.0)
 

@@ -224,6 +224,13 @@ def test_price_source_asks_for_what_is_wanted(spark, tmp_path):
     log.clear()
     assert prices.filter("ticker = 'T1' and date > '2025-01-09'").count() == 1 and log == [("T1", "2025-01-10", "9999-12-31")]
     assert prices.filter("ticker = 'T1' and date = '2025-01-02' and close > 5").count() == 0 and prices.filter("ticker = 'T1' and ticker = 'T2'").count() == 0
+    log.clear()
+    from hazmill.cli import prices_of
+
+    events = spark.createDataFrame([("2025-01-04", ["T1", "T2"]), ("2025-01-05", ["T2"]), (None, [])], "event_date string, sector_etfs array<string>")
+    got = prices_of(events, f"http://127.0.0.1:{server.server_port}/{{ticker}}/{{begin}}/{{end}}", "T3", before=2, after=1)
+    assert sorted((r.ticker, r.close) for r in got.collect()) == [(t, float(d)) for t in ("T1", "T2", "T3") for d in range(2, 7)]
+    assert sorted(log) == [(t, "2025-01-02", "2025-01-06") for t in ("T1", "T2", "T3")]
     server.shutdown()
 
     folder = f"{tmp_path}/prices"
