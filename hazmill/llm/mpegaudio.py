@@ -12,7 +12,7 @@ and scale factor selection; layer III: side information) and the tag's CRC-32 of
 rate) and the byte offset of every frame for seeking. It takes any bytes: what is cut off or contradicts itself is left out.
 
 Defined results: null payloads are stored as empty ones by `payload_of` (padded like any other);
-a stream without frames has 0 frames, duration 0 and no payload. Null ids and repeated rows pass through; other columns play no part.
+a stream without frames has 0 frames, duration 0 and no payload. Null ids and repeated rows pass through; other columns play no part; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ A memo of words serves the batches of a query; it is emptied when it holds MEMO_
 Every batch is encoded by the sentencepiece library too, and a document whose ids differ ends the job with its text's digest
 (``strict=False`` returns it, with ``agrees`` false).
 
-Defined results: a null text is empty (begin and end ids only). Null ids and repeated rows pass through; other columns play no part.
+Defined results: a null text is empty (begin and end ids only). Null ids and repeated rows pass through; other columns play no part; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,11 @@ EXAMPLE_KEY, KEY_SETTING = "hazmill example key; use your own", "spark.hazmill.p
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY).encode()
+    """The session's key; the example key only with a warning."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with the published example key, and anyone can undo them", stacklevel=2)
+    return EXAMPLE_KEY.encode()
 
 
 def tokenizer(name: str) -> str:

@@ -14,7 +14,7 @@ whose white space the proof doesn't cover go to the library whole. The proof is
 splitting by its default pattern, no normaliser, no prefix space, added tokens without white space.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings inside texts are
-handled as the library does by default. Null ids and repeated rows pass through; other columns play no part.
+handled as the library does by default. Null ids and repeated rows pass through; other columns play no part; an empty table gives none.
 """
 
 from __future__ import annotations

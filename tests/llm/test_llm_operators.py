@@ -543,3 +543,11 @@ def test_recall_of_leaks_on_the_tables(spark):
                     want.add((d.doc_id, r.item_id))
     print(f"leaks of every 50th document: {len(want)}, found {len(got & want)}, others {len(got - want)}")
     assert len(want) >= 3 and len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_the_example_key_is_not_silent(spark):
+    with pytest.warns(UserWarning, match="pseudonymKey"):
+        assert queries.pseudonym_key(spark) == queries.EXAMPLE_KEY.encode()
+    spark.conf.set(queries.KEY_SETTING, "own")
+    assert queries.pseudonym_key(spark) == b"own"
+    spark.conf.unset(queries.KEY_SETTING)
