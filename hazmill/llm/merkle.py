@@ -183,7 +183,8 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    placed, counts = ranked(leaves(docs), ["lang"], ["doc_id", "leaf", "row"], "merkle-leaves")
+    hashed = stored(leaves(docs), "merkle-hashes")  # the texts are read once: dealing leaves by range draws a sample first
+    placed, counts = ranked(hashed, ["lang"], ["doc_id", "leaf", "row"], "merkle-leaves")
     rows = _joined(placed, stored(counts.withColumnRenamed("n", "total"), "merkle-counts"), ["lang"])
     rows = rows.select("lang", "doc_id", "leaf", "changed", F.col("pos").cast("long").alias("pos"), F.col("total").cast("long").alias("total"))
     dealt = rows.repartition(F.col("lang"), F.expr(f"pos div {BUCKET}")).sortWithinPartitions("lang", "pos")
