@@ -8,12 +8,17 @@ one of the words that it begins with) and only in texts that hold one of the rul
 from __future__ import annotations
 
 import re
-import re._constants as sre
-import re._parser as sre_parser
 from functools import cached_property
 
 import numpy as np
 
+try:
+    import re._constants as sre
+    import re._parser as sre_parser
+except ImportError:  # before Python 3.11
+    import sre_constants as sre
+    import sre_parse as sre_parser
+
 REACH, NEGATION_REACH = 8, 5
 BREAK = "\x00"
 DIGIT = "0"
