@@ -5,7 +5,7 @@ proposes the shards that hold most of its members and have room for the rest; a
 shard i to shard j is what moves back, plus the room that j has. Documents without a neighbour fill the shards up at the end.
 
 Law `rows`: the shards' numbers of rows differ by one at most. Each round is a few joins on links and rows; the driver sees counts for pairs of
-shards only. A link of any size has one row for each shard in the join with its members, which Spark splits if it is skewed.
+shards only. What a link proposes is joined with its members by salted parts of BIG rows, so that a link of any size goes to many tasks.
 
 Null texts have no neighbours and count 0 bytes, crc32 0. Empty texts are equal texts. Repeated rows and ids are rows of their own. An empty
 table gives an empty result. Only doc_id and text are read, so further columns may have any name. Text length doesn't matter: digests move.
@@ -22,6 +22,8 @@ from hazmill.llm.common import Folders, ranked, stored
 #: Bytes that a document takes besides its text.
 HEADER = 16
 ROUNDS = 12
+#: Members of a link that meet its proposals in one task.
+BIG = 1000
 #: The table of moves between shards passes through the driver.
 MOST_SHARDS = 2000
 
@@ -46,7 +48,7 @@ def _share(*what: Column) -> Column:
 
 
 def proposals(state: DataFrame, room: list[int], turn: int) -> DataFrame:
-    """row, shard, link, n, target from (row, link, shard): of a row's links the one with most members decides.
+    """row, shard, link, n, target from (row, link, n, shard): of a row's links the one with most members decides. n: the link's members.
 
     A link keeps the shard with most of its members among those with room for all of it (one shard without members, drawn by room, is
     a candidate as well). Where none has, it keeps the fewest shards, those with most members first, whose members and room hold it.
@@ -68,7 +70,8 @@ def proposals(state: DataFrame, room: list[int], turn: int) -> DataFrame:
     u = _share(F.col("row"), F.lit(turn)) * F.col("outside")  # those outside fill one shard's room after the other
     drawn = F.get(F.filter("kept", lambda x: x.upto > u), F.lit(0)).shard
     stays = F.array_contains(F.transform("kept", lambda x: x.shard), F.col("shard"))
-    asked = state.join(kept, "link").select("row", "shard", "link", "n", F.when(stays, F.col("shard")).otherwise(F.coalesce(drawn, F.col("shard"))).alias("target"))
+    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {BIG}"))))
+    asked = state.withColumn("salt", F.pmod(F.xxhash64("row"), F.expr(f"n div {BIG} + 1"))).drop("n").join(kept, ["link", "salt"]).select("row", "shard", "link", "n", F.when(stays, F.col("shard")).otherwise(F.coalesce(drawn, F.col("shard"))).alias("target"))
     return asked.groupBy("row").agg(F.max(F.struct("n", "link", "target", "shard")).alias("best")).select("row", "best.shard", "best.link", "best.n", "best.target")
 
 
@@ -91,7 +94,8 @@ def accepted(wants: np.ndarray, room: np.ndarray) -> np.ndarray:
 
 
 def propagate(members: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame | None:
-    """row, shard, link, n of all rows of members (row, link), with about the quota of rows in each shard at most; None without members."""
+    """row, shard, link, n of all rows of members (row, link; n, the link's members, is counted if it isn't there), with about the quota of rows in each shard at most; None without members."""
+    members = members if "n" in members.columns else stored(sized(members), "shard-members")
     spark, shards, folders = members.sparkSession, len(quota), Folders(members.sparkSession, collect=False)
     labels = members.select("row").distinct().select("row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
     sizes = np.zeros(shards, dtype=np.int64)
@@ -124,10 +128,15 @@ def propagate(members: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
     return chosen.select("row", "shard", "link", "n")
 
 
+def sized(members: DataFrame, least: int = 1) -> DataFrame:
+    """row, link, n of links with so many members. The counts are written first: as a table, they are a side of a join that Spark can split by skew."""
+    counts = members.filter("link is not null").groupBy("link").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return members.select("row", "link").join(stored(counts, "shard-counts"), "link")
+
+
 def neighbours(nodes: DataFrame) -> DataFrame:
-    """row, link of the rows that share their link with another one."""
-    shared = nodes.filter("link is not null").groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
-    return nodes.select("row", "link").join(shared, "link")
+    """row, link, n of the rows that share their link with another one."""
+    return sized(nodes, 2)
 
 
 def balance(nodes: DataFrame, members: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:

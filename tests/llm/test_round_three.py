@@ -213,3 +213,13 @@ def test_manifest_of_many_leaves(spark):
 
 def test_manifest_of_nothing(spark):
     assert merkle.manifest(docs(spark, [])).collect() == []
+
+
+def test_links_of_many_members_are_dealt_in_parts(spark, monkeypatch):
+    rows = [(i, "hot" if i % 2 else f"t{i // 6}", "en") for i in range(240)]
+    df = docs(spark, rows).coalesce(1)
+    whole = sorted(map(tuple, shards.shard_documents(df, 6).collect()))
+    monkeypatch.setattr(shards, "BIG", 7)
+    got = shards.shard_documents(df, 6).collect()
+    check_laws(got, rows, 6)
+    assert sorted(map(tuple, got)) == whole
