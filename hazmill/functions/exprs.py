@@ -233,7 +233,8 @@ def t_pvalue(t: Column, df: Column) -> Column:
     c = df - 0.5
     y, d = c * F.log1p(t2 / df), 48 * c * c
     z = (((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100 + d) + y + 3) / d + 1) * F.sqrt(y)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(df <= MANY, few).otherwise(normal_tails(z))))
+    p = F.when(df <= MANY, few).otherwise(normal_tails(z))
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def relative_error(truth: Column, got: Column) -> Column:

@@ -77,6 +77,6 @@ def test_t_tails_of_very_many_degrees_are_normal_and_quick(spark):
     got = spark.createDataFrame(rows, "t double, n long").select("t", X.t_pvalue(F.col("t"), F.col("n")).alias("p")).collect()
     assert all(r.p == pytest.approx(math.erfc(r.t / math.sqrt(2)), rel=1e-6, abs=1e-15) for r in got)
     begun = time.time()
-    spark.range(100_000).select(F.sum(X.t_pvalue(F.col("id") / 20_000.0, F.lit(10**9)))).collect()
-    assert time.time() - begun < 60
+    spark.range(20_000).select(F.sum(X.t_pvalue(F.col("id") / 4_000.0, F.lit(10**9)))).collect()
+    assert time.time() - begun < 30
     assert one(spark, X.t_pvalue(F.lit(1.0), F.lit(0))) is None and one(spark, X.t_pvalue(F.lit(None).cast("double"), F.lit(5))) is None
