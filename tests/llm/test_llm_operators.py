@@ -485,12 +485,14 @@ def test_empty_tables_null_ids_and_clashing_columns(spark, tmp_path):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (8, texts[3])]
     d = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
     tables = {"documents": d, "pages": clashing(spark.createDataFrame([(None, "http://a.net/"), (1, None)], "page_id long, url string")), "conversations": clashing(spark.createDataFrame([(None, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")), "benchmark": clashing(spark.createDataFrame([(None, "x"), (1, None)], "item_id long, text string"))}
+    vectors = [(None, [1.0], 1), (100, [1.0], 1), (101, [0.5], 1), (101, [0.5], 1), (102, [0.45], 2), (103, None, 2), (104, [1.0], None)]
+    tables["embeddings"] = clashing(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"))
     for name, t in tables.items():
         t.write.parquet(f"{tmp_path}/full/{name}.parquet")
         t.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
     for name, q in queries.queries().items():
         if name != "pipeline":
-            want = {"op3_url_cascade": 2, "op4_latent_decontamination": 0, "op5_chat_round_trip": 3}.get(name, 5)
+            want = {"op3_url_cascade": 2, "op4_latent_decontamination": 0, "op5_chat_round_trip": 3, "op12_hard_negatives": 1}.get(name, 5)
             assert q(spark, f"{tmp_path}/full").count() == want, name
             assert q(spark, f"{tmp_path}/empty").count() == (name == "op5_chat_round_trip"), name
 
