@@ -10,7 +10,7 @@ from hazmill.durable import settled
 from hazmill.functions.exprs import t_pvalue
 
 ESTIMATION, EVENT, LEAST_ESTIMATION, HORIZONS = (-45, -6), (0, 5), 10, (1, 3, 5)
-DRAWS, SPAN = 1 << 16, 64
+DRAWS = 1 << 16
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
@@ -153,8 +153,10 @@ def random_events(events: DataFrame, cars: DataFrame, n: int | None = None, seed
     """n events (as many as there are rows without error) at free dates, with tickers drawn with replacement from the rows without error: reproducible hash draws.
 
     cars: ticker and error of every event; the dates of events with an error aren't free either. A ticker owns as many
-    successive numbers as it has rows; a drawn number finds its owner among the few of its span. Draws are numbered in blocks, so
-    that no task makes all of them.
+    successive numbers as it has rows; a drawn number finds its owner among the few of its span. There are as many spans as tickers, all
+    equally likely, so that a draw meets two owners on average, and the owners are two rows a ticker whatever the number of rows. Draws
+    are numbered in blocks, so that no task makes all of them; Spark takes them for as few as the blocks, so the calendar's days and the
+    owners are named as the sides to be sent around, and the draws stay where they are made.
     """
     w = W.orderBy("date")
     # Two small tables from which several steps start: a row for each day, a row for each ticker.
@@ -162,13 +164,13 @@ def random_events(events: DataFrame, cars: DataFrame, n: int | None = None, seed
     counts = settled(cars.filter("error is null and ticker is not null").groupBy("ticker").agg(F.count("*").alias("c")))
     upto = F.sum("c").over(W.orderBy("ticker").rowsBetween(W.unboundedPreceding, 0))
     tickers = counts.select("ticker", (upto - F.col("c")).alias("a"), (upto - 1).alias("b"))
-    owners = tickers.select("*", F.explode(F.expr(f"sequence(a div {SPAN}, b div {SPAN})")).alias("span"))
-    total = counts.agg(F.sum("c").alias("nv"))
+    total = counts.agg(F.sum("c").alias("nv"), F.ceil(F.sum("c") / F.count("*")).alias("width"))
+    owners = tickers.crossJoin(F.broadcast(total.select("width"))).select("ticker", "a", "b", F.explode(F.expr("sequence(a div width, b div width)")).alias("span"))
     wanted = F.col("nv") if n is None else F.lit(n).cast("long")
-    sizes = pool.agg(F.count("*").alias("np")).crossJoin(total.select("nv", wanted.alias("n"))).filter("np > 0 and nv > 0 and n > 0")  # one row each
+    sizes = pool.agg(F.count("*").alias("np")).crossJoin(total.select("nv", "width", wanted.alias("n"))).filter("np > 0 and nv > 0 and n > 0")  # one row each
     blocks = sizes.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {DRAWS})")).alias("block"))
     blocks = blocks.repartition(cars.sparkSession.sparkContext.defaultParallelism, "block")
-    draws = blocks.select("np", "nv", F.explode(F.expr(f"sequence(block * {DRAWS}, least(n, (block + 1) * {DRAWS}) - 1)")).alias("id"))
-    draws = draws.select((drawn_number(F.col("id"), seed) % F.col("np")).cast("int").alias("k"), (drawn_number(F.col("id"), seed + 1) % F.col("nv")).alias("j"))
-    out = draws.join(pool, "k").withColumn("span", F.expr(f"j div {SPAN}")).join(owners, "span").filter("j between a and b")
+    draws = blocks.select("np", "nv", "width", F.explode(F.expr(f"sequence(block * {DRAWS}, least(n, (block + 1) * {DRAWS}) - 1)")).alias("id"))
+    draws = draws.select((drawn_number(F.col("id"), seed) % F.col("np")).cast("int").alias("k"), (drawn_number(F.col("id"), seed + 1) % F.col("nv")).alias("j"), "width")
+    out = draws.join(F.broadcast(pool), "k").withColumn("span", F.expr("j div width")).join(F.broadcast(owners), "span").filter("j between a and b")
     return out.select(F.concat(F.lit("RAND_"), F.col("date").cast("string"), F.lit("_"), "ticker").alias("event_id"), F.col("date").alias("event_date"), "ticker")

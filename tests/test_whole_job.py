@@ -94,3 +94,34 @@ def test_the_rest_works_without_the_training_data_operators():
     root = Path(__file__).resolve().parent.parent
     got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert got.returncode == 0, got.stderr
+
+
+def rows_made(df, operator="Join"):
+    """The most rows that any join of the plan gave, by Spark's own counts."""
+    df.collect()
+    plan, most, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan)
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if operator in name and node.metrics().contains("numOutputRows"):
+            most = max(most, int(node.metrics().apply("numOutputRows").value()))
+        kids = node.children().iterator()
+        while kids.hasNext():
+            todo.append(kids.next())
+    return most
+
+
+def test_random_draws_are_never_sent_around_whole(spark):
+    """Spark takes the draws for as few rows as their blocks; the sides that are broadcast are the days and the tickers."""
+    start = date(2020, 1, 1)
+    df = drawn(spark, [(start, "A", None)] * 4000 + [(start + timedelta(100), "B", None)] * 4000)
+    assert df.count() == 8000
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+    assert joins and all("BuildRight" in x for x in joins)
+    assert rows_made(df) <= 3 * 8000
+    owners = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "explode(sequence(" in x and "width" in x and "span" in x]
+    assert len(owners) == 1  # as many spans as tickers
