@@ -303,10 +303,21 @@ def _near(left: DataFrame, right: DataFrame, days: int, how: str) -> DataFrame:
     return looked.join(keyed, cond, how).drop("b", "gb")
 
 
+def _days_near(asked: DataFrame, entries: DataFrame, days: int) -> DataFrame:
+    """_near for tables with a row for each type, country and day; gap added. Both are as long as the calendar at most, whatever the number of clusters and entries."""
+    return _near(asked, entries, days, "inner").withColumn("gap", F.abs(F.datediff("day", "g_day")))
+
+
 def nearest_catalogue(clusters: DataFrame, catalogue: DataFrame, days: int = TOLERANCE) -> DataFrame:
-    """Each cluster (cid, type, iso2, day) with its nearest entry (g_pos, alert): the least gap, the first entry among equals; null without any."""
-    got = _near(clusters, catalogue, days, "inner").groupBy("cid").agg(F.min(F.struct(F.abs(F.datediff("day", "g_day")).alias("gap"), "g_pos", "alert")).alias("m"))
-    out = clusters.join(got, "cid", "left")
+    """Each cluster (cid, type, iso2, day) with its nearest entry (g_pos, alert): the least gap, the first entry among equals; null without any.
+
+    The nearest entry is the same for all clusters of a type, country and day, and of the entries of one day only the first can be it:
+    no cluster meets all entries of its days.
+    """
+    on = ["type", "iso2", "day"]
+    first = catalogue.groupBy("g_type", "g_iso2", "g_day").agg(F.min(F.struct("g_pos", "alert")).alias("e"))
+    got = _days_near(clusters.select(*on).distinct(), first, days).groupBy(*on).agg(F.min(F.struct("gap", "e.g_pos", "e.alert")).alias("m"))
+    out = clusters.join(got, on, "left")
     alert = F.lower(F.trim(F.col("m.alert")))
     label = F.when(alert.isin("orange", "red"), "orange_or_red").when(F.col("m").isNotNull(), "green")
     return out.select(*clusters.columns, F.col("m.g_pos").alias("g_pos"), F.col("m.gap").alias("gap"), label.alias("predicted_alert"), F.when(label == "orange_or_red", 1.0).when(label == "green", 0.0).alias("prob"))
@@ -318,11 +329,20 @@ def catalogue_links(clusters: DataFrame, catalogue: DataFrame, days: int = TOLER
 
 
 def catalogue_recall(clusters: DataFrame, catalogue: DataFrame, days: int = TOLERANCE, lists: bool = False) -> DataFrame:
-    """Each catalogue entry with the clusters within the tolerance: n, found, over_split; with lists also their ids in order, in one text (catalogue_links has them as a table)."""
-    ids = [F.array_join(F.transform(F.array_sort(F.collect_list("cid")), lambda c: c.cast("string")), ";").alias("ids")] if lists else []
-    pairs = catalogue_links(clusters, catalogue, days).groupBy("g_pos").agg(F.count("*").alias("n"), *ids)
+    """Each catalogue entry with the clusters within the tolerance: n, found, over_split; with lists also their ids in order, in one text (catalogue_links has them as a table).
+
+    Entries of one type, country and day have the same clusters, so that these are counted and listed once a day, and each entry takes its day's.
+    """
+    on, key = ["type", "iso2", "day"], ["g_type", "g_iso2", "g_day"]
+    asked = clusters.groupBy(*on).agg(F.count("*").alias("n"))
+    near = _days_near(asked, catalogue.select(*key).distinct(), days)
+    if lists:
+        ids = F.array_join(F.transform(F.array_sort(F.collect_list("cid")), lambda c: c.cast("string")), ";").alias("ids")
+        of = clusters.select(*on, "cid").join(near.select(*on, *key), on).groupBy(*key).agg(F.count("*").alias("n"), ids)
+    else:
+        of = near.groupBy(*key).agg(F.sum("n").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return catalogue.join(pairs, "g_pos", "left").select(*catalogue.columns, n.alias("n_matching"), (n > 0).alias("found"), (n > 1).alias("over_split"), *([F.coalesce("ids", F.lit("")).alias("matching_ids")] if lists else []))
+    return catalogue.join(of, key, "left").select(*catalogue.columns, n.alias("n_matching"), (n > 0).alias("found"), (n > 1).alias("over_split"), *([F.coalesce("ids", F.lit("")).alias("matching_ids")] if lists else []))
 
 
 def recall_rates(matches: DataFrame) -> DataFrame:

@@ -115,6 +115,41 @@ def rows_made(df, operator="Join"):
     return most
 
 
+def crowded(spark, n=600):
+    """Clusters and entries of two days and one type and country, with a null country and an entry without clusters."""
+    day = date(2020, 3, 1)
+    clusters = spark.createDataFrame([(i, "EQ", None if i % 100 == 99 else "JP", day + timedelta(4 * (i % 2))) for i in range(n)], "cid long, type string, iso2 string, day date")
+    entries = [(i, "EQ", "JP", day + timedelta(2), "Red" if i == n // 2 else "green") for i in range(n // 2, n)] + [(n, "FL", "JP", day, "green"), (n + 1, "EQ", None, day, "red")]
+    return clusters, spark.createDataFrame(entries, "g_pos long, g_type string, g_iso2 string, g_day date, alert string")
+
+
+def test_nearest_catalogue_forms_no_square_of_a_day(spark):
+    from hazmill.operators import events as E
+
+    clusters, entries = crowded(spark)
+    df = E.nearest_catalogue(clusters, entries)
+    assert rows_made(df) <= 2 * clusters.count()
+    got = df.collect()
+    assert len(got) == 600
+    for r in got:
+        assert (r.g_pos, r.gap, r.predicted_alert) == ((None, None, None) if r.iso2 is None else (300, 2, "orange_or_red"))
+
+
+def test_catalogue_matches_form_no_square_of_a_day(spark):
+    from hazmill.operators import events as E
+
+    clusters, entries = crowded(spark)
+    ids = ";".join(str(i) for i in range(600) if i % 100 != 99)
+    for lists in (True, False):
+        df = E.catalogue_recall(clusters, entries, lists=lists)
+        assert rows_made(df) <= 2 * clusters.count()
+        for r in df.collect():
+            want = 594 if (r.g_type, r.g_iso2) == ("EQ", "JP") else 0
+            assert (r.n_matching, r.found, r.over_split) == (want, want > 0, want > 1)
+            assert not lists or r.matching_ids == (ids if want else "")
+        assert df.count() == 302
+
+
 def test_random_draws_are_never_sent_around_whole(spark):
     """Spark takes the draws for as few rows as their blocks; the sides that are broadcast are the days and the tickers."""
     start = date(2020, 1, 1)
