@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazmill.durable import settled
 from hazmill.ml.severity import DEPTH, FEATURES, TREES, SeverityModels, fit_forest, with_features
 from hazmill.operators.tables import class_weights
 
@@ -58,22 +59,37 @@ def severity_by_type(df: DataFrame, kind: str = "eventtype", trees: int = TREES,
     return SeverityModels(given=models).predict(full, kind).select(*df.columns, "prob", "predicted_alert")
 
 
+#: So many rows of a text are numbered at once.
+TIMES = 1 << 16
+
+
 def train_text(df: DataFrame, text: str = "text", label: str = "label", c: float = 5.0, vocabulary: int = 100_000, least: float = 2.0, iterations: int = 1000) -> PipelineModel:
-    """TF-IDF of one- and two-word terms (logarithmic frequency, unit length) and a balanced multinomial logistic regression."""
-    n = df.count()
-    weighted = df.join(class_weights(df, label).select(label, "weight"), label)
-    stages = [
+    """TF-IDF of one- and two-word terms (logarithmic frequency, unit length) and a balanced multinomial logistic regression.
+
+    Rows of one label whose counts of the vocabulary's terms are equal have equal features: they are settled as one row with their number.
+    The document frequencies count it that often, and in the regression it weighs as much as all of them, so that the loss is that of all rows,
+    while texts are cut into terms twice and the iterations go through different rows only.
+    """
+    weights = settled(class_weights(df, label))
+    n = weights.agg(F.sum("n")).first()[0] or 0
+    cut = [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=least),
-        LogCounts(inputCol="counts", outputCol="damped"),
-        IDF(inputCol="damped", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="target", handleInvalid="keep"),
-        LogisticRegression(labelCol="target", weightCol="weight", regParam=1 / (c * max(1, n)), maxIter=iterations),
     ]
-    return Pipeline(stages=stages).fit(weighted)
+    terms = PipelineModel(cut).transform(df.select(text, label))
+    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=least).fit(terms)
+    counted = counter.transform(terms).groupBy(label, "counts").agg(F.count("*").alias("times"))
+    distinct = settled(counted.join(F.broadcast(weights.select(label, "weight")), label).withColumn("weight", F.col("weight") * F.col("times")))
+    # Counts and their damped values are positive in the same places, which is all that document frequencies depend on.
+    repeated = distinct.select(F.col("counts").alias("damped"), "times", F.explode(F.expr(f"sequence(0, (times - 1) div {TIMES})")).alias("block"))
+    repeated = repeated.select("damped", F.explode(F.expr(f"sequence(block * {TIMES}, least(times, (block + 1) * {TIMES}) - 1)")))
+    damp, idf = LogCounts(inputCol="counts", outputCol="damped"), IDF(inputCol="damped", outputCol="weighted").fit(repeated.select("damped"))
+    unit = Normalizer(inputCol="weighted", outputCol="features")
+    index = StringIndexer(inputCol=label, outputCol="target", handleInvalid="keep").fit(df.select(label))
+    learn = PipelineModel([damp, idf, unit, index]).transform(distinct)
+    fit = LogisticRegression(labelCol="target", weightCol="weight", regParam=1 / (c * max(1, n)), maxIter=iterations).fit(learn)
+    return PipelineModel([*cut, counter, damp, idf, unit, index, fit])
 
 
 def label_predictions(model: PipelineModel, df: DataFrame, out: str = "pred", confidence: str = "confidence") -> DataFrame:

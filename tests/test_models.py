@@ -115,3 +115,23 @@ def test_evaluations_and_labelling_from_the_command_line(spark, tmp_path):
         assert got["1"] == "flood" and got["2"] == "earthquake" and got.get("3") in ((None, "error") if round_ == 1 else ("not_related",))
         (tmp_path / "service" / "3.json").write_text(json.dumps({"answer": "LABEL: not_related"}))
         (tmp_path / "service" / "1.json").write_text(json.dumps({"answer": "LABEL: drought"}))  # isn't asked for again
+
+
+def test_text_classifier_learns_from_each_different_row_once(spark):
+    """Rows whose terms of the vocabulary are equal weigh as much as all of them: the model is that of all rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, IDF
+
+    kinds = [("flood", "water rose in town"), ("flood", "water rose in the hills"), ("fire", "flames burned the hills"), ("fire", "smoke in town")]
+    rows = [(i, *kinds[i % 7 % 4], i) for i in range(200)]
+    df = spark.createDataFrame([(i, label, f"Report {1000 + k} {text}") for i, label, text, k in rows], "idx long, label string, text string")
+    model = models.train_text(df, iterations=100)
+    assert model.stages[-1].summary.predictions.count() == len(kinds)
+    weighted = df.join(models.class_weights(df, "label").select("label", "weight"), "label")
+    plain = [*model.stages[:3], CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=100_000, minDF=2.0), models.LogCounts("counts", "damped"), IDF(inputCol="damped", outputCol="weighted"),
+             *model.stages[6:8], LogisticRegression(labelCol="target", weightCol="weight", regParam=1 / (5.0 * 200), maxIter=100)]
+    whole = Pipeline(stages=plain).fit(weighted)
+    assert sorted(model.stages[3].vocabulary) == sorted(whole.stages[3].vocabulary) and model.stages[5].numDocs == whole.stages[5].numDocs == 200
+    got, want = ({r.idx: (r.pred, r.confidence) for r in models.label_predictions(m, df).collect()} for m in (model, whole))
+    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-3) for i in want)
