@@ -190,13 +190,14 @@ def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows for groups (key, i, j) in which block i of a bucket's members meets block j of its visitors, those outside its largest component.
 
     rows: key, own (blocks of members), other (blocks of visitors), visits (boolean), node, comp and the columns. As a rule there is one
-    block of visitors, so that members aren't copied.
+    block of visitors, so that members aren't copied. A row's places are one list, so that what makes the rows runs once.
     """
     i, j = F.pmod(F.xxhash64("node"), "own").cast("int"), F.pmod(F.xxhash64("node"), "other").cast("int")
-    same = ["node", "comp", *columns]
-    members = rows.select("key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("j"), F.lit(False).alias("visitor"), *same)
-    visitors = rows.filter("visits").select("key", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("visitor"), *same)
-    return members.union(visitors).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    place = lambda i, j, visitor: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(visitor).alias("visitor"))
+    member = F.transform(F.sequence(F.lit(0), F.col("other") - 1), lambda k: place(i, k, False))
+    visitor = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda k: place(k, j, True))
+    places = F.when(F.col("visits"), F.concat(member, visitor)).otherwise(member)
+    return rows.select("key", "node", "comp", *columns, F.explode(places).alias("at")).select("key", "at.*", "node", "comp", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -341,9 +342,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(named, "text", size), damp))
     nodes = _sketches(named, idf, size).groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first(F.struct("weight", "sig")).alias("s"))
     nodes = folders.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "k1", "k2", "s.weight", "s.sig"), "nodes")
-    keys = nodes.filter("sig is not null").select("node", F.explode(bands(F.col("sig"))).alias("key"))
+    keys = nodes.filter("sig is not null").select("node", "weight", F.explode(bands(F.col("sig"))).alias("key"))
     crowds = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    rows = folders.stored(keys.join(crowds, "key").select("key", "node", "n", "hub"), "rows")
+    rows = folders.stored(keys.join(crowds, "key").select("key", "node", "weight", "n", "hub"), "rows")
     alone = nodes.select("k1", "k2", "least", F.col("least").alias("class_id"), F.lit(True).alias("head"))
     if not rows.head(1):
         return alone
@@ -360,25 +361,22 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         comp = components(links, folders)
         done = rows.filter("node <> hub") if turn else rows  # after the first round, in which a node meets one hub, hubs aren't done with
         turn += 1
-        rest = done.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        of = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node")).alias("first"))
-        of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min(F.struct("n", "first", "comp")).alias("s"), F.max(F.struct("n", "comp")).alias("g")).filter("same < n * n")
-        of = of.select("key", "n", F.expr("(n * n - same) / 2").alias("pairs"), F.col("s.first.node").alias("hub"), F.col("s.comp").alias("hub_comp"), F.col("g.comp").alias("main"), F.expr("n - g.n").alias("visitors"))
+        rest = done.select("key", "node", "weight").join(comp, "node", "left").select("key", "node", "weight", F.coalesce("comp", "node").alias("comp"))
+        of = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("load"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node")).alias("first"))
+        of = of.groupBy("key").agg(F.sum("n").alias("n"), F.sum("load").alias("load"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min(F.struct("n", "first", "comp")).alias("s"), F.max(F.struct("n", "comp")).alias("g")).filter("same < n * n")
+        of = of.select("key", "n", "load", F.expr("(n * n - same) / 2").alias("pairs"), F.col("s.first.node").alias("hub"), F.col("s.comp").alias("hub_comp"), F.col("g.comp").alias("main"), F.expr("n - g.n").alias("visitors"))
         buckets = folders.stored(of, "buckets")
         left = buckets.agg(F.sum("pairs")).first()[0]
         if not left:
             break
         rows = folders.stored(rest.join(buckets, "key"), "rows")
         if left <= room or before is not None and left > before * 2 / 3:
-            dealt = rows.select("key", "node", "comp", "n", F.ceil(F.col("n") / BLOCK).alias("own"), F.ceil(F.col("visitors") / BLOCK).alias("other"), F.expr("comp <> main").alias("visits"))
+            dealt = rows.select("key", "node", "weight", "comp", "n", F.ceil(F.col("n") / BLOCK).alias("own"), F.ceil(F.col("visitors") / BLOCK).alias("other"), F.ceil(F.col("load") / (1 << 20)).alias("most"), F.expr("comp <> main").alias("visits"))
             if left <= room:
-                likely = folders.stored(block_pairs(dealt.join(profiles, "node"), threshold), "likely")
+                likely = folders.stored(block_pairs(dealt.join(profiles.select("node", "sig"), "node"), threshold), "likely")
                 found = verify(likely, texts, idf, threshold, size)
             else:
-                weights = profiles.select("node", "weight")
-                total = rows.join(weights, "node").groupBy("key").agg(F.ceil(F.sum("weight") / (1 << 20)).alias("most"))
-                dealt = dealt.join(total, "key").withColumns({"own": F.greatest("own", "most"), "other": F.greatest("other", "most")}).drop("most")
-                found = block_links(dealt.join(weights, "node"), texts, idf, threshold, size)
+                found = block_links(dealt.withColumns({"own": F.greatest("own", "most"), "other": F.greatest("other", "most")}), texts, idf, threshold, size)
             links = folders.stored(links.union(found), "links")
             comp = components(links, folders)
             break
