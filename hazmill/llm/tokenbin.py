@@ -21,11 +21,12 @@ an id follow each other, in order of a checksum of their ids, and an id of very
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,13 @@ from hazmill.llm.common import gather, holds, new_path, released, slices, stored
 MAGIC = b"HMTB"
 BLOCK_IDS = 1 << 20
 MEMO_BYTES, LONG = 96 << 20, 64
+#: Words of printable ASCII (no apostrophe, which begins contractions, and no <, which begins special tokens) and Latin-1 letters, and
+#: the runs that the tokenizer's splitter makes of them in lower case. The normaliser changes nothing else in them.
+SIMPLE = "^[!-&(-;=-~À-ÖØ-öø-ÿ]+$"
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: Those letters' bytes as the tokenizer's byte level writes them: what Latin-1 can't print comes after U+0100.
+_HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+_SHOWN = {c: c.encode().decode("latin-1").translate(_HIDDEN) for c in map(chr, range(0xDF, 0x100)) if c != "÷"}
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -46,8 +54,8 @@ class WordEncoder:
     """The tokenizers library behind a memo of words.
 
     This tokenizer drops white space and never joins across it, so words are encoded once each; a word of letters is
-    one pre-token and ends with its only end-of-word token, so that many such words share one call; one of ASCII letters
-    goes to the library's model at once.
+    one pre-token and ends with its only end-of-word token, so that many such words share one call. A simple word (SIMPLE) is
+    cut into its pre-tokens here, and each different one goes to the library's model at once.
     """
 
     def __init__(self, path: str):
@@ -87,10 +95,36 @@ class WordEncoder:
         got = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
         self._keep(words, np.array([i for x in got for i in x], dtype=np.uint32), np.array([len(x) for x in got]))
 
+    def _join(self, words: list[str], parts: np.ndarray, counts: np.ndarray) -> None:
+        """Keep words that are made of known ones: the places of all their parts, and each word's number of them."""
+        flat, ends = self._arrays()
+        sizes = ends[parts + 1] - ends[parts]
+        total = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        self._keep(words, gather(flat, ends[parts], sizes), np.diff(total))
+
+    def _simple(self, words: list[str]) -> None:
+        runs = list(map(_RUNS.findall, map(str.lower, words)))
+        parts, counts = list(chain.from_iterable(runs)), np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        new = [p for p in dict.fromkeys(parts) if p not in self.memo]
+        tokenize = self.lib.model.tokenize  # what normaliser and splitters would leave as it is goes to the model
+        shown = "\n".join(new)
+        for letter, own in _SHOWN.items():
+            shown = shown.replace(letter, own)
+        found = [[t.id for t in tokenize(p)] for p in shown.split("\n")] if new else []
+        self._keep(new, np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        at, one = np.fromiter(map(self.memo.__getitem__, parts), dtype=np.int64, count=len(parts)), counts == 1
+        like = [words[i] for i in np.flatnonzero(one).tolist()]
+        before = len(self.memo)
+        self.memo.update(zip(like, at[np.repeat(one, counts)].tolist()))
+        self.held += 170 * (len(self.memo) - before)
+        self._join([words[i] for i in np.flatnonzero(~one).tolist()], at[np.repeat(~one, counts)], counts[~one])
+
     def learn(self, missing: list[str]) -> None:
+        simple = np.asarray(pc.match_substring_regex(pa.array(missing, pa.large_string()), SIMPLE))
+        self._simple([missing[i] for i in np.flatnonzero(simple).tolist()])
         letters: dict[str, None] = {}
         like, tailed, rest = [], [], []
-        for w in missing:
+        for w in (missing[i] for i in np.flatnonzero(~simple).tolist()):
             if (low := self._plain(w)) is not None:
                 letters[low] = None
                 if low != w:
@@ -101,11 +135,6 @@ class WordEncoder:
             else:
                 rest.append(w)
         new = [w for w in letters if w not in self.memo]
-        ascii_words = [w for w in new if w.isascii()]
-        tokenize = self.lib.model.tokenize  # what normaliser and splitters would leave as it is goes to the model
-        found = [[t.id for t in tokenize(w)] for w in ascii_words]
-        self._keep(ascii_words, np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-        new = [w for w in new if not w.isascii()]
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
             ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
@@ -114,17 +143,13 @@ class WordEncoder:
                 self._keep(some, ids, np.diff(at, prepend=0))
             else:
                 self._one_by_one(some)
-        marks = [m for m in ".,;:!?" if m not in self.memo]
-        self._one_by_one([*rest, *(m for m in marks if m not in rest)]) if rest or marks else None
+        marks = {m: None for _, _, m in tailed if m not in self.memo}
+        self._one_by_one([*rest, *marks]) if rest or marks else None
         self.memo.update((w, self.memo[low]) for w, low in like)
         self.held += sum(len(w) + 110 for w, _ in like)
         if tailed:
-            flat, ends = self._arrays()
-            a = np.array([self.memo[low] for _, low, _ in tailed])
-            b = np.array([self.memo[m] for _, _, m in tailed])
-            pairs = np.stack([a, b], axis=1).ravel()
-            sizes = ends[pairs + 1] - ends[pairs]
-            self._keep([w for w, _, _ in tailed], gather(flat, ends[pairs], sizes), sizes.reshape(-1, 2).sum(axis=1))
+            parts = np.array([self.memo[x] for _, low, mark in tailed for x in (low, mark)])
+            self._join([w for w, _, _ in tailed], parts, np.full(len(tailed), 2))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of them.
@@ -136,11 +161,13 @@ class WordEncoder:
             self.clear()
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if missing := [w for w in distinct if w not in self.memo]:
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.memo.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        unknown = np.flatnonzero(at < 0)
+        if missing := [distinct[i] for i in unknown.tolist()]:
             self.learn(missing)
+            at[unknown] = np.fromiter(map(self.memo.__getitem__, missing), dtype=np.int64, count=len(missing))
         flat, ends = self._arrays()
-        at = np.fromiter(map(self.memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         for w in missing:  # over-long words aren't remembered
             if len(w) > LONG:
                 self.memo.pop(w, None)
